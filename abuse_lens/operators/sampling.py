@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abuse_lens.operators.slices import SLICE, row_number_in_slices, with_slice
+from abuse_lens.operators.slices import (
+    SLICE,
+    lag_in_slices,
+    row_number_in_slices,
+    running_in_slices,
+    with_slice,
+)
 
 TAG_PATTERN = r"^[A-Za-z0-9_-]{1,64}$"
 OPEN_END = 2**62
@@ -26,76 +33,88 @@ def accepted_commands(log: DataFrame) -> DataFrame:
     )
 
 
-def regimes(log: DataFrame, initial_rate: int = 1, initially_active: bool = False) -> DataFrame:
+def regimes(log: DataFrame, initial_rate: int = 1, slice_sec: int = 86400) -> DataFrame:
     """State intervals ``[start_ts, end_ts)`` between commands and deadlines.
 
     A trigger starts sampling under its tag, ``stop`` ends it, a rate change
     keeps everything else.  A trigger with a duration ends by itself, even when
     rate changes come in between.  One row per state, ``active`` or not.
-    The log is a table of operator commands; it is ordered as a whole.
+    ``seq`` orders the commands of one second.  Nothing is sampled before the
+    first command; a log that starts active starts with a trigger.
     """
     c = F.col
-    # Commands are few, but several may share a second: keep their given order.
-    w = Window.partitionBy(F.lit(0)).orderBy("ts", "seq")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    switch = c("action").isin("trigger", "stop")
-    last = lambda col: F.last(col, ignorenulls=True).over(so_far)
-    trigger = F.when(c("action") == "trigger", F.struct("tag", "ts", "duration_sec"))
-    state = accepted_commands(log).select(
-        "ts",
-        "seq",
-        last(F.when(c("action") != "stop", c("rate"))).alias("rate"),
-        last(F.when(switch, c("action") == "trigger")).alias("switched_on"),
-        last(trigger).alias("trigger"),
-        F.lead("ts").over(w).alias("next_ts"),
+    at = ["ts", "seq"]
+    commands = accepted_commands(log).select(
+        "ts", "seq", "action", "rate", "tag", "duration_sec", F.lit(0).alias("_all"),
+        (-c("ts")).alias("_back_ts"), (-c("seq")).alias("_back_seq"),
+    )
+    # The command after this one: the one before it, read backwards.
+    followed = lag_in_slices(
+        with_slice(commands, "_back_ts", slice_sec), ["_all"], ["_back_ts", "_back_seq"], ["ts"], "_next"
+    ).drop(SLICE)
+    # The last value set so far is the greatest (ts, seq, value).
+    last_set = {
+        "_rate": F.when(c("action") != "stop", F.struct(*at, "rate")),
+        "_switch": F.when(c("action").isin("trigger", "stop"), F.struct(*at, (c("action") == "trigger").alias("on"))),
+        "_trigger": F.when(c("action") == "trigger", F.struct(*at, "tag", "duration_sec")),
+    }
+    state = running_in_slices(
+        with_slice(followed, "ts", slice_sec), ["_all"], at, {n: ("max", e) for n, e in last_set.items()}
     )
-    deadline = F.when(c("switched_on"), c("trigger.ts") + c("trigger.duration_sec"))
     spans = state.select(
         c("ts").alias("start_ts"),
-        F.coalesce("next_ts", F.lit(OPEN_END)).alias("next_ts"),
-        F.coalesce("rate", F.lit(initial_rate)).cast("bigint").alias("rate"),
-        F.coalesce("switched_on", F.lit(initially_active)).alias("on"),
-        c("trigger.tag").alias("incident_tag"),
-        c("trigger.ts").alias("trigger_ts"),
-        deadline.alias("deadline_ts"),
-    )
-    cut = F.greatest(F.least("next_ts", F.coalesce("deadline_ts", F.lit(OPEN_END))), c("start_ts"))
-    parts = F.array(
-        F.struct(c("start_ts").alias("s"), F.when(c("on"), cut).otherwise(c("next_ts")).alias("e"), c("on").alias("a")),
-        F.struct(F.when(c("on"), cut).otherwise(c("next_ts")).alias("s"), c("next_ts").alias("e"), F.lit(False).alias("a")),
+        F.coalesce(c("_next.ts"), F.lit(OPEN_END)).alias("next_ts"),
+        F.coalesce(c("_rate.rate"), F.lit(initial_rate)).cast("bigint").alias("rate"),
+        F.coalesce(c("_switch.on"), F.lit(False)).alias("on"),
+        c("_trigger.tag").alias("incident_tag"),
+        c("_trigger.ts").alias("trigger_ts"),
+        (c("_trigger.ts") + c("_trigger.duration_sec")).alias("deadline_ts"),
     )
+    deadline = F.coalesce("deadline_ts", F.lit(OPEN_END))
+    sampled_until = F.when(c("on"), F.greatest(F.least("next_ts", deadline), c("start_ts"))).otherwise(c("start_ts"))
+    part = lambda s, e, a: F.struct(s.alias("s"), e.alias("e"), F.lit(a).alias("a"))
     return (
-        spans.select("*", F.explode(parts).alias("p"))
-        .where(c("p.s") < c("p.e"))
+        spans.withColumn("until", sampled_until)
         .select(
-            c("p.s").alias("start_ts"),
-            c("p.e").alias("end_ts"),
-            c("p.a").alias("active"),
             "rate",
             "incident_tag",
             "trigger_ts",
+            F.explode(
+                F.array(part(c("start_ts"), c("until"), True), part(c("until"), c("next_ts"), False))
+            ).alias("p"),
+        )
+        .where(c("p.s") < c("p.e"))
+        .select(
+            c("p.s").alias("start_ts"), c("p.e").alias("end_ts"), c("p.a").alias("active"),
+            "rate", "incident_tag", "trigger_ts",
         )
     )
 
 
-def in_regime(packets: DataFrame, spans: DataFrame, ts: str = "ts", bucket_sec: int = 3600, horizon: tuple[int, int] | None = None) -> DataFrame:
+def in_regime(packets: DataFrame, spans: DataFrame, ts: str = "ts", bucket_sec: int = 3600) -> DataFrame:
     """Join packets with the regime in force at their second.
 
     Regimes do not overlap.  Both sides get a time bucket, so this is an
     equi-join with a range check inside the bucket and not a loop over all
-    regimes; Spark broadcasts the regimes only if their size allows it.
-    ``horizon`` (first, last second of the packets) bounds open regimes.
+    regimes; Spark broadcasts the regimes only if their size allows it, and
+    splits a bucket that is too full otherwise (skew join).  Regimes are cut to
+    the seconds the packets span.
     """
     c = F.col
     width = F.lit(bucket_sec).cast("bigint")
-    lo, hi = horizon if horizon else (0, 4102444800)
-    start = F.greatest(c("start_ts"), F.lit(lo).cast("bigint"))
-    stop = F.least(c("end_ts") - 1, F.lit(hi).cast("bigint"))
+    seen = packets.agg(F.struct(F.min(ts).alias("lo"), F.max(ts).alias("hi"))).scalar()
+    start = F.greatest(c("start_ts"), c("_seen.lo"))
+    stop = F.least(c("end_ts") - 1, c("_seen.hi"))
     bucket = lambda x: F.call_function("div", x, width)
-    cut = spans.where(start <= stop).withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(stop))))
-    placed = packets.withColumn("_bucket", bucket(c(ts)))
+    cut = (
+        spans.withColumn("_seen", seen)
+        .where(start <= stop)
+        .withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(stop))))
+        .drop("_seen")
+    )
     return (
-        placed.join(cut, "_bucket")
+        packets.withColumn("_bucket", bucket(c(ts)))
+        .join(cut, "_bucket")
         .where((c(ts) >= c("start_ts")) & (c(ts) < c("end_ts")))
         .drop("_bucket")
     )
@@ -124,41 +143,35 @@ def one_in_n(
 
 
 def sample_with_carry(
-    packets: DataFrame, lane: str, order: list[str], position: str, width: int, initial_rate: int
+    packets: DataFrame, lane: str, order: list[str], position: str, width: int, initial_rate: int = 1
 ) -> DataFrame:
     """1-in-N across changing rates with the countdown carried over.
 
     Only active rows count.  A new rate takes effect at the next reset: the
     countdown a lane is in when the rate changes runs out first.  ``packets``
-    carry ``active``, ``rate`` and ``start_ts`` of their regime.
+    carry ``active``, ``rate`` and ``start_ts`` of their regime.  What is
+    followed in order is one counted row per (lane, regime), not the packets.
     """
     c = F.col
     active = packets.where(c("active")).withColumn(
         "_lane", F.coalesce(c(lane).cast("bigint"), F.lit(-1).cast("bigint"))
     )
-    step = F.struct("start_ts", F.greatest(c("rate"), F.lit(1).cast("bigint")).alias("rate"), "n")
-    per_regime = active.groupBy("_lane", "start_ts", "rate").agg(F.count(F.lit(1)).alias("n"))
-    # One element per regime of the command log and lane: a short array.
-    zero = F.lit(max(initial_rate, 1) - 1).cast("bigint")
-
-    def after(left: Column, s: Column) -> Column:
-        within = F.pmod(s["n"] - left - 1, s["rate"])
-        return F.when(s["n"] <= left, left - s["n"]).otherwise(s["rate"] - 1 - within)
-
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(step)),
-        F.struct(zero.alias("left"), F.array().cast("array<struct<start_ts:bigint,left:bigint>>").alias("at")),
-        lambda acc, s: F.struct(
-            after(acc["left"], s).alias("left"),
-            F.concat(acc["at"], F.array(F.struct(s["start_ts"].alias("start_ts"), acc["left"].alias("left")))).alias("at"),
-        ),
-        lambda acc: acc["at"],
-    )
-    starts = per_regime.groupBy("_lane").agg(folded.alias("at")).select("_lane", F.inline("at"))
+    per_regime = active.groupBy("_lane", "start_ts").agg(F.max("rate").alias("rate"), F.count(F.lit(1)).alias("n"))
+    first = max(initial_rate, 1) - 1
+
+    def countdown(regimes_of_lane: pd.DataFrame) -> pd.DataFrame:
+        left, at_start = first, []
+        rows = regimes_of_lane.sort_values("start_ts")
+        for rate, n in zip(rows["rate"].tolist(), rows["n"].tolist()):
+            at_start.append(left)
+            left = left - n if n <= left else rate - 1 - (n - left - 1) % rate
+        return rows[["_lane", "start_ts"]].assign(left=at_start)
+
+    starts = per_regime.groupBy("_lane").applyInPandas(countdown, "_lane bigint, start_ts bigint, left bigint")
     numbered = row_number_in_slices(with_slice(active, position, width), ["_lane", "start_ts"], order, "_rn")
     due = c("_rn") - c("left") - 1
     return (
         numbered.join(starts, ["_lane", "start_ts"])
-        .where((due >= 0) & (F.pmod(due, F.greatest(c("rate"), F.lit(1).cast("bigint"))) == 0))
+        .where((due >= 0) & (F.pmod(due, c("rate")) == 0))
         .drop("_rn", "_lane", "left", SLICE)
     )

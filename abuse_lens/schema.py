@@ -15,6 +15,18 @@ U32_MAX = 4294967295
 
 COUNTERS = ("syn", "ack", "handshake_ack", "rst", "packets", "bytes")
 
+_TYPES = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(),
+    "binary": T.BinaryType(),
+}
+
+
+def _flat(fields: str) -> T.StructType:
+    """``name type, name type`` to a schema; unlike DDL parsing it needs no session."""
+    pairs = (f.split() for f in fields.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
 BUCKET = T.StructType(
     [
         T.StructField("key_type", T.StringType()),
@@ -24,7 +36,7 @@ BUCKET = T.StructType(
     ]
 )
 
-RESP_AGGREGATES = T.StructType.fromDDL(
+RESP_AGGREGATES = _flat(
     "count bigint, resp_bytes_total bigint, req_bytes_max bigint, resp_bytes_max bigint, "
     "amp_ratio_mean double, amp_ratio_median double, amp_ratio_max double, "
     "unique_dst_ports bigint, unique_src_ports bigint, duration_ns_mean bigint, duration_ns_max bigint, "
@@ -32,7 +44,7 @@ RESP_AGGREGATES = T.StructType.fromDDL(
     "rpc_error_distinct_codes bigint, rpc_error_frac double, req_bytes_mean double, resp_bytes_mean double"
 )
 
-HOST_TELEMETRY = T.StructType.fromDDL(
+HOST_TELEMETRY = _flat(
     "cpu_mean double, cpu_max double, rss_delta bigint, rss_max bigint, rss_slope_bps double, "
     "num_fds_delta bigint, num_connections_delta bigint, num_connections_max bigint, io_write_delta bigint"
 )
@@ -53,15 +65,15 @@ SNAPSHOT = T.StructType(
     ]
 )
 
-STATUS = T.StructType.fromDDL("timestamp bigint, cycle bigint, ips_collected bigint, snapshots_written bigint")
+STATUS = _flat("timestamp bigint, cycle bigint, ips_collected bigint, snapshots_written bigint")
 
-PAYLOAD_EVENTS = T.StructType.fromDDL(
+PAYLOAD_EVENTS = _flat(
     "src_ip bigint, dst_ip bigint, src_port int, dst_port int, direction int, tcp_seq bigint, "
     "ts_ns bigint, payload_len bigint, sample_len int, payload binary"
 )
 
-PACKET_EVENTS = T.StructType.fromDDL(
+PACKET_EVENTS = _flat(
     "ts_ns bigint, ifindex int, direction int, wire_len bigint, cap_len int, pkt binary"
 )
 
-TRIGGER_LOG = T.StructType.fromDDL("ts bigint, action string, tag string, rate bigint, duration_sec bigint")
+TRIGGER_LOG = _flat("ts bigint, action string, tag string, rate bigint, duration_sec bigint")

@@ -125,3 +125,137 @@ def message_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.lit(30000) + c("conv_id") % 7).cast("int").alias("client_port"),
         )
     )
+
+
+def trigger_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as operator commands: stops, rate changes, triggers, bad ones among them."""
+    c = F.col
+    k = F.get_json_object("props", "$.k").cast("int")
+    return (
+        read(spark, sf_dir, "events")
+        .where(c("event_type") == "purchase")
+        .withColumn("k", k)
+        .select(
+            F.call_function("div", micros_from_ntz(c("ts")), F.lit(1_000_000).cast("bigint")).alias("ts"),
+            c("event_id").alias("seq"),
+            F.when(c("k") < 25, "stop").when(c("k") < 50, "set-sample-rate").otherwise("trigger").alias("action"),
+            F.when(c("k") % 10 == 9, "bad tag").otherwise(F.concat(F.lit("inc-"), c("user_id").cast("string"))).alias("tag"),
+            F.when(c("k") < 25, F.lit(None)).when(c("k") < 50, c("k") % 4).otherwise(1 + c("k") % 5).cast("bigint").alias("rate"),
+            F.when((c("k") >= 50) & (c("k") % 3 > 0), (c("k") % 3) * 600).cast("bigint").alias("duration_sec"),
+        )
+    )
+
+
+def host_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples of the process ``user_id``; missing readings come from ``k``."""
+    c = F.col
+    return (
+        read(spark, sf_dir, "events")
+        .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+        .select(
+            c("user_id").alias("pid"),
+            c("ts").alias("captured_at"),
+            F.when(c("k") % 11 != 0, c("event_id") * 7 % 100000).alias("cpu_jiffies"),
+            F.when(c("k") % 13 != 0, F.round(c("value") * 100).cast("bigint") * 4096).alias("rss_bytes"),
+            F.when(c("k") % 17 != 0, (c("k") + 3).cast("bigint")).alias("num_fds"),
+            F.when(c("k") % 7 != 0, (c("k") * 2).cast("bigint")).alias("num_connections"),
+            F.when(c("k") % 5 != 0, c("event_id") * 512).alias("io_write_bytes"),
+        )
+    )
+
+
+def payload_events(spark: SparkSession, sf_dir: str, segment: int = 700) -> DataFrame:
+    """Conversations as HTTP messages cut into TCP segments of one connection each."""
+    c = F.col
+    body = F.encode("text", "UTF-8")
+    request = c("role") == "user"
+    head = F.when(
+        request,
+        F.concat(F.lit("POST /rpc HTTP/1.1\r\nHost: h\r\ncontent-length: "), F.octet_length("text").cast("string"), F.lit("\r\n\r\n")),
+    ).otherwise(
+        F.concat(
+            F.lit("HTTP/1.1 "),
+            F.element_at(F.array(*[F.lit(s) for s in ("200", "404", "500", "302")]), (F.length("text") % 4 + 1).cast("int")),
+            F.lit(" X\r\nContent-Length: "),
+            F.octet_length("text").cast("string"),
+            F.lit("\r\nServer: s\r\n\r\n"),
+        )
+    )
+    client = F.lit(CLIENT_NET) + c("conv_id") % 65536
+    server = F.lit(SERVER_NET + 1)
+    client_port = (F.lit(20000) + F.call_function("div", c("conv_id"), F.lit(65536).cast("bigint"))).cast("int")
+    either = lambda a, b: F.when(request, a).otherwise(b)
+    return (
+        read(spark, sf_dir, "conversations")
+        .where(c("role").isin("user", "assistant"))
+        .select(
+            either(client, server).alias("src_ip"),
+            either(server, client).alias("dst_ip"),
+            either(client_port, F.lit(8899)).cast("int").alias("src_port"),
+            either(F.lit(8899), client_port).cast("int").alias("dst_port"),
+            either(F.lit(0), F.lit(1)).alias("direction"),
+            (c("turn") * 1_000_000_000).alias("turn_ns"),
+            F.concat(F.encode(head, "UTF-8"), body).alias("message"),
+        )
+        .select(
+            "*",
+            F.explode(F.sequence(F.lit(0), F.call_function("div", F.length("message") - 1, F.lit(segment)).cast("int"))).alias("part"),
+        )
+        .withColumn("payload", F.expr(f"substring(message, part * {segment} + 1, {segment})"))
+        .select(
+            "src_ip",
+            "dst_ip",
+            "src_port",
+            "dst_port",
+            "direction",
+            (c("part") * segment).cast("bigint").alias("tcp_seq"),
+            (c("turn_ns") + c("part") * 1000).alias("ts_ns"),
+            F.length("payload").cast("bigint").alias("payload_len"),
+            F.length("payload").alias("sample_len"),
+            "payload",
+        )
+    )
+
+
+def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets with the first bytes of their Ethernet frame."""
+    c = F.col
+    hexed = lambda x, n: F.lpad(F.hex(x), n, "0")
+    frame = F.concat(
+        F.lit("0A0000000001" + "0A0000000002"),
+        F.when(c("ip_version") == 4, "0800").otherwise("86DD"),
+        F.lit("45000028000000004006" + "0000"),
+        hexed(c("src_ip"), 8),
+        hexed(c("dst_ip"), 8),
+        hexed(c("src_port"), 4),
+        hexed(c("dst_port"), 4),
+    )
+    return packet_table(spark, sf_dir).withColumn("pkt", F.unhex(frame))
+
+
+def snapshot_lines_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as one snapshot line; ``k`` decides which fault it carries."""
+    c = F.col
+    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    bucket = F.concat(
+        F.lit('{"key_type":"'), F.when(c("k") == 1, "src_net").otherwise("src_ip"),
+        F.lit('","src_ip":"'), F.when(c("k") == 2, "10.0.0.300").when(c("k") == 3, "10.0.01.1").otherwise("10.0.0.1"),
+        F.lit('","dst_port":'), F.when(c("k") == 4, "70000").when(c("k") == 5, "null").otherwise("8000"),
+        F.lit(',"syn":'), F.when(c("k") == 6, "4294967296").when(c("k") == 7, "1.5").when(c("k") == 8, "-1").otherwise("1"),
+        F.when(c("k") == 9, "").otherwise(',"ack":1'),
+        F.when(c("k") == 10, ',"ack":2').otherwise(""),
+        F.when(c("k") == 11, ',"extra":2').otherwise(""),
+        F.lit(',"handshake_ack":1,"rst":0,"packets":'), c("event_id").cast("string"), F.lit(',"bytes":100}'),
+    )
+    line = F.concat(
+        F.lit('{"version":'), F.when(c("k") == 12, "4").when(c("k") == 13, "8").otherwise((F.lit(5) + c("k") % 3).cast("string")),
+        F.lit(',"aggregation":"src_ip_dst_port","ts_unix_sec":'), c("event_id").cast("string"),
+        F.lit(',"interval_sec":60,"run_id":1,"counter_mode":"cumulative",'),
+        F.when(c("k") == 14, "").otherwise('"base_ts_unix_sec":0,'),
+        F.when(c("k") == 15, '"note":{"a":[1]},').otherwise(""),
+        F.lit('"dst_ports":['), F.when(c("k") == 16, "65536").otherwise("8000"), F.lit('],"buckets":['),
+        bucket, F.when(c("k") == 17, "").otherwise("]}"),
+    )
+    return e.select(
+        F.when(c("k") == 18, "   ").when(c("k") == 19, F.concat(F.lit(" \t"), line, F.lit("  "))).otherwise(line).alias("value")
+    )
