@@ -52,6 +52,7 @@ class ReportConfig:
     min_episode_intervals: int = MIN_EPISODE_INTERVALS
     first_appearance: str = "baseline"
     slice_intervals: int = 1024
+    report_title: str = "Abuse Report"
 
     def __post_init__(self) -> None:
         if self.first_appearance not in ("baseline", "raw"):

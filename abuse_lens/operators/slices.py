@@ -41,15 +41,15 @@ def lag_in_slices(
     cut = [*keys, slice_col]
     by_slice = Window.partitionBy(*cut).orderBy(*order)
     whole = F.struct(*[c for c in df.columns if c not in cut])
-    local = df.select("*", F.lag(F.struct(*columns)).over(by_slice).alias("_local"), whole.alias("_whole"))
-    local = local.withColumn("_next", F.lead(F.lit(1)).over(by_slice))
+    local = df.select("*", F.lag(F.struct(*columns)).over(by_slice).alias("_slice_local"), whole.alias("_slice_whole"))
+    local = local.withColumn("_slice_next", F.lead(F.lit(1)).over(by_slice))
     edges = (
-        local.where(F.col("_next").isNull())
-        .select(*cut, F.struct(*[F.col(f"_whole.{c}").alias(c) for c in columns]).alias("_edge"))
-        .withColumn("_edge", F.lag("_edge").over(Window.partitionBy(*keys).orderBy(slice_col)))
+        local.where(F.col("_slice_next").isNull())
+        .select(*cut, F.struct(*[F.col(f"_slice_whole.{c}").alias(c) for c in columns]).alias("_slice_edge"))
+        .withColumn("_slice_edge", F.lag("_slice_edge").over(Window.partitionBy(*keys).orderBy(slice_col)))
     )
-    joined = local.drop("_whole", "_next").join(edges, cut, "left")
-    return joined.withColumn(into, F.coalesce("_local", "_edge")).drop("_local", "_edge")
+    joined = local.drop("_slice_whole", "_slice_next").join(edges, cut, "left")
+    return joined.withColumn(into, F.coalesce("_slice_local", "_slice_edge")).drop("_slice_local", "_slice_edge")
 
 
 def _plus(local: Column, before: Column) -> Column:
@@ -77,12 +77,12 @@ def running_in_slices(
     local = df.select(
         "*",
         *[_RUNNING[fn][0](e).over(running).alias(n) for n, (fn, e) in values.items()],
-        F.lead(F.lit(1)).over(by_slice).alias("_next"),
+        F.lead(F.lit(1)).over(by_slice).alias("_slice_next"),
     )
-    edges = local.where(F.col("_next").isNull()).select(
+    edges = local.where(F.col("_slice_next").isNull()).select(
         *cut, *[_RUNNING[fn][0](n).over(before).alias(f"_{n}") for n, (fn, _) in values.items()]
     )
-    joined = local.drop("_next").join(edges, cut, "left")
+    joined = local.drop("_slice_next").join(edges, cut, "left")
     combined = {n: _RUNNING[fn][1](F.col(n), F.col(f"_{n}")) for n, (fn, _) in values.items()}
     return joined.withColumns(combined).drop(*[f"_{n}" for n in values])
 

@@ -285,7 +285,7 @@ ORACLE: dict[str, str] = {
         " count(*) FILTER (ack) AS acks FROM pk GROUP BY 1, 2"
     ),
     "q_snap_length": q(
-        PK, "SELECT CAST(least(wire_len, 256) AS INTEGER) AS cap_len, count(*) AS packets, count(*) * 36 AS captured"
+        PK, "SELECT CAST(least(wire_len, 256) AS INTEGER) AS cap_len, count(*) AS packets, count(*) * 38 AS captured"
         " FROM pk WHERE wire_len > 0 GROUP BY 1"
     ),
     "q_wall_clock": q(
@@ -446,8 +446,8 @@ r AS (SELECT offender_count, concat_ws('|',
         || printf('%04X%04X', src_port, dst_port) AS frame FROM pk"""
     ),
     "q_tag_hash": q(
-        LOG, f"""SELECT tag, list_reduce(list_prepend(CAST({0xCBF29CE484222325 & LOW_32} AS BIGINT), list_transform(string_split(tag, ''), x -> CAST(ascii(x) AS BIGINT))),
-        (h, b) -> (xor(h, b) * 435) & {LOW_32}) AS tag_hash FROM (SELECT DISTINCT tag FROM cmd WHERE action = 'trigger')"""
+        LOG, f"""SELECT tag, list_reduce(list_prepend(CAST({0xCBF29CE484222325 & LOW_32} AS BIGINT), list_transform(string_split(tag, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda h, b: (xor(h, b) * 435) & {LOW_32}) AS tag_hash FROM (SELECT DISTINCT tag FROM cmd WHERE action = 'trigger')"""
     ),
     "q_sample_1_in_n": q(
         PK, "SELECT event_id, cpu FROM pk QUALIFY row_number() OVER (PARTITION BY cpu ORDER BY ts_ns, event_id) % 7 = 0"

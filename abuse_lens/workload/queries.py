@@ -294,7 +294,7 @@ def q_exceptions(spark, sf):
     """Allowlist entries that some observed source falls under, as exceptions."""
     seen = t.packet_table(spark, sf).select(F.when(F.col("direction") == "egress", F.col("dst_ip")).otherwise(F.col("src_ip")).alias("ip")).distinct()
     lines = seen.select(F.concat(net.long_to_ipv4(net.cidr_network(F.col("ip"), F.lit(28))), F.lit("/28")).alias("value")).union(
-        seen.where(F.col("ip") % 7 == 0).select(net.long_to_ipv4("ip").alias("value"))
+        seen.where(F.col("ip") % 7 == 0).select(net.long_to_ipv4(F.col("ip")).alias("value"))
     )
     table = allowlist.parse_lines(lines.distinct())
     listed = allowlist.Allowlist(table, (28, 32), None, 0, 0)
