@@ -266,6 +266,16 @@ def reason_sql(cfg) -> str:
     )
 
 
+HTTP = f"""
+http AS (SELECT {t.CLIENT_NET} + conv_id % 65536 AS client_ip, 20000 + conv_id // 65536 AS client_port, conv_id, turn, role, strlen(text) AS n,
+  CASE WHEN role = 'assistant' THEN list_extract([200, 404, 500, 302], CAST(length(text) % 4 + 1 AS INTEGER)) END AS status,
+  CASE role WHEN 'user' THEN 49 ELSE 47 END + strlen(CAST(strlen(text) AS VARCHAR)) AS head
+  FROM conversations WHERE role IN ('user', 'assistant')),
+hm AS (SELECT *, client_ip * 65536 + client_port AS flow_low, CASE role WHEN 'user' THEN 'to_server' ELSE 'from_server' END AS direction,
+  turn * 1000000000 AS first_ts, turn * 1000000000 + (head + n - 1) // 700 * 1000 AS done_ts FROM http),
+hp AS (SELECT *, lag(direction) OVER c AS p_dir, lag(n) OVER c AS p_n, lag(first_ts) OVER c AS p_ts FROM hm
+  WINDOW c AS (PARTITION BY conv_id ORDER BY turn)),
+"""
 SIDE = lambda d: f"SELECT {KEYS}, {SUMS} FROM w WHERE direction = '{d}' GROUP BY ALL"
 BUCKET = """{'key_type': 'src_ip', 'src_ip': %s, 'dst_port': dst_port, 'syn': syn, 'ack': ack, 'handshake_ack': handshake_ack,
   'rst': rst, 'packets': packets, 'bytes': bytes}""" % ip_text("ip_u32")
@@ -502,4 +512,13 @@ WHERE rn - lft - 1 >= 0 AND (rn - lft - 1) % act.rate = 0""",
         f"SELECT event_id, {digits('x', 1)} AS d1, {digits('x', 2)} AS d2, {digits('x', 4)} AS d4 FROM e",
     ),
     "q_inferred_ports": q(CUM, "SELECT DISTINCT CAST(dst_port AS BIGINT) AS port FROM cum UNION SELECT unnest([8000, 9999])"),
+    "q_framing": q(HTTP, "SELECT flow_low, direction, n AS body_len, status, first_ts, done_ts, false AS rpc_parsed FROM hm"),
+    "q_framed_pairs": q(
+        HTTP, "SELECT flow_low, p_n AS request_bytes, n AS response_bytes, status AS status_code, p_ts AS req_started_ns,"
+        " done_ts AS resp_completed_ns FROM hp WHERE direction = 'from_server' AND p_dir = 'to_server'"
+    ),
+    "q_head_fields": q(
+        HTTP, "SELECT CASE role WHEN 'user' THEN 0 ELSE 1 END AS direction, status, CAST(sum(head) AS BIGINT) AS head_bytes,"
+        " CAST(sum(n) AS BIGINT) AS body_bytes FROM hm GROUP BY 1, 2"
+    ),
 }

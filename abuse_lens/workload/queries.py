@@ -583,3 +583,38 @@ def q_inferred_ports(spark, sf):
 
     rows = packets.assemble_snapshots(t.cumulative_counters(spark, sf), (9999, 8000), t.DAY, 7, 1_704_067_200)
     return snapshots.ports_present(rows)
+
+
+# -- framing ------------------------------------------------------------------
+
+
+@query
+def q_framing(spark, sf):
+    """HTTP segments of the conversations back to messages."""
+    from abuse_lens.operators import framing
+
+    events = rpc.directed(t.payload_events(spark, sf).drop("direction"), [8899])
+    messages = framing.frame_messages(events, slice_ns=1_000_001_000)
+    return messages.select("flow_low", "direction", "body_len", "status", "first_ts", "done_ts", "rpc_parsed")
+
+
+@query
+def q_framed_pairs(spark, sf):
+    from abuse_lens.operators import framing
+
+    events = rpc.directed(t.payload_events(spark, sf).drop("direction"), [8899])
+    messages = framing.frame_messages(events, slice_ns=60_000_000_000)
+    pairs = rpc.pair_messages(messages, ["flow_low", "flow_high"], ["done_ts", "done_seq"], "done_ts", 3_000_000_000)
+    return pairs.select("flow_low", "request_bytes", "response_bytes", "status_code", "req_started_ns", "resp_completed_ns")
+
+
+@query
+def q_head_fields(spark, sf):
+    """Head fields of payloads that hold a whole head, without Python."""
+    from abuse_lens.functions import http
+
+    p = F.col("payload")
+    starts = t.payload_events(spark, sf).where(F.col("tcp_seq") == 0)
+    return starts.groupBy("direction", http.status_code(p).alias("status")).agg(
+        F.sum(http.head_length(p)).cast("bigint").alias("head_bytes"), F.sum(http.content_length(p)).alias("body_bytes")
+    )
