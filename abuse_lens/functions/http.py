@@ -120,4 +120,4 @@ def rpc_envelope(body: Column) -> Column:
     """Struct (parsed, error_code) of a JSON body."""
     read = F.from_json(body, "jsonrpc string, error struct<code:int>")
     parsed = read["jsonrpc"].isNotNull()
-    return F.struct(F.coalesce(parsed, F.lit(False)).alias("parsed"), F.when(parsed, read["error.code"]).alias("error_code"))
+    return F.struct(F.coalesce(parsed, F.lit(False)).alias("parsed"), F.when(parsed, read["error"]["code"]).alias("error_code"))
