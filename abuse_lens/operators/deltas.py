@@ -35,6 +35,7 @@ def keyed(counters: DataFrame, by_run: bool = False) -> DataFrame:
         "base_ts",
         "seq",
         *COUNTERS,
+        *[c for c in counters.columns if c == SLICE],
     )
 
 
@@ -68,7 +69,7 @@ def with_deltas(
             "first": F.col("prev").isNull(),
             **{f"d_{c}": saturating_sub(F.col(c), F.col(f"prev.{c}")) for c in COUNTERS},
         }
-    ).drop("prev", SLICE)
+    ).drop("prev")
 
 
 def run_totals(deltas: DataFrame, cfg: ReportConfig) -> DataFrame:
@@ -104,15 +105,17 @@ def interval_stats(deltas: DataFrame, cfg: ReportConfig, interval_sec: int = DEF
     """
     at_start = F.col("base_ts").eqNullSafe(F.col("ts"))
     used = deltas.where(~F.col("first") | at_start)
+    kept = [c for c in deltas.columns if c == SLICE]
     per = F.when(F.col("first"), F.lit(cfg.window_sec)).otherwise(F.lit(interval_sec))
     grown = {c: F.coalesce(F.col(f"d_{c}"), F.col(c)) for c in COUNTERS}
     return used.select(
-        *KEY, "run_key", "ts", "seq", per.alias("_per"), *[grown[c].alias(c) for c in COUNTERS]
+        *KEY, "run_key", "ts", "seq", *kept, per.alias("_per"), *[grown[c].alias(c) for c in COUNTERS]
     ).select(
         *KEY,
         "run_key",
         "ts",
         "seq",
+        *kept,
         *COUNTERS,
         rate(F.col("syn"), F.col("_per")).alias("syn_rate"),
         rate(F.col("packets"), F.col("_per")).alias("pkt_rate"),

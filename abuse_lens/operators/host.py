@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abuse_lens.functions.timetext import micros_from_ntz
-from abuse_lens.operators.slices import SLICE, lag_in_slices, with_slice
+from abuse_lens.operators.slices import lag_in_slices, with_slice
 
 # Fixed values.
 CLOCK_TICKS = 100

@@ -83,14 +83,17 @@ def interval_counters(packets: DataFrame, interval_sec: int) -> DataFrame:
 
 
 def cumulative(counters: DataFrame, slice_sec: int) -> DataFrame:
-    """Running totals per key: what a counter that is never reset shows at ``ts``."""
+    """Running totals per key: what a counter that is never reset shows at ``ts``.
+
+    The slice column stays for the operators that follow on the same keys.
+    """
     known = counters.withColumns(
         {"ip_u32": F.coalesce("ip_u32", F.lit(-1).cast("bigint")), "dst_port": F.coalesce("dst_port", F.lit(-1))}
     )
     sliced = with_slice(known, "ts", slice_sec)
     running = {f"_cum_{c}": ("sum", F.col(c)) for c in COUNTERS}
     out = running_in_slices(sliced, ["ip_u32", "dst_port"], ["ts"], running)
-    return out.withColumns({c: F.col(f"_cum_{c}") for c in COUNTERS}).drop(*running, SLICE)
+    return out.withColumns({c: F.col(f"_cum_{c}") for c in COUNTERS}).drop(*running)
 
 
 def as_counter_rows(counters: DataFrame, base_ts: Column | None = None) -> DataFrame:
@@ -104,6 +107,7 @@ def as_counter_rows(counters: DataFrame, base_ts: Column | None = None) -> DataF
         "ip_u32",
         "dst_port",
         *COUNTERS,
+        *[c for c in counters.columns if c == SLICE],
     )
 
 

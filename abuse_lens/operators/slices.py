@@ -18,12 +18,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE = "slice"
+SLICE = "_slice"
 _NULL_SLICE = -(2**62)
 
 
 def with_slice(df: DataFrame, position: str, width: int, name: str = SLICE) -> DataFrame:
-    """Add the slice number of an integer position column (floor division)."""
+    """Add the slice number of an integer position column (floor division).
+
+    A slice column that is already there stays: any width gives the same
+    results, and rows partitioned by it need not be shuffled again.
+    """
+    if name in df.columns:
+        return df
     p, w = F.col(position).cast("bigint"), F.lit(width).cast("bigint")
     number = F.call_function("div", p - F.pmod(p, w), w)
     return df.withColumn(name, F.coalesce(number, F.lit(_NULL_SLICE).cast("bigint")))

@@ -39,14 +39,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` with ``k`` out of the JSON property.
+
+    A generator reads the JSON once per row; as an expression it would be
+    copied into every filter and column that mentions ``k``.
+    """
+    return (
+        read(spark, sf_dir, "events")
+        .select("event_id", "ts", "user_id", "event_type", "value", F.json_tuple("props", "k").alias("k"))
+        .withColumn("k", F.col("k").cast("int"))
+    )
+
+
 def packet_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as packets: every fifth one a reply of the server."""
     c = F.col
     kind = c("event_type")
     egress = c("event_id") % 5 == 4
     raw = (
-        read(spark, sf_dir, "events")
-        .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+        read_events(spark, sf_dir)
         .select(
             "event_id",
             "k",
@@ -130,11 +142,9 @@ def message_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trigger_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases as operator commands: stops, rate changes, triggers, bad ones among them."""
     c = F.col
-    k = F.get_json_object("props", "$.k").cast("int")
     return (
-        read(spark, sf_dir, "events")
+        read_events(spark, sf_dir)
         .where(c("event_type") == "purchase")
-        .withColumn("k", k)
         .select(
             F.call_function("div", micros_from_ntz(c("ts")), F.lit(1_000_000).cast("bigint")).alias("ts"),
             c("event_id").alias("seq"),
@@ -150,8 +160,7 @@ def host_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as samples of the process ``user_id``; missing readings come from ``k``."""
     c = F.col
     return (
-        read(spark, sf_dir, "events")
-        .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+        read_events(spark, sf_dir)
         .select(
             c("user_id").alias("pid"),
             c("ts").alias("captured_at"),
@@ -236,7 +245,7 @@ def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_lines_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as one snapshot line; ``k`` decides which fault it carries."""
     c = F.col
-    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = read_events(spark, sf_dir)
     bucket = F.concat(
         F.lit('{"key_type":"'), F.when(c("k") == 1, "src_net").otherwise("src_ip"),
         F.lit('","src_ip":"'), F.when(c("k") == 2, "10.0.0.300").when(c("k") == 3, "10.0.01.1").otherwise("10.0.0.1"),
