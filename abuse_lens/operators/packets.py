@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abuse_lens.functions import net
-from abuse_lens.operators.slices import SLICE, running_in_slices, with_slice
+from abuse_lens.operators.slices import SLICE, never_null, running_in_slices, with_slice
 from abuse_lens.schema import AGGREGATION, COUNTER_MODE, COUNTERS, KEY_TYPES, SNAPSHOT_VERSION
 
 # Fixed values of the capture.
@@ -87,10 +87,7 @@ def cumulative(counters: DataFrame, slice_sec: int) -> DataFrame:
 
     The slice column stays for the operators that follow on the same keys.
     """
-    known = counters.withColumns(
-        {"ip_u32": F.coalesce("ip_u32", F.lit(-1).cast("bigint")), "dst_port": F.coalesce("dst_port", F.lit(-1))}
-    )
-    sliced = with_slice(known, "ts", slice_sec)
+    sliced = with_slice(never_null(counters, ["ip_u32", "dst_port"]), "ts", slice_sec)
     running = {f"_cum_{c}": ("sum", F.col(c)) for c in COUNTERS}
     out = running_in_slices(sliced, ["ip_u32", "dst_port"], ["ts"], running)
     return out.withColumns({c: F.col(f"_cum_{c}") for c in COUNTERS}).drop(*running)
@@ -121,14 +118,13 @@ def assemble_snapshots(
 ) -> DataFrame:
     """One snapshot row per ``ts`` with sorted buckets and sorted header ports.
 
-    A snapshot with more than ``max_buckets`` keys becomes several rows of the
-    same ``ts`` with disjoint keys: readers see the same counters, and no task
+    When a snapshot has more than ``max_buckets`` keys, every ``ts`` becomes
+    several rows with disjoint keys: readers see the same counters, and no task
     builds an unbounded array.
     """
-    keys = counters.groupBy("ts").agg(F.ceil(F.count(F.lit(1)) / F.lit(max_buckets)).alias("_parts"))
-    spread = counters.join(keys, "ts").withColumn(
-        "part", F.pmod(F.xxhash64("key_ord", "ip_u32", "dst_port"), F.col("_parts")).cast("int")
-    )
+    most = counters.groupBy("ts").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
+    parts = F.coalesce(F.ceil(most / F.lit(max_buckets)), F.lit(1).cast("bigint"))
+    spread = counters.withColumn("part", F.pmod(F.xxhash64("key_ord", "ip_u32", "dst_port"), parts).cast("int"))
     bucket = F.struct("key_ord", "ip_u32", "dst_port", *COUNTERS)
     key_type = lambda b: F.element_at(F.array(*[F.lit(k) for k in KEY_TYPES]), b["key_ord"] + 1)
     shaped = F.transform(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,7 +152,8 @@ def sample_with_carry(
     Only active rows count.  A new rate takes effect at the next reset: the
     countdown a lane is in when the rate changes runs out first.  ``packets``
     carry ``active``, ``rate`` and ``start_ts`` of their regime.  What is
-    followed in order is one counted row per (lane, regime), not the packets.
+    followed in order is one counted row per (lane, regime), not the packets,
+    as a stream of batches.
     """
     c = F.col
     active = packets.where(c("active")).withColumn(
@@ -159,15 +162,19 @@ def sample_with_carry(
     per_regime = active.groupBy("_lane", "start_ts").agg(F.max("rate").alias("rate"), F.count(F.lit(1)).alias("n"))
     first = max(initial_rate, 1) - 1
 
-    def countdown(regimes_of_lane: pd.DataFrame) -> pd.DataFrame:
-        left, at_start = first, []
-        rows = regimes_of_lane.sort_values("start_ts")
-        for rate, n in zip(rows["rate"].tolist(), rows["n"].tolist()):
-            at_start.append(left)
-            left = left - n if n <= left else rate - 1 - (n - left - 1) % rate
-        return rows[["_lane", "start_ts"]].assign(left=at_start)
-
-    starts = per_regime.groupBy("_lane").applyInPandas(countdown, "_lane bigint, start_ts bigint, left bigint")
+    def countdown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, left = None, first
+        for rows in batches:
+            starting = []
+            for one, rate, n in zip(rows["_lane"].tolist(), rows["rate"].tolist(), rows["n"].tolist()):
+                if one != at:
+                    at, left = one, first
+                starting.append(left)
+                left = left - n if n <= left else rate - 1 - (n - left - 1) % rate
+            yield rows[["_lane", "start_ts"]].assign(left=starting)
+
+    in_order = per_regime.repartition("_lane").sortWithinPartitions("_lane", "start_ts")
+    starts = in_order.mapInPandas(countdown, "_lane bigint, start_ts bigint, left bigint")
     numbered = row_number_in_slices(with_slice(active, position, width), ["_lane", "start_ts"], order, "_rn")
     due = c("_rn") - c("left") - 1
     return (

@@ -35,6 +35,12 @@ def with_slice(df: DataFrame, position: str, width: int, name: str = SLICE) -> D
     return df.withColumn(name, F.coalesce(number, F.lit(_NULL_SLICE).cast("bigint")))
 
 
+def never_null(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Fill integer key columns with -1; Spark drops this where they cannot be null."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.coalesce(c, F.lit(-1).cast(kinds[c])) for c in columns})
+
+
 def lag_in_slices(
     df: DataFrame,
     keys: list[str],

@@ -53,6 +53,7 @@ def build(snapshot_rows: DataFrame, cfg: ReportConfig, allow: Allowlist, now: in
     documents and filter nothing.  The deltas feed both the whole-run totals
     and the episodes, so they are written once and read twice.
     """
+    snapshot_rows = settle(snapshot_rows)  # JSON is parsed once
     header = snapshots.run_header(snapshot_rows).first()
     if header["start_ts"] is None:
         raise NoSnapshots("no usable snapshots")

@@ -1,29 +1,36 @@
-"""Cut a plan's lineage where several consumers share it."""
+"""Write an intermediate that several consumers share, and cut its lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; make a folder only in local mode."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        shared = tempfile.mkdtemp(prefix="abuse-lens-")
-    sc.setCheckpointDir(shared)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own; on a
+    cluster a machine's own disk would be lost with the machine.
+    """
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    folder = tempfile.mkdtemp(prefix="abuse-lens-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write a shared intermediate once to the checkpoint folder and read it from there.
+    """Write ``df`` once as Parquet in the shared folder and read it from there.
 
-    The copy survives lost executors, unlike cached blocks.
+    The copy survives lost executors, is pruned to the columns a consumer needs
+    and has a known size, so joins against it are planned on facts.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
