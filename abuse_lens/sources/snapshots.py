@@ -60,8 +60,11 @@ def _bucket_defect(b: Column, raw: Column) -> Column:
 
 @dataclass(frozen=True)
 class Parsed:
+    """``judged`` lines carry a ``reason`` (null for a good one)."""
+
     good: DataFrame
     bad: DataFrame
+    judged: DataFrame
 
 
 def parse(lines: DataFrame) -> Parsed:
@@ -79,7 +82,10 @@ def parse(lines: DataFrame) -> Parsed:
     text = lines.select(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("value"), *origin).where(F.col("value") != "")
     s = F.col("s")
     raw_buckets = F.from_json("value", "buckets array<string>")["buckets"]
-    read = text.select("*", F.from_json("value", schema, options).alias("s"), raw_buckets.alias("raw"))
+    # As a generator the two readings happen once per line; as expressions they
+    # would be repeated for every field that is looked at below.
+    once = F.array(F.struct(F.from_json("value", schema, options).alias("s"), raw_buckets.alias("raw")))
+    read = text.select("*", F.inline(once))
     header_missing = F.lit(False)
     for f in _HEADER_FIELDS:
         header_missing = header_missing | s[f].isNull()
@@ -98,7 +104,7 @@ def parse(lines: DataFrame) -> Parsed:
     judged = read.withColumn("reason", reason)
     good = judged.where(F.col("reason").isNull()).select(*origin, "value", *[s[f].alias(f) for f in SNAPSHOT.fieldNames()])
     bad = judged.where(F.col("reason").isNotNull()).select(*origin, "value", "reason")
-    return Parsed(good, bad)
+    return Parsed(good, bad, judged.select(*origin, "value", "reason"))
 
 
 def parse_strict(lines: DataFrame) -> DataFrame:

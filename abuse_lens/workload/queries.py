@@ -343,11 +343,8 @@ def q_bad_lines(spark, sf):
     """Quarantine of every kind of unusable snapshot line, made from all events."""
     from abuse_lens.sources import snapshots
 
-    lines = t.snapshot_lines_with_faults(spark, sf)
-    parsed = snapshots.parse(lines)
-    bad = parsed.bad.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
-    good = parsed.good.agg(F.count(F.lit(1)).alias("lines")).select(F.lit("ok").alias("reason"), "lines")
-    return bad.unionByName(good)
+    judged = snapshots.parse(t.snapshot_lines_with_faults(spark, sf)).judged
+    return judged.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query
