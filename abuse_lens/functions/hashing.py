@@ -47,13 +47,23 @@ def hash_ipv4(ip: Column, salt: str) -> Column:
 
 
 def tag_fingerprint(tag: Column) -> Column:
-    """Low 32 bits of the hash of a text column, one step per UTF-8 byte."""
-    codes = F.transform(
-        F.sequence(F.lit(1), F.octet_length(tag)),
-        lambda i: F.conv(F.hex(F.substring(F.encode(tag, "UTF-8"), i, 1)), 16, 10).cast("bigint"),
-    )
-    start = F.lit(FNV_OFFSET & LOW_32).cast("bigint")
-    hashed = F.aggregate(
-        codes, start, lambda h, b: (h.bitwiseXOR(b) * FNV_PRIME_LOW).bitwiseAND(F.lit(LOW_32))
-    )
-    return F.when(F.octet_length(tag) > 0, hashed).when(tag.isNotNull(), start)
+    """Full hash of a text column as 16 hex digits, one step per UTF-8 byte.
+
+    The two halves are kept in bigints: times 2^40 only shifts the low half up
+    by 8 inside the high half, times 435 carries from the low half to the high.
+    """
+    data = F.encode(tag, "UTF-8")
+    positions = F.filter(F.sequence(F.lit(0), F.length(data)), lambda i: i > 0)
+    codes = F.transform(positions, lambda i: F.conv(F.hex(F.substring(data, i, 1)), 16, 10).cast("bigint"))
+    half = lambda c: c.bitwiseAND(F.lit(LOW_32).cast("bigint"))
+    pair = lambda hi, lo: F.struct(hi.alias("hi"), lo.alias("lo"))
+
+    def step(h: Column, byte: Column) -> Column:
+        lo = h["lo"].bitwiseXOR(byte)
+        product = lo * FNV_PRIME_LOW
+        carry = F.shiftright(product, 32)
+        return pair(half(h["hi"] * FNV_PRIME_LOW + carry + lo * 256), half(product))
+
+    start = pair(F.lit(FNV_OFFSET >> 32).cast("bigint"), F.lit(FNV_OFFSET & LOW_32).cast("bigint"))
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 8, "0"))
+    return F.aggregate(codes, start, step, lambda h: F.concat(digits(h["hi"]), digits(h["lo"])))

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from abuse_lens.schema import U32_MAX
 
-DOTTED_QUAD = r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$"
+_OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+DOTTED_QUAD = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 
 def ipv4_to_long(text: Column) -> Column:
     """Dotted quad to bigint; null when the text is not a strict dotted quad."""
     octets = F.transform(F.split(text, r"\."), lambda o: o.cast("bigint"))
     packed = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
-    in_range = F.forall(octets, lambda o: o <= 255)
-    return F.when(text.rlike(DOTTED_QUAD), F.when(in_range, packed))
+    return F.when(text.rlike(DOTTED_QUAD), packed)
 
 
 def long_to_ipv4(ip: Column) -> Column:

@@ -12,12 +12,25 @@ def ntz_from_seconds(seconds: Column) -> Column:
     return F.expr(_EPOCH) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
-def seconds_from_ntz(ts: Column) -> Column:
-    return F.call_function("floor", micros_from_ntz(ts) / F.lit(1_000_000).cast("decimal(18,0)")).cast("bigint")
+def micros_from_ntz(ts: Column) -> Column:
+    """Microseconds since 1970 of a wall-clock timestamp, read field by field.
+
+    ``timestampdiff`` goes through the session zone and moves the hour that a
+    clock change skips.
+    """
+    t = ts.cast("timestamp_ntz")
+    whole = lambda c, unit: c.cast("bigint") * F.lit(unit).cast("bigint")
+    seconds = (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+    return (
+        whole(F.unix_date(t.cast("date")), 86_400_000_000)
+        + whole(F.hour(t), 3_600_000_000)
+        + whole(F.minute(t), 60_000_000)
+        + seconds
+    )
 
 
-def micros_from_ntz(ts: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), ts.cast("timestamp_ntz"))
+def seconds_from_ntz(ts: Column) -> Column:
+    return F.call_function("div", micros_from_ntz(ts), F.lit(1_000_000).cast("bigint"))
 
 
 def hour_name(seconds: Column) -> Column:

@@ -21,7 +21,9 @@ def host_deltas(samples: DataFrame, slice_sec: int = 86400, ticks: int = CLOCK_T
     A value missing on either side leaves its own outputs null.  Rates need at
     least 0.1 s between the samples; CPU ticks never count backwards.
     """
-    timed = samples.withColumn("_us", micros_from_ntz(F.col("captured_at"))).withColumn(
+    instant = dict(samples.dtypes)["captured_at"] == "timestamp"
+    at = F.col("captured_at")
+    timed = samples.withColumn("_us", F.unix_micros(at) if instant else micros_from_ntz(at)).withColumn(
         "_pid", F.coalesce(F.col("pid").cast("bigint"), F.lit(-1).cast("bigint"))
     )
     sliced = with_slice(timed, "_us", slice_sec * 1_000_000)

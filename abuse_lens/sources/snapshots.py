@@ -36,9 +36,8 @@ def snapshot_files(lines: DataFrame) -> DataFrame:
     return named.where(F.col("hour_ts").isNotNull()).orderBy("hour_ts", "file")
 
 
-def _bucket_defect(b: Column, raw: Column) -> Column:
-    """Why a bucket rejects its whole line; null when it is fine."""
-    names = F.json_object_keys(raw)
+def _bucket_defect(b: Column, names: Column) -> Column:
+    """Why a bucket with these field names rejects its whole line; null when it is fine."""
     known = F.array(*[F.lit(f) for f in _BUCKET_FIELDS])
     missing = F.lit(False)
     for f in _REQUIRED:
@@ -53,7 +52,7 @@ def _bucket_defect(b: Column, raw: Column) -> Column:
         .when(F.size(F.array_except(names, known)) > 0, "unknown bucket field")
         .when(missing, "missing bucket field")
         .when(~b["key_type"].isin(*KEY_TYPES), "unknown key type")
-        .when(net.ipv4_to_long(b["src_ip"]).isNull(), "invalid IP address")
+        .when(~b["src_ip"].rlike(net.DOTTED_QUAD), "invalid IP address")
         .when(~in_range, "bucket value out of range")
     )
 
@@ -79,12 +78,12 @@ def parse(lines: DataFrame) -> Parsed:
     schema = T.StructType([*SNAPSHOT.fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     origin = [c for c in lines.columns if c in ("file", "file_name")]
-    text = lines.select(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("value"), *origin).where(F.col("value") != "")
+    text = lines.select(F.btrim("value", F.lit(" \t\r\n\f\v")).alias("value"), *origin).where(F.col("value") != "")
     s = F.col("s")
-    raw_buckets = F.from_json("value", "buckets array<string>")["buckets"]
+    names = F.transform(F.from_json("value", "buckets array<string>")["buckets"], F.json_object_keys)
     # As a generator the two readings happen once per line; as expressions they
     # would be repeated for every field that is looked at below.
-    once = F.array(F.struct(F.from_json("value", schema, options).alias("s"), raw_buckets.alias("raw")))
+    once = F.array(F.struct(F.from_json("value", schema, options).alias("s"), names.alias("names")))
     read = text.select("*", F.inline(once))
     header_missing = F.lit(False)
     for f in _HEADER_FIELDS:
@@ -93,7 +92,7 @@ def parse(lines: DataFrame) -> Parsed:
     for f in sorted(_U64):
         header_ok = header_ok & (s[f] >= 0)
     ports_ok = F.forall(s["dst_ports"], lambda p: F.coalesce(p.between(0, U16_MAX), F.lit(False)))
-    defects = F.filter(F.zip_with(s["buckets"], F.col("raw"), _bucket_defect), lambda d: d.isNotNull())
+    defects = F.filter(F.zip_with(s["buckets"], F.col("names"), _bucket_defect), lambda d: d.isNotNull())
     reason = (
         F.when(s.isNull() | s[_CORRUPT].isNotNull(), "malformed JSON")
         .when(header_missing, "missing field")

@@ -456,8 +456,10 @@ r AS (SELECT offender_count, concat_ws('|',
         || printf('%04X%04X', src_port, dst_port) AS frame FROM pk"""
     ),
     "q_tag_hash": q(
-        LOG, f"""SELECT tag, list_reduce(list_prepend(CAST({0xCBF29CE484222325 & LOW_32} AS BIGINT), list_transform(string_split(tag, ''), lambda x: CAST(ascii(x) AS BIGINT))),
-        lambda h, b: (xor(h, b) * 435) & {LOW_32}) AS tag_hash FROM (SELECT DISTINCT tag FROM cmd WHERE action = 'trigger')"""
+        LOG, f"""SELECT tag, lower(lpad(to_hex(CAST(list_reduce(list_prepend(CAST({0xCBF29CE484222325} AS HUGEINT),
+        list_transform(string_split(tag, ''), lambda x: CAST(ascii(x) AS HUGEINT))),
+        lambda h, b: (xor(h, b) * {0x100000001B3}) % CAST({2**64} AS HUGEINT)) AS UBIGINT)), 16, '0')) AS tag_hash
+        FROM (SELECT DISTINCT tag FROM cmd WHERE action = 'trigger')"""
     ),
     "q_sample_1_in_n": q(
         PK, "SELECT event_id, cpu FROM pk QUALIFY row_number() OVER (PARTITION BY cpu ORDER BY ts_ns, event_id) % 7 = 0"

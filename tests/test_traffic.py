@@ -72,6 +72,9 @@ def test_hash_and_scrub(spark):
     df = spark.createDataFrame([(i,) for i in ips], "ip bigint")
     got = [r[0] for r in df.select(hashing.hash_ipv4(F.col("ip"), salt)).collect()]
     assert got == [hashing.fnv1a64(bytes.fromhex(salt) + i.to_bytes(4, "big")) & 0xFFFFFFFF for i in ips]
+    tags = ["", "a", "incident-2024", "é_日本"]
+    marks = spark.createDataFrame([(x,) for x in tags], "t string").select(hashing.tag_fingerprint(F.col("t"))).collect()
+    assert [r[0] for r in marks] == [f"{hashing.fnv1a64(x.encode()):016x}" for x in tags]
     for bad in ("", "123", "0123456789ABCDEG", "0x23456789ABCDEF"):
         with pytest.raises(ValueError):
             hashing.parse_salt(bad)
@@ -237,8 +240,9 @@ def test_clock_text_ignores_the_session_zone(spark):
         for z in ("UTC", "America/New_York"):
             spark.conf.set("spark.sql.session.timeZone", z)
             s = F.lit(1710054000).cast("bigint")
-            r = spark.range(1).select(timetext.hour_name(s), timetext.run_dir_name(s), timetext.hour_seconds(F.lit("2024031007")), timetext.hour_seconds(F.lit("2024023100"))).first()
-            assert tuple(r) == ("2024031007", "20240310-070000Z", 1710054000, None)
+            r = spark.range(1).select(timetext.hour_name(s), timetext.run_dir_name(s), timetext.hour_seconds(F.lit("2024031007")), timetext.hour_seconds(F.lit("2024023100")), timetext.hour_seconds(F.lit("2024031002")),
+                timetext.micros_from_ntz(F.expr("timestamp_ntz'1969-12-31 23:59:59.5'"))).first()
+            assert tuple(r) == ("2024031007", "20240310-070000Z", 1710054000, None, 1710036000, -500000)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
 
