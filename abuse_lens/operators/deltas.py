@@ -6,7 +6,7 @@ six counters.  ``seq`` breaks ties between rows of one key at one ``ts``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from abuse_lens.config import DEFAULT_INTERVAL_SEC, ReportConfig
@@ -84,9 +84,47 @@ def run_totals(deltas: DataFrame, cfg: ReportConfig) -> DataFrame:
         grown: dict[str, Column] = {c: F.col(f"d_{c}") for c in COUNTERS}
     else:
         grown = {c: F.coalesce(F.col(f"d_{c}"), F.col(c)) for c in COUNTERS}
-    totals = deltas.groupBy(*KEY).agg(
-        *[F.sum(grown[c]).alias(f"total_{c}") for c in COUNTERS],
+    return _with_rates(deltas.groupBy(*KEY).agg(*[F.sum(grown[c]).alias(f"total_{c}") for c in COUNTERS]), cfg)
+
+
+def totals_of_counters(counters: DataFrame, cfg: ReportConfig, slice_sec: int, by_run: bool = False) -> DataFrame:
+    """:func:`run_totals` straight from counter rows.
+
+    Totals need no delta per row: each slice adds up its own growth and keeps
+    its first and last row, and only those go to the key.  One shuffle of the
+    counters, one of the slices, no join.
+    """
+    keys = [*KEY, "run_key"]
+    cut = [*keys, SLICE]
+    sliced = with_slice(keyed(counters, by_run), "ts", slice_sec)
+    by_slice = Window.partitionBy(*cut).orderBy("ts", "seq")
+    before = sliced.select("*", *[F.lag(c).over(by_slice).alias(f"_p_{c}") for c in COUNTERS])
+    at, row = F.struct("ts", "seq"), F.struct(*COUNTERS)
+    slices = before.groupBy(*cut).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(saturating_sub(F.col(c), F.col(f"_p_{c}"))).alias(f"_in_{c}") for c in COUNTERS],
+        F.min_by(row, at).alias("_first"),
+        F.max_by(row, at).alias("_last"),
+    )
+    linked = slices.withColumn("_prev", F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLICE)))
+    starts = F.col("_prev").isNull()
+    zero = F.lit(0).cast("bigint")
+
+    def growth(c: str) -> Column:
+        opening = F.col(f"_first.{c}") if cfg.first_appearance == "raw" else zero
+        entered = F.when(starts, opening).otherwise(saturating_sub(F.col(f"_first.{c}"), F.col(f"_prev.{c}")))
+        return F.coalesce(F.col(f"_in_{c}"), zero) + entered
+
+    totals = linked.groupBy(*KEY).agg(
+        *[F.sum(growth(c)).alias(f"total_{c}") for c in COUNTERS],
+        (F.sum("_rows") - F.count_if(starts)).alias("_grown"),
     )
+    if cfg.first_appearance == "baseline":
+        totals = totals.where(F.col("_grown") > 0)
+    return _with_rates(totals.drop("_grown"), cfg)
+
+
+def _with_rates(totals: DataFrame, cfg: ReportConfig) -> DataFrame:
     return named(totals).drop("port_key").withColumns(
         {
             "syn_rate": rate(F.col("total_syn"), cfg.window_sec),

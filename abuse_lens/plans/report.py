@@ -50,8 +50,8 @@ def build(snapshot_rows: DataFrame, cfg: ReportConfig, allow: Allowlist, now: in
     """Run the report over parsed snapshot rows.
 
     Ports are taken from the configuration, else from the data; they label the
-    documents and filter nothing.  The deltas feed both the whole-run totals
-    and the episodes, so they are written once and read twice.
+    documents and filter nothing.  The parsed lines, the decisions and the
+    episodes have several readers each, so they are written once.
     """
     snapshot_rows = settle(snapshot_rows)  # JSON is parsed once
     header = snapshots.run_header(snapshot_rows).first()
@@ -62,13 +62,12 @@ def build(snapshot_rows: DataFrame, cfg: ReportConfig, allow: Allowlist, now: in
             raise NoPorts("no destination ports in the snapshots or the configuration")
         cfg = cfg.with_(dst_ports=tuple(header["ports"]))
     interval = header["interval_sec"]
-    grown = settle(
-        deltas.with_deltas(
-            snapshots.counter_rows(snapshot_rows), cfg.slice_intervals * max(interval, 1), by_run
-        )
-    )
-    decided = settle(dec.decide(deltas.run_totals(grown, cfg), cfg, allow, now))
-    found = settle(eps.detect_episodes(deltas.interval_stats(grown, cfg, interval), cfg, interval))
+    slice_sec = cfg.slice_intervals * max(interval, 1)
+    counters = snapshots.counter_rows(snapshot_rows)
+    totals = deltas.totals_of_counters(counters, cfg, slice_sec, by_run)
+    decided = settle(dec.decide(totals, cfg, allow, now))
+    intervals = deltas.interval_stats(deltas.with_deltas(counters, slice_sec, by_run), cfg, interval)
+    found = settle(eps.detect_episodes(intervals, cfg, interval))
     ruled = settle(rules.rules_from_episodes(found, cfg, allow))
     impact = dec.readiness(dec.counterfactual(decided, cfg), cfg).first()
     offenders = rules.offender_rates(dec.top_offenders(decided, cfg), found)

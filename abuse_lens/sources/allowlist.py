@@ -78,7 +78,9 @@ def load(spark: SparkSession, path: str) -> Allowlist:
 
 
 def from_lines(spark: SparkSession, lines: list[str]) -> Allowlist:
-    return from_table(parse_lines(spark.createDataFrame([(line,) for line in lines], "value string")))
+    """An allowlist given in code; a long one belongs in a file."""
+    texts = F.array(*[F.lit(line) for line in lines]) if lines else F.array().cast("array<string>")
+    return from_table(parse_lines(spark.range(0, 1, 1, 1).select(F.explode(texts).alias("value"))))
 
 
 def empty(spark: SparkSession) -> Allowlist:

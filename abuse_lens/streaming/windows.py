@@ -6,12 +6,15 @@ Empty windows emit nothing in a stream (see ``rpc.with_idle_windows`` for batch)
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from abuse_lens.operators import packets as pk
 from abuse_lens.operators import rpc
+from abuse_lens.plans.settle import shared_folder
 from abuse_lens.sinks.snapshots import hourly
 
 WINDOW_SEC = 60
@@ -76,6 +79,24 @@ def counter_windows(packets: DataFrame, ports, window_sec: int = WINDOW_SEC, lat
     )
 
 
+def drain(stream: DataFrame) -> DataFrame:
+    """Run a stream over what its source holds now; its output as a table.
+
+    Output and progress go to the shared folder, not through the driver.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    running = (
+        stream.writeStream.format("parquet")
+        .outputMode("append")
+        .option("checkpointLocation", f"{base}/progress")
+        .trigger(availableNow=True)
+        .start(f"{base}/rows")
+    )
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
 def write_snapshots(snapshots: DataFrame, directory: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append a stream of snapshot rows to hourly folders."""
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from abuse_lens.functions.hashing import LOW_32, fnv1a64, parse_salt
 from abuse_lens.workload import tables as t
-from abuse_lens.workload.queries import NOW, PER_DAY
+from abuse_lens.workload.queries import METER_CFG, NOW, PER_DAY
 
 D = t.DAY
 DAY_NS = D * 1_000_000_000
@@ -272,10 +272,28 @@ http AS (SELECT {t.CLIENT_NET} + conv_id % 65536 AS client_ip, 20000 + conv_id /
   CASE role WHEN 'user' THEN 49 ELSE 47 END + strlen(CAST(strlen(text) AS VARCHAR)) AS head
   FROM conversations WHERE role IN ('user', 'assistant')),
 hm AS (SELECT *, client_ip * 65536 + client_port AS flow_low, CASE role WHEN 'user' THEN 'to_server' ELSE 'from_server' END AS direction,
-  turn * 1000000000 AS first_ts, turn * 1000000000 + (head + n - 1) // 700 * 1000 AS done_ts FROM http),
+  {t.START_NS} + turn * 1000000000 AS first_ts, {t.START_NS} + turn * 1000000000 + (head + n - 1) // 700 * 1000 AS done_ts FROM http),
 hp AS (SELECT *, lag(direction) OVER c AS p_dir, lag(n) OVER c AS p_n, lag(first_ts) OVER c AS p_ts FROM hm
   WINDOW c AS (PARTITION BY conv_id ORDER BY turn)),
 """
+METER = f"""
+m0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+m AS (SELECT epoch_us(ts) // 1000000 AS ts, event_id AS seq, {t.CLIENT_NET} + user_id AS ip_u32, event_id * 40 + k * 1000 AS syn,
+  event_id AS ack, event_id * 2 + k * 10 AS handshake_ack, k AS rst, event_id * 50 + k AS packets, event_id * 4000 AS bytes FROM m0),
+ml AS (SELECT *, lag(ts) OVER w IS NULL AS first, {", ".join(f"greatest({c} - lag({c}) OVER w, 0) AS d_{c}" for c in C6)}
+  FROM m WINDOW w AS (PARTITION BY ip_u32 ORDER BY ts, seq)),
+mi AS (SELECT ip_u32, ts, seq, {", ".join(f"d_{c} AS {c}" for c in C6)}, d_syn / 60.0::DOUBLE AS syn_rate,
+  d_packets / 60.0::DOUBLE AS pkt_rate, d_bytes / 60.0::DOUBLE AS byte_rate,
+  CASE WHEN d_syn > 0 THEN CAST(d_handshake_ack AS DOUBLE) / d_syn ELSE 0.0::DOUBLE END AS success_ratio FROM ml WHERE NOT first),
+mh AS (SELECT *, {flood(METER_CFG)} OR {hits(METER_CFG)} >= 2 AS hot FROM mi),
+mr AS (SELECT *, sum(CASE WHEN hot THEN 0 ELSE 1 END) OVER (PARTITION BY ip_u32 ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run,
+  sum(CASE WHEN hot THEN 0 ELSE 1 END) OVER (PARTITION BY ip_u32) AS colds FROM mh),
+me AS (SELECT ip_u32, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS interval_count, max(syn_rate) AS max_syn_rate,
+  max(pkt_rate) AS max_pkt_rate, max(byte_rate) AS max_byte_rate,
+  coalesce(min(CASE WHEN syn > 0 THEN success_ratio END), 0.0::DOUBLE) AS min_success_ratio, CAST(sum(syn) AS BIGINT) AS total_syn,
+  CAST(sum(packets) AS BIGINT) AS total_packets, CAST(sum(bytes) AS BIGINT) AS total_bytes
+  FROM mr WHERE hot AND run < colds GROUP BY ip_u32, run),
+"""
 SIDE = lambda d: f"SELECT {KEYS}, {SUMS} FROM w WHERE direction = '{d}' GROUP BY ALL"
 BUCKET = """{'key_type': 'src_ip', 'src_ip': %s, 'dst_port': dst_port, 'syn': syn, 'ack': ack, 'handshake_ack': handshake_ack,
   'rst': rst, 'packets': packets, 'bytes': bytes}""" % ip_text("ip_u32")
@@ -320,6 +338,7 @@ ORACLE: dict[str, str] = {
     "q_deltas": q(DELTA, "SELECT ts, ip_u32, dst_port, first, " + ", ".join(f"d_{c}" for c in C6) + " FROM delta"),
     "q_totals_raw": q(totals(True), f"SELECT {TOTALS} FROM stats"),
     "q_totals_baseline": q(totals(False), f"SELECT {TOTALS} FROM stats"),
+    "q_totals_from_deltas": q(totals(False), f"SELECT {TOTALS} FROM stats"),
     "q_interval_stats": q(IV, "SELECT * FROM iv"),
     "q_hot_intervals": q(
         IV, f"SELECT ts, ip_u32, dst_port, syn_rate, success_ratio FROM iv WHERE {flood(t.EPISODE_CFG)} OR {hits(t.EPISODE_CFG)} >= 2"
@@ -523,4 +542,36 @@ WHERE rn - lft - 1 >= 0 AND (rn - lft - 1) % act.rate = 0""",
         HTTP, "SELECT CASE role WHEN 'user' THEN 0 ELSE 1 END AS direction, status, CAST(sum(head) AS BIGINT) AS head_bytes,"
         " CAST(sum(n) AS BIGINT) AS body_bytes FROM hm GROUP BY 1, 2"
     ),
+    "q_report_evidence": q(
+        decided() + f"""ev AS (SELECT {ip_text('ip_u32')} || ':' || dst_port || ',' || coalesce(abuse_class, '') || ',' || {digits('syn_rate', 2)} || ','
+        || {digits('success_ratio', 4)} || ',' || decision || ',' || total_packets || ',' || total_bytes || ',' || total_syn AS value FROM dec)""",
+        "SELECT value FROM ev UNION ALL SELECT 'source,abuse_class,syn_rate,success_ratio,decision,packets,bytes,syn'",
+    ),
+    "q_hourly_files": q(
+        CUM, "SELECT ts, count(*) AS keys, CAST(sum(bytes) AS BIGINT) AS bytes FROM cum"
+        " WHERE strftime(make_timestamp(ts * 1000000), '%Y%m%d%H') BETWEEN '2024010500' AND '2024012023' GROUP BY ts"
+    ),
+    "q_incident_files": q(
+        INREG, "SELECT incident_tag, trigger_ts, count(*) AS packets, count(*) * 38 AS captured FROM inreg WHERE active GROUP BY 1, 2"
+    ),
+    "q_stream_counter_windows": q(
+        W + f"x AS (SELECT {KEYS}, ts_ns // 3600000000000 * 3600 AS ts, {SUMS} FROM w GROUP BY ALL)",
+        "SELECT * FROM x WHERE (ts + 3600) * 1000000 <= (SELECT max(ts_ns) // 1000 - 10000000 FROM w)",
+    ),
+    "q_stream_deltas": q(
+        METER, "SELECT ip_u32, first, count(*) AS rows, " + ", ".join(
+            f"CAST(sum(CASE WHEN NOT first THEN d_{c} END) AS BIGINT) AS {c}" for c in ("syn", "ack", "rst", "packets", "bytes")
+        ) + " FROM ml GROUP BY 1, 2"
+    ),
+    "q_stream_episodes": q(
+        METER, f"""SELECT {ip_text('ip_u32')} AS src_ip, CAST(8000 AS INTEGER) AS dst_port, start_ts, end_ts, end_ts - start_ts + 60 AS duration_sec,
+        interval_count, CAST(60 AS BIGINT) AS interval_sec, CASE WHEN interval_count = 1 THEN 'single_window' ELSE 'multi_window' END AS episode_type,
+        max_syn_rate, max_pkt_rate, max_byte_rate, min_success_ratio, total_syn, total_packets, total_bytes,
+        CASE WHEN {flood(METER_CFG, 'max_syn_rate', 'min_success_ratio')} THEN 'SYN_FLOOD_LIKE'
+        WHEN {hits(METER_CFG, 'max_syn_rate', 'max_pkt_rate', 'max_byte_rate')} >= 2 THEN 'VOLUMETRIC_TCP_ABUSE' END AS abuse_class FROM me"""
+    ),
+    "q_stream_pairs": q(
+        HTTP, "SELECT flow_low, p_n AS request_bytes, n AS response_bytes, status AS status_code, p_ts AS req_started_ns,"
+        " done_ts AS resp_completed_ns FROM hp WHERE direction = 'from_server' AND p_dir = 'to_server'"
+    ),
 }

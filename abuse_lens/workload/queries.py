@@ -54,7 +54,7 @@ def episodes_of(spark, sf, cfg=t.EPISODE_CFG):
 
 
 def totals_of(spark, sf, cfg=t.CFG):
-    return deltas.run_totals(t.delta_table(spark, sf), cfg)
+    return deltas.totals_of_counters(t.cumulative_counters(spark, sf), cfg, t.SLICE_DAYS * t.DAY)
 
 
 def decisions_of(spark, sf, cfg=t.CFG):
@@ -151,6 +151,11 @@ def q_totals_baseline(spark, sf):
     return totals_of(spark, sf).select(*TOTALS)
 
 
+@query
+def q_totals_from_deltas(spark, sf):
+    return deltas.run_totals(t.delta_table(spark, sf), t.CFG).select(*TOTALS)
+
+
 @query
 def q_interval_stats(spark, sf):
     rates = ["syn_rate", "pkt_rate", "byte_rate", "success_ratio"]
@@ -615,3 +620,98 @@ def q_head_fields(spark, sf):
     return starts.groupBy("direction", http.status_code(p).alias("status")).agg(
         F.sum(http.head_length(p)).cast("bigint").alias("head_bytes"), F.sum(http.content_length(p)).alias("body_bytes")
     )
+
+
+# -- documents and sinks --------------------------------------------------------
+
+
+def snapshot_rows_of(spark, sf):
+    return packets.assemble_snapshots(t.cumulative_counters(spark, sf), t.PORTS, t.DAY, 7, 1_704_067_200)
+
+
+@query
+def q_report_evidence(spark, sf):
+    """The whole report over JSON lines: parse, totals, verdicts, evidence document."""
+    from abuse_lens.plans import documents, report
+    from abuse_lens.sources import snapshots
+
+    lines = packets.snapshot_json(snapshot_rows_of(spark, sf)).select("value")
+    run = report.build(snapshots.parse(lines).good, t.CFG, allow(spark), NOW)
+    return documents.evidence_lines(run).select("value")
+
+
+@query
+def q_hourly_files(spark, sf):
+    """Snapshots appended to hourly folders and read back."""
+    import uuid
+
+    from abuse_lens.plans.settle import shared_folder
+    from abuse_lens.sinks import snapshots as sink
+    from abuse_lens.sources import snapshots
+
+    folder = f"{shared_folder(spark)}/hours-{uuid.uuid4().hex}"
+    sink.append(snapshot_rows_of(spark, sf), folder)
+    rows = snapshots.counter_rows(snapshots.parse(sink.read_hourly(spark, folder, "2024010500", "2024012023")).good)
+    return rows.groupBy("ts").agg(F.count(F.lit(1)).alias("keys"), F.sum("bytes").alias("bytes"))
+
+
+@query
+def q_incident_files(spark, sf):
+    """Sampled packets written per trigger in segments and read back."""
+    import uuid
+
+    from abuse_lens.plans.settle import shared_folder
+    from abuse_lens.sinks import incidents
+
+    timed = t.frame_table(spark, sf).select("event_id", "pkt", div(F.col("ts_ns"), 1_000_000_000).alias("ts"))
+    active = sampling.in_regime(timed, regimes_of(spark, sf)).where("active")
+    folder = f"{shared_folder(spark)}/incidents-{uuid.uuid4().hex}"
+    incidents.write(active.select("event_id", "pkt", "incident_tag", "trigger_ts"), folder, max_bytes=1_000_000)
+    back = spark.read.schema("event_id bigint, pkt binary, incident_tag string, trigger_ts bigint").parquet(folder)
+    return back.groupBy("incident_tag", "trigger_ts").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum(F.length("pkt")).alias("captured")
+    )
+
+
+# -- streams --------------------------------------------------------------------
+
+
+@query
+def q_stream_counter_windows(spark, sf):
+    """Hourly counters of the packet stream; windows the watermark has passed."""
+    from abuse_lens.streaming import windows
+
+    source = t.packet_table(t.Streaming(spark), sf)
+    return windows.drain(windows.counter_windows(source, t.PORTS, window_sec=3600))
+
+
+@query
+def q_stream_deltas(spark, sf):
+    from abuse_lens.streaming import episodes as stream
+    from abuse_lens.streaming import windows
+
+    rows = windows.drain(stream.stream_deltas(t.meter_readings(t.Streaming(spark), sf)))
+    return rows.groupBy("ip_u32", "first").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(f"d_{c}").alias(c) for c in ("syn", "ack", "rst", "packets", "bytes")]
+    )
+
+
+METER_CFG = t.CFG.with_(syn_rate_threshold=900.0, success_ratio_threshold=0.02, vol_syn_rate=1200.0, vol_pkt_rate=100.0, vol_byte_rate=9000.0)
+
+
+@query
+def q_stream_episodes(spark, sf):
+    """Episodes of the reading stream that a cold reading has closed."""
+    from abuse_lens.streaming import episodes as stream
+    from abuse_lens.streaming import windows
+
+    found = stream.stream_episodes(t.meter_readings(t.Streaming(spark), sf), METER_CFG, 60, idle_intervals=10**7)
+    return windows.drain(found).select(*EPISODE)
+
+
+@query
+def q_stream_pairs(spark, sf):
+    from abuse_lens.streaming import flows, windows
+
+    pairs = windows.drain(flows.stream_pairs(t.payload_events(t.Streaming(spark), sf), [8899]))
+    return pairs.select("flow_low", "request_bytes", "response_bytes", "status_code", "req_started_ns", "resp_completed_ns")

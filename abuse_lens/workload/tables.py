@@ -21,6 +21,7 @@ PORTS = (8000, 8001)
 SALT = "0123456789abcdef"
 ALLOW_LINES = ["# monitoring", "10.0.0.5", "10.0.0.64/28", "", "  10.0.0.9  "]
 SLICE_DAYS = 10
+START_NS = 1_704_067_200_000_000_000  # 2024-01-01
 
 CFG = ReportConfig(
     dst_ports=PORTS,
@@ -35,7 +36,17 @@ CFG = ReportConfig(
 EPISODE_CFG = CFG.with_(success_ratio_threshold=0.1, vol_pkt_rate=3 / DAY, vol_byte_rate=8000 / DAY)
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+class Streaming:
+    """Stands for a session in the table functions below; tables become streams of their files."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+
+def read(spark: SparkSession | Streaming, sf_dir: str, table: str) -> DataFrame:
+    if isinstance(spark, Streaming):
+        schema = spark.spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+        return spark.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -203,7 +214,7 @@ def payload_events(spark: SparkSession, sf_dir: str, segment: int = 700) -> Data
             either(client_port, F.lit(8899)).cast("int").alias("src_port"),
             either(F.lit(8899), client_port).cast("int").alias("dst_port"),
             either(F.lit(0), F.lit(1)).alias("direction"),
-            (c("turn") * 1_000_000_000).alias("turn_ns"),
+            (F.lit(START_NS) + c("turn") * 1_000_000_000).alias("turn_ns"),
             F.concat(F.encode(head, "UTF-8"), body).alias("message"),
         )
         .select(
@@ -268,3 +279,28 @@ def snapshot_lines_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.when(c("k") == 18, "   ").when(c("k") == 19, F.concat(F.lit(" \t"), line, F.lit("  "))).otherwise(line).alias("value")
     )
+
+
+def meter_readings(spark: SparkSession | Streaming, sf_dir: str) -> DataFrame:
+    """Every event as one reading of its user's counters; some of them fall back."""
+    c = F.col
+    reading = lambda x: x.cast("bigint")
+    return read_events(spark, sf_dir).select(
+        div_bigint(micros_from_ntz(c("ts")), 1_000_000).alias("ts"),
+        F.lit(0).cast("bigint").alias("base_ts"),
+        F.lpad(c("event_id").cast("string"), 18, "0").alias("seq"),
+        F.lit("src_ip").alias("key_type"),
+        F.lit(0).alias("key_ord"),
+        (F.lit(CLIENT_NET) + c("user_id")).alias("ip_u32"),
+        F.lit(8000).alias("dst_port"),
+        reading(c("event_id") * 40 + c("k") * 1000).alias("syn"),
+        reading(c("event_id")).alias("ack"),
+        reading(c("event_id") * 2 + c("k") * 10).alias("handshake_ack"),
+        reading(c("k")).alias("rst"),
+        reading(c("event_id") * 50 + c("k")).alias("packets"),
+        reading(c("event_id") * 4000).alias("bytes"),
+    )
+
+
+def div_bigint(a, b: int):
+    return F.call_function("div", a, F.lit(b).cast("bigint"))

@@ -34,6 +34,19 @@ def test_first_appearance_and_resets(spark, rows, raw, baseline):
     assert syn_totals(spark, data, CFG) == ({} if baseline is None else {167772161: baseline})
 
 
+def test_totals_of_counters_equal_totals_of_deltas(spark):
+    rng = random.Random(3)
+    rows = []
+    for ip in range(1, 12):
+        for i in sorted(rng.sample(range(60), rng.randrange(1, 40))):
+            rows.append(counter(60 * i, rng.randrange(1000), ip=ip, port=rng.choice([80, None]), hs=rng.randrange(100), base_ts=0))
+    table = counters(spark, rows)
+    for cfg in (CFG, RAW):
+        want = sorted(map(repr, deltas.run_totals(deltas.with_deltas(table, 10**6), cfg).collect()))
+        for width in (60, 300, 10**6):
+            assert sorted(map(repr, deltas.totals_of_counters(table, cfg, width).collect())) == want
+
+
 def test_keys_are_separate_and_ports_may_be_missing(spark):
     data = [counter(0, 1, port=None), counter(60, 4, port=None), counter(0, 10, port=80), counter(60, 30, port=80),
             counter(0, 5, port=80, ord_=1), counter(60, 6, port=80, ord_=1)]
