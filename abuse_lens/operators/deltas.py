@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from abuse_lens.config import DEFAULT_INTERVAL_SEC, ReportConfig
 from abuse_lens.functions.numbers import rate, ratio, saturating_sub
-from abuse_lens.operators.slices import SLICE, lag_in_slices, with_slice
+from abuse_lens.operators.slices import lag_in_slices, slice_columns, with_slice
 from abuse_lens.schema import COUNTERS, KEY_TYPES
 
 KEY = ["key_ord", "ip_u32", "port_key"]
@@ -35,7 +35,7 @@ def keyed(counters: DataFrame, by_run: bool = False) -> DataFrame:
         "base_ts",
         "seq",
         *COUNTERS,
-        *[c for c in counters.columns if c == SLICE],
+        *slice_columns(counters),
     )
 
 
@@ -62,8 +62,8 @@ def with_deltas(
     ``by_run`` keeps the chains of several runs apart (``run_key`` column).
     """
     keys = [*KEY, "run_key"]
-    sliced = with_slice(keyed(counters, by_run), "ts", slice_sec)
-    lagged = lag_in_slices(sliced, keys, ["ts", "seq"], list(COUNTERS))
+    sliced, at = with_slice(keyed(counters, by_run), "ts", slice_sec)
+    lagged = lag_in_slices(sliced, keys, ["ts", "seq"], at, list(COUNTERS))
     return lagged.withColumns(
         {
             "first": F.col("prev").isNull(),
@@ -95,8 +95,8 @@ def totals_of_counters(counters: DataFrame, cfg: ReportConfig, slice_sec: int, b
     counters, one of the slices, no join.
     """
     keys = [*KEY, "run_key"]
-    cut = [*keys, SLICE]
-    sliced = with_slice(keyed(counters, by_run), "ts", slice_sec)
+    sliced, slice_col = with_slice(keyed(counters, by_run), "ts", slice_sec)
+    cut = [*keys, slice_col]
     by_slice = Window.partitionBy(*cut).orderBy("ts", "seq")
     before = sliced.select("*", *[F.lag(c).over(by_slice).alias(f"_p_{c}") for c in COUNTERS])
     at, row = F.struct("ts", "seq"), F.struct(*COUNTERS)
@@ -106,7 +106,7 @@ def totals_of_counters(counters: DataFrame, cfg: ReportConfig, slice_sec: int, b
         F.min_by(row, at).alias("_first"),
         F.max_by(row, at).alias("_last"),
     )
-    linked = slices.withColumn("_prev", F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLICE)))
+    linked = slices.withColumn("_prev", F.lag("_last").over(Window.partitionBy(*keys).orderBy(slice_col)))
     starts = F.col("_prev").isNull()
     zero = F.lit(0).cast("bigint")
 
@@ -143,7 +143,7 @@ def interval_stats(deltas: DataFrame, cfg: ReportConfig, interval_sec: int = DEF
     """
     at_start = F.col("base_ts").eqNullSafe(F.col("ts"))
     used = deltas.where(~F.col("first") | at_start)
-    kept = [c for c in deltas.columns if c == SLICE]
+    kept = slice_columns(deltas)
     per = F.when(F.col("first"), F.lit(cfg.window_sec)).otherwise(F.lit(interval_sec))
     grown = {c: F.coalesce(F.col(f"d_{c}"), F.col(c)) for c in COUNTERS}
     return used.select(

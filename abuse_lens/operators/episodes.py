@@ -9,7 +9,7 @@ from abuse_lens.config import DEFAULT_INTERVAL_SEC, SYN_FLOOD, VOLUMETRIC, Repor
 from abuse_lens.functions import net
 from abuse_lens.functions.numbers import fixed
 from abuse_lens.operators.deltas import KEY, named
-from abuse_lens.operators.slices import SLICE, never_null, running_in_slices, with_slice
+from abuse_lens.operators.slices import never_null, running_in_slices, with_slice, without_slices
 
 
 def volumetric_hits(cfg: ReportConfig, syn: Column, pkt: Column, byte: Column) -> Column:
@@ -38,9 +38,9 @@ def hot_runs(intervals: DataFrame, cfg: ReportConfig, interval_sec: int) -> Data
     marked = intervals.withColumn("hot", is_hot(cfg))
     cold_at = F.when(~F.col("hot"), F.struct("ts", "seq"))
     keys = [*KEY, "run_key"]
-    sliced = never_null(with_slice(marked, "ts", cfg.slice_intervals * interval_sec), [*keys, SLICE])
-    runs = running_in_slices(sliced, keys, ["ts", "seq"], {"run": ("max", cold_at)})
-    return runs.where("hot").drop("hot", SLICE)
+    sliced, at = with_slice(marked, "ts", cfg.slice_intervals * interval_sec)
+    runs = running_in_slices(never_null(sliced, [*keys, at]), keys, ["ts", "seq"], at, {"run": ("max", cold_at)})
+    return without_slices(runs.where("hot").drop("hot"))
 
 
 def detect_episodes(

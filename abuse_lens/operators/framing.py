@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from abuse_lens.functions.http import BODY_KEEP_BYTES, MAX_BUFFER_BYTES, parse_envelope, parse_head
-from abuse_lens.operators.slices import SLICE, with_slice
+from abuse_lens.operators.slices import with_slice
 from abuse_lens.plans.settle import settle
 
 FLOW = ["flow_low", "flow_high"]
@@ -30,6 +30,7 @@ MESSAGES = (
     f"{_KEY_DDL}, body_len bigint, status int, first_ts bigint, done_ts bigint, done_seq bigint, "
     "rpc_parsed boolean, rpc_error_code int"
 )
+SLICE = "slice"
 EXITS = f"{_KEY_DDL}, {SLICE} bigint, state string"
 FRESH = ""
 
@@ -149,7 +150,8 @@ def frame_messages(events: DataFrame, slice_ns: int = 60_000_000_000) -> DataFra
         *[F.coalesce(k, F.lit(-1).cast("bigint")).alias(k) for k in FLOW], "direction", *EVENT_ORDER,
         c("payload_len").cast("bigint").alias("payload_len"), F.coalesce("payload", F.unhex(F.lit(""))).alias("payload"),
     )
-    sliced = with_slice(known, "ts_ns", slice_ns)
+    sliced, at = with_slice(known, "ts_ns", slice_ns)
+    sliced = sliced.withColumnRenamed(at, SLICE)
     by_chain = Window.partitionBy(*CHAIN).orderBy(SLICE)
     slices = settle(sliced.select(*cut).distinct().withColumn("next", F.lead(SLICE).over(by_chain)))
 

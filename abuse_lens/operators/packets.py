@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abuse_lens.functions import net
-from abuse_lens.operators.slices import SLICE, never_null, running_in_slices, with_slice
+from abuse_lens.operators.slices import never_null, running_in_slices, slice_columns, with_slice
 from abuse_lens.schema import AGGREGATION, COUNTER_MODE, COUNTERS, KEY_TYPES, SNAPSHOT_VERSION
 
 # Fixed values of the capture.
@@ -87,9 +87,9 @@ def cumulative(counters: DataFrame, slice_sec: int) -> DataFrame:
 
     The slice column stays for the operators that follow on the same keys.
     """
-    sliced = with_slice(never_null(counters, ["ip_u32", "dst_port"]), "ts", slice_sec)
+    sliced, at = with_slice(never_null(counters, ["ip_u32", "dst_port"]), "ts", slice_sec)
     running = {f"_cum_{c}": ("sum", F.col(c)) for c in COUNTERS}
-    out = running_in_slices(sliced, ["ip_u32", "dst_port"], ["ts"], running)
+    out = running_in_slices(sliced, ["ip_u32", "dst_port"], ["ts"], at, running)
     return out.withColumns({c: F.col(f"_cum_{c}") for c in COUNTERS}).drop(*running)
 
 
@@ -104,7 +104,7 @@ def as_counter_rows(counters: DataFrame, base_ts: Column | None = None) -> DataF
         "ip_u32",
         "dst_port",
         *COUNTERS,
-        *[c for c in counters.columns if c == SLICE],
+        *slice_columns(counters),
     )
 
 

@@ -72,7 +72,8 @@ def heartbeats(snapshots: DataFrame) -> DataFrame:
         F.col("ts_unix_sec").alias("timestamp"),
         F.size("buckets").cast("bigint").alias("ips_collected"),
     )
-    numbered = row_number_in_slices(with_slice(rows, "timestamp", 86400), ["run_id"], ["timestamp"], "cycle")
+    sliced, at = with_slice(rows, "timestamp", 86400)
+    numbered = row_number_in_slices(sliced, ["run_id"], ["timestamp"], at, "cycle")
     return numbered.select("timestamp", "cycle", "ips_collected", F.col("cycle").alias("snapshots_written"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abuse_lens.functions.numbers import fraction
-from abuse_lens.operators.slices import SLICE, lag_in_slices, running_in_slices, with_slice
+from abuse_lens.operators.slices import PREFIX, lag_in_slices, running_in_slices, with_slice
 
 DISTINCT_CAP = 5
 
@@ -40,7 +40,8 @@ def pair_messages(messages: DataFrame, flow: list[str], order: list[str], positi
     ``position``/``width`` cut long flows into slices.
     """
     carried = ["direction", "body_len", "first_ts"]
-    lagged = lag_in_slices(with_slice(messages, position, width), flow, order, carried)
+    sliced, at = with_slice(messages, position, width)
+    lagged = lag_in_slices(sliced, flow, order, at, carried)
     c = F.col
     return lagged.where((c("direction") == "from_server") & (c("prev.direction") == "to_server")).select(
         *flow,
@@ -106,10 +107,11 @@ def exact_median(values: DataFrame, by: list[str], value: str, into: str) -> Dat
     """
     counted = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     magnitude = F.when(F.col(value) > 0, F.floor(F.log2(value) * 64)).otherwise(F.lit(-(2**40)).cast("bigint"))
-    sliced = counted.withColumn(SLICE, F.coalesce(magnitude.cast("bigint"), F.lit(0).cast("bigint")))
+    at = f"{PREFIX}{value}"
+    sliced = counted.withColumn(at, F.coalesce(magnitude.cast("bigint"), F.lit(0).cast("bigint")))
     keys = [F.coalesce(F.col(b).cast("string"), F.lit("")).alias(f"_k{i}") for i, b in enumerate(by)]
     names = [f"_k{i}" for i in range(len(by))]
-    ranked = running_in_slices(sliced.select("*", *keys), names, [value], {"_to": ("sum", F.col("_n"))})
+    ranked = running_in_slices(sliced.select("*", *keys), names, [value], at, {"_to": ("sum", F.col("_n"))})
     totals = counted.groupBy(*by).agg(F.sum("_n").alias("_total"))
     c = F.col
     half = c("_total") % 2

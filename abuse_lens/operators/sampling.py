@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abuse_lens.operators.slices import (
-    SLICE,
     lag_in_slices,
     row_number_in_slices,
     running_in_slices,
     with_slice,
+    without_slices,
 )
 
 TAG_PATTERN = r"^[A-Za-z0-9_-]{1,64}$"
@@ -51,18 +51,16 @@ def regimes(log: DataFrame, initial_rate: int = 1, slice_sec: int = 86400) -> Da
         (-c("ts")).alias("_back_ts"), (-c("seq")).alias("_back_seq"),
     )
     # The command after this one: the one before it, read backwards.
-    followed = lag_in_slices(
-        with_slice(commands, "_back_ts", slice_sec), ["_all"], ["_back_ts", "_back_seq"], ["ts"], "_next"
-    ).drop(SLICE)
+    backwards, back_at = with_slice(commands, "_back_ts", slice_sec)
+    followed = lag_in_slices(backwards, ["_all"], ["_back_ts", "_back_seq"], back_at, ["ts"], "_next")
     # The last value set so far is the greatest (ts, seq, value).
     last_set = {
         "_rate": F.when(c("action") != "stop", F.struct(*at, "rate")),
         "_switch": F.when(c("action").isin("trigger", "stop"), F.struct(*at, (c("action") == "trigger").alias("on"))),
         "_trigger": F.when(c("action") == "trigger", F.struct(*at, "tag", "duration_sec")),
     }
-    state = running_in_slices(
-        with_slice(followed, "ts", slice_sec), ["_all"], at, {n: ("max", e) for n, e in last_set.items()}
-    )
+    forwards, slice_col = with_slice(followed, "ts", slice_sec)
+    state = running_in_slices(forwards, ["_all"], at, slice_col, {n: ("max", e) for n, e in last_set.items()})
     spans = state.select(
         c("ts").alias("start_ts"),
         F.coalesce(c("_next.ts"), F.lit(OPEN_END)).alias("next_ts"),
@@ -138,10 +136,10 @@ def one_in_n(
     """
     keys = [F.coalesce(F.col(k).cast("bigint"), F.lit(-1).cast("bigint")).alias(f"_lane{i}") for i, k in enumerate(lane)]
     names = [f"_lane{i}" for i in range(len(lane))]
-    numbered = row_number_in_slices(with_slice(packets.select("*", *keys), position, width), names, order, "_rn")
-    return numbered.where(F.pmod(F.col("_rn"), F.greatest(rate.cast("bigint"), F.lit(1).cast("bigint"))) == 0).drop(
-        "_rn", SLICE, *names
-    )
+    sliced, at = with_slice(packets.select("*", *keys), position, width)
+    numbered = row_number_in_slices(sliced, names, order, at, "_rn")
+    every = F.greatest(rate.cast("bigint"), F.lit(1).cast("bigint"))
+    return without_slices(numbered.where(F.pmod(F.col("_rn"), every) == 0).drop("_rn", *names))
 
 
 def sample_with_carry(
@@ -175,10 +173,8 @@ def sample_with_carry(
 
     in_order = per_regime.repartition("_lane").sortWithinPartitions("_lane", "start_ts")
     starts = in_order.mapInPandas(countdown, "_lane bigint, start_ts bigint, left bigint")
-    numbered = row_number_in_slices(with_slice(active, position, width), ["_lane", "start_ts"], order, "_rn")
+    sliced, at = with_slice(active, position, width)
+    numbered = row_number_in_slices(sliced, ["_lane", "start_ts"], order, at, "_rn")
     due = c("_rn") - c("left") - 1
-    return (
-        numbered.join(starts, ["_lane", "start_ts"])
-        .where((due >= 0) & (F.pmod(due, c("rate")) == 0))
-        .drop("_rn", "_lane", "left", SLICE)
-    )
+    placed = numbered.join(starts, ["_lane", "start_ts"])
+    return without_slices(placed.where((due >= 0) & (F.pmod(due, c("rate")) == 0)).drop("_rn", "_lane", "left"))

@@ -18,21 +18,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE = "_slice"
+PREFIX = "_slice_"
 _NULL_SLICE = -(2**62)
 
 
-def with_slice(df: DataFrame, position: str, width: int, name: str = SLICE) -> DataFrame:
+def slice_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith(PREFIX)]
+
+
+def without_slices(df: DataFrame) -> DataFrame:
+    return df.drop(*slice_columns(df))
+
+
+def with_slice(df: DataFrame, position: str, width: int) -> tuple[DataFrame, str]:
     """Add the slice number of an integer position column (floor division).
 
-    A slice column that is already there stays: any width gives the same
-    results, and rows partitioned by it need not be shuffled again.
+    Returns the table and the name of the column, which tells position and
+    width: the same slices are found again further down a chain of operators,
+    and rows partitioned by them need not be shuffled again.
     """
+    name = f"{PREFIX}{position.lstrip('_')}_{width}"
     if name in df.columns:
-        return df
+        return df, name
     p, w = F.col(position).cast("bigint"), F.lit(width).cast("bigint")
     number = F.call_function("div", p - F.pmod(p, w), w)
-    return df.withColumn(name, F.coalesce(number, F.lit(_NULL_SLICE).cast("bigint")))
+    return df.withColumn(name, F.coalesce(number, F.lit(_NULL_SLICE).cast("bigint"))), name
 
 
 def never_null(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -45,9 +55,9 @@ def lag_in_slices(
     df: DataFrame,
     keys: list[str],
     order: list[str],
+    slice_col: str,
     columns: list[str],
     into: str = "prev",
-    slice_col: str = SLICE,
 ) -> DataFrame:
     """Add ``into``: a struct of ``columns`` of the key's previous row, null on its first."""
     cut = [*keys, slice_col]
@@ -75,8 +85,8 @@ def running_in_slices(
     df: DataFrame,
     keys: list[str],
     order: list[str],
+    slice_col: str,
     values: dict[str, tuple[str, Column]],
-    slice_col: str = SLICE,
 ) -> DataFrame:
     """Add running ``sum`` / ``max`` columns, the current row included.
 
@@ -100,7 +110,7 @@ def running_in_slices(
 
 
 def row_number_in_slices(
-    df: DataFrame, keys: list[str], order: list[str], into: str = "rn", slice_col: str = SLICE
+    df: DataFrame, keys: list[str], order: list[str], slice_col: str, into: str = "rn"
 ) -> DataFrame:
     one = F.lit(1).cast("bigint")
-    return running_in_slices(df, keys, order, {into: ("sum", one)}, slice_col)
+    return running_in_slices(df, keys, order, slice_col, {into: ("sum", one)})

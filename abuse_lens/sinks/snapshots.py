@@ -19,9 +19,9 @@ def hourly(snapshots: DataFrame) -> DataFrame:
 def append(snapshots: DataFrame, directory: str) -> None:
     """Append snapshots, one folder per UTC hour.
 
-    Every task appends to the hours it holds, so no hour funnels through one task.
+    The rebalance keeps small hours in few files and splits large ones over tasks.
     """
-    hourly(snapshots).write.mode("append").partitionBy("hour").text(directory)
+    hourly(snapshots).hint("rebalance", F.col("hour")).write.mode("append").partitionBy("hour").text(directory)
 
 
 def read_hourly(spark: SparkSession, directory: str, first_hour: str | None = None, last_hour: str | None = None) -> DataFrame:

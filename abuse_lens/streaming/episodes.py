@@ -27,6 +27,7 @@ _RUN = (
 _RUN_FIELDS = [f.split()[0] for f in _RUN.split(", ")]
 _STATE = ", ".join(f"{c} bigint" for c in COUNTERS) + ", last_ts bigint, " + _RUN
 _OUT = "key_ord int, ip_u32 bigint, port_key int, " + _RUN
+_OUT_FIELDS = [f.split()[0] for f in _OUT.split(", ")]
 _INTERVAL_OUT = (
     "key_ord int, ip_u32 bigint, port_key int, ts bigint, first boolean, " + ", ".join(f"d_{c} bigint" for c in COUNTERS)
 )
@@ -54,8 +55,7 @@ def stream_deltas(counters: DataFrame, lateness: str = "0 seconds") -> DataFrame
             before = now
         state.update(before)
         columns = [f.split()[0] for f in _INTERVAL_OUT.split(", ")]
-        frame = pd.DataFrame(out, columns=columns)
-        yield frame.astype({f"d_{c}": "Int64" for c in COUNTERS})
+        yield pd.DataFrame(out, columns=columns).astype({f"d_{c}": "Int64" for c in COUNTERS})
 
     state = ", ".join(f"{c} bigint" for c in COUNTERS)
     return (
@@ -89,7 +89,8 @@ def stream_episodes(
             if run[0] is not None and run[2] >= cfg.min_episode_intervals:
                 closed.append((*key, *run))
             state.remove()
-            yield pd.DataFrame(closed, columns=[f.split()[0] for f in _OUT.split(", ")])
+            if closed:
+                yield pd.DataFrame(closed, columns=_OUT_FIELDS)
             return
         saved = state.get if state.exists else None
         before = saved[: len(COUNTERS)] if saved else None
@@ -122,7 +123,8 @@ def stream_episodes(
         state.update((*before, last_ts, *(run or [None] * len(_RUN_FIELDS))))
         deadline = (last_ts + idle_intervals * interval_sec) * 1000
         state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(closed, columns=[f.split()[0] for f in _OUT.split(", ")])
+        if closed:
+            yield pd.DataFrame(closed, columns=_OUT_FIELDS)
 
     runs = (
         _stamped(counters, lateness)

@@ -31,7 +31,6 @@ def stream_pairs(
         columns = [f.split()[0] for f in PAIRS.split(", ")]
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([], columns=columns)
             return
         saved = json.loads(state.get[0]) if state.exists else {}
         chains = {d: Chain(d == "from_server", saved.get(d, "")) for d in ("to_server", "from_server")}
@@ -50,8 +49,8 @@ def stream_pairs(
                 pending = None
         state.update((json.dumps({d: c.state() for d, c in chains.items()} | {"pending": pending}),))
         state.setTimeoutTimestamp(max(last // 1_000_000 + idle_sec * 1000, state.getCurrentWatermarkMs() + 1))
-        frame = pd.DataFrame(out, columns=columns)
-        yield frame.astype({"status_code": "Int32", "rpc_error_code": "Int32"})
+        if out:
+            yield pd.DataFrame(out, columns=columns).astype({"status_code": "Int32", "rpc_error_code": "Int32"})
 
     timed = event_time(directed(events.drop("direction"), server_ports), "ts_ns", lateness)
     return timed.groupBy(*FLOW).applyInPandasWithState(

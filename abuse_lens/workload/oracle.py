@@ -552,7 +552,8 @@ WHERE rn - lft - 1 >= 0 AND (rn - lft - 1) % act.rate = 0""",
         " WHERE strftime(make_timestamp(ts * 1000000), '%Y%m%d%H') BETWEEN '2024010500' AND '2024012023' GROUP BY ts"
     ),
     "q_incident_files": q(
-        INREG, "SELECT incident_tag, trigger_ts, count(*) AS packets, count(*) * 38 AS captured FROM inreg WHERE active GROUP BY 1, 2"
+        PK, f"""SELECT 'cpu-' || cpu AS incident_tag, ts_ns // {DAY_NS} * {D} AS trigger_ts, count(*) AS packets, count(*) * 38 AS captured
+        FROM pk WHERE wire_len > 0 GROUP BY 1, 2"""
     ),
     "q_stream_counter_windows": q(
         W + f"x AS (SELECT {KEYS}, ts_ns // 3600000000000 * 3600 AS ts, {SUMS} FROM w GROUP BY ALL)",

@@ -21,7 +21,6 @@ from abuse_lens.operators import (
     sampling,
     scrub,
 )
-from abuse_lens.operators.slices import SLICE
 from abuse_lens.sources import allowlist
 from abuse_lens.workload import tables as t
 
@@ -657,16 +656,18 @@ def q_hourly_files(spark, sf):
 
 @query
 def q_incident_files(spark, sf):
-    """Sampled packets written per trigger in segments and read back."""
+    """Packets recorded per CPU and day, written in segments and read back."""
     import uuid
 
     from abuse_lens.plans.settle import shared_folder
     from abuse_lens.sinks import incidents
 
-    timed = t.frame_table(spark, sf).select("event_id", "pkt", div(F.col("ts_ns"), 1_000_000_000).alias("ts"))
-    active = sampling.in_regime(timed, regimes_of(spark, sf)).where("active")
+    day = div(F.col("ts_ns"), DAY_NS) * t.DAY
+    recorded = packets.snapped(t.frame_table(spark, sf)).select(
+        "event_id", "pkt", F.concat(F.lit("cpu-"), F.col("cpu")).alias("incident_tag"), day.alias("trigger_ts")
+    )
     folder = f"{shared_folder(spark)}/incidents-{uuid.uuid4().hex}"
-    incidents.write(active.select("event_id", "pkt", "incident_tag", "trigger_ts"), folder, max_bytes=1_000_000)
+    incidents.write(recorded, folder, max_bytes=1_000_000)
     back = spark.read.schema("event_id bigint, pkt binary, incident_tag string, trigger_ts bigint").parquet(folder)
     return back.groupBy("incident_tag", "trigger_ts").agg(
         F.count(F.lit(1)).alias("packets"), F.sum(F.length("pkt")).alias("captured")

@@ -99,10 +99,10 @@ def test_sliced_windows_equal_plain_windows(spark, width):
     plain = df.select(
         "k", "ts", "seq", F.lag("v").over(w).alias("p"), F.sum("v").over(run).alias("s"), F.max("mark").over(run).alias("m")
     )
-    sliced = with_slice(df, "ts", width)
-    lagged = lag_in_slices(sliced, ["k"], ["ts", "seq"], ["v"]).select("k", "ts", "seq", F.col("prev.v").alias("p"))
+    sliced, at = with_slice(df, "ts", width)
+    lagged = lag_in_slices(sliced, ["k"], ["ts", "seq"], at, ["v"]).select("k", "ts", "seq", F.col("prev.v").alias("p"))
     running = running_in_slices(
-        sliced, ["k"], ["ts", "seq"], {"s": ("sum", F.col("v")), "m": ("max", F.col("mark"))}
+        sliced, ["k"], ["ts", "seq"], at, {"s": ("sum", F.col("v")), "m": ("max", F.col("mark"))}
     ).select("k", "ts", "seq", "s", "m")
     both = lagged.join(running, ["k", "ts", "seq"]).select("k", "ts", "seq", "p", "s", "m")
     assert sorted(both.collect(), key=lambda r: r.seq) == sorted(plain.collect(), key=lambda r: r.seq)
