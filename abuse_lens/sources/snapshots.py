@@ -83,11 +83,16 @@ def parse(lines: DataFrame) -> Parsed:
     names = F.transform(F.from_json("value", "buckets array<string>")["buckets"], F.json_object_keys)
     # As a generator the two readings happen once per line; as expressions they
     # would be repeated for every field that is looked at below.
-    once = F.array(F.struct(F.from_json("value", schema, options).alias("s"), names.alias("names")))
+    once = F.array(F.struct(F.from_json("value", schema, options).alias("s"), names.alias("names"), F.json_object_keys("value").alias("top")))
     read = text.select("*", F.inline(once))
     header_missing = F.lit(False)
     for f in _HEADER_FIELDS:
         header_missing = header_missing | s[f].isNull()
+    # Totals belong to every aggregates block, whatever else it lacks.
+    block = s["resp_aggregates"]
+    header_missing = header_missing | (block.isNotNull() & (block["count"].isNull() | block["resp_bytes_total"].isNull()))
+    known = F.filter("top", lambda n: n.isin(*SNAPSHOT.fieldNames()))
+    repeated = F.size(F.array_distinct(known)) != F.size(known)
     header_ok = s["interval_sec"].between(0, U32_MAX)
     for f in sorted(_U64):
         header_ok = header_ok & (s[f] >= 0)
@@ -95,6 +100,7 @@ def parse(lines: DataFrame) -> Parsed:
     defects = F.filter(F.zip_with(s["buckets"], F.col("names"), _bucket_defect), lambda d: d.isNotNull())
     reason = (
         F.when(s.isNull() | s[_CORRUPT].isNotNull(), "malformed JSON")
+        .when(repeated, "duplicate field")
         .when(header_missing, "missing field")
         .when(~header_ok | ~ports_ok, "value out of range")
         .when(~s["version"].isin(*READABLE_VERSIONS), "unsupported version")

@@ -542,6 +542,15 @@ WHERE rn - lft - 1 >= 0 AND (rn - lft - 1) % act.rate = 0""",
         HTTP, "SELECT CASE role WHEN 'user' THEN 0 ELSE 1 END AS direction, status, CAST(sum(head) AS BIGINT) AS head_bytes,"
         " CAST(sum(n) AS BIGINT) AS body_bytes FROM hm GROUP BY 1, 2"
     ),
+    "q_payload_snapshots": q(
+        WIN, """SELECT "window" * 60 + 60 AS ts_unix_sec, CAST(7 AS BIGINT) AS version, count(*) AS count,
+        CAST(sum(response_bytes) AS BIGINT) AS resp_bytes_total, max(request_bytes) AS req_bytes_max, median(ratio) AS amp_ratio_median,
+        max(ratio) AS amp_ratio_max, least(count(DISTINCT 30000 + flow % 7), 5) AS unique_src_ports,
+        CAST(sum(d) AS BIGINT) // count(d) AS duration_ns_mean,
+        count(*) FILTER (status_code BETWEEN 400 AND 499) / CAST(nullif(count(status_code), 0) AS DOUBLE) AS status_4xx_frac,
+        CASE WHEN bool_or(rpc_envelope_parsed) THEN least(count(DISTINCT rpc_error_code) FILTER (rpc_envelope_parsed), 5) END
+        AS rpc_error_distinct_codes FROM win GROUP BY "window\""""
+    ),
     "q_report_evidence": q(
         decided() + f"""ev AS (SELECT {ip_text('ip_u32')} || ':' || dst_port || ',' || coalesce(abuse_class, '') || ',' || {digits('syn_rate', 2)} || ','
         || {digits('success_ratio', 4)} || ',' || decision || ',' || total_packets || ',' || total_bytes || ',' || total_syn AS value FROM dec)""",

@@ -621,6 +621,21 @@ def q_head_fields(spark, sf):
     )
 
 
+@query
+def q_payload_snapshots(spark, sf):
+    """Window features as snapshot lines, parsed again."""
+    from abuse_lens.plans.payload import payload_snapshots
+    from abuse_lens.sources import snapshots
+
+    windows = windowed_pairs(spark, sf).withColumn("w", F.col("window") * 60)
+    ports = windows.select("w", F.col("client_port").alias("src_port"), F.lit(8899).alias("dst_port"))
+    rows = payload_snapshots(rpc.response_aggregates(windows, ports, ["w"]), "w", 60, [8899], 1, 0)
+    back = snapshots.parse(packets.snapshot_json(rows).select("value")).good
+    kept = ["count", "resp_bytes_total", "req_bytes_max", "amp_ratio_median", "amp_ratio_max", "unique_src_ports", "duration_ns_mean",
+            "status_4xx_frac", "rpc_error_distinct_codes"]
+    return back.select("ts_unix_sec", "version", *[F.col("resp_aggregates")[k].alias(k) for k in kept])
+
+
 # -- documents and sinks --------------------------------------------------------
 
 

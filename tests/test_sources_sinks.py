@@ -31,6 +31,8 @@ def without(d, name):
         (snapshot(1, [{**GOOD, "dst_port": 65536}]), "bucket value out of range"),
         (snapshot(1, [{**GOOD, "key_type": "dst_ip"}]), "unknown key type"),
         (snapshot(1, [{**GOOD, "packets": 1.0}]), "malformed JSON"),
+        (json.dumps(snapshot(1, [GOOD])).replace('"run_id"', '"run_id": 1, "run_id"'), "duplicate field"),
+        (snapshot(1, [GOOD]) | {"resp_aggregates": {"count": 1}}, "missing field"),
         (snapshot(-1, [GOOD]), "value out of range"),
         (snapshot(1, [GOOD], ports=[70000]), "value out of range"),
     ],
@@ -166,3 +168,32 @@ def test_quarantine_rules(spark):
     df = spark.createDataFrame([(0, 4, b"abcd"), (1, 1025, b"a"), (3, 0, b""), (0, 5, b"abcd")], "direction int, sample_len int, payload binary")
     good, bad = quality.good_and_bad(df, quality.payload_defect())
     assert good.count() == 1 and bad.count() == 3
+
+
+def test_payload_snapshots(spark):
+    from abuse_lens.operators import host, rpc
+    from abuse_lens.plans.payload import payload_snapshots
+
+    pairs = spark.createDataFrame(
+        [(0, 100, 200, 200, 5, 9, True, -1), (0, 50, 250, None, 5, 5, False, None), (180, 1, 1, 404, 1, 2, False, None)],
+        "w bigint, request_bytes bigint, response_bytes bigint, status_code int, req_started_ns bigint, resp_completed_ns bigint, "
+        "rpc_envelope_parsed boolean, rpc_error_code int",
+    )
+    seen = spark.createDataFrame([(0, 1, 80), (0, 2, 80), (60, 3, 80)], "w bigint, src_port int, dst_port int")
+    samples = spark.createDataFrame([(1, 0, 10, 5), (1, 60, 40, 9)], "pid int, s bigint, cpu_jiffies bigint, rss_bytes bigint")
+    empty = F.lit(None).cast("bigint")
+    samples = samples.withColumns({"captured_at": F.timestamp_seconds("s"), "num_fds": empty, "num_connections": empty, "io_write_bytes": empty})
+    told = host.host_deltas(samples).withColumn("w", F.lit(60).cast("bigint"))
+    rows = payload_snapshots(rpc.response_aggregates(pairs, seen, ["w"]), "w", 60, [80], 7, 0, told)
+    got = {r.ts: json.loads(r.value) for r in packets.snapshot_json(rows).collect()}
+    assert sorted(got) == [60, 120, 180, 240]
+    assert got[60]["resp_aggregates"] == {
+        "count": 2, "resp_bytes_total": 450, "req_bytes_max": 100, "resp_bytes_max": 250, "amp_ratio_mean": 3.5, "amp_ratio_median": 3.5,
+        "amp_ratio_max": 5.0, "unique_dst_ports": 1, "unique_src_ports": 2, "duration_ns_mean": 4, "duration_ns_max": 4, "status_2xx_frac": 1.0,
+        "status_4xx_frac": 0.0, "status_5xx_frac": 0.0, "rpc_error_distinct_codes": 1, "rpc_error_frac": 0.5, "req_bytes_mean": 75.0,
+        "resp_bytes_mean": 225.0,
+    }
+    assert got[120]["host"] == {"cpu_mean": 0.5, "cpu_max": 0.5, "rss_delta": 4, "rss_max": 9, "rss_slope_bps": 4 / 60}
+    assert "resp_aggregates" not in got[120] and "host" not in got[60] and got[180]["buckets"] == []
+    lines_ = packets.snapshot_json(rows).select("value")
+    assert snapshots.parse_strict(lines_).count() == 4
