@@ -3,10 +3,10 @@
 Where one message of a connection ends decides where the next begins, so a
 direction of a connection is a chain.  A long connection is cut into slices of
 time that run in parallel: every slice is framed as if a message began with it,
-then the slices whose predecessor in fact ended inside a message are framed
-again from that state, until no slice's starting state changes.  A round only
-touches the slices that changed, and a slice is all a task ever holds of a
-connection, so one connection with a third of all events spreads like many.
+then the slices that are in fact entered inside a message are framed again from
+that state, until none is left.  A round only touches those slices, a long body
+passes through slices without a round, and a slice is all a task ever holds of
+a connection, so one connection with a third of all events spreads like many.
 """
 
 from __future__ import annotations
@@ -142,6 +142,41 @@ def _run(events: DataFrame, entries: DataFrame | None, emit_messages: bool) -> D
     return placed.mapInPandas(lambda batches: _walk(batches, emit_messages), MESSAGES if emit_messages else EXITS)
 
 
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Follow the states of a chain over its slices, one row per slice in order.
+
+    A slice framed from the very state it is entered in hands on its exit.  A
+    body that goes on beyond a slice passes through it by arithmetic alone.
+    Any other slice has to be framed again (``redo``); until then its old exit
+    stands in.
+    """
+    chain, state = None, FRESH
+    for batch in batches:
+        entries, redo = [], []
+        columns = [*CHAIN, "next", "total", "used", "exit"]
+        for *key, after, total, used, known in zip(*(batch[c].tolist() for c in columns)):
+            if key != chain:
+                chain, state = key, FRESH
+            entries.append(state)
+            through = None if state == used else _passes(state, key[2] == "from_server", total)
+            redo.append(state != used and through is None and after == after)
+            state = known if through is None else through
+        yield batch[[*CHAIN, SLICE]].assign(entry=entries, redo=redo, exit=batch["exit"])
+
+
+def _passes(state: str, response: bool, total: int) -> str | None:
+    """State after ``total`` bytes that all belong to the open body, else None."""
+    if state == FRESH:
+        return None
+    fields = json.loads(state)
+    if fields["left"] is None or fields["left"] <= total or (response and not fields["cut"]):
+        return None
+    return json.dumps(fields | {"left": fields["left"] - total}, sort_keys=True)
+
+
+_ENTRIES = f"{_KEY_DDL}, {SLICE} bigint, entry string, redo boolean, exit string"
+
+
 def frame_messages(events: DataFrame, slice_ns: int = 60_000_000_000) -> DataFrame:
     """Completed messages of directed payload events (see ``rpc.directed``)."""
     c = F.col
@@ -153,23 +188,27 @@ def frame_messages(events: DataFrame, slice_ns: int = 60_000_000_000) -> DataFra
     sliced, at = with_slice(known, "ts_ns", slice_ns)
     sliced = sliced.withColumnRenamed(at, SLICE)
     by_chain = Window.partitionBy(*CHAIN).orderBy(SLICE)
-    slices = settle(sliced.select(*cut).distinct().withColumn("next", F.lead(SLICE).over(by_chain)))
+    totals = sliced.groupBy(*cut).agg(F.sum("payload_len").alias("total"))
+    slices = settle(totals.withColumn("next", F.lead(SLICE).over(by_chain)))
 
-    # What each slice hands on, for slices that have one after them.
+    # What a slice hands on matters only where the connection has another one.
     handing = slices.where(c("next").isNotNull()).select(*cut)
-    exits = settle(_run(sliced.join(handing, cut, "left_semi"), None, False))
-    entries = None
+    fresh = _run(sliced.join(handing, cut, "left_semi"), None, False)
+    exits = settle(fresh.select(*cut, F.lit(FRESH).alias("used"), c("state").alias("exit")))
     while True:
-        handed = slices.join(exits, cut).where(c("state") != FRESH).select(*CHAIN, c("next").alias(SLICE), "state")
-        if entries is None:
-            changed = handed
-        else:
-            both = handed.join(entries.withColumnRenamed("state", "old"), cut, "full")
-            changed = both.where(~c("state").eqNullSafe(c("old"))).select(*cut, F.coalesce("state", F.lit(FRESH)).alias("state"))
-        entries = settle(handed)
-        redo = changed.join(handing, cut, "left_semi")
+        filled = slices.join(exits, cut, "left").fillna(FRESH, ["used", "exit"])
+        ordered = filled.repartition(*CHAIN).sortWithinPartitions(*cut)
+        entries = settle(ordered.mapInPandas(_entries, _ENTRIES))
+        redo = entries.where("redo").select(*cut, c("entry").alias("state"))
         if redo.isEmpty():
             break
-        again = _run(sliced.join(redo.select(*cut), cut, "left_semi"), redo, False).withColumnRenamed("state", "new")
-        exits = settle(exits.join(again, cut, "left").select(*cut, F.coalesce("new", "state").alias("state")))
-    return _run(sliced, entries, True)
+        again = _run(sliced.join(redo.select(*cut), cut, "left_semi"), redo, False).select(*cut, c("state").alias("new"))
+        merged = exits.join(entries.select(*cut, "entry", "redo"), cut, "left").join(again, cut, "left")
+        exits = settle(
+            merged.select(
+                *cut,
+                F.when(c("redo"), c("entry")).otherwise(c("used")).alias("used"),
+                F.when(c("redo"), c("new")).otherwise(c("exit")).alias("exit"),
+            )
+        )
+    return _run(sliced, entries.select(*cut, c("entry").alias("state")), True)

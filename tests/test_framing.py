@@ -107,7 +107,7 @@ def test_keep_alive_pairs_and_errors(spark):
     assert got == [(10, len(error), 500, True, -7), (0, 2, 200, False, None)]
 
 
-@pytest.mark.parametrize("width", [400, 3000, 10**9])
+@pytest.mark.parametrize("width", [150, 400, 3000, 10**9])
 def test_slices_frame_like_whole_connections(spark, width):
     rng = random.Random(width)
     rows = []
@@ -136,6 +136,21 @@ def test_short_samples_count_true_lengths(spark):
     assert framed(spark, rows, 1) == [m]
 
 
+def test_long_bodies_pass_through_many_slices(spark, monkeypatch):
+    rounds = []
+    plain = framing._run
+    monkeypatch.setattr(framing, "_run", lambda *a: rounds.append(a[2]) or plain(*a))
+    rows = []
+    for n, (direction, size) in enumerate([(0, 400000), (1, 500000), (0, 10), (1, 20)]):
+        ends = (SERVER, CLIENT, 80, 1000) if direction else (CLIENT, SERVER, 1000, 80)
+        data, ts = http(direction == 1, b"z" * size), n * 10**6
+        for i in range(0, len(data), 2000):
+            rows.append((*ends, i, ts + i, len(data[i : i + 2000]), data[i : i + 2000][:1024]))
+    got = framed(spark, rows, 10000)  # about 40 slices per long message
+    assert got == one_chain_at_a_time(rows) and len(got) == 4
+    assert len(rounds) <= 6
+
+
 def test_no_events(spark):
     assert framed(spark, [], 10) == []
     only_other_ports = [(1, 2, 3, 4, 0, 0, 1, b"x")]
