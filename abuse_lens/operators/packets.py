@@ -27,10 +27,18 @@ def handshake_ack() -> Column:
 
 
 def watched(packets: DataFrame, ports: list[int] | tuple[int, ...]) -> DataFrame:
-    """IPv4 TCP packets towards (ingress) or from (egress) a watched port."""
+    """IPv4 TCP packets towards (ingress) or from (egress) a watched port.
+
+    The second condition follows from the last one, but on plain columns, so
+    that it reaches the file scan.
+    """
+    wanted = [int(p) for p in ports]
     port = F.when(F.col("direction") == "egress", F.col("src_port")).otherwise(F.col("dst_port"))
     return packets.where(
-        (F.col("ip_version") == IPV4) & (F.col("proto") == TCP) & port.isin([int(p) for p in ports])
+        (F.col("ip_version") == IPV4)
+        & (F.col("proto") == TCP)
+        & (F.col("src_port").isin(wanted) | F.col("dst_port").isin(wanted))
+        & port.isin(wanted)
     )
 
 

@@ -156,7 +156,8 @@ def between(snapshots: DataFrame, start: int, end: int, ts: str = "ts_unix_sec")
 def run_header(snapshots: DataFrame) -> DataFrame:
     """One row: time bounds, version range, ports, run and interval of the earliest snapshot."""
     file = F.col("file") if "file" in snapshots.columns else F.lit("")
-    earliest = F.min_by(F.struct("run_id", "interval_sec"), F.struct(F.col("ts_unix_sec"), file, F.col("value")))
+    text = F.col("value") if "value" in snapshots.columns else F.lit("")
+    earliest = F.min_by(F.struct("run_id", "interval_sec"), F.struct(F.col("ts_unix_sec"), file, text))
     ports = F.array_union("dst_ports", F.filter(F.transform("buckets", lambda b: b["dst_port"]), lambda p: p.isNotNull()))
     # Ports are 16-bit, so the set below has at most 65,536 members.
     grouped = snapshots.select("*", ports.alias("_ports")).agg(

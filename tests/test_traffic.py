@@ -32,6 +32,17 @@ def test_both_directions_fill_one_bucket(spark):
     assert both[2] == 6
 
 
+def test_packet_filters_and_columns_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([packet(), packet(dport=81)], PACKETS).write.parquet(str(tmp_path / "p"))
+    table = spark.read.parquet(str(tmp_path / "p"))
+    counted = packets.both_counters(packets.watched(table, [80])).select("ip_u32", "packets")
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: ")[1].split("ReadSchema")[0]
+    # The plan text is cut off after the start of the port condition.
+    assert "EqualTo(proto,6)" in pushed and "EqualTo(ip_version,4)" in pushed and "Or(EqualTo(src" in pushed
+    assert "payload_len" not in plan.split("ReadSchema: ")[1].splitlines()[0]
+
+
 def test_cumulative_and_interval_counters(spark):
     df = spark.createDataFrame([packet(ts=t * 10**9, syn=True) for t in (5, 61, 62, 300)], PACKETS)
     per = packets.interval_counters(df, 60)
