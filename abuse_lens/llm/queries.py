@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from abuse_lens.llm import licences, packing, token_counts, url_filter
+from abuse_lens.llm import (
+    forest_join,
+    licences,
+    packing,
+    permutation_index,
+    quality,
+    token_counts,
+    toxicity,
+    url_filter,
+    winnowing,
+)
 from abuse_lens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +61,32 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     lengths = token_counts.with_lengths(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     return token_counts.suffix_sums(token_counts.histogram(lengths))
+
+
+@query
+def op8_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_join.join(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = permutation_index.usable(read(spark, sf_dir, "embeddings"))
+    return permutation_index.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.labelled(docs, read(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read(spark, sf_dir, "labels").where("quality = 1")
+    return quality.classify(read(spark, sf_dir, "documents"), trusted)
+
+
+@query
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_edits(read(spark, sf_dir, "documents"))
