@@ -75,6 +75,7 @@ RULES = [
     ("Apache-2.0", ["apache-header", "apache-comply"]),
     ("Apache-2.0", ["apache-header"]),
     ("MIT", ["mit-name", "mit-grant", "mit-notice", "as-is"]),
+    ("MIT", ["mit-name", "mit-grant", "mit-notice"]),
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("MIT", ["mit-released"]),
@@ -144,7 +145,9 @@ def scan(
     may = F.lower(text).rlike("|".join(words))
     known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     by_line = _identifiers(_pieces(text), known)
-    run_on = _identifiers(_pieces(F.regexp_replace(text, r"\s+", " ")), known)
+    # lines of a paragraph run on; an empty line ends a sentence
+    paragraphs = F.regexp_replace(text, r"\n[ \t\r]*\n\s*", "\u0001")
+    run_on = _identifiers(_pieces(F.translate(F.regexp_replace(paragraphs, r"\s+", " "), "\u0001", "\n")), known)
     best = let(
         F.struct(by_line.alias("a"), run_on.alias("b")),
         lambda x: F.when(F.size(x["b"]) > F.size(x["a"]), x["b"]).otherwise(x["a"]),

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from abuse_lens.llm import (
+    byte_bpe,
     forest_join,
     licences,
     packing,
@@ -90,3 +91,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_edits(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    vocabulary = byte_bpe.Vocabulary.load(path, public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary)
