@@ -222,7 +222,9 @@ def join(
     keyed = docs.select(
         F.col("doc_id").alias("text_id"), "text", F.unhex(F.md5(F.encode(_text(), "UTF-8"))).alias("text_key")
     )
-    whole = keyed.join(members.select("text_id", "text_key"), ["text_id", "text_key"], "left_semi")
+    # one plan at every size: the members of each part are a hash table, the texts stream past it
+    wanted = members.select("text_id", "text_key").hint("shuffle_hash")
+    whole = keyed.join(wanted, ["text_id", "text_key"], "left_semi")
     links = settle(
         _units(members)
         .join(whole.select("text_key", "text"), "text_key")

@@ -81,28 +81,41 @@ def fit_sample(labelled: DataFrame, per_class: int) -> DataFrame:
 
 def _logistic(cells, labels, pairs, size: int, settings: Settings) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated gradient steps on the whole sample; all of bounded size."""
-    row, col = cells
+    n, m = len(labels), len(set(pairs[0].tolist()))
+    # the bias is a word that every row has
+    row = np.concatenate([cells[0], np.arange(n)])
+    col = np.concatenate([cells[1], np.full(n, size)])
     pair, pair_col, sign = pairs
-    n, m = len(labels), int(pair.max()) + 1 if len(pair) else 0
-    degree = np.bincount(row, minlength=n).max(initial=0) + 1
-    step = 1 / (0.25 * degree + settings.ridge + settings.counterfactual * 4)
-    # features that many rows have need small steps, rare ones large steps
-    scale = 1 / np.sqrt((np.bincount(col, minlength=size) + 1) / n)
-    w, v, bias, momentum_bias = np.zeros(size), np.zeros(size), 0.0, 0.0
-    rate = np.log((labels.sum() + 1) / (n - labels.sum() + 1))
-    bias = momentum_bias = float(rate)
-    for t in range(settings.steps):
-        z = np.bincount(row, v[col], minlength=n) + momentum_bias
-        error = (1 / (1 + np.exp(-z)) - labels) / n
-        gradient = np.bincount(col, error[row], minlength=size) + settings.ridge * v
+    price = np.full(size + 1, settings.ridge)
+    price[size] = 0
+    # rare words get large steps
+    scale = 1 / np.sqrt((np.bincount(col, minlength=size + 1) + 1) / n)
+
+    def curved(v: np.ndarray, weight) -> np.ndarray:
+        """The penalties' gradient at ``v``, and that of rows with these weights (or errors, if a function)."""
+        z = np.bincount(row, v[col], minlength=n)
+        found = np.bincount(col, weight(z)[row], minlength=size + 1) / n + price * v
         if m:
             change = np.bincount(pair, v[pair_col] * sign, minlength=m)
-            gradient += settings.counterfactual * np.bincount(pair_col, change[pair] * sign, minlength=size) / m
-        new, new_bias = v - step * scale * n**0.5 * gradient, momentum_bias - error.sum() * 4 * step * n**0.5
-        k = t / (t + 3)
-        v, momentum_bias = new + k * (new - w), new_bias + k * (new_bias - bias)
-        w, bias = new, new_bias
-    return w, bias
+            found += settings.counterfactual * np.bincount(pair_col, change[pair] * sign, minlength=size + 1) / m
+        return found
+
+    # the largest curvature bounds the step
+    v = np.ones(size + 1)
+    largest = 1.0
+    for _ in range(30):
+        v = scale * curved(v, lambda z: 0.25 * z)
+        largest = float(np.linalg.norm(v))
+        v /= largest
+    step = scale / (1.2 * largest)
+    w = np.zeros(size + 1)
+    w[size] = np.log((labels.sum() + 1) / (n - labels.sum() + 1))
+    v = w.copy()
+    for t in range(settings.steps):
+        new = v - step * curved(v, lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels)
+        v = new + t / (t + 3) * (new - w)
+        w = new
+    return w[:size], float(w[size])
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
