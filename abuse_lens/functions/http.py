@@ -66,7 +66,8 @@ def parse_head(data: bytes, response: bool) -> tuple[int, int, int | None] | boo
             return False
         if length is None and header.group(1).lower() == b"content-length":
             text = header.group(2).strip()
-            if re.fullmatch(rb"\+?[0-9]+", text):
+            # a longer number is no length; the next such header may be one
+            if re.fullmatch(rb"\+?[0-9]+", text) and int(text) < 2**64:
                 length = int(text)
 
 

@@ -27,7 +27,7 @@ def host_deltas(samples: DataFrame, slice_sec: int = 86400, ticks: int = CLOCK_T
         "_pid", F.coalesce(F.col("pid").cast("bigint"), F.lit(-1).cast("bigint"))
     )
     sliced, slice_col = with_slice(timed, "_us", slice_sec * 1_000_000)
-    lagged = lag_in_slices(sliced, ["_pid"], ["_us"], slice_col, ["_us", *SAMPLES])
+    lagged = lag_in_slices(sliced, ["_pid"], ["_us", *SAMPLES], slice_col, ["_us", *SAMPLES])
     c = F.col
     elapsed = F.greatest(c("_us") - c("prev._us"), F.lit(0).cast("bigint")).cast("double") / 1e6
     long_enough = elapsed >= MIN_ELAPSED_SEC

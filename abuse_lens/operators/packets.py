@@ -122,17 +122,16 @@ def assemble_snapshots(
     interval_sec: int,
     run_id: int,
     base_ts: int,
-    max_buckets: int = 100_000,
+    parts: int = 1,
 ) -> DataFrame:
     """One snapshot row per ``ts`` with sorted buckets and sorted header ports.
 
-    When a snapshot has more than ``max_buckets`` keys, every ``ts`` becomes
-    several rows with disjoint keys: readers see the same counters, and no task
-    builds an unbounded array.
+    With ``parts`` above 1 every ``ts`` becomes up to so many rows with disjoint
+    keys, so that no task builds a long array; readers see the same counters, and
+    run counters count a ``ts`` once.  Give as many parts as a snapshot has
+    hundred thousands of keys.
     """
-    most = counters.groupBy("ts").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
-    parts = F.coalesce(F.ceil(most / F.lit(max_buckets)), F.lit(1).cast("bigint"))
-    spread = counters.withColumn("part", F.pmod(F.xxhash64("key_ord", "ip_u32", "dst_port"), parts).cast("int"))
+    spread = counters.withColumn("part", F.pmod(F.xxhash64("key_ord", "ip_u32", "dst_port"), F.lit(parts)).cast("int"))
     bucket = F.struct("key_ord", "ip_u32", "dst_port", *COUNTERS)
     key_type = lambda b: F.element_at(F.array(*[F.lit(k) for k in KEY_TYPES]), b["key_ord"] + 1)
     shaped = F.transform(

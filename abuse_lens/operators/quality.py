@@ -55,22 +55,30 @@ def run_totals(per_window: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def collection_result(snapshots: DataFrame) -> DataFrame:
-    """Per run: cycles, buckets (address and port pairs) and snapshots written."""
-    return snapshots.groupBy("run_id").agg(
+    """Per run: cycles, buckets (address and port pairs) and snapshots written.
+
+    The rows of one run and ``ts`` are the parts of one snapshot.
+    """
+    return _cycles(snapshots).groupBy("run_id").agg(
         F.count(F.lit(1)).alias("cycles"),
-        F.sum(F.size("buckets")).alias("total_ips"),
+        F.sum("buckets").alias("total_ips"),
         F.count(F.lit(1)).alias("snapshots_written"),
     )
 
 
+def _cycles(snapshots: DataFrame) -> DataFrame:
+    """One row per run and ``ts``, however many rows a snapshot was written in."""
+    return snapshots.groupBy("run_id", "ts_unix_sec").agg(F.sum(F.size("buckets")).alias("buckets"))
+
+
 def heartbeats(snapshots: DataFrame) -> DataFrame:
     """One status row per snapshot; ``ips_collected`` counts buckets."""
     from abuse_lens.operators.slices import row_number_in_slices, with_slice
 
-    rows = snapshots.select(
+    rows = _cycles(snapshots).select(
         F.coalesce("run_id", F.lit(-1).cast("bigint")).alias("run_id"),
         F.col("ts_unix_sec").alias("timestamp"),
-        F.size("buckets").cast("bigint").alias("ips_collected"),
+        F.col("buckets").alias("ips_collected"),
     )
     sliced, at = with_slice(rows, "timestamp", 86400)
     numbered = row_number_in_slices(sliced, ["run_id"], ["timestamp"], at, "cycle")

@@ -112,5 +112,15 @@ def running_in_slices(
 def row_number_in_slices(
     df: DataFrame, keys: list[str], order: list[str], slice_col: str, into: str = "rn"
 ) -> DataFrame:
-    one = F.lit(1).cast("bigint")
-    return running_in_slices(df, keys, order, slice_col, {into: ("sum", one)})
+    """Number the rows of a key from 1.
+
+    A slice starts behind the rows of the slices before it, and these are only
+    counted: the rows themselves are shuffled and sorted once.
+    """
+    cut = [*keys, slice_col]
+    before = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*cut).agg(F.count(F.lit(1)).alias("_slice_rows"))
+    starts = counts.select(*cut, F.coalesce(F.sum("_slice_rows").over(before), F.lit(0)).alias("_slice_start"))
+    inside = F.row_number().over(Window.partitionBy(*cut).orderBy(*order))
+    numbered = df.withColumn("_slice_rn", inside).join(starts, cut)
+    return numbered.withColumn(into, F.col("_slice_rn") + F.col("_slice_start")).drop("_slice_rn", "_slice_start")

@@ -1,9 +1,8 @@
 """Allowlist of addresses and CIDR blocks, and membership against it.
 
-An address is kept as a /32 row with ``kind = 'ip'``.  Two ways to ask for
-membership: a small list (its size is checked) is folded into the filter
-expression, any other list is joined on (prefix length, network), which is an
-equi-join and never a range loop.
+An address is kept as a /32 row with ``kind = 'ip'``.  Membership is an
+equi-join on (prefix length, network), never a range loop; Spark broadcasts a
+list that it measures to be small.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from pyspark.sql import functions as F
 from abuse_lens.functions import net
 
 SCHEMA = "kind string, network bigint, prefix_len int"
-EXPRESSION_LIMIT = 1000
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -49,29 +47,13 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Allowlist:
-    """Allowlist rows plus what was checked about their size.
-
-    ``entries`` holds the rows when there are at most ``EXPRESSION_LIMIT``
-    distinct ones, else None; ``prefixes`` are the (at most 33) lengths in use.
-    """
+    """Allowlist rows, the (at most 33) prefix lengths in use, and how many entries there are."""
 
     table: DataFrame
     prefixes: tuple[int, ...]
-    entries: tuple[tuple[str, int, int], ...] | None
     ip_count: int
     cidr_count: int
 
-    def contains(self, ip: Column) -> Column | None:
-        """Membership as an expression, or None when the list is too long for one."""
-        if self.entries is None:
-            return None
-        hit = F.lit(False)
-        for length in self.prefixes:
-            networks = sorted({n for _, n, p in self.entries if p == length})
-            masked = ip if length == 32 else ip.bitwiseAND(F.lit(net.mask_of(length)).cast("bigint"))
-            hit = hit | masked.isin([int(n) for n in networks])
-        return hit
-
 
 def load(spark: SparkSession, path: str) -> Allowlist:
     return from_table(parse_lines(spark.read.text(path)))
@@ -84,22 +66,18 @@ def from_lines(spark: SparkSession, lines: list[str]) -> Allowlist:
 
 
 def empty(spark: SparkSession) -> Allowlist:
-    return Allowlist(spark.range(0).selectExpr("'ip' kind", "id network", "32 prefix_len"), (), (), 0, 0)
+    return Allowlist(spark.range(0).selectExpr("'ip' kind", "id network", "32 prefix_len"), (), 0, 0)
 
 
 def from_table(table: DataFrame) -> Allowlist:
-    """Look at the size of an allowlist: one bounded summary row and at most
-    ``EXPRESSION_LIMIT`` entries reach the driver."""
+    """An allowlist of rows; one summary row reaches the driver."""
     summary = table.agg(
         F.array_sort(F.collect_set("prefix_len")).alias("prefixes"),
         F.count_distinct(F.when(F.col("kind") == "ip", F.col("network"))).alias("ips"),
         F.sum((F.col("kind") == "cidr").cast("bigint")).alias("cidrs"),
     ).first()
     ips, cidrs = summary["ips"] or 0, summary["cidrs"] or 0
-    entries = None
-    if ips + cidrs <= EXPRESSION_LIMIT:
-        entries = tuple((r.kind, r.network, r.prefix_len) for r in table.distinct().limit(EXPRESSION_LIMIT).collect())
-    return Allowlist(table, tuple(summary["prefixes"] or ()), entries, ips, cidrs)
+    return Allowlist(table, tuple(summary["prefixes"] or ()), ips, cidrs)
 
 
 def allowed_addresses(ips: DataFrame, allow: Allowlist, ip: str = "ip_u32") -> DataFrame:
@@ -122,12 +100,19 @@ def allowed_addresses(ips: DataFrame, allow: Allowlist, ip: str = "ip_u32") -> D
 
 
 def with_allow_flag(df: DataFrame, allow: Allowlist, ip: str = "ip_u32", into: str = "allowlisted") -> DataFrame:
-    """Add a boolean: is the row's address allowlisted?"""
-    expression = allow.contains(F.col(ip))
-    if expression is not None:
-        return df.withColumn(into, expression)
-    hits = allowed_addresses(df, allow, ip).withColumn("_hit", F.lit(True))
-    return df.join(hits, ip, "left").withColumn(into, F.coalesce("_hit", F.lit(False))).drop("_hit")
+    """Add a boolean: is the row's address allowlisted?  A null address is not.
+
+    One join per prefix length, each against that length's networks, so ``df`` is
+    read once.
+    """
+    hit = F.lit(False)
+    for length in allow.prefixes:
+        networks = allow.table.where(F.col("prefix_len") == length).select(F.col("network").alias("_net")).distinct()
+        df = df.withColumn("_masked", net.cidr_network(F.col(ip), F.lit(length)))
+        found = networks.withColumn(f"_hit{length}", F.lit(True))
+        df = df.join(found, F.col("_masked") == F.col("_net"), "left").drop("_masked", "_net")
+        hit = hit | F.col(f"_hit{length}").isNotNull()
+    return df.withColumn(into, hit).drop(*[f"_hit{length}" for length in allow.prefixes])
 
 
 def exceptions(allow: Allowlist) -> DataFrame:

@@ -1,33 +1,31 @@
 """Deltas and episodes of a counter stream, with state per key.
 
-State of a key: its last counters and its open hot run.  A row yields its
-interval; an episode is emitted when a cold interval or a timeout ends the run.
+State of a key: its last counters and its open hot run.  Rows are taken in the
+order of the batch operators (time, then position in their source), see
+:mod:`abuse_lens.streaming.ordered`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from abuse_lens.config import DEFAULT_INTERVAL_SEC, ReportConfig
 from abuse_lens.functions import net
 from abuse_lens.operators.deltas import keyed, named
 from abuse_lens.operators.episodes import episode_class
 from abuse_lens.schema import COUNTERS
+from abuse_lens.streaming.ordered import in_order
 
 KEY = ["key_ord", "ip_u32", "port_key"]
+FIELDS = ["ts", "seq", "base_ts", *COUNTERS]
+#: A key that is silent for so long is forgotten; its next row is a first one again.
+FORGET_SEC = 7 * 86_400
 _RUN = (
     "start_ts bigint, end_ts bigint, interval_count bigint, max_syn_rate double, max_pkt_rate double, "
     "max_byte_rate double, min_success_ratio double, total_syn bigint, total_packets bigint, total_bytes bigint"
 )
-_RUN_FIELDS = [f.split()[0] for f in _RUN.split(", ")]
-_STATE = ", ".join(f"{c} bigint" for c in COUNTERS) + ", last_ts bigint, " + _RUN
 _OUT = "key_ord int, ip_u32 bigint, port_key int, " + _RUN
-_OUT_FIELDS = [f.split()[0] for f in _OUT.split(", ")]
 _INTERVAL_OUT = (
     "key_ord int, ip_u32 bigint, port_key int, ts bigint, first boolean, " + ", ".join(f"d_{c} bigint" for c in COUNTERS)
 )
@@ -37,32 +35,22 @@ def _stamped(counters: DataFrame, lateness: str) -> DataFrame:
     return keyed(counters).withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", lateness)
 
 
-def _sorted(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """Rows of a key in one micro-batch, in time order."""
-    return pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
+def _time_ms(row: list) -> int:
+    return row[0] * 1000
 
 
-def stream_deltas(counters: DataFrame, lateness: str = "0 seconds") -> DataFrame:
-    """Growth of every counter row against its key's row before."""
+def stream_deltas(counters: DataFrame, lateness: str = "0 seconds", forget_sec: int = FORGET_SEC) -> DataFrame:
+    """Growth of every counter row against its key's row before, once the watermark has passed it."""
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get if state.exists else None
-        out = []
-        for row in _sorted(batches).itertuples():
-            now = tuple(int(getattr(row, c)) for c in COUNTERS)
-            grown = [None] * len(now) if before is None else [max(a - b, 0) for a, b in zip(now, before)]
-            out.append((*key, int(row.ts), before is None, *grown))
-            before = now
-        state.update(before)
-        columns = [f.split()[0] for f in _INTERVAL_OUT.split(", ")]
-        yield pd.DataFrame(out, columns=columns).astype({f"d_{c}": "Int64" for c in COUNTERS})
+    def take(key, before, row):
+        now = row[3:]
+        grown = [None] * len(now) if before is None else [max(a - b, 0) for a, b in zip(now, before, strict=True)]
+        return now, [(*key, row[0], before is None, *grown)]
 
-    state = ", ".join(f"{c} bigint" for c in COUNTERS)
-    return (
-        _stamped(counters, lateness)
-        .groupBy(*KEY)
-        .applyInPandasWithState(step, _INTERVAL_OUT, state, "append", GroupStateTimeout.NoTimeout)
-    )
+    return in_order(
+        _stamped(counters, lateness), KEY, FIELDS, 2, _time_ms, take, lambda key, own: [], forget_sec * 1000,
+        _INTERVAL_OUT, {f"d_{c}": "Int64" for c in COUNTERS},
+    )
 
 
 def _hot(cfg: ReportConfig, syn: float, pkt: float, byte: float, ratio: float) -> bool:
@@ -79,58 +67,36 @@ def stream_episodes(
 ) -> DataFrame:
     """Episodes of a stream of counter rows, emitted as they close.
 
-    A key silent for ``idle_intervals`` past the watermark has its run closed.
+    A key silent for ``idle_intervals`` behind the watermark has its run closed and
+    is forgotten.
     """
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closed: list[tuple] = []
-        if state.hasTimedOut:
-            run = state.get[len(COUNTERS) + 1 :]
-            if run[0] is not None and run[2] >= cfg.min_episode_intervals:
-                closed.append((*key, *run))
-            state.remove()
-            if closed:
-                yield pd.DataFrame(closed, columns=_OUT_FIELDS)
-            return
-        saved = state.get if state.exists else None
-        before = saved[: len(COUNTERS)] if saved else None
-        run = list(saved[len(COUNTERS) + 1 :]) if saved and saved[len(COUNTERS) + 1] is not None else None
-        last_ts = saved[len(COUNTERS)] if saved else None
-        for row in _sorted(batches).itertuples():
-            now = tuple(int(getattr(row, c)) for c in COUNTERS)
-            ts, last_ts = int(row.ts), int(row.ts)
-            if before is None and row.base_ts != row.ts:
-                before = now
-                continue
-            per = cfg.window_sec if before is None else interval_sec
-            syn, _, done, _, pkts, size = now if before is None else [max(a - b, 0) for a, b in zip(now, before)]
-            before = now
-            rates = [x / per if per > 0 else 0.0 for x in (syn, pkts, size)]
-            ratio = done / syn if syn > 0 else 0.0
-            if _hot(cfg, *rates, ratio):
-                low = ratio if syn > 0 else None
-                if run is None:
-                    run = [ts, ts, 1, *rates, low, syn, pkts, size]
-                else:
-                    run[1], run[2] = ts, run[2] + 1
-                    run[3:6] = [max(a, b) for a, b in zip(run[3:6], rates)]
-                    run[6] = low if run[6] is None else run[6] if low is None else min(run[6], low)
-                    run[7:] = [a + b for a, b in zip(run[7:], (syn, pkts, size))]
-            elif run is not None:
-                if run[2] >= cfg.min_episode_intervals:
-                    closed.append((*key, *run))
-                run = None
-        state.update((*before, last_ts, *(run or [None] * len(_RUN_FIELDS))))
-        deadline = (last_ts + idle_intervals * interval_sec) * 1000
-        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        if closed:
-            yield pd.DataFrame(closed, columns=_OUT_FIELDS)
-
-    runs = (
-        _stamped(counters, lateness)
-        .groupBy(*KEY)
-        .applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    def ended(key, run) -> list[tuple]:
+        return [(*key, *run)] if run is not None and run[2] >= cfg.min_episode_intervals else []
+
+    def take(key, own, row):
+        before, run = own or (None, None)
+        ts, now = row[0], row[3:]
+        if before is None and row[2] != ts:
+            return (now, run), []
+        per = cfg.window_sec if before is None else interval_sec
+        syn, _, done, _, pkts, size = now if before is None else [max(a - b, 0) for a, b in zip(now, before, strict=True)]
+        rates = [x / per if per > 0 else 0.0 for x in (syn, pkts, size)]
+        ratio = done / syn if syn > 0 else 0.0
+        if not _hot(cfg, *rates, ratio):
+            return (now, None), ended(key, run)
+        low = ratio if syn > 0 else None
+        if run is None:
+            return (now, [ts, ts, 1, *rates, low, syn, pkts, size]), []
+        highest = [max(a, b) for a, b in zip(run[3:6], rates, strict=True)]
+        lows = [x for x in (run[6], low) if x is not None]
+        sums = [a + b for a, b in zip(run[7:], (syn, pkts, size), strict=True)]
+        return (now, [run[0], ts, run[2] + 1, *highest, min(lows, default=None), *sums]), []
+
+    runs = in_order(
+        _stamped(counters, lateness), KEY, FIELDS, 2, _time_ms, take,
+        lambda key, own: ended(key, own[1]) if own else [], idle_intervals * interval_sec * 1000, _OUT,
+    )
     return named(runs).withColumns(
         {
             "min_success_ratio": F.coalesce("min_success_ratio", F.lit(0.0)),

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+import base64
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from abuse_lens.operators.framing import FLOW, Chain
 from abuse_lens.operators.rpc import directed
+from abuse_lens.streaming.ordered import in_order
 from abuse_lens.streaming.windows import event_time
 
 PAIRS = (
@@ -24,35 +22,26 @@ def stream_pairs(
 ) -> DataFrame:
     """Pairs as their responses complete; a connection idle for ``idle_sec`` is forgotten.
 
-    Events of one connection within a micro-batch are taken in time order.
+    Events of one connection are taken in time order once the watermark has passed them.
     """
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = [f.split()[0] for f in PAIRS.split(", ")]
-        if state.hasTimedOut:
-            state.remove()
-            return
-        saved = json.loads(state.get[0]) if state.exists else {}
-        chains = {d: Chain(d == "from_server", saved.get(d, "")) for d in ("to_server", "from_server")}
-        pending, out, last = saved.get("pending"), [], 0
-        rows = pd.concat(list(batches)).sort_values(["ts_ns", "tcp_seq"], kind="stable")
-        for d, ts, length, payload in zip(*(rows[c].tolist() for c in ("direction", "ts_ns", "payload_len", "payload"))):
-            last = max(last, ts)
-            done = chains[d].feed(ts, length, payload)
-            if done is None:
-                continue
-            total, status, first_ts, parsed, code = done
-            if d == "to_server":
-                pending = [total, first_ts]
-            elif pending:
-                out.append((*key, pending[0], total, status, pending[1], ts, parsed, code))
-                pending = None
-        state.update((json.dumps({d: c.state() for d, c in chains.items()} | {"pending": pending}),))
-        state.setTimeoutTimestamp(max(last // 1_000_000 + idle_sec * 1000, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=columns).astype({"status_code": "Int32", "rpc_error_code": "Int32"})
+    def take(key, own, row):
+        ts, _, direction, length, payload = row
+        chains, pending = own or ({}, None)
+        chain = Chain(direction == "from_server", chains.get(direction, ""))
+        done = chain.feed(ts, length, base64.b64decode(payload or ""))
+        chains = chains | {direction: chain.state()}
+        if done is None:
+            return (chains, pending), []
+        total, status, first_ts, parsed, code = done
+        if direction == "to_server":
+            return (chains, [total, first_ts]), []
+        if not pending:
+            return (chains, None), []
+        return (chains, None), [(*key, pending[0], total, status, pending[1], ts, parsed, code)]
 
     timed = event_time(directed(events.drop("direction"), server_ports), "ts_ns", lateness)
-    return timed.groupBy(*FLOW).applyInPandasWithState(
-        step, PAIRS, "state string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return in_order(
+        timed, FLOW, ["ts_ns", "tcp_seq", "direction", "payload_len", "payload"], 2, lambda row: row[0] // 1_000_000,
+        take, lambda key, own: [], idle_sec * 1000, PAIRS, {"status_code": "Int32", "rpc_error_code": "Int32"},
+    )

@@ -7,14 +7,15 @@ Empty windows emit nothing in a stream (see ``rpc.with_idle_windows`` for batch)
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from abuse_lens.operators import packets as pk
 from abuse_lens.operators import rpc
-from abuse_lens.plans.settle import shared_folder
+from abuse_lens.plans.settle import settle, shared_folder
 from abuse_lens.sinks.snapshots import hourly
 
 WINDOW_SEC = 60
@@ -97,6 +98,43 @@ def drain(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def replay(
+    table: DataFrame, turn: Column, build: Callable[[DataFrame], DataFrame], closing: DataFrame, files_per_trigger: int = 8
+) -> DataFrame:
+    """Run a stream over files that arrive in the order of ``turn``, and read what it has written.
+
+    ``turn`` has few values; each one's rows are written as files of their own.
+    ``closing`` rows come last and move the watermark behind all others, so that
+    what waits in a state is given out; they should have a key of their own.
+    """
+    spark = table.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    settled = settle(table.withColumn("_turn", turn))
+    turns = sorted(r[0] for r in settled.select("_turn").distinct().collect())
+    source = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
+
+    def go_on(rows: DataFrame) -> None:
+        rows.select(*table.columns).write.mode("append").parquet(f"{base}/in")
+
+    def take_all() -> DataFrame:
+        stream = build(source.parquet(f"{base}/in"))
+        running = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", f"{base}/progress")
+            .trigger(availableNow=True)
+            .start(f"{base}/rows")
+        )
+        running.awaitTermination()
+        return stream
+
+    for value in turns:
+        go_on(settled.where(F.col("_turn") == value))
+    take_all()
+    go_on(closing)
+    return spark.read.schema(take_all().schema).parquet(f"{base}/rows")
+
+
 def write_snapshots(snapshots: DataFrame, directory: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append a stream of snapshot rows to hourly folders."""
     return (

@@ -292,7 +292,7 @@ me AS (SELECT ip_u32, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS interv
   max(pkt_rate) AS max_pkt_rate, max(byte_rate) AS max_byte_rate,
   coalesce(min(CASE WHEN syn > 0 THEN success_ratio END), 0.0::DOUBLE) AS min_success_ratio, CAST(sum(syn) AS BIGINT) AS total_syn,
   CAST(sum(packets) AS BIGINT) AS total_packets, CAST(sum(bytes) AS BIGINT) AS total_bytes
-  FROM mr WHERE hot AND run < colds GROUP BY ip_u32, run),
+  FROM mr WHERE hot GROUP BY ip_u32, run),
 """
 SIDE = lambda d: f"SELECT {KEYS}, {SUMS} FROM w WHERE direction = '{d}' GROUP BY ALL"
 BUCKET = """{'key_type': 'src_ip', 'src_ip': %s, 'dst_port': dst_port, 'syn': syn, 'ack': ack, 'handshake_ack': handshake_ack,
@@ -585,3 +585,5 @@ WHERE rn - lft - 1 >= 0 AND (rn - lft - 1) % act.rate = 0""",
         " done_ts AS resp_completed_ns FROM hp WHERE direction = 'from_server' AND p_dir = 'to_server'"
     ),
 }
+ORACLE["q_collection_result_parts"] = ORACLE["q_collection_result"]
+ORACLE["q_heartbeats_parts"] = ORACLE["q_heartbeats"]

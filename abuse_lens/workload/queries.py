@@ -28,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 NOW = 1_706_745_600
 DAY_NS = t.DAY * 1_000_000_000
+HOUR_NS = 3_600_000_000_000
 
 
 def query(fn: Query) -> Query:
@@ -128,6 +129,19 @@ def q_collection_result(spark, sf):
     return quality.collection_result(rows)
 
 
+@query
+def q_collection_result_parts(spark, sf):
+    """Snapshots written in seven parts each count as often as whole ones."""
+    rows = packets.assemble_snapshots(t.cumulative_counters(spark, sf), t.PORTS, t.DAY, 7, 1_704_067_200, parts=7)
+    return quality.collection_result(rows)
+
+
+@query
+def q_heartbeats_parts(spark, sf):
+    rows = packets.assemble_snapshots(t.cumulative_counters(spark, sf), t.PORTS, t.DAY, 7, 1_704_067_200, parts=7)
+    return quality.heartbeats(rows)
+
+
 # -- deltas, rates, episodes ------------------------------------------------
 
 
@@ -225,9 +239,8 @@ def q_non_allowlisted_keys(spark, sf):
 @query
 def q_allowlist_join(spark, sf):
     listed = allow(spark)
-    by_join = allowlist.Allowlist(listed.table, listed.prefixes, None, listed.ip_count, listed.cidr_count)
     keys = packets.both_counters(t.packet_table(spark, sf)).select("ip_u32", "dst_port", "packets")
-    return allowlist.with_allow_flag(keys, by_join)
+    return allowlist.with_allow_flag(keys, listed)
 
 
 @query
@@ -301,7 +314,7 @@ def q_exceptions(spark, sf):
         seen.where(F.col("ip") % 7 == 0).select(net.long_to_ipv4(F.col("ip")).alias("value"))
     )
     table = allowlist.parse_lines(lines.distinct())
-    listed = allowlist.Allowlist(table, (28, 32), None, 0, 0)
+    listed = allowlist.Allowlist(table, (28, 32), 0, 0)
     return allowlist.exceptions(listed).select("rank", "network", "prefix_len", "key_type", "key_value")
 
 
@@ -337,7 +350,7 @@ def q_snapshot_roundtrip(spark, sf):
     """Counters to JSON lines, parsed and flattened again."""
     from abuse_lens.sources import snapshots
 
-    rows = packets.assemble_snapshots(t.cumulative_counters(spark, sf), t.PORTS, t.DAY, 7, 1_704_067_200, max_buckets=100)
+    rows = packets.assemble_snapshots(t.cumulative_counters(spark, sf), t.PORTS, t.DAY, 7, 1_704_067_200, parts=7)
     counters = snapshots.counter_rows(snapshots.parse(packets.snapshot_json(rows).select("value")).good)
     return counters.select("ts", "key_type", "ip_u32", "dst_port", "syn", "packets", "bytes")
 
@@ -475,7 +488,7 @@ def q_tag_hash(spark, sf):
 
 @query
 def q_sample_1_in_n(spark, sf):
-    kept = sampling.one_in_n(t.packet_table(spark, sf), ["cpu"], ["ts_ns", "event_id"], "ts_ns", 5 * DAY_NS, F.lit(7))
+    kept = sampling.one_in_n(t.packet_table(spark, sf), ["cpu"], ["ts_ns", "event_id"], "ts_ns", HOUR_NS, F.lit(7))
     return kept.select("event_id", "cpu")
 
 
@@ -501,13 +514,13 @@ def q_packets_in_regime(spark, sf):
 @query
 def q_sample_in_regime(spark, sf):
     active = packets_in_regime(spark, sf).where("active")
-    kept = sampling.one_in_n(active, ["cpu", "start_ts"], ["ts_ns", "event_id"], "ts_ns", 5 * DAY_NS, F.col("rate"))
+    kept = sampling.one_in_n(active, ["cpu", "start_ts"], ["ts_ns", "event_id"], "ts_ns", HOUR_NS, F.col("rate"))
     return kept.select("event_id", "incident_tag", "trigger_ts")
 
 
 @query
 def q_sample_with_carry(spark, sf):
-    kept = sampling.sample_with_carry(packets_in_regime(spark, sf), "cpu", ["ts_ns", "event_id"], "ts_ns", 5 * DAY_NS, 3)
+    kept = sampling.sample_with_carry(packets_in_regime(spark, sf), "cpu", ["ts_ns", "event_id"], "ts_ns", HOUR_NS, 3)
     return kept.select("event_id", "incident_tag", "trigger_ts")
 
 
@@ -701,13 +714,33 @@ def q_stream_counter_windows(spark, sf):
     return windows.drain(windows.counter_windows(source, t.PORTS, window_sec=3600))
 
 
+def far_row(table, **values):
+    """One row of the table's schema, null but for ``values``."""
+    return table.sparkSession.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in table.schema])
+
+
+def late(name):
+    """A fifth of the rows arrive one turn late."""
+    return (F.pmod(F.xxhash64(name), F.lit(5)) == 0).cast("bigint")
+
+
+def reading_files(spark, sf):
+    """Readings that arrive week by week and out of order, and what closes the stream."""
+    readings = t.meter_readings(spark, sf)
+    zeros = {c: 0 for c in ("syn", "ack", "handshake_ack", "rst", "packets", "bytes", "key_ord", "base_ts", "ip_u32", "dst_port")}
+    closing = far_row(readings, ts=4_000_000_000, seq="", key_type="src_ip", **zeros)
+    return readings, div(F.col("ts"), 7 * t.DAY) + late("seq"), closing
+
+
 @query
 def q_stream_deltas(spark, sf):
     from abuse_lens.streaming import episodes as stream
     from abuse_lens.streaming import windows
 
-    rows = windows.drain(stream.stream_deltas(t.meter_readings(t.Streaming(spark), sf)))
-    return rows.groupBy("ip_u32", "first").agg(
+    readings, turn, closing = reading_files(spark, sf)
+    forget = 1000 * t.DAY  # the twin forgets no key
+    rows = windows.replay(readings, turn, lambda s: stream.stream_deltas(s, "8 days", forget), closing)
+    return rows.where("ip_u32 <> 0").groupBy("ip_u32", "first").agg(
         F.count(F.lit(1)).alias("rows"), *[F.sum(f"d_{c}").alias(c) for c in ("syn", "ack", "rst", "packets", "bytes")]
     )
 
@@ -717,17 +750,22 @@ METER_CFG = t.CFG.with_(syn_rate_threshold=900.0, success_ratio_threshold=0.02,
 
 @query
 def q_stream_episodes(spark, sf):
-    """Episodes of the reading stream that a cold reading has closed."""
+    """Episodes of the reading stream, those still open at its end as well."""
     from abuse_lens.streaming import episodes as stream
     from abuse_lens.streaming import windows
 
-    found = stream.stream_episodes(t.meter_readings(t.Streaming(spark), sf), METER_CFG, 60, idle_intervals=10**7)
-    return windows.drain(found).select(*EPISODE)
+    readings, turn, closing = reading_files(spark, sf)
+    build = lambda s: stream.stream_episodes(s, METER_CFG, 60, "8 days", idle_intervals=1000 * t.DAY // 60)
+    return windows.replay(readings, turn, build, closing).where("ip_u32 <> 0").select(*EPISODE)
 
 
 @query
 def q_stream_pairs(spark, sf):
     from abuse_lens.streaming import flows, windows
 
-    pairs = windows.drain(flows.stream_pairs(t.payload_events(t.Streaming(spark), sf), [8899]))
+    events = t.payload_events(spark, sf)
+    zeros = {c: 0 for c in ("src_ip", "dst_ip", "src_port", "direction", "payload_len", "sample_len", "tcp_seq")}
+    closing = far_row(events, ts_ns=4 * 10**18, dst_port=8899, payload=b"", **zeros)
+    turn = div(F.col("ts_ns") - t.START_NS, 4_000_000_000) + late("ts_ns")
+    pairs = windows.replay(events, turn, lambda s: flows.stream_pairs(s, [8899], "1 hour", 3600), closing)
     return pairs.select("flow_low", "request_bytes", "response_bytes", "status_code", "req_started_ns", "resp_completed_ns")

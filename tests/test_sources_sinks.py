@@ -93,7 +93,7 @@ def test_assembled_snapshots_sort_buckets_and_split_when_large(spark):
     keys = [(b["key_type"], b["src_ip"], b.get("dst_port")) for b in text["buckets"]]
     assert keys == [("src_ip", "0.0.0.3", 443), ("src_ip", "0.0.0.9", None), ("src_ip", "0.0.0.9", 80), ("src_ip", "255.255.255.255", 1), ("src_cidr24", "0.0.0.5", 80)]
     assert text["dst_ports"] == [80, 443] and "host" not in text and text["version"] == 7
-    parts = packets.assemble_snapshots(counters(spark, data), (80,), 60, 1, 0, max_buckets=2)
+    parts = packets.assemble_snapshots(counters(spark, data), (80,), 60, 1, 0, parts=2)
     sizes = [len(json.loads(r.value)["buckets"]) for r in packets.snapshot_json(parts).collect()]
     assert sum(sizes) == 5 and len(sizes) > 1
 
@@ -114,6 +114,21 @@ def test_hourly_append_read_and_rotate(spark, tmp_path):
     assert sink.rotate(spark, str(tmp_path / "none"), now) == {"removed_by_age": 0, "removed_by_count": 0}
 
 
+def test_run_counters_do_not_depend_on_parts(spark):
+    data = [counter(ts, i, ip=i) for ts in (60, 120) for i in range(50)]
+    for parts in (1, 7):
+        snaps = packets.assemble_snapshots(counters(spark, data), (80,), 60, 1, 0, parts=parts)
+        assert tuple(quality.collection_result(snaps).first()) == (1, 2, 100, 2)
+        assert sorted(tuple(r) for r in quality.heartbeats(snaps).collect()) == [(60, 1, 50, 1), (120, 2, 50, 2)]
+
+
+def test_retention_of_equal_times(spark):
+    df = spark.createDataFrame([("a", 10), ("b", 10), ("c", 9)], "name string, ts bigint")
+    for most, kept in ((1, {"b"}), (2, {"a", "b"}), (3, {"a", "b", "c"}), (9, {"a", "b", "c"})):
+        rows = retention.verdicts(df, "ts", 10, 100, most).collect()
+        assert len(rows) == 3 and {r.name for r in rows if r.verdict == "kept"} == kept
+
+
 def test_retention_boundaries(spark):
     df = spark.createDataFrame([(i,) for i in range(0, 1000, 100)], "ts bigint")
     got = {r.ts: r.verdict for r in retention.verdicts(df, "ts", 1000, max_age_sec=700, max_files=3).collect()}

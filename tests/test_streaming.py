@@ -49,7 +49,11 @@ def counter_batches():
 
 def test_streamed_deltas_equal_batch(spark, tmp_path):
     batches = counter_batches()
-    out = run(stream_ep.stream_deltas(stream(spark, tmp_path, batches, COUNTER_SCHEMA)), tmp_path, "s_deltas")
+    rows = sum(batches, [])
+    random.Random(4).shuffle(rows)  # arrival has nothing to do with time
+    mixed = [rows[i::4] for i in range(4)] + [[counter(10**7, 1, ip=77)]]
+    source = stream(spark, tmp_path, mixed, COUNTER_SCHEMA)
+    out = run(stream_ep.stream_deltas(source, "1 hour"), tmp_path, "s_deltas").where("ip_u32 <> 77")
     columns = ["ip_u32", "ts", "first", "d_syn", "d_packets", "d_bytes"]
     batch = deltas.with_deltas(counters(spark, sum(batches, [])), 600)
     got, want = (sorted(map(tuple, d.select(*columns).collect()), key=repr) for d in (out, batch))
@@ -58,11 +62,11 @@ def test_streamed_deltas_equal_batch(spark, tmp_path):
 
 def test_streamed_episodes_equal_batch(spark, tmp_path):
     batches = counter_batches()
-    # A cold row per key closes every run; a last far row moves the watermark on.
-    last = max(r[0] for r in sum(batches, []))
-    top = {ip: max(r[7] for r in sum(batches, []) if r[5] == ip) for ip in range(1, 6)}
-    batches.append([counter(last + 60, top[ip], ip=ip, base_ts=1000, hs=top[ip] // 50, packets=top[ip]) for ip in top])
-    out = run(stream_ep.stream_episodes(stream(spark, tmp_path, batches, COUNTER_SCHEMA), CFG, 60), tmp_path, "s_eps")
+    rows = sum(batches, [])
+    random.Random(5).shuffle(rows)
+    mixed = [rows[i::5] for i in range(5)] + [[counter(10**7, 1, ip=77)]]  # a far row closes what is open
+    source = stream(spark, tmp_path, mixed, COUNTER_SCHEMA)
+    out = run(stream_ep.stream_episodes(source, CFG, 60, "1 hour", 1000), tmp_path, "s_eps")
     iv = deltas.interval_stats(deltas.with_deltas(counters(spark, sum(batches, [])), 600), CFG, 60)
     batch = episodes.detect_episodes(iv, CFG, 60)
     columns = ["src_ip", "dst_port", "start_ts", "end_ts", "duration_sec", "interval_count", "episode_type", "max_syn_rate",
@@ -71,6 +75,22 @@ def test_streamed_episodes_equal_batch(spark, tmp_path):
     assert want and got == want
 
 
+def test_late_rows_are_ordered_or_dropped(spark, tmp_path):
+    readings = [[1000, 3000], [2000, 4000], [500, 5000]]
+    batches = [[counter(ts, ts, ip=1) for ts in b] for b in readings] + [[counter(10**7, 1, ip=77)]]
+    for lateness, total in (("10000 seconds", 4500), ("1000 seconds", 4000)):  # the second is too short for the row of 500
+        source = stream(spark, tmp_path, batches, COUNTER_SCHEMA, f"late{total}")
+        out = run(stream_ep.stream_deltas(source, lateness), tmp_path, f"s_late{total}").where("ip_u32 = 1 and not first")
+        assert sum(r.d_syn for r in out.collect()) == total
+
+
+def test_a_row_late_within_the_lateness_stays_in_its_run(spark, tmp_path):
+    batches = [[counter(1000, 0, ip=1), counter(1060, 300, ip=1), counter(1180, 900, ip=1)], [counter(1120, 600, ip=1)], [counter(10**7, 1, ip=77)]]
+    source = stream(spark, tmp_path, batches, COUNTER_SCHEMA)
+    out = run(stream_ep.stream_episodes(source, CFG, 60, "1000 seconds"), tmp_path, "s_late_run")
+    assert [(r.start_ts, r.end_ts, r.interval_count) for r in out.collect()] == [(1060, 1180, 3)]
+
+
 def test_silent_key_is_closed_by_timeout(spark, tmp_path):
     hot = [[counter(1000 + 60 * i, 300 * i, ip=1) for i in range(3)], [counter(9000, 1, ip=2)], [counter(9060, 1, ip=2)]]
     out = run(stream_ep.stream_episodes(stream(spark, tmp_path, hot, COUNTER_SCHEMA), CFG, 60), tmp_path, "s_idle")
@@ -89,6 +109,8 @@ def test_streamed_pairs_equal_batch(spark, tmp_path):
     rows = sorted(((*r[:5], r[5] + 10**15, *r[6:]) for r in rows), key=lambda r: (r[5], r[4]))
     step = len(rows) // 4 + 1
     batches = [rows[i : i + step] for i in range(0, len(rows), step)]
+    batches = [a[:-3] + b for a, b in zip(batches, [[], *[a[-3:] for a in batches]])] + [batches[-1][-3:]]
+    batches.append([(77, *rows[0][1:5], 10**18, *rows[0][6:])])
     source = stream(spark, tmp_path, batches, EVENTS).withColumn("direction", F.lit(0))
     out = run(flows.stream_pairs(source, [80]), tmp_path, "s_pairs")
     messages = framing.frame_messages(rpc.directed(spark.createDataFrame(rows, EVENTS), [80]), 500)
