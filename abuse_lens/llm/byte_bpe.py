@@ -22,7 +22,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ from abuse_lens.plans.settle import settle
 SHARDS = 1 << 17
 NO_RANK = (1 << 31) - 1
 #: Words folded once for all texts, and their longest size: together the bound of the table that every task holds.
-TABLE_WORDS, TABLE_BYTES = 1_000_000, 64
+TABLE_WORDS, TABLE_BYTES = 500_000, 64
 #: The fold's cost grows with the square of a word's size; beyond this many bytes a heap does the merging.
 FOLD_BYTES = 256
 
@@ -86,7 +85,11 @@ def fold(word: Column, ranks: Column) -> Column:
             F.slice(pieces, F.lit(1), at - 1), F.array(joined), F.slice(pieces, at + 2, F.size(pieces))
         )
 
-    def step(pieces: Column, _: Column) -> Column:
+    def state(pieces: Column, more: Column) -> Column:
+        return F.struct(pieces.alias("pieces"), more.alias("more"))
+
+    def step(now: Column, _: Column) -> Column:
+        pieces = now["pieces"]
         ranked = F.transform(
             F.slice(pieces, 2, F.size(pieces)), lambda right, i: rank(F.concat(F.element_at(pieces, i + 1), right))
         )
@@ -94,11 +97,18 @@ def fold(word: Column, ranks: Column) -> Column:
             F.array(ranked),
             lambda r: F.when(F.array_min(r) < NO_RANK, F.array_position(r, F.array_min(r))).otherwise(0).cast("int"),
         )
-        return F.aggregate(first, pieces, lambda p, at: F.when(at > 0, merged(p, at)).otherwise(p))
+        next_one = F.aggregate(
+            first, now,
+            lambda s, at: F.when(at > 0, state(merged(s["pieces"], at), F.lit(True))).otherwise(state(s["pieces"], F.lit(False))),
+        )
+        return F.when(now["more"], next_one).otherwise(now)
 
     octets = F.regexp_extract_all(F.lower(F.hex(F.encode(word, "UTF-8"))), F.lit(".."), F.lit(0))
     return let(
-        octets, lambda b: F.aggregate(F.slice(b, 2, F.size(b)), b, step, lambda pieces: F.transform(pieces, rank))
+        octets,
+        lambda b: F.aggregate(
+            F.slice(b, 2, F.size(b)), state(b, F.lit(True)), step, lambda s: F.transform(s["pieces"], rank)
+        ),
     )
 
 
@@ -125,15 +135,16 @@ def merge_with_heap(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p]
 
 
-def _java(pattern: str) -> str:
-    return "(?U)" + pattern  # Unicode classes, white space included
+def words_of(text: Column, pattern: str) -> Column:
+    """array<string>: the matches of the pattern, with Unicode classes, white space included."""
+    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
 
 
 def frequent_words(docs: DataFrame, pattern: str, count: int = TABLE_WORDS) -> DataFrame:
     """The ``count`` most frequent words of all texts, of at most ``TABLE_BYTES`` bytes each."""
-    words = F.explode(F.regexp_extract_all(F.col("text"), F.lit(_java(pattern)), F.lit(0)))
-    counts = docs.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return counts.where(F.octet_length("word") <= TABLE_BYTES).orderBy(F.desc("n"), "word").limit(count).select("word")
+    counts = docs.select(F.explode(words_of(F.col("text"), pattern)).alias("word")).groupBy("word")
+    short = counts.agg(F.count("*").alias("n")).where(F.octet_length("word") <= TABLE_BYTES)
+    return short.orderBy(F.desc("n"), "word").limit(count).select("word")
 
 
 @lru_cache(maxsize=1)
@@ -161,35 +172,36 @@ class _Table:
         return self.place
 
 
-def _segments(text: str, table: _Table, vocabulary: Vocabulary) -> tuple[list[np.ndarray], list[str]]:
-    """Ids of known words in a row, and the words between these rows."""
-    words = _compiled(vocabulary.pattern).findall(text)
+def _segments(words: pa.Array, table: _Table, ranks: dict[bytes, int]) -> tuple[pa.Array, pa.Array]:
+    """For each list of words: rows of ids of known words, and the words between these rows."""
+    offsets = words.offsets.to_numpy().astype(np.int64)
+    coded = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    offsets -= offsets[0]
+    names = coded.dictionary.to_pylist()
     place = table.index()
-    places = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
-    gaps = np.flatnonzero(places < 0)
-    rows, missing, begin = [], [], 0
-    carried: list[np.ndarray] = []
-
-    def known(a: int, b: int) -> np.ndarray:
-        p = places[a:b]
-        sizes = table.begins[p + 1] - table.begins[p]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return table.flat[np.repeat(table.begins[p] - (ends - sizes), sizes) + np.arange(total)]
-
-    for gap in gaps:
-        carried.append(known(begin, gap))
-        begin = int(gap) + 1
-        raw = words[gap].encode()
-        if len(raw) > FOLD_BYTES:
-            carried.append(np.array(merge_with_heap(raw, vocabulary.ranks), np.int32))
-        else:
-            rows.append(np.concatenate(carried))
-            missing.append(words[gap])
-            carried = []
-    carried.append(known(begin, len(words)))
-    rows.append(np.concatenate(carried))
-    return rows, missing
+    known = np.fromiter((place.get(w, -1) for w in names), np.int64, len(names))
+    begins, flat = table.begins, table.flat
+    # very long words are merged here
+    for i in np.flatnonzero(known < 0):
+        if len(names[i]) * 4 > FOLD_BYTES and len(raw := names[i].encode()) > FOLD_BYTES:
+            flat = np.concatenate([flat, np.array(merge_with_heap(raw, ranks), np.int32)])
+            known[i] = len(begins) - 1
+            begins = np.append(begins, len(flat))
+    codes = coded.indices.to_numpy()
+    places = known[codes]
+    gap = places < 0
+    safe = np.where(gap, 0, places)
+    sizes = np.where(gap, 0, begins[safe + 1] - begins[safe]) if len(begins) > 1 else np.zeros(len(safe), np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    ids = flat[np.repeat(begins[safe] - ends[:-1], sizes) + np.arange(ends[-1])] if len(safe) else flat[:0]
+    # a row ends at a gap and at the end of a text
+    gaps = np.flatnonzero(gap)
+    cuts = np.sort(np.concatenate([gaps, offsets[1:]]), kind="stable")
+    before = np.searchsorted(gaps, offsets)  # gaps before each text
+    rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends[cuts]]), pa.int32()), pa.array(ids, pa.int32()))
+    rows = pa.ListArray.from_arrays(pa.array(before + np.arange(len(offsets)), pa.int32()), rows)
+    missing = coded.dictionary.take(pa.array(codes[gaps]))
+    return rows, pa.ListArray.from_arrays(pa.array(before, pa.int32()), missing)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, table_words: int = TABLE_WORDS) -> DataFrame:
@@ -210,23 +222,22 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, table_words: int = TABLE_WOR
     rules = spark.sparkContext.broadcast(vocabulary)
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.list_(pa.list_(pa.int32())), pa.list_(pa.string())
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a in range(0, len(texts), 500):
-                found = [_segments(t, table.value, rules.value) for t in texts[a : a + 500]]
-                flat = [s for rows, _ in found for s in rows]
-                inner = pa.ListArray.from_arrays(
-                    pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), pa.array(np.concatenate(flat), pa.int32())
-                )
-                rows = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r) for r, _ in found)]), pa.int32()), inner)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, 500), rows.cast(kinds[0]), pa.array([m for _, m in found], kinds[1])],
-                    ["doc_id", "rows", "missing"],
-                )
+            for a in range(0, batch.num_rows, 1000):
+                words, odd = (batch.column(c).slice(a, 1000) for c in ("words", "odd"))
+                if odd.null_count < len(odd):
+                    find = _compiled(rules.value.pattern).findall
+                    pairs = zip(words.to_pylist(), odd.to_pylist(), strict=True)
+                    words = pa.array([w if t is None else find(t) for w, t in pairs], words.type)
+                rows, missing = _segments(words, table.value, rules.value.ranks)
+                arrays = [batch.column("doc_id").slice(a, 1000), rows, missing.cast(pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "rows", "missing"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = plain.mapInArrow(segment, f"doc_id {kind}, rows array<array<int>>, missing array<string>")
+    # code points that Java does not know yet may be letters to the library
+    odd = F.when(F.col("text").rlike(r"\p{Cn}"), F.col("text"))
+    cut = plain.select("doc_id", words_of(F.col("text"), vocabulary.pattern).alias("words"), odd.alias("odd"))
+    parts = cut.mapInArrow(segment, f"doc_id {kind}, rows array<array<int>>, missing array<string>")
     folded = F.transform("missing", lambda w: fold(w, ranks))
     none = F.array(F.array().cast("array<int>"))
     return parts.select(
