@@ -72,26 +72,24 @@ def parse_head(data: bytes, response: bool) -> tuple[int, int, int | None] | boo
 
 
 def parse_envelope(body: bytes) -> tuple[bool, int | None]:
-    """(is JSON-RPC, error code): a string ``jsonrpc`` is needed, a code must be an i32."""
+    """(is JSON-RPC, error code): a string ``jsonrpc`` is needed, a code must be an i32.
 
-    def once(pairs):
-        fields = dict(pairs)
-        if len(fields) != len(pairs):
-            raise ValueError("duplicate field")
-        return fields
+    A field that matters may be there once; what other objects repeat does not matter.
+    """
+
+    def strict(name: str):
+        raise ValueError(name)  # NaN and Infinity are no JSON
 
     try:
-        envelope = json.loads(body.decode("utf-8"), object_pairs_hook=once)
+        envelope = json.loads(body.decode("utf-8"), object_pairs_hook=_Fields, parse_constant=strict)
+        if not isinstance(envelope, _Fields) or not isinstance(envelope.only("jsonrpc"), str):
+            return False, None
+        error = envelope.only("error")
+        if error is None:
+            return True, None
+        code = error.only("code") if isinstance(error, _Fields) else True
     except (ValueError, RecursionError):
         return False, None
-    if not isinstance(envelope, dict) or not isinstance(envelope.get("jsonrpc"), str):
-        return False, None
-    error = envelope.get("error")
-    if error is None:
-        return True, None
-    if not isinstance(error, dict):
-        return False, None
-    code = error.get("code")
     if code is None:
         return True, None
     if isinstance(code, bool) or not isinstance(code, int) or not -(2**31) <= code < 2**31:
@@ -99,6 +97,16 @@ def parse_envelope(body: bytes) -> tuple[bool, int | None]:
     return True, code
 
 
+class _Fields(list):
+    """An object's (name, value) pairs as they stand in the text."""
+
+    def only(self, name: str):
+        found = [v for n, v in self if n == name]
+        if len(found) > 1:
+            raise ValueError(f"duplicate {name}")
+        return found[0] if found else None
+
+
 def head_length(payload: Column) -> Column:
     """Bytes up to and including the blank line, null when the head is not complete."""
     at = F.locate("\r\n\r\n", F.decode(payload, "ISO-8859-1"))
@@ -115,10 +123,3 @@ def content_length(payload: Column) -> Column:
 def status_code(payload: Column) -> Column:
     code = F.regexp_extract(F.decode(payload, "ISO-8859-1"), r"^HTTP/1\.[01] (\d{3})", 1)
     return F.when(code != "", code).cast("int")
-
-
-def rpc_envelope(body: Column) -> Column:
-    """Struct (parsed, error_code) of a JSON body."""
-    read = F.from_json(body, "jsonrpc string, error struct<code:int>")
-    parsed = read["jsonrpc"].isNotNull()
-    return F.struct(F.coalesce(parsed, F.lit(False)).alias("parsed"), F.when(parsed, read["error"]["code"]).alias("error_code"))

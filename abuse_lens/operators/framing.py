@@ -183,10 +183,12 @@ def frame_messages(events: DataFrame, slice_ns: int = 60_000_000_000) -> DataFra
     cut = [*CHAIN, SLICE]
     known = events.select(
         *[F.coalesce(k, F.lit(-1).cast("bigint")).alias(k) for k in FLOW], "direction", *EVENT_ORDER,
-        c("payload_len").cast("bigint").alias("payload_len"), F.coalesce("payload", F.unhex(F.lit(""))).alias("payload"),
+        # without a length the segment is as long as what was captured of it
+        F.coalesce(c("payload_len").cast("bigint"), F.octet_length("payload").cast("bigint"), F.lit(0).cast("bigint")).alias("payload_len"),
+        F.coalesce("payload", F.unhex(F.lit(""))).alias("payload"),
     )
     sliced, at = with_slice(known, "ts_ns", slice_ns)
-    sliced = sliced.withColumnRenamed(at, SLICE)
+    sliced = settle(sliced.withColumnRenamed(at, SLICE))  # every round reads it
     by_chain = Window.partitionBy(*CHAIN).orderBy(SLICE)
     totals = sliced.groupBy(*cut).agg(F.sum("payload_len").alias("total"))
     slices = settle(totals.withColumn("next", F.lead(SLICE).over(by_chain)))

@@ -149,8 +149,7 @@ def response_aggregates(pairs: DataFrame, events: DataFrame, by: list[str]) -> D
 
 def with_idle_windows(features: DataFrame, window: str, width: int) -> DataFrame:
     """Add a row with nulls for every window between the first and last seen."""
-    bounds = features.agg(F.min(window).alias("lo"), F.max(window).alias("hi"))
-    every = bounds.where(F.col("lo").isNotNull()).select(
-        F.explode(F.sequence("lo", "hi", F.lit(width).cast("bigint"))).alias(window)
-    )
-    return every.join(features, window, "left")
+    bounds = features.agg(F.min(window).alias("lo"), F.max(window).alias("hi")).first()
+    # a range is made in parallel; one array of all windows would be one task's
+    every = features.sparkSession.range(bounds.lo or 0, bounds.hi + 1 if bounds.hi is not None else 0, width)
+    return every.withColumnRenamed("id", window).join(features, window, "left")

@@ -11,6 +11,7 @@ from abuse_lens.config import DEFAULT_INTERVAL_SEC
 from abuse_lens.functions import net
 from abuse_lens.functions.timetext import hour_seconds
 from abuse_lens.schema import COUNTERS, KEY_TYPES, READABLE_VERSIONS, SNAPSHOT, U16_MAX, U32_MAX
+from abuse_lens.sinks import files
 
 _CORRUPT = "_corrupt"
 _BUCKET_FIELDS = ("key_type", "src_ip", "dst_port", *COUNTERS)
@@ -24,9 +25,23 @@ _U32_COUNTERS = tuple(c for c in COUNTERS if c != "bytes")
 
 
 def read_lines(spark: SparkSession, directory: str) -> DataFrame:
-    """Lines of every ``*.jsonl`` file directly in a directory (not below it)."""
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "false").text(directory)
-    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"))
+    """Lines of a directory's snapshot files.
+
+    These are the ``*.jsonl`` files directly in it, and the hourly folders that the
+    snapshot sink writes there; files in other folders are not read.  The parts of
+    an hourly folder are named as one file of that hour.
+    """
+    flat = spark.read.schema("value string").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "false")
+    found = [
+        flat.text(directory).select(
+            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name")
+        )
+    ]
+    if files.partition_values(spark, directory, "hour"):
+        hourly = spark.read.schema("value string, hour string").option("basePath", directory).text(f"{directory}/hour=*")
+        name = F.concat(F.lit("snapshot_"), F.col("hour"), F.lit(".jsonl"))
+        found.append(hourly.select("value", F.col("_metadata.file_path").alias("file"), name.alias("file_name")))
+    return found[0] if len(found) == 1 else found[0].union(found[1])
 
 
 def snapshot_files(lines: DataFrame) -> DataFrame:
@@ -124,13 +139,18 @@ def parse_strict(lines: DataFrame) -> DataFrame:
 
 
 def counter_rows(snapshots: DataFrame) -> DataFrame:
-    """One row per bucket; ``seq`` orders rows of one key at one ``ts``."""
+    """One row per bucket; ``seq`` orders rows of one key at one ``ts``.
+
+    That is by file, then by the line's text, then by position in the line: the same
+    order in every run.  Spark does not number the lines of a file.
+    """
+    line = F.md5(F.col("value").cast("binary")) if "value" in snapshots.columns else F.lit("")
     file = F.col("file") if "file" in snapshots.columns else F.lit("")
     rows = snapshots.select(
         F.col("ts_unix_sec").alias("ts"),
         F.col("base_ts_unix_sec").alias("base_ts"),
         "run_id",
-        file.alias("file"),
+        F.concat(file, F.lit("#"), line).alias("file"),
         F.posexplode("buckets").alias("pos", "b"),
     )
     b = F.col("b")

@@ -449,9 +449,9 @@ r AS (SELECT offender_count, concat_ws('|',
         " ELSE 'dropped' END AS direction, count(*) AS packets FROM pk GROUP BY 1"
     ),
     "q_idle_windows": q(
-        PK + """h AS (SELECT ts_ns // 3600000000000 AS hour, count(*) AS packets, CAST(sum(wire_len) AS BIGINT) AS bytes
-        FROM pk WHERE syn AND direction = 'egress' GROUP BY 1), r AS (SELECT unnest(range(min(hour), max(hour) + 1)) AS hour FROM h)""",
-        "SELECT r.hour, packets, bytes FROM r LEFT JOIN h ON r.hour = h.hour",
+        PK + """h AS (SELECT ts_ns // 60000000000 AS minute, count(*) AS packets, CAST(sum(wire_len) AS BIGINT) AS bytes
+        FROM pk GROUP BY 1), r AS (SELECT unnest(range(min(minute), max(minute) + 1)) AS minute FROM h)""",
+        "SELECT r.minute, packets, bytes FROM r LEFT JOIN h ON r.minute = h.minute",
     ),
     "q_host_delta": q(
         HOST, """SELECT pid, us AS captured_us,
@@ -557,8 +557,9 @@ WHERE rn - lft - 1 >= 0 AND (rn - lft - 1) % act.rate = 0""",
         "SELECT value FROM ev UNION ALL SELECT 'source,abuse_class,syn_rate,success_ratio,decision,packets,bytes,syn'",
     ),
     "q_hourly_files": q(
-        CUM, "SELECT ts, count(*) AS keys, CAST(sum(bytes) AS BIGINT) AS bytes FROM cum"
+        CUM, "SELECT ts, count(*) AS keys, CAST(sum(bytes) AS BIGINT) AS bytes, 'range' AS hours FROM cum"
         " WHERE strftime(make_timestamp(ts * 1000000), '%Y%m%d%H') BETWEEN '2024010500' AND '2024012023' GROUP BY ts"
+        " UNION ALL SELECT ts, count(*), CAST(sum(bytes) AS BIGINT), 'all' FROM cum GROUP BY ts"
     ),
     "q_incident_files": q(
         PK, f"""SELECT 'cpu-' || cpu AS incident_tag, ts_ns // {DAY_NS} * {D} AS trigger_ts, count(*) AS packets, count(*) * 38 AS captured
@@ -585,5 +586,14 @@ WHERE rn - lft - 1 >= 0 AND (rn - lft - 1) % act.rate = 0""",
         " done_ts AS resp_completed_ns FROM hp WHERE direction = 'from_server' AND p_dir = 'to_server'"
     ),
 }
+ORACLE["q_framing_rpc"] = q(
+    """r AS (SELECT CASE role WHEN 'user' THEN 'to_server' ELSE 'from_server' END AS direction, length(text) AS l, strlen(text) AS n,
+    role = 'assistant' AND l % 3 < 2 AS rpc_parsed, CASE WHEN role = 'assistant' AND l % 3 = 1 THEN CAST(-32600 - l % 7 AS INTEGER) END AS rpc_error_code
+    FROM conversations WHERE role IN ('user', 'assistant')),""",
+    "SELECT direction, rpc_parsed, rpc_error_code, count(*) AS messages, CAST(sum(CASE WHEN NOT rpc_parsed THEN n"
+    " WHEN rpc_error_code IS NULL THEN 40 ELSE 41 END) AS BIGINT) AS body_bytes FROM r GROUP BY 1, 2, 3",
+)
+ORACLE["q_report_from_sink"] = ORACLE["q_report_evidence"]
+ORACLE["q_snapshot_files"] = q(CUM, "SELECT DISTINCT ts // 3600 * 3600 AS hour_ts, CAST(1 AS BIGINT) AS seen FROM cum")
 ORACLE["q_collection_result_parts"] = ORACLE["q_collection_result"]
 ORACLE["q_heartbeats_parts"] = ORACLE["q_heartbeats"]

@@ -440,10 +440,10 @@ def q_direction(spark, sf):
 
 @query
 def q_idle_windows(spark, sf):
-    """Hourly packet windows with a row for hours without any packet."""
-    hours = t.packet_table(spark, sf).where(F.col("syn") & (F.col("direction") == "egress")).withColumn("hour", div(F.col("ts_ns"), 3_600_000_000_000))
-    counted = hours.groupBy("hour").agg(F.count(F.lit(1)).alias("packets"), F.sum("wire_len").alias("bytes"))
-    return rpc.with_idle_windows(counted, "hour", 1)
+    """Packet windows of a minute with a row for minutes without any packet."""
+    minutes = t.packet_table(spark, sf).withColumn("minute", div(F.col("ts_ns"), 60_000_000_000))
+    counted = minutes.groupBy("minute").agg(F.count(F.lit(1)).alias("packets"), F.sum("wire_len").alias("bytes"))
+    return rpc.with_idle_windows(counted, "minute", 1)
 
 
 # -- host, scrub, sampling ----------------------------------------------------
@@ -612,6 +612,18 @@ def q_framing(spark, sf):
     return messages.select("flow_low", "direction", "body_len", "status", "first_ts", "done_ts", "rpc_parsed")
 
 
+@query
+def q_framing_rpc(spark, sf):
+    """JSON-RPC responses among the messages, by error code."""
+    from abuse_lens.operators import framing
+
+    events = rpc.directed(t.payload_events(spark, sf, rpc=True).drop("direction"), [8899])
+    messages = framing.frame_messages(events, slice_ns=60_000_000_000)
+    return messages.groupBy("direction", "rpc_parsed", "rpc_error_code").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum("body_len").alias("body_bytes")
+    )
+
+
 @query
 def q_framed_pairs(spark, sf):
     from abuse_lens.operators import framing
@@ -679,7 +691,43 @@ def q_hourly_files(spark, sf):
     folder = f"{shared_folder(spark)}/hours-{uuid.uuid4().hex}"
     sink.append(snapshot_rows_of(spark, sf), folder)
     rows = snapshots.counter_rows(snapshots.parse(sink.read_hourly(spark, folder, "2024010500", "2024012023")).good)
-    return rows.groupBy("ts").agg(F.count(F.lit(1)).alias("keys"), F.sum("bytes").alias("bytes"))
+    whole = snapshots.counter_rows(snapshots.parse(snapshots.read_lines(spark, folder)).good)
+    counted = [F.count(F.lit(1)).alias("keys"), F.sum("bytes").alias("bytes")]
+    some, every = rows.groupBy("ts").agg(*counted), whole.groupBy("ts").agg(*counted)
+    return some.withColumn("hours", F.lit("range")).union(every.withColumn("hours", F.lit("all")))
+
+
+def written_snapshots(spark, sf, parts=3):
+    """A folder of hourly files as the sink leaves it, written in two goes."""
+    import uuid
+
+    from abuse_lens.plans.settle import shared_folder
+    from abuse_lens.sinks import snapshots as sink
+
+    folder = f"{shared_folder(spark)}/hours-{uuid.uuid4().hex}"
+    rows = packets.assemble_snapshots(t.cumulative_counters(spark, sf), t.PORTS, t.DAY, 7, 1_704_067_200, parts=parts)
+    odd = F.pmod(div(F.col("ts_unix_sec"), t.DAY), F.lit(2)) == 1
+    sink.append(rows.where(odd), folder)
+    sink.append(rows.where(~odd), folder)
+    return folder
+
+
+@query
+def q_report_from_sink(spark, sf):
+    """The report over the folder that the snapshot sink has written."""
+    from abuse_lens.plans import documents, report
+
+    run = report.from_directory(spark, written_snapshots(spark, sf), t.CFG, allow(spark), NOW)
+    return documents.evidence_lines(run).select("value")
+
+
+@query
+def q_snapshot_files(spark, sf):
+    """Hours of the files in the sink's folder, oldest first, by place."""
+    from abuse_lens.sources import snapshots
+
+    found = snapshots.snapshot_files(snapshots.read_lines(spark, written_snapshots(spark, sf)))
+    return found.groupBy("hour_ts").agg(F.lit(1).cast("bigint").alias("seen"))
 
 
 @query

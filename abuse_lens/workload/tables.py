@@ -184,20 +184,29 @@ def host_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def payload_events(spark: SparkSession, sf_dir: str, segment: int = 700) -> DataFrame:
-    """Conversations as HTTP messages cut into TCP segments of one connection each."""
+def payload_events(spark: SparkSession, sf_dir: str, segment: int = 700, rpc: bool = False) -> DataFrame:
+    """Conversations as HTTP messages cut into TCP segments of one connection each.
+
+    With ``rpc`` two of three responses are JSON-RPC, every other of these an error.
+    """
     c = F.col
-    body = F.encode("text", "UTF-8")
     request = c("role") == "user"
+    kind = F.length("text") % 3
+    code = (F.lit(-32600) - F.length("text") % 7).cast("string")
+    reply = F.when(kind == 0, F.lit('{"jsonrpc":"2.0","result":{"a":1,"a":2}}')).when(
+        kind == 1, F.concat(F.lit('{"jsonrpc":"2.0","error":{"code":'), code, F.lit("}}"))
+    )
+    said = F.when(F.lit(rpc) & ~request & reply.isNotNull(), reply).otherwise(c("text"))
+    body = F.encode(said, "UTF-8")
     head = F.when(
         request,
-        F.concat(F.lit("POST /rpc HTTP/1.1\r\nHost: h\r\ncontent-length: "), F.octet_length("text").cast("string"), F.lit("\r\n\r\n")),
+        F.concat(F.lit("POST /rpc HTTP/1.1\r\nHost: h\r\ncontent-length: "), F.octet_length(said).cast("string"), F.lit("\r\n\r\n")),
     ).otherwise(
         F.concat(
             F.lit("HTTP/1.1 "),
             F.element_at(F.array(*[F.lit(s) for s in ("200", "404", "500", "302")]), (F.length("text") % 4 + 1).cast("int")),
             F.lit(" X\r\nContent-Length: "),
-            F.octet_length("text").cast("string"),
+            F.octet_length(said).cast("string"),
             F.lit("\r\nServer: s\r\n\r\n"),
         )
     )

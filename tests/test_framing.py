@@ -18,6 +18,8 @@ CLIENT, SERVER = 5, 9
         (b"\r\nPOST /a HTTP/1.0\nContent-length: +7 \n\nxyz", False, (40, 7, None)),
         (b"HTTP/1.1 200\r\n\r\n", True, (16, 0, 200)),
         (b"HTTP/1.1 503 No\r\nContent-Length: x\r\nCONTENT-LENGTH: 3\r\n\r\n", True, (57, 3, 503)),
+        (b"HTTP/1.1 200 OK\r\nContent-Length: " + b"9" * 23 + b"\r\ncontent-length: 4\r\n\r\n", True, (79, 4, 200)),
+        (b"HTTP/1.1 200 OK\r\nContent-Length: " + b"9" * 23 + b"\r\n\r\n", True, (60, 0, 200)),
         (b"GET / HT", False, True),
         (b"GET / HTTP/1.1\r\nHost", False, True),
         (b"", False, True),
@@ -50,6 +52,10 @@ def test_parse_head(data, response, expected):
         (b'{"id":1}', (False, None)),
         (b"oops", (False, None)),
         (b'{"jsonrpc":"2.0"} x', (False, None)),
+        (b'{"jsonrpc":"2.0","result":{"a":1,"a":2}}', (True, None)),
+        (b'{"jsonrpc":"2.0","jsonrpc":"2.0"}', (False, None)),
+        (b'{"jsonrpc":"2.0","error":{"code":1,"code":2}}', (False, None)),
+        (b'{"jsonrpc":"2.0","result":NaN}', (False, None)),
     ],
 )
 def test_parse_envelope(body, expected):
