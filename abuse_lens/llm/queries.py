@@ -19,7 +19,7 @@ from abuse_lens.llm import (
     url_filter,
     winnowing,
 )
-from abuse_lens.llm.common import read
+from abuse_lens.llm.common import read, sql_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -98,3 +98,52 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     vocabulary = byte_bpe.Vocabulary.load(path, public_tokenizers.PATTERN)
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary)
+
+
+def _host(url: str) -> str:
+    found = f"regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1)"
+    return f"coalesce(translate({found}, {sql_text(url_filter.UPPER)}, {sql_text(url_filter.LOWER)}), '')"
+
+
+def _address(url: str) -> str:
+    return f"CASE WHEN contains({url}, '://') THEN {_host(url)} || regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"
+
+
+def _path(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+
+def _best_rule(source: str, key: str) -> str:
+    return f"""SELECT {key} AS key, r.host || r.path AS rule, action FROM (SELECT DISTINCT {key}, host, path FROM {source}) x
+    JOIN rules r ON (x.host = r.host OR ends_with(x.host, '.' || r.host)) AND starts_with(x.path, r.path)
+    QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY length(r.host || r.path) DESC, length(r.host) DESC, action = 'allow' DESC) = 1"""
+
+
+_LINKS = ", ".join(
+    f"list_transform(regexp_extract_all(html, {sql_text(tag)}), lambda x: regexp_extract(x, {sql_text(target)}, 1))"
+    for tag, target in ((url_filter.LINK, url_filter.HREF), (url_filter.META, url_filter.REFRESH))
+)
+ORACLE["op3_url_filter"] = f"""WITH RECURSIVE rules(host, path, action) AS (VALUES {", ".join(map(str, URL_RULES))}),
+links AS (SELECT url, unnest(list_concat({_LINKS})) AS target FROM pages WHERE contains(url, '://')),
+full_links AS (SELECT url, CASE WHEN contains(target, '://') THEN target
+  WHEN starts_with(target, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || target
+  WHEN starts_with(target, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || target
+  WHEN starts_with(target, '#') THEN url
+  ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1)
+    || coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*((?:/[^?#]*)?/)[^/?#]*', 1), ''), '/') || target END AS target
+  FROM links WHERE target <> ''),
+edges AS (SELECT {_address("url")} AS u, {_address("target")} AS v FROM full_links),
+ways AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
+reach(a, b) AS (SELECT u, v FROM ways UNION SELECT reach.a, ways.v FROM reach JOIN ways ON reach.b = ways.u),
+members AS (SELECT a AS address, least(a, min(b)) AS component FROM reach GROUP BY a),
+places AS (SELECT address, {_host("'a://' || address")} AS host, {_path("'a://' || address")} AS path FROM members),
+ruled AS ({_best_rule("places", "address")}),
+verdicts AS (SELECT component, CASE WHEN bool_or(action = 'allow') THEN 'allow' ELSE 'block' END AS verdict
+  FROM members JOIN ruled ON address = key GROUP BY component),
+aliases AS (SELECT address, verdict FROM members JOIN verdicts USING (component)),
+named AS (SELECT page_id, {_host("url")} AS host, {_path("url")} AS path, {_address("url")} AS address FROM pages),
+keyed AS (SELECT *, host || ' ' || path AS place FROM named),
+hits AS ({_best_rule("keyed", "place")})
+SELECT page_id, host, path, rule, coalesce(action, verdict, 'allow') AS verdict,
+  CASE WHEN rule IS NOT NULL THEN 'rule' WHEN verdict IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by
+FROM keyed LEFT JOIN hits ON place = key LEFT JOIN aliases USING (address)"""

@@ -343,3 +343,25 @@ def test_pipeline_of_odd_rows(spark, pipeline, docs):
     for _, stage in pipeline.STAGES:
         assert stage(spark, rows, SF).count() >= 1
         assert stage(spark, rows.where("false"), SF).count() == 0
+
+
+def test_url_filter_twin_follows_aliases(spark):
+    import duckdb
+
+    from abuse_lens.llm import queries
+
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [
+        (1, "http://m.net/1", link("http://b.com/de/1")), (2, "http://m.net/a/2?x", link("../1")), (3, "http://m.net/3", link("/1#y")),
+        (4, "http://b.com/de/1", None), (5, "http://x.example.org/en/1", ""), (6, "http://m.net/6", link("//x.example.org/en/1")),
+        (7, None, link("/1")), (8, "no", ""), (9, "http://m.net/9", link("http://y.example.org/fr/") + link("http://x.example.org/en/1")),
+    ]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, action string")
+    columns = ["page_id", "host", "path", "rule", "verdict", "decided_by"]
+    found = sorted(tuple(r) for r in url_filter.judge(table, rules).select(*columns).collect())
+    con = duckdb.connect()
+    con.register("pages", table.toPandas())
+    twin = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE['op3_url_filter']})").fetchall())
+    assert found == twin
+    assert {r[0] for r in found if r[4] == "block" and r[5] == "alias"} == {1, 3, 6}
