@@ -78,7 +78,7 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.labelled(docs, read(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, toxicity.learnable(read(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 

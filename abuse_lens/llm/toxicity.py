@@ -71,12 +71,20 @@ def swaps(sentence: set[str]) -> list[set[str]]:
     return found
 
 
-def fit_sample(labelled: DataFrame, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows of each class, chosen by a hash of doc_id."""
+def fit_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+    """doc_id, text and toxic of at most ``per_class`` labelled documents of each class, chosen by a hash of doc_id.
+
+    A doc_id that is labelled more than once takes the higher label, one that has more
+    than one text the least of them.  The choice has at most 2 x ``per_class``
+    rows, so it is broadcast and the documents stay where they are.
+    """
+    marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
-    return labelled.where("toxic = 1").orderBy(order, "doc_id").limit(per_class).union(
-        labelled.where("toxic = 0").orderBy(order, "doc_id").limit(per_class)
+    chosen = marks.where("toxic = 1").orderBy(order, "doc_id").limit(per_class).union(
+        marks.where("toxic = 0").orderBy(order, "doc_id").limit(per_class)
     )
+    found = docs.select("doc_id", "text").join(F.broadcast(settle(chosen)), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.any_value("toxic").alias("toxic"))
 
 
 def _logistic(cells, labels, pairs, size: int, settings: Settings) -> tuple[np.ndarray, float]:
@@ -118,14 +126,15 @@ def _logistic(cells, labels, pairs, size: int, settings: Settings) -> tuple[np.n
     return w[:size], float(w[size])
 
 
-def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on ``labelled(doc_id, text, toxic)``; null labels and labels other than 0 and 1 are left out.
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
+    """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``; labels other than 0 and 1 are left out.
 
     Without rows of both classes every text gets the share of the class there is
     (0.5 if there is none).  Words are chosen, and their counts made, on Spark; the
     driver gets at most 2 x ``per_class`` rows of word numbers.
     """
-    sample = settle(fit_sample(labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), settings.per_class))
+    # many small parts: reading a text takes longer than its size tells
+    sample = settle(fit_sample(docs, labels, settings.per_class).repartition(64, "doc_id"))
     totals = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     positive, negative = totals.get(1, 0), totals.get(0, 0)
     n = positive + negative
@@ -198,10 +207,9 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     )
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and toxic of the rows that a model may learn from."""
-    marks = labels.where("toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
+def learnable(labels: DataFrame) -> DataFrame:
+    """The labels that a model may learn from."""
+    return labels.where(~held_out())
 
 
 def held_out():

@@ -21,7 +21,7 @@ from abuse_lens.plans.settle import shared_folder
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier of operator 4 does not predict to be toxic."""
-    model = toxicity.fit(toxicity.labelled(docs, read(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, toxicity.learnable(read(spark, sf_dir, "labels")))
     toxic = toxicity.score(docs, model, keep=docs.columns)
     return toxic.where("predicted = 0").select(*docs.columns)
 
@@ -29,13 +29,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity operator 2 finds usual for trusted text of their language."""
     trusted = read(spark, sf_dir, "labels").where("quality = 1")
-    poor = quality.classify(docs, trusted).where(~F.col("keep")).select("doc_id").distinct()
-    return docs.join(poor, "doc_id", "left_anti").select(*docs.columns)
+    model, limits, _ = quality.learn(docs, trusted)
+    scored = quality.judge(quality.perplexities(docs, model, keep_text=True), limits)
+    return scored.where("keep").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of equal and near texts (operator 8) the document with the smallest doc_id."""
-    found = forest_join.join(docs).where("doc_id <> class_id").select("doc_id").distinct()
+    found = forest_join.join(docs).where("doc_id <> class_id").select("doc_id").distinct().hint("shuffle_hash")
     kept = docs.join(found, "doc_id", "left_anti").withColumn("_text_key", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     # a repeated row is an equal text too
     return kept.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)

@@ -80,7 +80,7 @@ def test_url_rules_and_aliases(spark):
 
 
 def test_toxicity_on_held_out_rows(spark, docs, labels):
-    model = toxicity.fit(toxicity.labelled(docs, labels))
+    model = toxicity.fit(docs, toxicity.learnable(labels))
     rows = toxicity.score(docs, model).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
     held = rows.where(toxicity.held_out()).collect()
     assert not any(r.predicted for r in held if not r.toxic)
@@ -94,7 +94,7 @@ def test_toxicity_leaves_groups_alone(spark):
     bad = ["muslims are filthy trash", "such trash and scum", "filthy scum all of them"] * 20
     rows = [(i, t, 0) for i, t in enumerate(plain)] + [(1000 + i, t, 1) for i, t in enumerate(bad)]
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    with_price, without = (toxicity.fit(table, toxicity.Settings(counterfactual=c)) for c in (4.0, 0.0))
+    with_price, without = (toxicity.fit(table, table, toxicity.Settings(counterfactual=c)) for c in (4.0, 0.0))
     said = "muslims, christians and jews sold bread"
     assert with_price.score(said) < without.score(said)
     assert with_price.score(said) < 0.5 < with_price.score("what filthy trash")
@@ -110,8 +110,8 @@ def test_toxicity_of_odd_rows(spark):
     assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
     assert [r.predicted for r in rows if r.doc_id is None] == [1]
     one_class = spark.createDataFrame([(1, "a", 1), (2, None, None)], "doc_id long, text string, toxic int")
-    assert toxicity.fit(one_class).score("a") > 0.5
-    assert toxicity.fit(one_class.where("false")).score("a") == 0.5
+    assert toxicity.fit(one_class, one_class).score("a") > 0.5
+    assert toxicity.fit(one_class, one_class.where("false")).score("a") == 0.5
 
 
 # --- quality ---
@@ -364,4 +364,4 @@ def test_url_filter_twin_follows_aliases(spark):
     con.register("pages", table.toPandas())
     twin = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE['op3_url_filter']})").fetchall())
     assert found == twin
-    assert {r[0] for r in found if r[4] == "block" and r[5] == "alias"} == {1, 3, 6}
+    assert {r[0]: r[4] for r in found if r[5] == "alias"} == {1: "block", 3: "block", 6: "allow", 9: "allow"}
