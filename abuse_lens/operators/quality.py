@@ -37,13 +37,35 @@ def good_and_bad(events: DataFrame, defect: Column) -> tuple[DataFrame, DataFram
     return marked.where(F.col("defect").isNull()).drop("defect"), marked.where(F.col("defect").isNotNull())
 
 
-def event_quality(events: DataFrame, by: list[str], defect: Column, direction: Column) -> DataFrame:
-    """Decode errors and events of no watched port, per window."""
-    return events.groupBy(*by).agg(
+def event_quality(
+    events: DataFrame, by: list[str], defect: Column, direction: Column, scrubbed: Column | None = None
+) -> DataFrame:
+    """Decode errors, events of no watched port and (if asked for) events scrubbed away, per window."""
+    counts = [
         F.count(F.lit(1)).alias("events"),
         F.count_if(defect.isNotNull()).alias("decode_errors"),
         F.count_if(defect.isNull() & direction.isNull()).alias("events_filtered"),
-    )
+    ]
+    if scrubbed is not None:
+        counts.append(F.count_if(defect.isNull() & scrubbed).alias("events_scrubbed"))
+    return events.groupBy(*by).agg(*counts)
+
+
+def window_results(
+    counted: DataFrame, pairs: DataFrame, by: list[str], source_errors: DataFrame | None = None
+) -> DataFrame:
+    """:func:`event_quality` with each window's pairs, whether it has aggregates, and its source errors.
+
+    ``pairs`` are the completed ones with the window columns, ``source_errors`` one row
+    per error of the event source with them.
+    """
+    zero = F.lit(0).cast("bigint")
+    out = counted.join(pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs")), by, "left")
+    if source_errors is not None:
+        errors = source_errors.groupBy(*by).agg(F.count(F.lit(1)).alias("source_errors"))
+        out = out.join(errors, by, "left").withColumn("source_errors", F.coalesce("source_errors", zero))
+    pairs_seen = F.coalesce("n_pairs", zero)
+    return out.withColumns({"n_pairs": pairs_seen, "has_aggregates": pairs_seen > 0})
 
 
 def run_totals(per_window: DataFrame, by: list[str] | None = None) -> DataFrame:

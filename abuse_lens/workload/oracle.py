@@ -562,6 +562,10 @@ WHERE rn - lft - 1 >= 0 AND (rn - lft - 1) % act.rate = 0""",
         " UNION ALL SELECT ts, count(*), CAST(sum(bytes) AS BIGINT), 'all' FROM cum GROUP BY ts"
     ),
     "q_incident_files": q(
+        PK, f"""SELECT 'cpu-' || cpu AS incident_tag, ts_ns // {DAY_NS} * {D} AS trigger_ts, count(*) AS packets, count(*) * 38 AS captured,
+        true AS within FROM pk WHERE wire_len > 0 GROUP BY 1, 2"""
+    ),
+    "q_archive": q(
         PK, f"""SELECT 'cpu-' || cpu AS incident_tag, ts_ns // {DAY_NS} * {D} AS trigger_ts, count(*) AS packets, count(*) * 38 AS captured
         FROM pk WHERE wire_len > 0 GROUP BY 1, 2"""
     ),
@@ -586,6 +590,14 @@ WHERE rn - lft - 1 >= 0 AND (rn - lft - 1) % act.rate = 0""",
         " done_ts AS resp_completed_ns FROM hp WHERE direction = 'from_server' AND p_dir = 'to_server'"
     ),
 }
+ORACLE["q_window_results"] = q(
+    HTTP + """e AS (SELECT *, (head + n - 1) // 700 + 1 AS segments FROM hm), w AS (SELECT first_ts // 60000000000 AS minute,
+    CAST(sum(segments) AS BIGINT) AS events, CAST(sum(CASE WHEN role = 'user' AND client_ip % 7 = 0 THEN segments ELSE 0 END) AS BIGINT) AS hidden,
+    CAST(sum(segments // 2) AS BIGINT) AS odd FROM e GROUP BY 1),
+    p AS (SELECT done_ts // 60000000000 AS minute, count(*) AS pairs FROM hp WHERE direction = 'from_server' AND p_dir = 'to_server' GROUP BY 1),""",
+    """SELECT minute AS "window", events, CAST(0 AS BIGINT) AS decode_errors, CAST(0 AS BIGINT) AS events_filtered, hidden AS events_scrubbed,
+    coalesce(pairs, 0) AS n_pairs, odd AS source_errors, coalesce(pairs, 0) > 0 AS has_aggregates FROM w LEFT JOIN p USING (minute)""",
+)
 ORACLE["q_framing_rpc"] = q(
     """r AS (SELECT CASE role WHEN 'user' THEN 'to_server' ELSE 'from_server' END AS direction, length(text) AS l, strlen(text) AS n,
     role = 'assistant' AND l % 3 < 2 AS rpc_parsed, CASE WHEN role = 'assistant' AND l % 3 = 1 THEN CAST(-32600 - l % 7 AS INTEGER) END AS rpc_error_code

@@ -565,6 +565,21 @@ def q_quality(spark, sf):
     return quality.event_quality(marked_events(spark, sf), ["window"], quality.packet_defect(), rpc.server_direction([8000]))
 
 
+@query
+def q_window_results(spark, sf):
+    """What a collector reports of every minute: events, losses and pairs."""
+    from abuse_lens.operators import framing
+
+    minute = lambda ts: div(F.col(ts), 60_000_000_000)
+    events = t.payload_events(spark, sf).withColumn("window", minute("ts_ns"))
+    hidden = (F.col("src_ip") % 7 == 0) & (F.col("dst_port") == 8899)
+    counted = quality.event_quality(events, ["window"], quality.payload_defect(), F.lit("known"), hidden)
+    messages = framing.frame_messages(rpc.directed(events.drop("direction", "window"), [8899]), slice_ns=60_000_000_000)
+    pairs = rpc.pair_messages(messages, ["flow_low", "flow_high"], ["done_ts", "done_seq"], "done_ts", 3_000_000_000)
+    odd = events.where(F.pmod(F.col("tcp_seq"), F.lit(1400)) == 700)  # stands for a source's error log
+    return quality.window_results(counted, pairs.withColumn("window", minute("resp_completed_ns")), ["window"], odd)
+
+
 @query
 def q_quality_totals(spark, sf):
     per_window = quality.event_quality(marked_events(spark, sf), ["window"], quality.packet_defect(), rpc.server_direction([8000]))
@@ -730,9 +745,8 @@ def q_snapshot_files(spark, sf):
     return found.groupBy("hour_ts").agg(F.lit(1).cast("bigint").alias("seen"))
 
 
-@query
-def q_incident_files(spark, sf):
-    """Packets recorded per CPU and day, written in segments and read back."""
+def written_incidents(spark, sf, max_bytes):
+    """A folder of packets recorded per CPU and day."""
     import uuid
 
     from abuse_lens.plans.settle import shared_folder
@@ -743,9 +757,35 @@ def q_incident_files(spark, sf):
         "event_id", "pkt", F.concat(F.lit("cpu-"), F.col("cpu")).alias("incident_tag"), day.alias("trigger_ts")
     )
     folder = f"{shared_folder(spark)}/incidents-{uuid.uuid4().hex}"
-    incidents.write(recorded, folder, max_bytes=1_000_000)
-    back = spark.read.schema("event_id bigint, pkt binary, incident_tag string, trigger_ts bigint").parquet(folder)
-    return back.groupBy("incident_tag", "trigger_ts").agg(
+    incidents.write(recorded, folder, max_bytes=max_bytes)
+    return folder
+
+
+RECORDED = "event_id bigint, pkt binary, incident_tag string, trigger_ts bigint"
+
+
+@query
+def q_incident_files(spark, sf):
+    """Packets written in segments and read back; none of a segment's files has more records than fit."""
+    back = spark.read.schema(RECORDED).parquet(written_incidents(spark, sf, 5400))
+    per_file = back.groupBy("incident_tag", "trigger_ts", F.col("_metadata.file_path").alias("file")).agg(
+        F.count(F.lit(1)).alias("packets"), F.sum(F.length("pkt")).alias("captured")
+    )
+    return per_file.groupBy("incident_tag", "trigger_ts").agg(
+        F.sum("packets").alias("packets"), F.sum("captured").alias("captured"),
+        (F.max("packets") <= 5400 // (38 + 16)).alias("within"),
+    )
+
+
+@query
+def q_archive(spark, sf):
+    """All triggers archived; what the copies hold."""
+    from abuse_lens.sinks import incidents
+
+    folder = written_incidents(spark, sf, 1_000_000)
+    incidents.archive(spark, folder, f"{folder}-archive", 4_000_000_000, 3600)
+    copies = spark.read.schema(f"{RECORDED}, source_file string").parquet(f"{folder}-archive")
+    return copies.groupBy("incident_tag", "trigger_ts").agg(
         F.count(F.lit(1)).alias("packets"), F.sum(F.length("pkt")).alias("captured")
     )
 

@@ -164,6 +164,11 @@ def test_incident_segments_and_archive(spark, tmp_path):
     assert files.partition_values(spark, root, "incident_tag") == [] or not list((tmp_path / "inc").rglob("*.parquet"))
     assert spark.read.parquet(gone).groupBy("incident_tag").count().orderBy("incident_tag").collect()[0][:] == ("a", 60)
     assert list((tmp_path / "arc").rglob("*.gz.parquet"))
+    assert incidents.archive(spark, root, gone, now + 7200, 3600) == incidents.ArchiveResult(0, 0)
+    incidents.write(df.where("incident_tag = 'a'").withColumn("incident_tag", F.lit("a b%c")).union(df.where("incident_tag = 'b'")), root)
+    assert incidents.archive(spark, root, gone, now + 7200, 3600) == incidents.ArchiveResult(2, 0)
+    rows = spark.read.parquet(gone).groupBy("incident_tag").count().collect()
+    assert sorted(tuple(r) for r in rows) == [("a", 60), ("a b%c", 60), ("b", 80)]
     assert incidents.archive(spark, str(tmp_path / "none"), gone, now, 1) == incidents.ArchiveResult(0, 0)
 
 
