@@ -66,7 +66,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest_join.join(read(spark, sf_dir, "documents"))
+    return forest_join.join(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 @query
