@@ -598,6 +598,10 @@ ORACLE["q_window_results"] = q(
     """SELECT minute AS "window", events, CAST(0 AS BIGINT) AS decode_errors, CAST(0 AS BIGINT) AS events_filtered, hidden AS events_scrubbed,
     coalesce(pairs, 0) AS n_pairs, odd AS source_errors, coalesce(pairs, 0) > 0 AS has_aggregates FROM w LEFT JOIN p USING (minute)""",
 )
+ORACLE["q_rpc_envelopes"] = q(
+    "r AS (SELECT length(text) AS l FROM conversations WHERE role = 'assistant' AND length(text) % 3 < 2)",
+    "SELECT CASE WHEN l % 3 = 1 THEN CAST(-32600 - l % 7 AS INTEGER) END AS error_code, count(*) AS responses FROM r GROUP BY 1",
+)
 ORACLE["q_framing_rpc"] = q(
     """r AS (SELECT CASE role WHEN 'user' THEN 'to_server' ELSE 'from_server' END AS direction, length(text) AS l, strlen(text) AS n,
     role = 'assistant' AND l % 3 < 2 AS rpc_parsed, CASE WHEN role = 'assistant' AND l % 3 = 1 THEN CAST(-32600 - l % 7 AS INTEGER) END AS rpc_error_code

@@ -661,6 +661,19 @@ def q_head_fields(spark, sf):
     )
 
 
+@query
+def q_rpc_envelopes(spark, sf):
+    """JSON-RPC bodies of responses that one payload holds whole, without Python."""
+    from abuse_lens.functions import http
+
+    p = F.col("payload")
+    first = t.payload_events(spark, sf, rpc=True).where((F.col("tcp_seq") == 0) & (F.col("direction") == 1))
+    whole = first.where(http.head_length(p) + http.content_length(p) == F.octet_length(p))
+    body = F.decode(F.substring(p, http.head_length(p) + 1, F.octet_length(p)), "UTF-8")
+    read = whole.select(http.rpc_envelope(body).alias("e")).where("e.parsed")
+    return read.groupBy(F.col("e.error_code").alias("error_code")).agg(F.count(F.lit(1)).alias("responses"))
+
+
 @query
 def q_payload_snapshots(spark, sf):
     """Window features as snapshot lines, parsed again."""
