@@ -365,3 +365,15 @@ def test_url_filter_twin_follows_aliases(spark):
     twin = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE['op3_url_filter']})").fetchall())
     assert found == twin
     assert {r[0]: r[4] for r in found if r[5] == "alias"} == {1: "block", 3: "block", 6: "allow", 9: "allow"}
+
+
+def test_queries_are_registered_and_twins_agree(spark):
+    import __spark_entry__ as entry
+    from check import canonical, connect
+
+    names = set(entry.queries())
+    assert {m[0] for n in names if (m := re.match(r"op\d+_", n))} == {f"op{i}_" for i in range(1, 11)} and "pipeline" in names
+    for name, sql in entry.oracle_sql().items():
+        if name.startswith("op"):
+            ours = entry.queries()[name](spark, SF).toPandas()
+            assert canonical(ours) == canonical(connect(SF).execute(sql).fetch_df())
