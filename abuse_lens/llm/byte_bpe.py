@@ -213,7 +213,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, table_words: int = TABLE_WOR
     spark, ranks = docs.sparkSession, vocabulary.rank_map()
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = settle(frequent_words(plain, vocabulary.pattern, table_words))
-    known = settle(words.select("word", fold(F.col("word"), ranks).alias("ids"))).toArrow().combine_chunks()
+    dealt = words.repartition(64, "word")  # few words, but each takes a while
+    known = settle(dealt.select("word", fold(F.col("word"), ranks).alias("ids"))).toArrow().combine_chunks()
 
     def one(name: str, kind: pa.DataType) -> pa.Array:
         return pa.concat_arrays([c.cast(kind) for c in known[name].chunks] or [pa.array([], kind)])
