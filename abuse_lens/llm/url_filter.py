@@ -64,7 +64,8 @@ def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFra
     html = F.coalesce(F.col("html"), F.lit(""))
     links = F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(0)), lambda tag: F.regexp_extract(tag, HREF, 1))
     metas = F.transform(F.regexp_extract_all(html, F.lit(META), F.lit(0)), lambda tag: F.regexp_extract(tag, REFRESH, 1))
-    named = html.contains("canonical") | F.lower(html).contains("refresh")
+    small = F.lower(html)
+    named = small.contains("canonical") | small.contains("refresh")
     found = (
         pages.where(F.col("url").contains("://") & named)
         .select("url", F.explode(F.concat(links, metas)).alias("target"))

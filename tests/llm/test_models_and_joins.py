@@ -76,6 +76,17 @@ def test_url_rules_and_aliases(spark):
     assert {r.verdict for r in url_filter.judge(table, rules.where("false")).collect()} == {"allow"}
 
 
+def test_alias_tags_in_any_case(spark):
+    pages = [
+        (1, "http://m.net/1", '<LINK REL="CANONICAL" HREF="http://b.com/de/1">'), (2, "http://m.net/2", "<link rel=Canonical href=http://m.net/1>"),
+        (3, "http://m.net/3", "<META HTTP-EQUIV=REFRESH CONTENT='0; URL=http://m.net/2'>"),
+    ]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    found = {r.page_id: (r.verdict, r.decided_by) for r in url_filter.judge(table, rules).collect()}
+    assert found == dict.fromkeys((1, 2, 3), ("block", "alias"))
+
+
 # --- toxicity ---
 
 
