@@ -89,8 +89,15 @@ RULES = [
     ("CC-BY-4.0", ["cc-by"]),
     ("CC0-1.0", ["cc0"]),
 ]
-#: A sentence ends at one of these before white space, or at the end of the line.
-SENTENCE_END = r"([.!?;:])\s+"
+#: Normalised sentences with a free name in them, and the known sentence that each is read as.
+FORMS = [
+    (
+        "^neither the names? of .+ nor the names of (its|their) contributors may be used",
+        "neither the name of the copyright holder nor the names of its contributors may be used",
+    ),
+]
+#: A sentence ends at one of these before white space, but not behind a name such as "Example Inc." in a form above.
+SENTENCE_END = r"([.!?;:])\s++(?!(?i:nor\s+the\s+names\s+of\b))"
 
 
 def normalise(sentence: Column) -> Column:
@@ -98,13 +105,30 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
-def _pieces(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), r"\n")
+def _identifier(piece: Column, known: Column) -> Column:
+    """The identifier of a known sentence, else null."""
+    plain = normalise(piece)
+    for form, sentence in FORMS:
+        plain = F.regexp_replace(plain, form, sentence)
+    return F.element_at(known, plain)
+
 
+def _identifiers(text: Column, known: Column) -> Column:
+    """Identifiers of the known sentences of a text, in order.
 
-def _identifiers(pieces: Column, known: Column) -> Column:
-    """Identifiers of the known sentences among ``pieces``, in order."""
-    return F.filter(F.transform(pieces, lambda s: F.element_at(known, normalise(s))), lambda i: i.isNotNull())
+    A sentence runs over the lines of its paragraph.  If it is not known, each of
+    its lines is looked up on its own, where it stands.
+    """
+    ended = F.regexp_replace(F.translate(text, "\u0001", " "), r"\n[ \t\r]*\n\s*", "\u0001")  # an empty line ends a sentence
+    pieces = F.split(F.regexp_replace(ended, SENTENCE_END, "$1\u0001"), "\u0001")
+    none = F.array().cast("array<string>")
+
+    def read(piece: Column) -> Column:
+        lines = F.filter(F.transform(F.split(piece, r"\n"), lambda s: _identifier(s, known)), lambda i: i.isNotNull())
+        alone = F.when(F.contains(piece, F.lit("\n")), lines).otherwise(none)
+        return let(_identifier(piece, known), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(alone))
+
+    return F.flatten(F.transform(pieces, read))
 
 
 def _match(ids: Column, rules: list[tuple[str, list[str]]]) -> Column:
@@ -131,9 +155,8 @@ def scan(
 ) -> DataFrame:
     """doc_id, sentence_ids and licences (both arrays of strings) for every row.
 
-    A sentence may stand on a line of its own or run over several lines; the
-    reading that recognises more sentences counts, the first if they tie.  Null
-    and empty texts have empty arrays.  The sentence table is a literal and so
+    A sentence may stand on a line of its own or run over several lines; both are
+    recognised in the same text.  Null and empty texts have empty arrays.  The sentence table is a literal and so
     should have at most some hundred entries; ``scan`` raises above 2000.
     """
     table = {_plain(s): name for name, group in sentences.items() for s in group}
@@ -144,15 +167,7 @@ def scan(
     words = sorted({min(s.split(), key=lambda w: (-len(w), w)) for s in table})
     may = F.lower(text).rlike("|".join(words))
     known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    by_line = _identifiers(_pieces(text), known)
-    # lines of a paragraph run on; an empty line ends a sentence
-    paragraphs = F.regexp_replace(text, r"\n[ \t\r]*\n\s*", "\u0001")
-    run_on = _identifiers(_pieces(F.translate(F.regexp_replace(paragraphs, r"\s+", " "), "\u0001", "\n")), known)
-    best = let(
-        F.struct(by_line.alias("a"), run_on.alias("b")),
-        lambda x: F.when(F.size(x["b"]) > F.size(x["a"]), x["b"]).otherwise(x["a"]),
-    )
-    ids = F.when(may, best).otherwise(F.array().cast("array<string>"))
+    ids = F.when(may, _identifiers(text, known)).otherwise(F.array().cast("array<string>"))
     return docs.select("doc_id", ids.alias("sentence_ids")).select(
         "doc_id", "sentence_ids", _match(F.col("sentence_ids"), rules).alias("licences")
     )

@@ -221,6 +221,30 @@ def test_licences(spark):
     assert licences.scan(table.where("false")).collect() == []
 
 
+def test_licences_by_line_and_over_lines_in_one_text(spark):
+    gpl = (
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public"
+        " License as published by\nthe Free Software Foundation, either version 3 of the License, or (at\nyour option) any later version."
+    )
+    bsd = [licences.SENTENCES[x][0] for x in ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")]
+    holder = "\n".join(bsd)
+    rows = [
+        (1, f"Some prose without an end\nReleased under the MIT License.\n\n{gpl}", ["gpl-free", "gpl3-redistribute", "mit-released"], ["GPL-3.0-or-later", "MIT"]),
+        (2, f"{gpl}\nSome prose\nLicensed under CC BY 4.0.\nmore", ["cc-by", "gpl-free", "gpl3-redistribute"], ["CC-BY-4.0", "GPL-3.0-or-later"]),
+        (3, holder, None, ["BSD-3-Clause"]),
+        (4, holder.replace("copyright holder", "University of\nSomewhere"), None, ["BSD-3-Clause"]),
+        (5, holder.replace("the copyright holder nor", "Example Inc.  nor").replace(bsd[3][:7], "* Neither"), None, ["BSD-3-Clause"]),
+        (6, "\n".join(bsd[:3]), None, ["BSD-2-Clause"]),
+        (7, "You may obtain a copy of the License at\nhttp://www.apache.org/licenses/LICENSE-2.0", ["apache-copy"], []),
+    ]
+    table = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = {r.doc_id: r for r in licences.scan(table).collect()}
+    for i, _, ids, names in rows:
+        assert sorted(found[i].licences) == names, i
+        assert ids is None or sorted(found[i].sentence_ids) == ids, i
+    assert found[1].sentence_ids[0] == "mit-released" and found[2].sentence_ids[-1] == "cc-by"
+
+
 def test_licence_lines_of_the_documents(docs):
     lines = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License."}
     found = {r.doc_id: r.licences for r in licences.scan(docs).collect()}
