@@ -30,8 +30,8 @@ MEMO_CHUNKS = 1_000_000
 SENTINEL = "\ue000"
 #: Lower and upper case of these are one letter each, in any normal form.
 PLAIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Nodes that the search may visit before it settles for the best packing so far.
-SEARCH_NODES = 40
+#: Steps of branch and bound, and patterns made while wasteful bins are completed anew, before the search settles for the best packing so far.
+SEARCH_NODES, REPAIR_STEPS = 5000, 20_000
 #: A length's pieces are numbered in so many parts, so that a common length is no single task.
 PARTS = 512
 
@@ -239,11 +239,14 @@ class _Search:
     """Bin completion over a histogram of lengths.
 
     A bin holds the largest length left and a filling of the rest of the bin.
-    Fillings of one and two more pieces are enumerated whole, larger ones by
-    completing the gap of the best of these in turn; a filling is dominated, and
-    left out, if another one wastes no more with fewer and larger pieces.  Best fit
-    first gives the incumbent; a branch is cut when its waste, with the least
-    waste of what is left, needs as many bins as the incumbent.
+    A whole packing comes first: each filling is completed by the pair that wastes
+    least, among equal ones by a draw that favours common lengths, so that no
+    length runs out early.  Then the bins that waste are opened together with
+    some full ones and completed anew, as long as that takes no more bins.  What
+    is still above the bound by the sum of lengths is searched by branch and
+    bound: every filling that none dominates is a branch of every node, and a
+    branch is cut when its bins, with the least waste of what is left, are as
+    many as the best packing has.  All draws are seeded: equal histograms are packed alike.
     """
 
     def __init__(self, counts: dict[int, int], capacity: int) -> None:
@@ -252,78 +255,140 @@ class _Search:
             self.counts[length] = n
         self.total = int((self.counts * np.arange(capacity + 1)).sum())
         self.least = -(-self.total // capacity)  # no packing has fewer bins
-
-    def _fit(self, counts: np.ndarray) -> np.ndarray:
-        """For each gap the largest length left that fits, 0 if none does."""
-        lengths = np.arange(self.capacity + 1)
-        return np.maximum.accumulate(np.where(counts > 0, lengths, 0))
-
-    def _fillings(self, counts: np.ndarray, gap: int) -> list[tuple[int, ...]]:
-        """Undominated fillings of ``gap``, least waste first; those of equal waste with larger pieces first."""
-        fit = self._fit(counts)
-        one = int(fit[gap])
-        if not one:
-            return [()]
-        firsts = np.flatnonzero(counts[: gap + 1])[::-1]
-        firsts = firsts[firsts > 0]
-        seconds = fit[gap - firsts]
-        # a second piece like the first needs two of them
-        lacking = (seconds == firsts) & (counts[firsts] < 2)
-        seconds = np.where(lacking, fit[np.minimum(gap - firsts, np.maximum(firsts - 1, 0))], seconds)
-        waste = gap - firsts - seconds
-        order = np.argsort(waste, kind="stable")[:3]
-        found = [(one,)] if one == gap else []
-        for i in order:
-            filling = (int(firsts[i]), int(seconds[i])) if seconds[i] else (int(firsts[i]),)
-            left = counts.copy()
-            for x in filling:
-                left[x] -= 1
-            rest = int(waste[i])
-            while rest and (x := int(self._fit(left)[rest])):
-                filling, rest = (*filling, x), rest - x
-                left[x] -= 1
-            found.append(filling)
-        unique = {tuple(sorted(f, reverse=True)) for f in found}
-        return sorted(unique, key=lambda f: (gap - sum(f), len(f), [-x for x in f]))
-
-    def _use(self, counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-        """Choices for the next bin: a filling around the largest length and how often it can be used."""
+        self.random, self.steps = np.random.default_rng(0), 0
+
+    def _filling(self, counts: np.ndarray, gap: int) -> list[int]:
+        """Pieces for ``gap``, taken from ``counts``, two at a time."""
+        filling: list[int] = []
+        while gap:
+            firsts = np.flatnonzero(counts[: gap + 1])
+            if not len(firsts):
+                break
+            at = np.searchsorted(firsts, gap - firsts, side="right") - 1
+            # a second piece like the first needs two of them
+            at -= (at == np.arange(len(firsts))) & (counts[firsts] < 2)
+            seconds = np.where(at >= 0, firsts[np.maximum(at, 0)], 0)
+            waste = gap - firsts - seconds
+            ties = np.flatnonzero(waste == waste.min())
+            common = counts[firsts[ties]] * np.where(seconds[ties] > 0, counts[seconds[ties]], 1).astype(float)
+            i = ties[np.argmax(common * self.random.random(len(ties)))]
+            for x in (int(firsts[i]), int(seconds[i])):
+                if x:
+                    filling.append(x)
+                    counts[x] -= 1
+                    gap -= x
+        return filling
+
+    def _complete(self, counts: np.ndarray) -> dict[tuple[int, ...], int]:
+        """A packing of all of ``counts``: how often each pattern is used."""
+        counts, used = counts.copy(), {}
+        while len(left := np.flatnonzero(counts)):
+            largest = int(left[-1])
+            counts[largest] -= 1
+            pattern = (largest, *self._filling(counts, self.capacity - largest))
+            lengths, each = np.unique(pattern, return_counts=True)
+            more = int((counts[lengths] // each).min())
+            counts[lengths] -= each * more
+            used[pattern] = used.get(pattern, 0) + more + 1
+            self.steps += 1
+        return used
+
+    def _repair(self, used: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], int]:
+        """Open the bins that waste and about twice as many full ones, and complete them anew."""
+        patterns = list(used)
+        times = np.array([used[p] for p in patterns])
+        wastes = np.array([sum(p) < self.capacity for p in patterns])
+        share = min(1.0, 2 * max(times[wastes].sum(), 20) / max(times[~wastes].sum(), 1))
+        opened = np.where(wastes, times, self.random.binomial(times, share))
+        freed = np.zeros(self.capacity + 1, np.int64)
+        for pattern, n in zip(patterns, opened, strict=True):
+            np.add.at(freed, list(pattern), n)
+        found = self._complete(freed)
+        if sum(found.values()) > opened.sum():
+            return used
+        kept = {p: int(t - n) for p, t, n in zip(patterns, times, opened, strict=True) if t > n}
+        for pattern, n in found.items():
+            kept[pattern] = kept.get(pattern, 0) + n
+        return kept
+
+    def _fit(self, counts: np.ndarray, gap: int) -> int:
+        """The largest length left that fits, 0 if none does."""
+        some = np.flatnonzero(counts[1 : gap + 1])
+        return int(some[-1]) + 1 if len(some) else 0
+
+    def _fillings(self, counts: np.ndarray, gap: int, most: int) -> Iterator[tuple[int, ...]]:
+        """Every filling of ``gap`` by pieces of at most ``most`` to which nothing can be added, larger pieces first."""
+        x = self._fit(counts, min(gap, most))
+        if not x and not self._fit(counts, gap):
+            yield ()
+        while x:
+            counts[x] -= 1
+            for rest in self._fillings(counts, gap - x, x):
+                yield (x, *rest)
+            counts[x] += 1
+            x = self._fit(counts, x - 1)
+
+    def _dominated(self, counts: np.ndarray, filling: tuple[int, ...], waste: int) -> bool:
+        """Whether a piece left could take the place of a smaller one, or of two, within the bin."""
+        pieces = set(filling)
+        pairs = {a + b for i, a in enumerate(filling) for b in filling[:i]}
+        return any(self._fit(counts, x + waste) > x for x in pieces) or any(self._fit(counts, x + waste) >= x for x in pairs)
+
+    def _branches(self, counts: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Undominated fillings around the largest length, each as often as it can be and once; 0 times marks a dominated one."""
         largest = int(np.flatnonzero(counts)[-1])
         left = counts.copy()
         left[largest] -= 1
-        choices = []
-        for filling in self._fillings(left, self.capacity - largest):
+        for filling in self._fillings(left, self.capacity - largest, self.capacity):
             pattern = (largest, *filling)
-            each = np.bincount(pattern, minlength=self.capacity + 1)
-            has = each > 0
-            choices.append((pattern, int((counts[has] // each[has]).min())))
-        return choices
-
-    def run(self) -> list[tuple[tuple[int, ...], int]]:
-        best: list[tuple[tuple[int, ...], int]] = []
-        bins_best, nodes = None, 0
-        stack: list[tuple[np.ndarray, list, int, int]] = [(self.counts, [], 0, self.total)]
-        while stack and (bins_best is None or nodes < SEARCH_NODES):
-            counts, used, bins, left = stack.pop()
+            lengths, each = np.unique(pattern, return_counts=True)
+            after = counts.copy()
+            after[lengths] -= each
+            if self._dominated(after, filling, self.capacity - sum(pattern)):
+                yield pattern, 0
+                continue
+            times = int((counts[lengths] // each).min())
+            yield pattern, times
+            if times > 1:
+                yield pattern, 1
+
+    def _branch_and_bound(self, bins_best: int) -> list[tuple[tuple[int, ...], int]] | None:
+        """A packing with fewer bins than ``bins_best``, the best within the budget of nodes; None if none is found."""
+        best, nodes = None, 0
+        used: list[tuple[tuple[int, ...], int]] = []
+        counts, left, bins = self.counts.copy(), self.total, 0
+        open_nodes = [self._branches(counts.copy())]
+        while open_nodes and nodes < SEARCH_NODES and bins_best > self.least:
             nodes += 1
-            while left:
-                # the waste so far and no more from here on
-                if bins_best is not None and bins + -(-left // self.capacity) >= bins_best:
-                    break
-                choices = self._use(counts)
-                if bins_best is None and len(stack) < 64:
-                    for pattern, times in reversed(choices[1:]):
-                        stack.append(self._after(counts, used, bins, left, pattern, times))
-                counts, used, bins, left = self._after(counts, used, bins, left, *choices[0])
-            else:
-                best, bins_best = used, bins
-                if bins_best == self.least:
-                    break
+            branch = next(open_nodes[-1], None)
+            if branch is None:
+                open_nodes.pop()
+                if used:
+                    pattern, times = used.pop()
+                    np.add.at(counts, list(pattern), times)
+                    left, bins = left + sum(pattern) * times, bins - times
+                continue
+            pattern, times = branch
+            rest = left - sum(pattern) * times
+            # the waste so far and no more from here on
+            if not times or bins + times + -(-rest // self.capacity) >= bins_best:
+                continue
+            if not rest:
+                best, bins_best = [*used, branch], bins + times
+                continue
+            used.append(branch)
+            np.subtract.at(counts, list(pattern), times)
+            left, bins = rest, bins + times
+            open_nodes.append(self._branches(counts.copy()))
         return best
 
-    def _after(self, counts, used, bins, left, pattern, times):
-        each = np.bincount(pattern, minlength=self.capacity + 1)
-        return counts - each * times, [*used, (pattern, times)], bins + times, left - sum(pattern) * times
+    def run(self) -> list[tuple[tuple[int, ...], int]]:
+        used = self._complete(self.counts)
+        first = self.steps
+        while sum(used.values()) > self.least and self.steps < first + REPAIR_STEPS:
+            used = self._repair(used)
+        bins = sum(used.values())
+        return (bins > self.least and self._branch_and_bound(bins)) or list(used.items())
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -368,8 +433,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
 
     Sequences hold at most ``capacity`` tokens and have no gaps.  Repeated rows are
     packed each on their own.  No rows in, no rows out.  The histogram has at most
-    ``capacity`` entries and the table of slots at most a few for each, whatever
-    the input; only these are on the driver and broadcast.
+    ``capacity`` entries and the table of slots a few for each and for each step
+    of the search, whatever the input; only these are on the driver and broadcast.
     """
     parts = settle(pieces(docs, tokenizer, capacity, end_id))
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}

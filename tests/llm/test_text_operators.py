@@ -147,6 +147,31 @@ def test_bin_completion_finds_the_fewest_bins():
         assert sum(t for _, t in planned) == least_bins(items, 30)
 
 
+def test_few_large_pieces_cost_hardly_a_sequence():
+    rng = np.random.default_rng(11)
+    pieces = []
+    while len(pieces) < 3 * 2000:  # planted without waste
+        a, b = rng.integers(1200, 1697, 2).tolist()
+        if 1200 <= 4096 - a - b <= 1696:
+            pieces += [a, b, 4096 - a - b]
+    planned = packing.plan(dict(Counter(pieces)), 4096)
+    used = Counter()
+    for pattern, times in planned:
+        assert sum(pattern) <= 4096
+        for x in pattern:
+            used[x] += times
+    assert used == Counter(pieces)
+    assert sum(t for _, t in planned) <= 2002
+
+
+def test_branches_are_all_undominated_fillings():
+    search = packing._Search({10: 2, 7: 1, 6: 1, 4: 1, 3: 2, 1: 1}, 20)
+    found = {p for p, times in search._branches(search.counts) if times}
+    assert found == {(10, 10)}  # the others leave a piece that could replace two
+    search = packing._Search({12: 1, 5: 1, 4: 1, 3: 1, 2: 1}, 20)
+    assert {p for p, times in search._branches(search.counts) if times} == {(12, 5, 3)}
+
+
 def test_chunk_encoder_after_its_memo_is_cleared(monkeypatch, docs):
     monkeypatch.setattr(packing, "MEMO_CHUNKS", 50)
     texts = [r.text for r in docs.limit(40).collect()] + [t for _, t in ODD]
