@@ -1,9 +1,11 @@
-"""N-gram Jaccard join with a MinHash LSH forest (operator 8).
+"""N-gram Jaccard join by banded MinHash (operator 8).
 
-Equal texts are one class from the start.  Each tree of the forest holds the
-texts under a sequence of minima, as a sorted trie; two texts are candidates
-if they share a prefix in some tree.  The matched prefix is shortened from its
-full length until a pair at the threshold is met with the target recall.
+Equal texts are one class from the start.  Each tree holds the texts under one
+prefix of minima; two texts are candidates if they share that prefix in some
+tree.  All prefixes have one length, computed from the threshold, the trees and
+the target recall before any row is read: this is banding, not an LSH forest that
+matches prefixes of several lengths.  A pair at the threshold that no other
+text chains together is lost with the probability that the recall leaves.
 
 Candidates are never listed as pairs: those that share a prefix hang together in
 a component, and a component is compared inside blocks of bounded size by its
@@ -36,7 +38,7 @@ COMMON = 24
 def prefix_length(threshold: float, trees: int, deepest: int, recall: float) -> int:
     """The longest prefix at which a pair at the threshold is met in some tree with probability ``recall``.
 
-    The prefix is shortened step by step; one minimum is the shortest.
+    A formula of the four numbers, the same for every text; one minimum is the shortest.
     """
     length = deepest
     while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
