@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from abuse_lens.llm import (
     byte_bpe,
     forest_join,
+    hard_negatives,
     licences,
     packing,
+    periodic_runs,
     permutation_index,
     quality,
     token_counts,
@@ -19,7 +22,8 @@ from abuse_lens.llm import (
     url_filter,
     winnowing,
 )
-from abuse_lens.llm.common import read, sql_text
+from abuse_lens.llm.common import let, read, sql_text
+from abuse_lens.plans.settle import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,6 +104,49 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary)
 
 
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", with_planted_runs().alias("text"))
+    found = periodic_runs.collapse(docs)
+    first = F.col("first")
+    line = lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))
+    return found.withColumn("first", periodic_runs.longest(F.col("_runs"))).select(
+        "doc_id",
+        F.size("_runs").cast("long").alias("n_runs"),
+        first.start.alias("start"),
+        first.length.alias("length"),
+        first.period.alias("period"),
+        F.expr("1000 * first.length div first.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("_runs", line)).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("_collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def with_planted_runs() -> Column:
+    """The text; in one of ten documents, by the checksum of doc_id, made periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def periodic(row: Column) -> Column:
+        n, words = F.size(row.words).cast("long"), row.words
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.concat_ws(" ", F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i))))
+
+    planted = let(F.struct(words.alias("words")), lambda row: F.when(F.size(row.words) > 0, periodic(row)).otherwise(F.col("text")))
+    return F.when(h % 10 == 0, planted).otherwise(F.col("text"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    rows = settle(hard_negatives.quantised(rows.select("vec_id", moved.alias("label"), "embedding")))
+    return hard_negatives.mine(rows, rows.where("vec_id % 100 = 0"))
+
+
 def _host(url: str) -> str:
     found = f"regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1)"
     return f"coalesce(translate({found}, {sql_text(url_filter.UPPER)}, {sql_text(url_filter.LOWER)}), '')"
@@ -147,3 +194,19 @@ hits AS ({_best_rule("keyed", "place")})
 SELECT page_id, host, path, rule, coalesce(action, verdict, 'allow') AS verdict,
   CASE WHEN rule IS NOT NULL THEN 'rule' WHEN verdict IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by
 FROM keyed LEFT JOIN hits ON place = key LEFT JOIN aliases USING (address)"""
+
+ORACLE["op13_hard_negatives"] = """WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT * FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank
+FROM positives p JOIN scores n ON p.anchor_id = n.anchor_id AND NOT n.same
+  AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) <= 10"""
