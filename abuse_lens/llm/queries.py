@@ -17,6 +17,7 @@ from abuse_lens.llm import (
     periodic_runs,
     permutation_index,
     quality,
+    suffix_dedup,
     token_counts,
     toxicity,
     url_filter,
@@ -104,6 +105,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary)
 
 
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s.length)
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id",
+        F.col("_n_bytes").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("_spans").cast("long").alias("n_spans"),
+        F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", with_planted_runs().alias("text"))
@@ -210,3 +224,21 @@ SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS
 FROM positives p JOIN scores n ON p.anchor_id = n.anchor_id AND NOT n.same
   AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) <= 10"""
+
+ORACLE["op11_suffix_dedup"] = """WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+bytes AS (SELECT r, doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM texts),
+starts AS (SELECT r, h, unnest(range(n - 199)) AS pos FROM bytes WHERE n >= 200),
+strings AS (SELECT r, pos, md5_number(substr(h, 2 * pos + 1, 400)) AS string FROM starts),
+often AS (SELECT string FROM strings GROUP BY string HAVING count(*) > 1),
+hits AS (SELECT r, pos FROM strings JOIN often USING (string)),
+marked AS (SELECT *, pos > lag(pos + 200) OVER (PARTITION BY r ORDER BY pos) AS gap FROM hits),
+numbered AS (SELECT *, sum(coalesce(gap, true)::INTEGER) OVER (PARTITION BY r ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM marked),
+spans AS (SELECT r, min(pos) AS a, max(pos) + 200 AS b FROM numbered GROUP BY r, span),
+ends AS (SELECT r, 0 AS a, 0 AS b FROM bytes UNION ALL SELECT r, a, b FROM spans UNION ALL SELECT r, n, n FROM bytes),
+kept AS (SELECT r, a, substr(h, 2 * lag(b) OVER w + 1, 2 * (a - lag(b) OVER w)) AS part
+  FROM ends JOIN bytes USING (r) WINDOW w AS (PARTITION BY r ORDER BY a, b)),
+left_over AS (SELECT r, coalesce(string_agg(part, '' ORDER BY a), '') AS h FROM kept GROUP BY r),
+counted AS (SELECT r, sum(b - a) AS removed, count(*) AS spans FROM spans GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(left_over.h)) AS kept_sha256
+FROM bytes LEFT JOIN counted USING (r) JOIN left_over USING (r)"""
