@@ -1,216 +1,410 @@
-"""Request and response messages out of payload events.
-
-Where one message of a connection ends decides where the next begins, so a
-direction of a connection is a chain.  A long connection is cut into slices of
-time that run in parallel: every slice is framed as if a message began with it,
-then the slices that are in fact entered inside a message are framed again from
-that state, until none is left.  A round only touches those slices, a long body
-passes through slices without a round, and a slice is all a task ever holds of
-a connection, so one connection with a third of all events spreads like many.
+"""Request and response messages out of payload events, by composition over slices of time.
+
+Where a message of a connection ends decides where the next begins.  With running sums of
+segment lengths this is arithmetic: a head that begins with an event tells at which sum its message is
+over, and the next begins with the event behind that.  All a slice can inherit is a
+number of bytes to skip before its first message begins (0: at once), and all it hands on is such a number.  So a slice is a
+step function from bytes to skip to bytes to skip, which is tabulated without knowing what comes before it.
+
+Step functions of neighbouring slices compose.  They are composed in a tree whose nodes join up to ``FANOUT``
+slices, then the numbers are handed down the tree, so the rounds grow with the logarithm of a
+chain, whatever its slices depend on.  A head that goes on behind its slice's end is finished with the bytes that
+follow it, at most ``MAX_HEAD_BYTES``, which are collected by doubling.  At last every slice is walked once, from the event it is
+known to begin with; a message over several slices is put together from what they say of it.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from abuse_lens.functions.http import BODY_KEEP_BYTES, MAX_BUFFER_BYTES, parse_envelope, parse_head
-from abuse_lens.operators.slices import with_slice
+from abuse_lens.functions.http import BODY_KEEP_BYTES, MAX_BUFFER_BYTES, MAX_HEAD_BYTES, parse_envelope, parse_head
+from abuse_lens.operators.slices import running_in_slices, with_slice
 from abuse_lens.plans.settle import settle
 
 FLOW = ["flow_low", "flow_high"]
 CHAIN = [*FLOW, "direction"]
-EVENT_ORDER = ["ts_ns", "tcp_seq"]
-_KEY_DDL = "flow_low bigint, flow_high bigint, direction string"
+SLICE = "slice"
+CUT = [*CHAIN, SLICE]
+RESPONSE = "from_server"
+#: Nodes that one node of the tree joins.
+FANOUT = 256
+#: A head that the chain's end leaves open is never followed by a message.
+NEVER = 1 << 62
+_KEY = "flow_low bigint, flow_high bigint, direction string"
 MESSAGES = (
-    f"{_KEY_DDL}, body_len bigint, status int, first_ts bigint, done_ts bigint, done_seq bigint, "
+    f"{_KEY}, body_len bigint, status int, first_ts bigint, done_ts bigint, done_seq bigint, "
     "rpc_parsed boolean, rpc_error_code int"
 )
-SLICE = "slice"
-EXITS = f"{_KEY_DDL}, {SLICE} bigint, state string"
-FRESH = ""
-
-
-class Chain:
-    """One direction of a connection between two events."""
-
-    __slots__ = ("response", "head", "seen", "left", "total", "status", "first_ts", "body", "cut")
-
-    def __init__(self, response: bool, state: str = FRESH):
-        self.response = response
-        self.reset()
-        if state:
-            fields = json.loads(state)
-            self.head, self.body = (fields.pop(n).encode("latin-1") for n in ("head", "body"))
-            for name, value in fields.items():
-                setattr(self, name, value)
-
-    def reset(self) -> None:
-        self.head, self.seen, self.left, self.total = b"", 0, None, 0
-        self.status, self.first_ts, self.body, self.cut = None, None, b"", False
-
-    def state(self) -> str:
-        """Text of the state; empty between messages."""
-        if self.first_ts is None:
-            return FRESH
-        fields = {n: getattr(self, n) for n in ("seen", "left", "total", "status", "first_ts", "cut")}
-        return json.dumps(fields | {"head": self.head.decode("latin-1"), "body": self.body.decode("latin-1")}, sort_keys=True)
-
-    def _keep(self, data: bytes) -> None:
-        """Keep a response's body bytes until they no longer fit."""
-        if not self.response or self.cut:
-            return
-        room = BODY_KEEP_BYTES - len(self.body)
-        self.cut = room == 0 or len(data) > room
-        self.body += data[:room]
-
-    def feed(self, ts: int, length: int, sample: bytes):
-        """Take an event; a completed message comes back as a tuple."""
-        if self.first_ts is None:
-            self.first_ts = ts
-        if self.left is not None:
-            self._keep(sample)
-            self.left = max(0, self.left - length)
-        else:
-            if len(self.head) + len(sample) > MAX_BUFFER_BYTES:
-                return self.reset()
-            self.head += sample
-            self.seen += length
-            found = parse_head(self.head, self.response)
-            if found is True:
-                return None
-            if found is False:
-                return self.reset()
-            head_bytes, self.total, self.status = found
-            # Bodies are counted by true segment lengths; samples may be shorter.
-            self.left = max(0, self.total - max(0, self.seen - head_bytes))
-            self._keep(self.head[head_bytes:])
-            self.head = b""
-        if self.left:
-            return None
-        rpc = (False, None)
-        if self.response and self.body and not self.cut:
-            rpc = parse_envelope(self.body)
-        done = (self.total, self.status, self.first_ts, *rpc)
-        self.reset()
-        return done
-
-
-def _walk(batches: Iterator[pd.DataFrame], emit_messages: bool) -> Iterator[pd.DataFrame]:
-    """Frame sorted events; a row without a payload sets a slice's starting state."""
-    columns = [*CHAIN, SLICE, *EVENT_ORDER, "payload_len", "payload", "state"]
-    current, chain = None, None
-    for batch in batches:
-        out = []
-        for *key, ts, seq, length, payload, state in zip(*(batch[c].tolist() for c in columns)):
-            if key != current:
-                if chain is not None and not emit_messages:
-                    out.append((*current, chain.state()))
-                current, chain = key, Chain(key[2] == "from_server")
-            if payload is None:
-                chain = Chain(key[2] == "from_server", state)
-                continue
-            done = chain.feed(ts, length, payload)
-            if done and emit_messages:
-                total, status, first_ts, parsed, code = done
-                out.append((*key[:3], total, status, first_ts, ts, seq, parsed, code))
-        yield _frame(out, emit_messages)
-    if chain is not None and not emit_messages:
-        yield _frame([(*current, chain.state())], False)
-
-
-def _frame(rows: list[tuple], messages: bool) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[f.split()[0] for f in (MESSAGES if messages else EXITS).split(", ")])
-    return frame.astype({"status": "Int32", "rpc_error_code": "Int32"}) if messages else frame
-
-
-def _run(events: DataFrame, entries: DataFrame | None, emit_messages: bool) -> DataFrame:
-    cut = [*CHAIN, SLICE]
-    rows = events.select(*cut, *EVENT_ORDER, "payload_len", "payload", F.lit(None).cast("string").alias("state"))
-    if entries is not None:
-        start = F.lit(-(2**62)).cast("bigint")
-        markers = entries.where(F.col("state") != FRESH).select(
-            *cut, start.alias("ts_ns"), start.alias("tcp_seq"), F.lit(0).cast("bigint").alias("payload_len"),
-            F.lit(None).cast("binary").alias("payload"), "state",
-        )
-        rows = rows.unionByName(markers)
-    placed = rows.repartition(*cut).sortWithinPartitions(*cut, *EVENT_ORDER)
-    return placed.mapInPandas(lambda batches: _walk(batches, emit_messages), MESSAGES if emit_messages else EXITS)
-
-
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Follow the states of a chain over its slices, one row per slice in order.
-
-    A slice framed from the very state it is entered in hands on its exit.  A
-    body that goes on beyond a slice passes through it by arithmetic alone.
-    Any other slice has to be framed again (``redo``); until then its old exit
-    stands in.
+_STEPS = f"{_KEY}, {SLICE} bigint, total bigint, sampled bigint, upto array<bigint>, skips array<bigint>"
+_OPEN = "starts array<int>, offsets array<int>, before array<bigint>, tail binary"
+_HEADS = "starts array<int>, at array<bigint>, sizes array<int>, bodies array<string>, codes array<int>, rests array<binary>"
+#: What a slice says: its messages, and its share of those that cross its ends.
+_SAID = (
+    f"{MESSAGES}, {SLICE} bigint, kind int, body_text string, head_until bigint, length bigint, ends array<bigint>, samples array<binary>"
+)
+
+
+class Head(NamedTuple):
+    """A complete head: where it ends in the bytes joined so far, its body's length, its status."""
+
+    size: int
+    body: int
+    status: int | None
+
+
+def find_head(samples: Sequence[bytes], first: int, response: bool, data: bytes = b"") -> tuple[int, Head | None, bytes] | None:
+    """The event that decides on the head beginning with ``first``, the head (None: it is none) and the bytes joined.
+
+    ``data`` are bytes that precede.  None if the samples end before that.
+    """
+    for j in range(first, len(samples)):
+        if j > first and not samples[j]:
+            continue
+        if len(data) + len(samples[j]) > MAX_BUFFER_BYTES:
+            return j, None, b""
+        data += samples[j]
+        parsed = parse_head(data, response)
+        if parsed is not True:
+            return j, Head(*parsed) if parsed else None, data
+    return None
+
+
+class Walk(NamedTuple):
+    """What the events of a slice hold, given the bytes to skip at first.
+
+    ``closes``: the event that ends what was open before; ``messages``: (first, last, head, body parts);
+    ``opens``: the event that begins what stays open, and if its head is complete (head, sum it ends at, body parts).
     """
-    chain, state = None, FRESH
+
+    closes: int | None
+    messages: list[tuple[int, int, Head, list[bytes]]]
+    opens: tuple[int, tuple[Head, int, list[bytes]] | None] | None
+
+
+def walk(ends: np.ndarray, samples: Sequence[bytes], skip: int, response: bool) -> Walk:
+    closes, i, messages = None, 0, []
+    if skip:
+        closes = int(np.searchsorted(ends, skip))
+        if closes == len(ends):
+            return Walk(None, [], None)
+        i = closes + 1
+    while i < len(ends):
+        found = find_head(samples, i, response)
+        if found is None:
+            return Walk(closes, messages, (i, None))
+        j, head, data = found
+        if head is None:
+            i = j + 1
+            continue
+        goal = _goal(ends, i, j, head)
+        last = int(np.searchsorted(ends, goal))
+        parts = [data[head.size :], *samples[j + 1 : last + 1]] if response else []
+        if last == len(ends):
+            return Walk(closes, messages, (i, (head, goal, parts)))
+        messages.append((i, last, head, parts))
+        i = last + 1
+    return Walk(closes, messages, None)
+
+
+def _goal(ends: np.ndarray, first: int, decided: int, head: Head) -> int:
+    """The running sum at which the message is over: true segment lengths count, not samples."""
+    begin = int(ends[first - 1]) if first else 0
+    return min(max(int(ends[decided]), begin + head.size + head.body), NEVER)
+
+
+def few(parts: Sequence[bytes]) -> list[bytes]:
+    """As many parts as tell whether a body outgrows what is kept."""
+    sizes = np.cumsum([len(p) for p in parts])
+    return list(parts[: int(np.searchsorted(sizes, BODY_KEEP_BYTES, side="right")) + 1])
+
+
+def envelope(parts: Sequence[bytes]) -> tuple[bool, int | None]:
+    """JSON-RPC of a body kept whole: one that outgrew what is kept, or filled it before its last event, is not read."""
+    size = sum(map(len, parts))
+    full_early = len(parts) > 1 and size - len(parts[-1]) >= BODY_KEEP_BYTES
+    return (False, None) if not size or size > BODY_KEEP_BYTES or full_early else parse_envelope(b"".join(parts))
+
+
+# --- step functions ---
+
+
+class Steps(NamedTuple):
+    """Bytes to skip behind a stretch of ``total`` bytes, by the bytes to skip before it: ``skips[i]`` up to ``upto[i]``."""
+
+    total: int
+    upto: list[int]
+    skips: list[int]
+
+    def __call__(self, skip: int) -> int:
+        return skip - self.total if skip > self.total else self.skips[bisect_left(self.upto, skip)]
+
+
+def merged(total: int, upto: list[int], skips: list[int]) -> Steps:
+    keep = [i for i in range(len(upto)) if i + 1 == len(upto) or skips[i] != skips[i + 1]]
+    return Steps(total, [upto[i] for i in keep], [skips[i] for i in keep])
+
+
+def compose(parts: Sequence[Steps]) -> Steps:
+    """The step function of stretches that follow one another."""
+    after = parts[-1]
+    for part in reversed(parts[:-1]):
+        beyond = [(u, s) for u, s in zip(after.upto, after.skips, strict=True) if u > 0]
+        upto = part.upto + [part.total + u for u, _ in beyond]
+        after = merged(part.total + after.total, upto, [after(s) for s in part.skips] + [s for _, s in beyond])
+    return after
+
+
+def tabulate(ends: np.ndarray, samples: Sequence[bytes], response: bool) -> tuple[list[int], list[int]]:
+    """Bytes to skip behind the slice if a message begins with event m, for m = 0 ... n; and the events whose head stays open (-m - 1 there)."""
+    n = len(ends)
+    skips, unfinished = [0] * (n + 1), []
+    for m in range(n - 1, -1, -1):
+        found = find_head(samples, m, response)
+        if found is None:
+            skips[m] = -m - 1
+            unfinished.append(m)
+            continue
+        j, head, _ = found
+        goal = int(ends[j]) if head is None else _goal(ends, m, j, head)
+        skips[m] = goal - int(ends[-1]) if goal > ends[-1] else skips[int(np.searchsorted(ends, goal)) + 1]
+    return skips, unfinished[::-1]
+
+
+def _sorted(events: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, list[bytes]]:
+    events = events.sort_values(["ts_ns", "tcp_seq"], kind="stable")
+    return events, events["payload_len"].to_numpy(np.int64).cumsum(), events["payload"].tolist()
+
+
+def _tabulated(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
+    events, ends, samples = _sorted(events)
+    skips, unfinished = tabulate(ends, samples, key[2] == RESPONSE)
+    reached = [0, *(m + 1 for m in range(len(ends)) if ends[m] > (ends[m - 1] if m else 0))]
+    steps = merged(int(ends[-1]), [int(ends[m - 1]) if m else 0 for m in reached], [skips[m] for m in reached])
+    tail = b"".join(samples[unfinished[0] :]) if unfinished else b""
+    sizes = np.concatenate([[0], np.cumsum([len(s) for s in samples])])
+    offsets = [int(sizes[m] - sizes[unfinished[0]]) for m in unfinished]
+    before = [int(ends[-1] - (ends[m - 1] if m else 0)) for m in unfinished]
+    return pd.DataFrame([(*key, *steps[:1], int(sizes[-1]), *steps[1:], unfinished, offsets, before, tail)], columns=_names(f"{_STEPS}, {_OPEN}"))
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+# --- heads behind the end of their slice ---
+
+
+def _leading(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
+    """The first events of a slice, as far as any head can reach."""
+    _, ends, samples = _sorted(events)
+    full = [i for i in range(len(samples)) if samples[i]]
+    sizes = np.cumsum([len(samples[i]) for i in full])
+    full = full[: int(np.searchsorted(sizes, MAX_HEAD_BYTES, side="right")) + 1]
+    columns = _names(f"{_KEY}, {SLICE} bigint, total bigint, ends array<bigint>, samples array<binary>")
+    return pd.DataFrame([(*key, int(ends[-1]), [int(ends[i]) for i in full], [samples[i] for i in full])], columns=columns)
+
+
+def _finish(sliced: DataFrame, opened: DataFrame, after: DataFrame) -> DataFrame:
+    """``opened`` with its open heads finished; what follows a slice is looked at twice as far each time, until that is enough."""
+    c = F.col
+    schema = f"{_KEY}, {SLICE} bigint, total bigint, ends array<bigint>, samples array<binary>"
+    chains = opened.select(*CHAIN).distinct()
+    lead = settle(sliced.join(chains, CHAIN, "left_semi").groupBy(*CUT).applyInPandas(_leading, schema).join(after, CUT))
+    behind = opened.join(after, CUT)
+    held = F.aggregate("samples", F.lit(0), lambda n, s: n + F.octet_length(s))
+    more = (held <= MAX_HEAD_BYTES) & c("next").isNotNull()
+    while True:
+        given = lead.select(*CHAIN, c(SLICE).alias("next"), "ends", "samples", more.alias("more"))
+        heads = settle(behind.join(given, [*CHAIN, "next"], "left").drop("next").mapInPandas(_finished, f"{_STEPS}, {_HEADS}, more boolean"))
+        if heads.where(c("more") & F.array_contains("at", NEVER)).isEmpty():
+            return heads.drop("more")
+        then = lead.select(*CHAIN, c(SLICE).alias("next"), *[c(n).alias(f"_{n}") for n in ("total", "ends", "samples")], c("next").alias("_after"))
+        joined = lead.join(then, [*CHAIN, "next"], "left").withColumn("_shift", c("total"))
+        shifted = F.transform("_ends", lambda e: e + c("_shift"))
+        lead = settle(
+            joined.select(
+                *CUT,
+                F.when(more, c("total") + c("_total")).otherwise(c("total")).alias("total"),
+                F.when(more, F.concat("ends", shifted)).otherwise(c("ends")).alias("ends"),
+                F.when(more, F.concat("samples", "_samples")).otherwise(c("samples")).alias("samples"),
+                F.when(more, c("_after")).otherwise(c("next")).alias("next"),
+            )
+        )
+
+
+def _finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Finish open heads with the events that follow: ``at`` is the byte behind the slice at which the message (or no head) is over."""
     for batch in batches:
-        entries, redo = [], []
-        columns = [*CHAIN, "next", "total", "used", "exit"]
-        for *key, after, total, used, known in zip(*(batch[c].tolist() for c in columns)):
-            if key != chain:
-                chain, state = key, FRESH
-            entries.append(state)
-            through = None if state == used else _passes(state, key[2] == "from_server", total)
-            redo.append(state != used and through is None and after == after)
-            state = known if through is None else through
-        yield batch[[*CHAIN, SLICE]].assign(entry=entries, redo=redo, exit=batch["exit"])
+        out = []
+        for row in batch.itertuples(index=False):
+            ends, samples = (list(x) if x is not None else [] for x in (row.ends, row.samples))
+            heads = []
+            for offset, before in zip(row.offsets, row.before, strict=True):
+                found = find_head(samples, 0, row.direction == RESPONSE, bytes(row.tail[offset:]))
+                if found is None:
+                    heads.append((NEVER, 0, "0", -1, b""))
+                    continue
+                j, head, data = found
+                if head is None:
+                    heads.append((int(ends[j]), 0, "0", -1, b""))
+                    continue
+                at = max(int(ends[j]), head.size + head.body - before)
+                heads.append((min(at, NEVER), int(ends[j]), str(head.body), -1 if head.status is None else head.status, data[head.size :]))
+            swap = {-m - 1: h[0] for m, h in zip(row.starts, heads, strict=True)}
+            skips = [swap.get(s, s) for s in row.skips]
+            key = tuple(getattr(row, k) for k in CUT)
+            out.append((*key, row.total, row.sampled, list(row.upto), skips, list(row.starts), *map(list, zip(*heads, strict=True)), row.more is True))
+        yield pd.DataFrame(out, columns=_names(f"{_STEPS}, {_HEADS}, more boolean"))
+
 
+# --- the tree ---
 
-def _passes(state: str, response: bool, total: int) -> str | None:
-    """State after ``total`` bytes that all belong to the open body, else None."""
-    if state == FRESH:
-        return None
-    fields = json.loads(state)
-    if fields["left"] is None or fields["left"] <= total or (response and not fields["cut"]):
-        return None
-    return json.dumps(fields | {"left": fields["left"] - total}, sort_keys=True)
 
+def _joined(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
+    nodes = nodes.sort_values(SLICE)
+    steps = compose([Steps(int(t), list(u), list(s)) for t, u, s in zip(nodes["total"], nodes["upto"], nodes["skips"], strict=True)])
+    return pd.DataFrame([(*key, steps.total, int(nodes["sampled"].sum()), steps.upto, steps.skips)], columns=_names(_STEPS))
 
-_ENTRIES = f"{_KEY_DDL}, {SLICE} bigint, entry string, redo boolean, exit string"
+
+_ENTRY = f"{_KEY}, {SLICE} bigint, skip bigint, seen bigint"
+
+
+def _handed_down(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
+    """Each node's bytes to skip, and how many sampled bytes of what is skipped lie before it at least."""
+    nodes = nodes.sort_values(SLICE)
+    skip, seen, out = int(nodes["skip"].iloc[0]), int(nodes["seen"].iloc[0]), []
+    for name, total, sampled, upto, skips in nodes[[SLICE, "total", "sampled", "upto", "skips"]].itertuples(index=False):
+        out.append((*key[:3], name, skip, seen))
+        seen = seen + sampled if skip > total else 0
+        skip = Steps(int(total), list(upto), list(skips))(skip)
+    return pd.DataFrame(out, columns=_names(_ENTRY))
+
+
+def _parent(nodes: DataFrame) -> DataFrame:
+    at, wide = F.col(SLICE), F.lit(FANOUT).cast("bigint")
+    return nodes.withColumn("node", F.call_function("div", at - F.pmod(at, wide), wide))
+
+
+def entries(steps: DataFrame) -> DataFrame:
+    """The bytes to skip at every slice of ``steps``, by composing up and handing down."""
+    levels = [_parent(steps)]
+    several = lambda nodes: nodes.groupBy(*CHAIN).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    while not several(levels[-1]).isEmpty():
+        up = levels[-1].groupBy(*CHAIN, "node").applyInPandas(_joined, _STEPS)
+        levels.append(_parent(settle(up)))
+    zero = F.lit(0).cast("bigint")
+    known = levels[-1].select(*CUT, zero.alias("skip"), zero.alias("seen"))
+    for nodes in reversed(levels[:-1]):
+        given = nodes.join(known.withColumnRenamed(SLICE, "node"), [*CHAIN, "node"])
+        known = settle(given.groupBy(*CHAIN, "node").applyInPandas(_handed_down, _ENTRY))
+    return known
+
+
+# --- messages ---
+
+
+def _said(key: tuple, events: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+    columns = _names(_SAID)
+    if not len(events):
+        return pd.DataFrame([], columns=columns)
+    chain, at, response = key[:3], key[3], key[2] == RESPONSE
+    events, ends, samples = _sorted(events)
+    ts, seq = events["ts_ns"].tolist(), events["tcp_seq"].tolist()
+    known = given.iloc[0] if len(given) else None
+    skip, seen = (0, 0) if known is None else (int(known["skip"]), int(known["seen"]))
+    closes, messages, opens = walk(ends, samples, skip, response)
+    out = []
+    for i, last, head, parts in messages:
+        parsed, code = envelope(parts)
+        out.append((*chain, head.body, head.status, ts[i], ts[last], seq[last], parsed, code, at, 0, None, 0, 0, [], []))
+    if skip and known is not None:
+        # a share of the message that was open before; samples far behind its head are not looked at
+        last = len(ends) - 1 if closes is None else closes
+        wanted = response and seen <= MAX_HEAD_BYTES + BODY_KEEP_BYTES
+        size = np.cumsum([len(s) for s in samples[: last + 1]])
+        near = int(np.searchsorted(size, MAX_HEAD_BYTES + BODY_KEEP_BYTES, side="right")) + 1 if wanted else 0
+        shares = list(range(min(near, last + 1)))
+        if wanted and closes is not None and last not in shares:
+            shares.append(last)
+        end = (None, None) if closes is None else (ts[closes], seq[closes])
+        if wanted or closes is not None:
+            out.append((*chain, None, None, None, *end, None, None, at, 1, None, 0, int(ends[-1]), [int(ends[i]) for i in shares], [samples[i] for i in shares]))
+    if opens is not None and known is not None:
+        i, rest = opens
+        status, body, until, parts = None, None, 0, []
+        if rest is not None:
+            head, _, parts = rest
+            status, body, parts = head.status, str(head.body), few(parts)
+        elif known["starts"] is not None and i in list(known["starts"]):
+            k = list(known["starts"]).index(i)
+            until = int(known["sizes"][k])
+            if until:  # else no head after all
+                body, status, parts = known["bodies"][k], known["codes"][k], [bytes(known["rests"][k])]
+                status = None if status < 0 else int(status)
+        out.append((*chain, None, status, ts[i], None, None, None, None, at, 2, body, until, int(ends[-1]), [0] * len(parts), parts))
+    frame = pd.DataFrame(out, columns=columns)
+    return frame.astype({"body_len": "Int64", "status": "Int32", "first_ts": "Int64", "done_ts": "Int64", "done_seq": "Int64", "rpc_error_code": "Int32", "rpc_parsed": "boolean"})
+
+
+def _put_together(key: tuple, shares: pd.DataFrame) -> pd.DataFrame:
+    """The message that one slice opens and a later one closes, if both are there."""
+    shares = shares.sort_values([SLICE])
+    first, last = shares.iloc[0], shares.iloc[-1]
+    if first["kind"] != 2 or pd.isna(last["done_ts"]) or first["body_text"] is None:
+        return pd.DataFrame([], columns=_names(MESSAGES))
+    parts, base = [bytes(s) for s in first["samples"]], 0
+    for row in shares.iloc[1:].itertuples(index=False):
+        parts += [bytes(s) for e, s in zip(row.ends, row.samples, strict=True) if base + e > first["head_until"]]
+        base += row.length
+    parsed, code = envelope(parts) if key[2] == RESPONSE else (False, None)
+    status = None if pd.isna(first["status"]) else int(first["status"])
+    row = (*key[:3], int(first["body_text"]), status, int(first["first_ts"]), int(last["done_ts"]), int(last["done_seq"]), parsed, code)
+    return pd.DataFrame([row], columns=_names(MESSAGES)).astype({"status": "Int32", "rpc_error_code": "Int32"})
 
 
 def frame_messages(events: DataFrame, slice_ns: int = 60_000_000_000) -> DataFrame:
-    """Completed messages of directed payload events (see ``rpc.directed``)."""
+    """Completed messages of directed payload events (see ``rpc.directed``).
+
+    A segment is at least as long as what was captured of it.  Slices of ``slice_ns`` are framed in parallel; the
+    width changes no message.
+    """
     c = F.col
-    cut = [*CHAIN, SLICE]
+    captured = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint")
     known = events.select(
-        *[F.coalesce(k, F.lit(-1).cast("bigint")).alias(k) for k in FLOW], "direction", *EVENT_ORDER,
-        # without a length the segment is as long as what was captured of it
-        F.coalesce(c("payload_len").cast("bigint"), F.octet_length("payload").cast("bigint"), F.lit(0).cast("bigint")).alias("payload_len"),
+        *[F.coalesce(k, F.lit(-1).cast("bigint")).alias(k) for k in FLOW], "direction", "ts_ns", "tcp_seq",
+        F.greatest(F.coalesce(c("payload_len").cast("bigint"), F.lit(0).cast("bigint")), captured).alias("payload_len"),
         F.coalesce("payload", F.unhex(F.lit(""))).alias("payload"),
     )
     sliced, at = with_slice(known, "ts_ns", slice_ns)
-    sliced = settle(sliced.withColumnRenamed(at, SLICE))  # every round reads it
+    sliced = settle(sliced.withColumnRenamed(at, SLICE))  # every step reads it
     by_chain = Window.partitionBy(*CHAIN).orderBy(SLICE)
-    totals = sliced.groupBy(*cut).agg(F.sum("payload_len").alias("total"))
-    slices = settle(totals.withColumn("next", F.lead(SLICE).over(by_chain)))
+    after = sliced.select(*CUT).distinct().withColumn("next", F.lead(SLICE).over(by_chain))
+    after = after.withColumn("alone", c("next").isNull() & F.lag(SLICE).over(by_chain).isNull())
+    after = settle(after.where(~c("alone")).drop("alone"))  # a slice that is all of its chain has nothing to hand on
 
-    # What a slice hands on matters only where the connection has another one.
-    handing = slices.where(c("next").isNotNull()).select(*cut)
-    fresh = _run(sliced.join(handing, cut, "left_semi"), None, False)
-    exits = settle(fresh.select(*cut, F.lit(FRESH).alias("used"), c("state").alias("exit")))
-    while True:
-        filled = slices.join(exits, cut, "left").fillna(FRESH, ["used", "exit"])
-        ordered = filled.repartition(*CHAIN).sortWithinPartitions(*cut)
-        entries = settle(ordered.mapInPandas(_entries, _ENTRIES))
-        redo = entries.where("redo").select(*cut, c("entry").alias("state"))
-        if redo.isEmpty():
-            break
-        again = _run(sliced.join(redo.select(*cut), cut, "left_semi"), redo, False).select(*cut, c("state").alias("new"))
-        merged = exits.join(entries.select(*cut, "entry", "redo"), cut, "left").join(again, cut, "left")
-        exits = settle(
-            merged.select(
-                *cut,
-                F.when(c("redo"), c("entry")).otherwise(c("used")).alias("used"),
-                F.when(c("redo"), c("new")).otherwise(c("exit")).alias("exit"),
-            )
-        )
-    return _run(sliced, entries.select(*cut, c("entry").alias("state")), True)
+    tables = settle(sliced.join(after.select(*CUT), CUT, "left_semi").groupBy(*CUT).applyInPandas(_tabulated, f"{_STEPS}, {_OPEN}"))
+    opened = tables.where(F.size("starts") > 0)
+    steps_columns = _names(_STEPS)
+    closed = tables.where(F.size("starts") == 0).select(*steps_columns)
+    nothing = [F.lit(None).cast(f.split(" ", 1)[1]).alias(f.split()[0]) for f in _HEADS.split(", ")]
+    heads = None
+    if not opened.isEmpty():
+        heads = _finish(sliced, opened, after)
+    steps = closed if heads is None else closed.unionByName(heads.select(*steps_columns))
+    given = entries(steps)
+    given = given.select("*", *nothing) if heads is None else given.join(heads.drop("total", "sampled", "upto", "skips"), CUT, "left")
+
+    said = settle(sliced.groupBy(*CUT).cogroup(given.groupBy(*CUT)).applyInPandas(_said, _SAID))
+    names = _names(MESSAGES)
+    crossing = said.where("kind > 0").withColumn("opened", F.when(c("kind") == 2, c(SLICE)))
+    hour, wide = with_slice(crossing, SLICE, 1024)
+    placed = running_in_slices(hour, CHAIN, [SLICE, "kind"], wide, {"message": ("max", c("opened"))}).drop(wide, "opened")
+    whole = placed.where(c("message").isNotNull()).groupBy(*CHAIN, "message").applyInPandas(_put_together, MESSAGES)
+    return said.where("kind = 0").select(*names).unionByName(whole)

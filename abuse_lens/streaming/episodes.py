@@ -15,7 +15,7 @@ from abuse_lens.functions import net
 from abuse_lens.operators.deltas import keyed, named
 from abuse_lens.operators.episodes import episode_class
 from abuse_lens.schema import COUNTERS
-from abuse_lens.streaming.ordered import in_order
+from abuse_lens.streaming.ordered import SLOT_MS, in_order
 
 KEY = ["key_ord", "ip_u32", "port_key"]
 FIELDS = ["ts", "seq", "base_ts", *COUNTERS]
@@ -39,17 +39,23 @@ def _time_ms(row: list) -> int:
     return row[0] * 1000
 
 
-def stream_deltas(counters: DataFrame, lateness: str = "0 seconds", forget_sec: int = FORGET_SEC) -> DataFrame:
+def stream_deltas(
+    counters: DataFrame, lateness: str = "0 seconds", forget_sec: int = FORGET_SEC, slot_sec: int = SLOT_MS // 1000
+) -> DataFrame:
     """Growth of every counter row against its key's row before, once the watermark has passed it."""
 
-    def take(key, before, row):
-        now = row[3:]
-        grown = [None] * len(now) if before is None else [max(a - b, 0) for a, b in zip(now, before, strict=True)]
-        return now, [(*key, row[0], before is None, *grown)]
+    def take(key, own, rows):
+        before, out = own[0] if own else None, []
+        for row in rows:
+            now = row[3:]
+            grown = [None] * len(now) if before is None else [max(a - b, 0) for a, b in zip(now, before, strict=True)]
+            out.append((*key, row[0], before is None, *grown))
+            before = now
+        return (list(before),), out
 
     return in_order(
         _stamped(counters, lateness), KEY, FIELDS, 2, _time_ms, take, lambda key, own: [], forget_sec * 1000,
-        _INTERVAL_OUT, {f"d_{c}": "Int64" for c in COUNTERS},
+        _INTERVAL_OUT, "counters array<bigint>", slot_sec * 1000,
     )
 
 
@@ -64,6 +70,7 @@ def stream_episodes(
     interval_sec: int = DEFAULT_INTERVAL_SEC,
     lateness: str = "0 seconds",
     idle_intervals: int = 10,
+    slot_sec: int = SLOT_MS // 1000,
 ) -> DataFrame:
     """Episodes of a stream of counter rows, emitted as they close.
 
@@ -74,28 +81,36 @@ def stream_episodes(
     def ended(key, run) -> list[tuple]:
         return [(*key, *run)] if run is not None and run[2] >= cfg.min_episode_intervals else []
 
-    def take(key, own, row):
-        before, run = own or (None, None)
-        ts, now = row[0], row[3:]
+    def step(key, before, run, row):
+        ts, now = row[0], list(row[3:])
         if before is None and row[2] != ts:
-            return (now, run), []
+            return now, run, []
         per = cfg.window_sec if before is None else interval_sec
         syn, _, done, _, pkts, size = now if before is None else [max(a - b, 0) for a, b in zip(now, before, strict=True)]
         rates = [x / per if per > 0 else 0.0 for x in (syn, pkts, size)]
         ratio = done / syn if syn > 0 else 0.0
         if not _hot(cfg, *rates, ratio):
-            return (now, None), ended(key, run)
+            return now, None, ended(key, run)
         low = ratio if syn > 0 else None
         if run is None:
-            return (now, [ts, ts, 1, *rates, low, syn, pkts, size]), []
+            return now, (ts, ts, 1, *rates, low, syn, pkts, size), []
         highest = [max(a, b) for a, b in zip(run[3:6], rates, strict=True)]
         lows = [x for x in (run[6], low) if x is not None]
         sums = [a + b for a, b in zip(run[7:], (syn, pkts, size), strict=True)]
-        return (now, [run[0], ts, run[2] + 1, *highest, min(lows, default=None), *sums]), []
+        return now, (run[0], ts, run[2] + 1, *highest, min(lows, default=None), *sums), []
+
+    def take(key, own, rows):
+        before, run = own or (None, None)
+        out = []
+        for row in rows:
+            before, run, closed = step(key, before, tuple(run) if run is not None else None, row)
+            out += closed
+        return (before, run), out
 
+    state = f"counters array<bigint>, run struct<{_RUN.replace(' ', ':').replace(',:', ',')}>"
     runs = in_order(
         _stamped(counters, lateness), KEY, FIELDS, 2, _time_ms, take,
-        lambda key, own: ended(key, own[1]) if own else [], idle_intervals * interval_sec * 1000, _OUT,
+        lambda key, own: ended(key, own[1]), idle_intervals * interval_sec * 1000, _OUT, state, slot_sec * 1000,
     )
     return named(runs).withColumns(
         {

@@ -1,33 +1,91 @@
 """State per key over rows in event-time order, whatever order they arrive in.
 
-Rows wait in the key's state until the watermark has passed them; then they are
-taken in order.  So a row that is late, but within the allowed lateness, changes
-nothing, and what is later still is dropped by Spark and counted in the query's
-progress (``numRowsDroppedByWatermark``).  A key's state holds the rows of one
-lateness and of one micro-batch (bound these with ``maxFilesPerTrigger``) and is
-given up when the key has been idle.
+Rows wait in slots of time.  What a micro-batch brings for a slot is one entry of a map state,
+written once and never rewritten; a timer at the slot's end fires when the watermark has passed it, and
+only then are the slot's entries read, put in order, handed over and removed.  So the state a batch writes
+grows with the batch, not with what waits.  A row that is late, but within the allowed lateness, changes
+nothing, and what is later still is dropped by Spark and counted in the query's progress
+(``numRowsDroppedByWatermark``).  What a key carries from row to row is a typed value state, given up by a timer
+when the key has been idle.
 """
 
 from __future__ import annotations
 
-import base64
-import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-Row = list[Any]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Width of a slot: rows are given out at most so long after the watermark has passed them.
+SLOT_MS = 60_000
 
 
-def _plain(value: Any) -> Any:
-    if isinstance(value, (bytes, bytearray, memoryview)):
-        return base64.b64encode(bytes(value)).decode()
-    if value is None or (not isinstance(value, str) and pd.isna(value)):
-        return None
-    return value.item() if hasattr(value, "item") else value
+def use_rocksdb(spark: SparkSession) -> None:
+    """State variables and timers need this state store; the session's streams use it from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+class _InOrder(StatefulProcessor):
+    def __init__(self, key, fields, kinds, order, time_ms, take, close, idle_ms, slot_ms, names, state):
+        self.key, self.fields, self.kinds, self.order, self.time_ms = key, fields, kinds, order, time_ms
+        self.take, self.close_key, self.idle_ms, self.slot_ms = take, close, idle_ms, slot_ms
+        self.names, self.state = names, state
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "slot bigint, part bigint", f"rows array<struct<{self.kinds}>>")
+        self.slots = handle.getMapState("slots", "slot bigint", "parts bigint")
+        self.own = handle.getValueState("own", f"last bigint, {self.state}")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        arrived: dict[int, list[tuple]] = {}
+        for row in rows:
+            values = tuple(row[f] for f in self.fields)
+            arrived.setdefault(self.time_ms(values) // self.slot_ms, []).append(values)
+        for slot, values in arrived.items():
+            found = self.slots.getValue((slot,))
+            part = found[0] if found else 0
+            if not part:
+                self.handle.registerTimer((slot + 1) * self.slot_ms)
+            self.parts.updateValue((slot, part), (values,))
+            self.slots.updateValue((slot,), (part + 1,))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        key, fired = tuple(key), expiredTimerInfo.getExpiryTimeInMs()
+        slot, rest = divmod(fired, self.slot_ms)
+        due = None if rest else self.slots.getValue((slot - 1,))
+        saved = self.own.get()
+        last, own = (saved[0], tuple(saved[1:])) if saved else (None, None)
+        out: list[tuple] = []
+        if due:
+            rows = []
+            for part in range(due[0]):
+                rows += [tuple(r) for r in self.parts.getValue((slot - 1, part))[0]]
+                self.parts.removeKey((slot - 1, part))
+            self.slots.removeKey((slot - 1,))
+            rows.sort(key=lambda r: r[: self.order])
+            own, out = self.take(key, own, rows)
+            last = self.time_ms(rows[-1])
+        if last is not None:
+            passed = timerValues.getCurrentWatermarkInMs()
+            if last + self.idle_ms > passed:
+                if due:
+                    self.own.update((last, *own))
+                    # never at a slot's end, where rows are due
+                    idle = last + self.idle_ms
+                    self.handle.registerTimer(idle + (idle % self.slot_ms == 0))
+            elif next(iter(self.slots.keys()), None) is None:
+                out = out + self.close_key(key, own)
+                self.own.clear()
+            elif due:
+                self.own.update((last, *own))
+        return iter([Row(**dict(zip(self.names, values, strict=True))) for values in out])
 
 
 def in_order(
@@ -35,46 +93,24 @@ def in_order(
     key: list[str],
     fields: list[str],
     order: int,
-    time_ms: Callable[[Row], int],
-    take: Callable[[tuple, Any, Row], tuple[Any, list[tuple]]],
-    close: Callable[[tuple, Any], list[tuple]],
+    time_ms: Callable[[tuple], int],
+    take: Callable[[tuple, tuple | None, list[tuple]], tuple[tuple, list[tuple]]],
+    close: Callable[[tuple, tuple], list[tuple]],
     idle_ms: int,
     schema: str,
-    pandas_types: dict[str, str] | None = None,
+    state: str,
+    slot_ms: int = SLOT_MS,
 ) -> DataFrame:
-    """Run ``take(key, state, row) -> (state, output rows)`` over each key's rows in order.
+    """Run ``take(key, own, rows) -> (own, output rows)`` over each key's rows, a slot at a time, in order.
 
     ``fields`` are the columns a row has; the first ``order`` of them are its place
-    in the order, ``time_ms`` its event time, rounded down.  ``close(key, state)`` gives
-    the last output rows of a key that has been silent for ``idle_ms`` behind the
-    watermark.  A state must be of JSON types; binary fields arrive as base64 text.
+    in the order, ``time_ms`` its event time, rounded down.  ``own`` is what the key keeps, with the columns of
+    ``state`` (None at first).  ``close(key, own)`` gives the last output rows of a key that has been silent for ``idle_ms``
+    behind the watermark and has no rows waiting.
     """
+    use_rocksdb(timed.sparkSession)
+    types = {f.name: f.dataType.simpleString() for f in timed.schema.fields}
+    kinds = ", ".join(f"{f}:{types[f]}" for f in fields)
     names = [f.split()[0] for f in schema.split(", ")]
-
-    def step(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        saved = json.loads(state.get[0]) if state.exists else {"rows": [], "own": None, "last": None}
-        rows: list[Row] = saved["rows"]
-        if not state.hasTimedOut:
-            for batch in batches:
-                rows += [[_plain(v) for v in row] for row in zip(*(batch[f] for f in fields), strict=True)]
-        passed, own, last, out = state.getCurrentWatermarkMs(), saved["own"], saved["last"], []
-        rows.sort(key=lambda r: r[:order])
-        waiting = next((i for i, r in enumerate(rows) if time_ms(r) > passed), len(rows))
-        for row in rows[:waiting]:
-            own, found = take(group, own, row)
-            out += found
-            last = time_ms(row)
-        rest = rows[waiting:]
-        if not rest and (last is None or last + idle_ms <= passed):
-            out += close(group, own)
-            state.remove()
-        else:
-            state.update((json.dumps({"rows": rest, "own": own, "last": last}),))
-            due = time_ms(rest[0]) if rest else last + idle_ms
-            state.setTimeoutTimestamp(max(due, passed + 1))
-        if out:
-            yield pd.DataFrame(out, columns=names).astype(pandas_types or {})
-
-    return timed.groupBy(*key).applyInPandasWithState(
-        step, schema, "saved string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    processor = _InOrder(key, fields, kinds, order, time_ms, take, close, idle_ms, slot_ms, names, state)
+    return timed.groupBy(*key).transformWithState(processor, schema, "append", "eventTime")
