@@ -218,17 +218,22 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            doc_ids = batch.column("doc_id").to_pylist()
-            for doc_id, ids in zip(doc_ids, encode_texts(batch.column("text"), tokenizer), strict=True):
-                ids = np.append(ids, end_id).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            kinds = (batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield _cut(batch)
+        _chunks(tokenizer).clear()  # the worker goes on to other tasks, which need the memory
+        pa.default_memory_pool().release_unused()
+
+    def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        doc_ids = batch.column("doc_id").to_pylist()
+        for doc_id, ids in zip(doc_ids, encode_texts(batch.column("text"), tokenizer), strict=True):
+            ids = np.append(ids, end_id).astype("<u4")
+            for piece, start in enumerate(range(0, len(ids), capacity)):
+                part = ids[start : start + capacity]
+                rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        kinds = (batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(
         cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
@@ -254,7 +259,11 @@ class _Search:
         for length, n in counts.items():
             self.counts[length] = n
         self.total = int((self.counts * np.arange(capacity + 1)).sum())
-        self.least = -(-self.total // capacity)  # no packing has fewer bins
+        # no packing has fewer bins: by the sum of lengths, and because k pieces at most fit a bin if all are longer than a (k+1)-th of it
+        self.least = -(-self.total // capacity)
+        longer = int(self.counts.sum()) - np.cumsum(self.counts)  # pieces above each length
+        k = np.arange(1, capacity + 1)
+        self.least = max(self.least, int((-(-longer[capacity // (k + 1)] // k)).max()))
         self.random, self.steps = np.random.default_rng(0), 0
 
     def _filling(self, counts: np.ndarray, gap: int) -> list[int]:
@@ -264,6 +273,13 @@ class _Search:
             firsts = np.flatnonzero(counts[: gap + 1])
             if not len(firsts):
                 break
+            longest = int(firsts[-1])
+            if gap >= 16 * longest:  # many short pieces go in at once
+                times = min(int(counts[longest]), gap // (2 * longest))
+                filling += [longest] * times
+                counts[longest] -= times
+                gap -= longest * times
+                continue
             at = np.searchsorted(firsts, gap - firsts, side="right") - 1
             # a second piece like the first needs two of them
             at -= (at == np.arange(len(firsts))) & (counts[firsts] < 2)
@@ -290,7 +306,7 @@ class _Search:
             more = int((counts[lengths] // each).min())
             counts[lengths] -= each * more
             used[pattern] = used.get(pattern, 0) + more + 1
-            self.steps += 1
+            self.steps += 1 + len(pattern) // 16
         return used
 
     def _repair(self, used: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], int]:
@@ -316,23 +332,43 @@ class _Search:
         some = np.flatnonzero(counts[1 : gap + 1])
         return int(some[-1]) + 1 if len(some) else 0
 
-    def _fillings(self, counts: np.ndarray, gap: int, most: int) -> Iterator[tuple[int, ...]]:
-        """Every filling of ``gap`` by pieces of at most ``most`` to which nothing can be added, larger pieces first."""
+    def _fillings(self, counts: np.ndarray, gap: int, most: int) -> Iterator[tuple[int, ...] | None]:
+        """Every filling of ``gap`` by pieces of at most ``most`` to which nothing can be added, larger pieces first.
+
+        A length is taken as often as it can be, then once less each time, so the depth is the number of different lengths.
+        None stands for a choice to which something can still be added.
+        """
+        chosen: list[list[int]] = []
         x = self._fit(counts, min(gap, most))
-        if not x and not self._fit(counts, gap):
-            yield ()
-        while x:
-            counts[x] -= 1
-            for rest in self._fillings(counts, gap - x, x):
-                yield (x, *rest)
-            counts[x] += 1
-            x = self._fit(counts, x - 1)
+        while True:
+            while x:
+                times = min(int(counts[x]), gap // x)
+                chosen.append([x, times])
+                gap -= x * times
+                x = self._fit(counts, min(gap, x - 1))
+            used = {length: times for length, times in chosen}
+            more = self._fit(counts, gap)
+            while more and used.get(more) == counts[more]:
+                more = self._fit(counts, more - 1)
+            yield None if more else tuple(length for length, times in chosen for _ in range(times))
+            while chosen and not x:
+                length, times = chosen[-1]
+                gap += length
+                if times > 1:
+                    chosen[-1][1] -= 1
+                else:
+                    chosen.pop()
+                x = self._fit(counts, min(gap, length - 1))
+                if not x and times > 1:
+                    break
+            if not x and not chosen:
+                return
 
     def _dominated(self, counts: np.ndarray, filling: tuple[int, ...], waste: int) -> bool:
         """Whether a piece left could take the place of a smaller one, or of two, within the bin."""
-        pieces = set(filling)
-        pairs = {a + b for i, a in enumerate(filling) for b in filling[:i]}
-        return any(self._fit(counts, x + waste) > x for x in pieces) or any(self._fit(counts, x + waste) >= x for x in pairs)
+        pieces, each = np.unique(filling, return_counts=True)
+        pairs = {int(a + b) for i, a in enumerate(pieces) for b in pieces[: i + (each[i] > 1)]}
+        return any(self._fit(counts, int(x) + waste) > x for x in pieces) or any(self._fit(counts, x + waste) >= x for x in pairs)
 
     def _branches(self, counts: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
         """Undominated fillings around the largest length, each as often as it can be and once; 0 times marks a dominated one."""
@@ -340,6 +376,9 @@ class _Search:
         left = counts.copy()
         left[largest] -= 1
         for filling in self._fillings(left, self.capacity - largest, self.capacity):
+            if filling is None:
+                yield (largest,), 0
+                continue
             pattern = (largest, *filling)
             lengths, each = np.unique(pattern, return_counts=True)
             after = counts.copy()

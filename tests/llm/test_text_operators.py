@@ -164,6 +164,20 @@ def test_few_large_pieces_cost_hardly_a_sequence():
     assert sum(t for _, t in planned) <= 2002
 
 
+def test_packing_of_many_equal_short_texts():
+    import time
+
+    for counts, least in (({3: 99_650}, 74), ({1: 1_000_000}, 245), ({3: 99_650, 5: 10}, 74), ({5: 50_000, 7: 50_000}, 147)):
+        begin = time.perf_counter()
+        planned = packing.plan(counts, 4096)
+        assert sum(n for _, n in planned) == least and time.perf_counter() - begin < 1
+        held = Counter()
+        for pattern, n in planned:
+            assert sum(pattern) <= 4096
+            held.update({x: n * pattern.count(x) for x in set(pattern)})
+        assert held == counts
+
+
 def test_branches_are_all_undominated_fillings():
     search = packing._Search({10: 2, 7: 1, 6: 1, 4: 1, 3: 2, 1: 1}, 20)
     found = {p for p, times in search._branches(search.counts) if times}
