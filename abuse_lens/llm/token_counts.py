@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from abuse_lens.plans.settle import settle
+
 BUCKET = 256
 
 
@@ -52,8 +54,9 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     length; ``share_at_most`` the share of documents no longer than it, so the
     q-quantile is the smallest length whose share is at least q.  Lengths are
     summed in buckets first, so that only one row per ``BUCKET`` lengths meets in
-    one task.  No rows in, no rows out.
+    one task.  The histogram, which is small, is written first: what counts it runs once.  No rows in, no rows out.
     """
+    hist = settle(hist)
     tokens = F.col("n_tokens") * F.col("docs")
     cut = hist.withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET))
     after = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
