@@ -196,6 +196,7 @@ def join(
     trees: int = 14,
     deepest: int = 6,
     recall: float = 0.999,
+    keep_key: bool = False,
 ) -> DataFrame:
     """doc_id, text_id, class_id, copies and n_links for every row of ``docs``.
 
@@ -204,7 +205,7 @@ def join(
     similar, and ``class_id`` the smallest doc_id that can be reached over equal
     texts and links.  Null texts equal empty ones; texts without words are linked
     to none.  doc_id must be an integer; rows that repeat one are all returned.  No rows in,
-    no rows out.
+    no rows out.  With ``keep_key`` the text's MD5 is returned as text_key: rows that share a doc_id can have different texts.
     """
     length = prefix_length(threshold, trees, deepest, recall)
     signed = settle(_signed(docs, width, trees, length))
@@ -246,4 +247,5 @@ def join(
     per_text = grouped.join(named, "component").select(
         "text_key", "text_id", "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
-    return signed.select("doc_id", "text_key").join(per_text, "text_key").drop("text_key")
+    named_rows = signed.select("doc_id", "text_key").join(per_text, "text_key")
+    return named_rows if keep_key else named_rows.drop("text_key")
