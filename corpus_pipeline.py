@@ -36,9 +36,11 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of equal and near texts (operator 8) the document with the smallest doc_id."""
-    found = forest_join.join(docs).where("doc_id <> class_id").select("doc_id").distinct().hint("shuffle_hash")
-    kept = docs.join(found, "doc_id", "left_anti").withColumn("_text_key", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    # a repeated row is an equal text too
+    key = F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    found = forest_join.join(docs, keep_key=True).where("doc_id <> class_id")
+    found = found.select("doc_id", F.col("text_key").alias("_text_key")).distinct().hint("shuffle_hash")
+    # a doc_id may be repeated with another text, which is judged on its own; a repeated row is an equal text too
+    kept = docs.withColumn("_text_key", key).join(found, ["doc_id", "_text_key"], "left_anti")
     return kept.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
 
 
