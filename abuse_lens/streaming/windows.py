@@ -1,7 +1,7 @@
 """Streaming window features and the streaming snapshot sink.
 
 The windows run on event time: a row later than the watermark is dropped.
-Empty windows emit nothing in a stream (see ``rpc.with_idle_windows`` for batch).
+Empty windows emit nothing here (see ``features.with_empty_windows``).
 """
 
 from __future__ import annotations
@@ -30,8 +30,7 @@ def event_time(df: DataFrame, ns_column: str, lateness: str) -> DataFrame:
 def pair_windows(pairs: DataFrame, window_sec: int = WINDOW_SEC, lateness: str = "10 seconds") -> DataFrame:
     """Window features of a stream of pairs, by response completion.
 
-    Exact distinct counts and medians need all values of a window, which a
-    stream does not keep; they are computed over the finished windows in batch.
+    These need one group a window; see ``features.window_features`` for all of them, medians and distinct counts included.
     """
     c = F.col
     ratio = rpc.amp_ratio()
@@ -99,13 +98,15 @@ def drain(stream: DataFrame) -> DataFrame:
 
 
 def replay(
-    table: DataFrame, turn: Column, build: Callable[[DataFrame], DataFrame], closing: DataFrame, files_per_trigger: int = 8
+    table: DataFrame, turn: Column, build: Callable[[DataFrame], DataFrame], closing: DataFrame, files_per_trigger: int = 8,
+    ended: Callable[[str], object] | None = None,
 ) -> DataFrame:
     """Run a stream over files that arrive in the order of ``turn``, and read what it has written.
 
     ``turn`` has few values; each one's rows are written as files of their own.
     ``closing`` rows come last and move the watermark behind all others, so that
     what waits in a state is given out; they should have a key of their own.
+    ``ended`` is called with the run id of each run that has ended.
     """
     spark = table.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -126,6 +127,8 @@ def replay(
             .start(f"{base}/rows")
         )
         running.awaitTermination()
+        if ended is not None:
+            ended(str(running.runId))
         return stream
 
     for value in turns:

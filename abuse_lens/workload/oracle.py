@@ -570,8 +570,7 @@ WHERE rn - lft - 1 >= 0 AND (rn - lft - 1) % act.rate = 0""",
         FROM pk WHERE wire_len > 0 GROUP BY 1, 2"""
     ),
     "q_stream_counter_windows": q(
-        W + f"x AS (SELECT {KEYS}, ts_ns // 3600000000000 * 3600 AS ts, {SUMS} FROM w GROUP BY ALL)",
-        "SELECT * FROM x WHERE (ts + 3600) * 1000000 <= (SELECT max(ts_ns) // 1000 - 10000000 FROM w)",
+        W + f"x AS (SELECT {KEYS}, ts_ns // 3600000000000 * 3600 AS ts, {SUMS} FROM w GROUP BY ALL)", "SELECT * FROM x"
     ),
     "q_stream_deltas": q(
         METER, "SELECT ip_u32, first, count(*) AS rows, " + ", ".join(
@@ -613,3 +612,19 @@ ORACLE["q_report_from_sink"] = ORACLE["q_report_evidence"]
 ORACLE["q_snapshot_files"] = q(CUM, "SELECT DISTINCT ts // 3600 * 3600 AS hour_ts, CAST(1 AS BIGINT) AS seen FROM cum")
 ORACLE["q_collection_result_parts"] = ORACLE["q_collection_result"]
 ORACLE["q_heartbeats_parts"] = ORACLE["q_heartbeats"]
+ORACLE["q_stream_idle_windows"] = ORACLE["q_idle_windows"]
+ORACLE["q_stream_window_features"] = q(
+    WIN, """SELECT resp_completed_ns // 10000000000 * 10 AS window_start, count(*) AS count, CAST(sum(response_bytes) AS BIGINT) AS resp_bytes_total,
+    max(request_bytes) AS req_bytes_max, max(response_bytes) AS resp_bytes_max,
+    CAST(sum(request_bytes) AS DOUBLE) / count(*) AS req_bytes_mean, CAST(sum(response_bytes) AS DOUBLE) / count(*) AS resp_bytes_mean,
+    round(avg(ratio), 9) AS amp_ratio_mean, max(ratio) AS amp_ratio_max, median(ratio) AS amp_ratio_median, max(d) AS duration_ns_max,
+    CAST(sum(d) AS BIGINT) // count(d) AS duration_ns_mean, """ + ", ".join(
+        f"count(*) FILTER (status_code BETWEEN {n}00 AND {n}99) / CAST(nullif(count(status_code), 0) AS DOUBLE) AS status_{n}xx_frac" for n in (2, 4, 5)
+    ) + """, CASE WHEN bool_or(rpc_envelope_parsed) THEN least(count(DISTINCT rpc_error_code) FILTER (rpc_envelope_parsed), 5) END AS rpc_error_distinct_codes,
+    CASE WHEN bool_or(rpc_envelope_parsed) THEN count(rpc_error_code) FILTER (rpc_envelope_parsed) / CAST(count(*) AS DOUBLE) END AS rpc_error_frac,
+    1 AS unique_dst_ports, least(count(DISTINCT flow % 1000), 5) AS unique_src_ports FROM win GROUP BY 1"""
+)
+ORACLE["q_stream_quality"] = q(
+    MARKED, """SELECT count(*) AS total_events, count(*) FILTER (defect IS NOT NULL) AS total_decode_errors,
+    count(*) FILTER (defect IS NULL AND way IS NULL) AS total_events_filtered FROM defects"""
+)

@@ -806,15 +806,6 @@ def q_archive(spark, sf):
 # -- streams --------------------------------------------------------------------
 
 
-@query
-def q_stream_counter_windows(spark, sf):
-    """Hourly counters of the packet stream; windows the watermark has passed."""
-    from abuse_lens.streaming import windows
-
-    source = t.packet_table(t.Streaming(spark), sf)
-    return windows.drain(windows.counter_windows(source, t.PORTS, window_sec=3600))
-
-
 def far_row(table, **values):
     """One row of the table's schema, null but for ``values``."""
     return table.sparkSession.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in table.schema])
@@ -870,3 +861,74 @@ def q_stream_pairs(spark, sf):
     turn = div(F.col("ts_ns") - t.START_NS, 4_000_000_000) + late("ts_ns")
     pairs = windows.replay(events, turn, lambda s: flows.stream_pairs(s, [8899], "1 hour", 3600), closing)
     return pairs.select("flow_low", "request_bytes", "response_bytes", "status_code", "req_started_ns", "resp_completed_ns")
+
+
+def packet_files(spark, sf):
+    """Packets that arrive week by week, some a week late, the time of the last one, and what closes the stream."""
+    seen = t.packet_table(spark, sf)
+    last = seen.agg(F.max("ts_ns").alias("ts")).first().ts or 0
+    row = {"ts_ns": last + 9 * DAY_NS, "direction": "ingress", "ip_version": 4, "proto": 6, "src_ip": 0, "dst_ip": 0, "src_port": 1, "dst_port": 8000, "wire_len": 0}
+    flags = {f.name: False for f in seen.schema if f.dataType.simpleString() == "boolean"}
+    return seen, div(F.col("ts_ns"), 7 * DAY_NS) + late("event_id"), last, far_row(seen, **row, **flags)
+
+
+@query
+def q_stream_counter_windows(spark, sf):
+    """Hourly counters of the packet stream, the last hour included."""
+    from abuse_lens.streaming import windows
+
+    seen, turn, last, closing = packet_files(spark, sf)
+    rows = windows.replay(seen, turn, lambda s: windows.counter_windows(s, t.PORTS, 3600, "8 days"), closing)
+    return rows.where(F.col("ts") <= last // 1_000_000_000)
+
+
+@query
+def q_stream_idle_windows(spark, sf):
+    """Packet windows of a minute, with a row for empty minutes, out of the stream."""
+    from abuse_lens.streaming import features, windows
+
+    def build(stream):
+        timed = windows.event_time(stream, "ts_ns", "8 days")
+        counted = timed.groupBy(F.window("event_time", "60 seconds").alias("span")).agg(F.count(F.lit(1)).alias("packets"), F.sum("wire_len").alias("bytes"))
+        return features.with_empty_windows(counted, "span", 60)
+
+    seen, turn, last, closing = packet_files(spark, sf)
+    rows = windows.replay(seen, turn, build, closing)
+    rows = rows.select(div(F.col("window_start"), 60).alias("minute"), "packets", "bytes")
+    return rows.where(F.col("minute") <= last // 60_000_000_000)
+
+
+@query
+def q_stream_window_features(spark, sf):
+    """All features of ten-second windows of the pair stream, the last one included."""
+    from abuse_lens.streaming import features, windows
+
+    pairs = pairs_of(spark, sf)
+    last = pairs.agg(F.max("resp_completed_ns").alias("ts")).first().ts or 0
+    closing = far_row(pairs, resp_completed_ns=last + 100 * 1_000_000_000)
+    turn = F.pmod(div(F.col("resp_completed_ns"), 10_000_000_000), F.lit(4))
+
+    def build(stream):
+        ports = stream.select(F.col("resp_completed_ns").alias("ts_ns"), F.lit(8545).alias("dst_port"), (F.col("flow") % 1000).alias("src_port"))
+        return features.window_features(stream, ports, 10, "1000 days")
+
+    rows = windows.replay(pairs, turn, build, closing.withColumn("resp_completed_ns", F.lit(last + 1001 * DAY_NS)))
+    rows = rows.where(F.col("window_start") <= last // 1_000_000_000)
+    return rows.withColumn("amp_ratio_mean", F.round("amp_ratio_mean", 9))
+
+
+@query
+def q_stream_quality(spark, sf):
+    """Events, rejected and unwatched ones, counted while the stream runs and summed from its table of batches."""
+    import uuid
+
+    from abuse_lens.plans.settle import shared_folder
+    from abuse_lens.streaming import metrics, windows
+
+    events = marked_events(spark, sf)
+    counters = metrics.BatchCounters(spark, f"{shared_folder(spark)}/counters-{uuid.uuid4().hex}")
+    spark.streams.addListener(counters)
+    build = lambda s: metrics.observed(s, quality.packet_defect(), rpc.server_direction([8000]))
+    windows.replay(events, F.pmod(F.col("window"), F.lit(3)), build, events.limit(0), 2, counters.wait)
+    spark.streams.removeListener(counters)
+    return counters.read().agg(*[F.sum(c).alias(f"total_{c}") for c in metrics.COUNTERS])
