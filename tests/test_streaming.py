@@ -153,3 +153,59 @@ def test_streamed_snapshots_are_readable(spark, tmp_path):
     windows.write_snapshots(source, out, str(tmp_path / "cp"), availableNow=True).awaitTermination()
     back = snapshots.counter_rows(snapshots.parse_strict(sink.read_hourly(spark, out)))
     assert sorted((r.ts, r.syn) for r in back.collect()) == [(d[0], d[7]) for d in data]
+
+
+def test_streamed_features_equal_batch(spark, tmp_path):
+    from abuse_lens.streaming import features
+    from test_traffic import PAIRS
+
+    rng = random.Random(9)
+    sec = 10**9
+    rows = []
+    for i in range(150):
+        asked = 10**6 * sec + rng.randrange(300) * sec
+        code = rng.choice([None, *range(8)])
+        rows.append((i % 4, rng.choice([0, 3, 10, 40]), rng.randrange(500), rng.choice([None, 200, 404, 503]), asked, asked + rng.choice([-5, 5, 7 * sec]), rng.random() < 0.6, code))
+    batches = [rows[i::3] for i in range(3)] + [[(1, 1, 1, 200, 0, 2 * 10**6 * sec, False, None)]]
+    pairs = stream(spark, tmp_path, batches, PAIRS)
+    ports = lambda p: p.select(F.col("resp_completed_ns").alias("ts_ns"), F.lit(80).alias("dst_port"), (F.col("resp_completed_ns") % 7).cast("int").alias("src_port"))
+    out = run(features.window_features(pairs, ports(pairs), 60, "1 hour"), tmp_path, "s_features").where("window_start < 1500000")
+    window = (F.floor(F.col("resp_completed_ns") / (60 * sec)) * 60).alias("window_start")
+    table = spark.createDataFrame(rows, PAIRS)
+    events = ports(table).select("*", (F.floor(F.col("ts_ns") / (60 * sec)) * 60).alias("window_start"))
+    batch = rpc.response_aggregates(table.select("*", window), events, ["window_start"])
+    names = sorted(out.columns)
+    assert names == sorted(batch.columns)
+    rounded = lambda rows: sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows], key=repr)
+    assert out.count() >= 5 and rounded(out.select(*names).collect()) == rounded(batch.select(*names).collect())
+
+
+def test_empty_windows_are_given_out(spark, tmp_path):
+    from abuse_lens.streaming import features
+
+    at = lambda *seconds: [packet(ts=(10**6 + s) * 10**9) for s in seconds]
+    source = stream(spark, tmp_path, [at(0, 61), at(65, 250), at(600)], PACKETS, "idle")
+    timed = windows.event_time(source, "ts_ns", "10 seconds")
+    counted = timed.groupBy(F.window("event_time", "60 seconds").alias("span")).agg(F.count("*").alias("packets"))
+    out = run(features.with_empty_windows(counted, "span", 60), tmp_path, "s_empty")
+    first = 10**6 // 60 * 60
+    got = {(r.window_start - first) // 60: r.packets for r in out.collect()}
+    # the window of the last packet is still open; those before it have been timed
+    assert got == {0: 1, 1: 2, 2: None, 3: None, 4: 1, 5: None, 6: None, 7: None, 8: None, 9: None}
+
+
+def test_batch_counters_are_summed_from_their_table(spark, tmp_path):
+    from abuse_lens.streaming import metrics
+
+    batches = [[packet(ts=i * 10**9, wire=100 * i) for i in range(1, 6)], [packet(ts=i * 10**9, wire=100 * i) for i in range(6, 11)]]
+    source = stream(spark, tmp_path, batches, PACKETS, "quality")
+    counters = metrics.BatchCounters(spark, str(tmp_path / "counters"))
+    spark.streams.addListener(counters)
+    good = metrics.observed(source, F.when(F.col("wire_len") > 800, "too long"), F.when(F.col("wire_len") != 300, "in"))
+    q = good.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp-q")).trigger(availableNow=True).start(str(tmp_path / "good"))
+    q.awaitTermination()
+    assert counters.wait(str(q.runId))
+    spark.streams.removeListener(counters)
+    rows = counters.read().collect()
+    assert len(rows) == 2 and sum(r.events for r in rows) == 10 and sum(r.decode_errors for r in rows) == 2
+    assert sum(r.events_filtered for r in rows) == 1 and spark.read.parquet(str(tmp_path / "good")).count() == 7
