@@ -54,7 +54,7 @@ def of_texts(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     rolled = np.zeros(len(words), np.uint64)
     for k in range(width):
         shifted = np.zeros(len(words), np.uint64)
-        shifted[: len(words) - k] = words[k:]
+        shifted[: max(0, len(words) - k)] = words[k:]
         shifted[at + k >= ends] = 0
         rolled = rolled * _BASE + shifted
     first = np.zeros(len(words), bool)

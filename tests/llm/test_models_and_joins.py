@@ -356,6 +356,16 @@ def test_pipeline_of_odd_rows(spark, pipeline, docs):
         assert stage(spark, rows.where("false"), SF).count() == 0
 
 
+def test_near_copies_of_a_repeated_doc_id(spark, pipeline, docs):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(words[::-1])
+    near = " ".join([*words[:58], "other", "end"])
+    rows = [(3, a), (7, a), (7, b), (7, b), (9, near), (11, "alone and short")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    kept = pipeline.drop_near_copies(spark, table, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(3, a), (7, b), (11, "alone and short")])
+
+
 def test_url_filter_twin_follows_aliases(spark):
     import duckdb
 
@@ -383,8 +393,15 @@ def test_queries_are_registered_and_twins_agree(spark):
     from check import canonical, connect
 
     names = set(entry.queries())
-    assert {m[0] for n in names if (m := re.match(r"op\d+_", n))} == {f"op{i}_" for i in range(1, 11)} and "pipeline" in names
+    assert {m[0] for n in names if (m := re.match(r"op\d+_", n))} == {f"op{i}_" for i in range(1, 14)} and "pipeline" in names
     for name, sql in entry.oracle_sql().items():
         if name.startswith("op"):
             ours = entry.queries()[name](spark, SF).toPandas()
             assert canonical(ours) == canonical(connect(SF).execute(sql).fetch_df())
+
+
+def test_slices_of_very_few_words_or_bytes():
+    for n in range(4):
+        text = " ".join("abc"[:n])
+        assert [len(x) for x in shingles.of_texts(pa.array([text]), 5)] == [int(n > 0), 2]
+        assert len(quality.codes(pa.array([text[:n]]))[0]) == len(text[:n])
