@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from abuse_lens.functions.http import BODY_KEEP_BYTES, MAX_BUFFER_BYTES, MAX_HEAD_BYTES, parse_envelope, parse_head
-from abuse_lens.operators.slices import running_in_slices, with_slice
+from abuse_lens.operators.slices import in_runs, running_in_slices, with_slice
 from abuse_lens.plans.settle import settle
 
 FLOW = ["flow_low", "flow_high"]
 CHAIN = [*FLOW, "direction"]
 SLICE = "slice"
 CUT = [*CHAIN, SLICE]
+#: Events in order; what is equal in all of it is interchangeable.
+ORDER = ["ts_ns", "tcp_seq", "payload_len", "payload"]
 RESPONSE = "from_server"
 #: Nodes that one node of the tree joins.
 FANOUT = 256
@@ -177,13 +179,8 @@ def tabulate(ends: np.ndarray, samples: Sequence[bytes], response: bool) -> tupl
     return skips, unfinished[::-1]
 
 
-def _sorted(events: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, list[bytes]]:
-    events = events.sort_values(["ts_ns", "tcp_seq"], kind="stable")
-    return events, events["payload_len"].to_numpy(np.int64).cumsum(), events["payload"].tolist()
-
-
-def _tabulated(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
-    events, ends, samples = _sorted(events)
+def _tabulated(key: tuple, events: dict[str, list]) -> Iterator[tuple]:
+    ends, samples = np.cumsum(events["payload_len"]), events["payload"]
     skips, unfinished = tabulate(ends, samples, key[2] == RESPONSE)
     reached = [0, *(m + 1 for m in range(len(ends)) if ends[m] > (ends[m - 1] if m else 0))]
     steps = merged(int(ends[-1]), [int(ends[m - 1]) if m else 0 for m in reached], [skips[m] for m in reached])
@@ -191,7 +188,7 @@ def _tabulated(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
     sizes = np.concatenate([[0], np.cumsum([len(s) for s in samples])])
     offsets = [int(sizes[m] - sizes[unfinished[0]]) for m in unfinished]
     before = [int(ends[-1] - (ends[m - 1] if m else 0)) for m in unfinished]
-    return pd.DataFrame([(*key, *steps[:1], int(sizes[-1]), *steps[1:], unfinished, offsets, before, tail)], columns=_names(f"{_STEPS}, {_OPEN}"))
+    yield (*key, steps.total, int(sizes[-1]), steps.upto, steps.skips, unfinished, offsets, before, tail)
 
 
 def _names(schema: str) -> list[str]:
@@ -201,22 +198,23 @@ def _names(schema: str) -> list[str]:
 # --- heads behind the end of their slice ---
 
 
-def _leading(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
+_LEADING = f"{_KEY}, {SLICE} bigint, total bigint, ends array<bigint>, samples array<binary>"
+
+
+def _leading(key: tuple, events: dict[str, list]) -> Iterator[tuple]:
     """The first events of a slice, as far as any head can reach."""
-    _, ends, samples = _sorted(events)
+    ends, samples = np.cumsum(events["payload_len"]), events["payload"]
     full = [i for i in range(len(samples)) if samples[i]]
     sizes = np.cumsum([len(samples[i]) for i in full])
     full = full[: int(np.searchsorted(sizes, MAX_HEAD_BYTES, side="right")) + 1]
-    columns = _names(f"{_KEY}, {SLICE} bigint, total bigint, ends array<bigint>, samples array<binary>")
-    return pd.DataFrame([(*key, int(ends[-1]), [int(ends[i]) for i in full], [samples[i] for i in full])], columns=columns)
+    yield (*key, int(ends[-1]), [int(ends[i]) for i in full], [samples[i] for i in full])
 
 
 def _finish(sliced: DataFrame, opened: DataFrame, after: DataFrame) -> DataFrame:
     """``opened`` with its open heads finished; what follows a slice is looked at twice as far each time, until that is enough."""
     c = F.col
-    schema = f"{_KEY}, {SLICE} bigint, total bigint, ends array<bigint>, samples array<binary>"
     chains = opened.select(*CHAIN).distinct()
-    lead = settle(sliced.join(chains, CHAIN, "left_semi").groupBy(*CUT).applyInPandas(_leading, schema).join(after, CUT))
+    lead = settle(in_runs(sliced.join(chains, CHAIN, "left_semi"), CUT, ORDER, _leading, _LEADING).join(after, CUT))
     behind = opened.join(after, CUT)
     held = F.aggregate("samples", F.lit(0), lambda n, s: n + F.octet_length(s))
     more = (held <= MAX_HEAD_BYTES) & c("next").isNotNull()
@@ -267,24 +265,21 @@ def _finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 # --- the tree ---
 
 
-def _joined(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
-    nodes = nodes.sort_values(SLICE)
-    steps = compose([Steps(int(t), list(u), list(s)) for t, u, s in zip(nodes["total"], nodes["upto"], nodes["skips"], strict=True)])
-    return pd.DataFrame([(*key, steps.total, int(nodes["sampled"].sum()), steps.upto, steps.skips)], columns=_names(_STEPS))
+def _joined(key: tuple, nodes: dict[str, list]) -> Iterator[tuple]:
+    steps = compose([Steps(t, list(u), list(s)) for t, u, s in zip(nodes["total"], nodes["upto"], nodes["skips"], strict=True)])
+    yield (*key, steps.total, sum(nodes["sampled"]), steps.upto, steps.skips)
 
 
 _ENTRY = f"{_KEY}, {SLICE} bigint, skip bigint, seen bigint"
 
 
-def _handed_down(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
+def _handed_down(key: tuple, nodes: dict[str, list]) -> Iterator[tuple]:
     """Each node's bytes to skip, and how many sampled bytes of what is skipped lie before it at least."""
-    nodes = nodes.sort_values(SLICE)
-    skip, seen, out = int(nodes["skip"].iloc[0]), int(nodes["seen"].iloc[0]), []
-    for name, total, sampled, upto, skips in nodes[[SLICE, "total", "sampled", "upto", "skips"]].itertuples(index=False):
-        out.append((*key[:3], name, skip, seen))
+    skip, seen = nodes["skip"][0], nodes["seen"][0]
+    for name, total, sampled, upto, skips in zip(*[nodes[n] for n in (SLICE, "total", "sampled", "upto", "skips")], strict=True):
+        yield (*key[:3], name, skip, seen)
         seen = seen + sampled if skip > total else 0
-        skip = Steps(int(total), list(upto), list(skips))(skip)
-    return pd.DataFrame(out, columns=_names(_ENTRY))
+        skip = int(Steps(total, list(upto), list(skips))(skip))
 
 
 def _parent(nodes: DataFrame) -> DataFrame:
@@ -297,34 +292,31 @@ def entries(steps: DataFrame) -> DataFrame:
     levels = [_parent(steps)]
     several = lambda nodes: nodes.groupBy(*CHAIN).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     while not several(levels[-1]).isEmpty():
-        up = levels[-1].groupBy(*CHAIN, "node").applyInPandas(_joined, _STEPS)
+        up = in_runs(levels[-1], [*CHAIN, "node"], [SLICE], _joined, _STEPS)
         levels.append(_parent(settle(up)))
     zero = F.lit(0).cast("bigint")
     known = levels[-1].select(*CUT, zero.alias("skip"), zero.alias("seen"))
     for nodes in reversed(levels[:-1]):
         given = nodes.join(known.withColumnRenamed(SLICE, "node"), [*CHAIN, "node"])
-        known = settle(given.groupBy(*CHAIN, "node").applyInPandas(_handed_down, _ENTRY))
+        known = settle(in_runs(given, [*CHAIN, "node"], [SLICE], _handed_down, _ENTRY))
     return known
 
 
 # --- messages ---
 
 
-def _said(key: tuple, events: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-    columns = _names(_SAID)
-    if not len(events):
-        return pd.DataFrame([], columns=columns)
+def _said(key: tuple, rows: dict[str, list]) -> Iterator[tuple]:
+    """``rows``: what is known of the slice, if anything (``event`` 0), then its events."""
     chain, at, response = key[:3], key[3], key[2] == RESPONSE
-    events, ends, samples = _sorted(events)
-    ts, seq = events["ts_ns"].tolist(), events["tcp_seq"].tolist()
-    known = given.iloc[0] if len(given) else None
-    skip, seen = (0, 0) if known is None else (int(known["skip"]), int(known["seen"]))
+    known = not rows["event"][0]
+    ts, seq, lengths, samples = (rows[n][known:] for n in ("ts_ns", "tcp_seq", "payload_len", "payload"))
+    skip, seen = rows["skip"][0], rows["seen"][0]
+    ends = np.cumsum(lengths)
     closes, messages, opens = walk(ends, samples, skip, response)
-    out = []
     for i, last, head, parts in messages:
         parsed, code = envelope(parts)
-        out.append((*chain, head.body, head.status, ts[i], ts[last], seq[last], parsed, code, at, 0, None, 0, 0, [], []))
-    if skip and known is not None:
+        yield (*chain, head.body, head.status, ts[i], ts[last], seq[last], parsed, code, at, 0, None, 0, 0, [], [])
+    if skip:
         # a share of the message that was open before; samples far behind its head are not looked at
         last = len(ends) - 1 if closes is None else closes
         wanted = response and seen <= MAX_HEAD_BYTES + BODY_KEEP_BYTES
@@ -335,38 +327,34 @@ def _said(key: tuple, events: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame
             shares.append(last)
         end = (None, None) if closes is None else (ts[closes], seq[closes])
         if wanted or closes is not None:
-            out.append((*chain, None, None, None, *end, None, None, at, 1, None, 0, int(ends[-1]), [int(ends[i]) for i in shares], [samples[i] for i in shares]))
-    if opens is not None and known is not None:
+            yield (*chain, None, None, None, *end, None, None, at, 1, None, 0, int(ends[-1]), [int(ends[i]) for i in shares], [samples[i] for i in shares])
+    if opens is not None and known:
         i, rest = opens
         status, body, until, parts = None, None, 0, []
+        starts = [] if rows["starts"][0] is None else list(rows["starts"][0])
         if rest is not None:
             head, _, parts = rest
             status, body, parts = head.status, str(head.body), few(parts)
-        elif known["starts"] is not None and i in list(known["starts"]):
-            k = list(known["starts"]).index(i)
-            until = int(known["sizes"][k])
+        elif i in starts:
+            k = starts.index(i)
+            until = int(rows["sizes"][0][k])
             if until:  # else no head after all
-                body, status, parts = known["bodies"][k], known["codes"][k], [bytes(known["rests"][k])]
-                status = None if status < 0 else int(status)
-        out.append((*chain, None, status, ts[i], None, None, None, None, at, 2, body, until, int(ends[-1]), [0] * len(parts), parts))
-    frame = pd.DataFrame(out, columns=columns)
-    return frame.astype({"body_len": "Int64", "status": "Int32", "first_ts": "Int64", "done_ts": "Int64", "done_seq": "Int64", "rpc_error_code": "Int32", "rpc_parsed": "boolean"})
+                body, status, parts = rows["bodies"][0][k], int(rows["codes"][0][k]), [bytes(rows["rests"][0][k])]
+                status = None if status < 0 else status
+        yield (*chain, None, status, ts[i], None, None, None, None, at, 2, body, until, int(ends[-1]), [0] * len(parts), parts)
 
 
-def _put_together(key: tuple, shares: pd.DataFrame) -> pd.DataFrame:
+def _put_together(key: tuple, shares: dict[str, list]) -> Iterator[tuple]:
     """The message that one slice opens and a later one closes, if both are there."""
-    shares = shares.sort_values([SLICE])
-    first, last = shares.iloc[0], shares.iloc[-1]
-    if first["kind"] != 2 or pd.isna(last["done_ts"]) or first["body_text"] is None:
-        return pd.DataFrame([], columns=_names(MESSAGES))
-    parts, base = [bytes(s) for s in first["samples"]], 0
-    for row in shares.iloc[1:].itertuples(index=False):
-        parts += [bytes(s) for e, s in zip(row.ends, row.samples, strict=True) if base + e > first["head_until"]]
-        base += row.length
+    if shares["kind"][0] != 2 or not shares["closed"][-1] or shares["body_text"][0] is None:
+        return
+    parts, base = [bytes(s) for s in shares["samples"][0]], 0
+    for ends, samples, length in list(zip(shares["ends"], shares["samples"], shares["length"], strict=True))[1:]:
+        parts += [bytes(s) for e, s in zip(ends, samples, strict=True) if base + e > shares["head_until"][0]]
+        base += length
     parsed, code = envelope(parts) if key[2] == RESPONSE else (False, None)
-    status = None if pd.isna(first["status"]) else int(first["status"])
-    row = (*key[:3], int(first["body_text"]), status, int(first["first_ts"]), int(last["done_ts"]), int(last["done_seq"]), parsed, code)
-    return pd.DataFrame([row], columns=_names(MESSAGES)).astype({"status": "Int32", "rpc_error_code": "Int32"})
+    first, last = shares["first_ts"][0], shares["done_ts"][-1]
+    yield (*key[:3], int(shares["body_text"][0]), shares["code"][0], first, last, shares["done_seq"][-1], parsed, code)
 
 
 def frame_messages(events: DataFrame, slice_ns: int = 60_000_000_000) -> DataFrame:
@@ -389,7 +377,7 @@ def frame_messages(events: DataFrame, slice_ns: int = 60_000_000_000) -> DataFra
     after = after.withColumn("alone", c("next").isNull() & F.lag(SLICE).over(by_chain).isNull())
     after = settle(after.where(~c("alone")).drop("alone"))  # a slice that is all of its chain has nothing to hand on
 
-    tables = settle(sliced.join(after.select(*CUT), CUT, "left_semi").groupBy(*CUT).applyInPandas(_tabulated, f"{_STEPS}, {_OPEN}"))
+    tables = settle(in_runs(sliced.join(after.select(*CUT), CUT, "left_semi"), CUT, ORDER, _tabulated, f"{_STEPS}, {_OPEN}"))
     opened = tables.where(F.size("starts") > 0)
     steps_columns = _names(_STEPS)
     closed = tables.where(F.size("starts") == 0).select(*steps_columns)
@@ -401,10 +389,15 @@ def frame_messages(events: DataFrame, slice_ns: int = 60_000_000_000) -> DataFra
     given = entries(steps)
     given = given.select("*", *nothing) if heads is None else given.join(heads.drop("total", "sampled", "upto", "skips"), CUT, "left")
 
-    said = settle(sliced.groupBy(*CUT).cogroup(given.groupBy(*CUT)).applyInPandas(_said, _SAID))
+    zero = F.lit(0).cast("bigint")
+    rows = sliced.select(*CUT, F.lit(1).alias("event"), *ORDER, zero.alias("skip"), zero.alias("seen"), *nothing)
+    no_event = [F.lit(None).cast(sliced.schema[n].dataType).alias(n) for n in ORDER]
+    ahead = given.select(*CUT, F.lit(0).alias("event"), *no_event, "skip", "seen", *_names(_HEADS))
+    said = settle(in_runs(rows.unionByName(ahead), CUT, ["event", *ORDER], _said, _SAID))
     names = _names(MESSAGES)
     crossing = said.where("kind > 0").withColumn("opened", F.when(c("kind") == 2, c(SLICE)))
     hour, wide = with_slice(crossing, SLICE, 1024)
     placed = running_in_slices(hour, CHAIN, [SLICE, "kind"], wide, {"message": ("max", c("opened"))}).drop(wide, "opened")
-    whole = placed.where(c("message").isNotNull()).groupBy(*CHAIN, "message").applyInPandas(_put_together, MESSAGES)
+    shares = placed.where(c("message").isNotNull()).withColumn("closed", c("done_ts").isNotNull()).withColumnRenamed("status", "code")
+    whole = in_runs(shares, [*CHAIN, "message"], [SLICE], _put_together, MESSAGES)
     return said.where("kind = 0").select(*names).unionByName(whole)

@@ -15,6 +15,10 @@ sides ask for the same shuffle of the rows, and Spark runs it once.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,3 +128,57 @@ def row_number_in_slices(
     inside = F.row_number().over(Window.partitionBy(*cut).orderBy(*order))
     numbered = df.withColumn("_slice_rn", inside).join(starts, cut)
     return numbered.withColumn(into, F.col("_slice_rn") + F.col("_slice_start")).drop("_slice_rn", "_slice_start")
+
+
+#: Rows that a task hands back at a time.
+HANDED = 1024
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _arrow_schema(schema: str) -> pa.Schema:
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    kinds = {n: t.removeprefix("array<").removesuffix(">") for n, t in fields}
+    return pa.schema([(n, pa.list_(_ARROW[kinds[n]]) if t != kinds[n] else _ARROW[t]) for n, t in fields])
+
+
+def _runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """Each key and its columns, out of batches sorted by key."""
+    key, held = None, {}
+    for batch in batches:
+        lists = batch.to_pydict()
+        marks = list(zip(*[lists.pop(k) for k in keys], strict=True))
+        ends = [i for i in range(1, len(marks)) if marks[i] != marks[i - 1]] + [len(marks)] * bool(marks)
+        for a, b in pairwise([0, *ends]):
+            if marks[a] == key:
+                for name, values in lists.items():
+                    held[name] += values[a:b]
+                continue
+            if key is not None:
+                yield key, held
+            key, held = marks[a], {name: values[a:b] for name, values in lists.items()}
+    if key is not None:
+        yield key, held
+
+
+def in_runs(df: DataFrame, keys: list[str], order: list[str], work: Callable[[tuple, dict], Iterable[tuple]], schema: str) -> DataFrame:
+    """``work(key, columns)`` for the rows of each key, in order; the tuples it gives are rows of ``schema``.
+
+    A task goes over its sorted rows and holds one key's rows and one batch, so many short keys cost
+    little more than their rows; one key's rows must fit in a task.
+    """
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, made = _arrow_schema(schema), []
+        handed = lambda: pa.RecordBatch.from_arrays(
+            [pa.array(v, t) for v, t in zip(zip(*made, strict=True), kinds.types, strict=True)], schema=kinds
+        )
+        for key, held in _runs(batches, keys):
+            made += work(key, held)
+            if len(made) >= HANDED:
+                yield handed()
+                made = []
+        if made:
+            yield handed()
+
+    ordered = [F.col(c).asc_nulls_last() for c in order]
+    return df.repartition(*keys).sortWithinPartitions(*keys, *ordered).mapInArrow(each, schema)
