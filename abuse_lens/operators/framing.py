@@ -7,7 +7,7 @@ number of bytes to skip before its first message begins (0: at once), and all it
 step function from bytes to skip to bytes to skip, which is tabulated without knowing what comes before it.
 
 Step functions of neighbouring slices compose.  They are composed in a tree whose nodes join up to ``FANOUT``
-slices, then the numbers are handed down the tree, so the rounds grow with the logarithm of a
+slices (``operators/steps.py``), then the numbers are handed down the tree, so the rounds grow with the logarithm of a
 chain, whatever its slices depend on.  A head that goes on behind its slice's end is finished with the bytes that
 follow it, at most ``MAX_HEAD_BYTES``, which are collected by doubling.  At last every slice is walked once, from the event it is
 known to begin with; a message over several slices is put together from what they say of it.
@@ -15,7 +15,6 @@ known to begin with; a message over several slices is put together from what the
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -26,17 +25,15 @@ from pyspark.sql import functions as F
 
 from abuse_lens.functions.http import BODY_KEEP_BYTES, MAX_BUFFER_BYTES, MAX_HEAD_BYTES, parse_envelope, parse_head
 from abuse_lens.operators.slices import in_runs, running_in_slices, with_slice
+from abuse_lens.operators.steps import SLICE, Steps, compose, entries, merged, names_of, table_of
 from abuse_lens.plans.settle import settle
 
 FLOW = ["flow_low", "flow_high"]
 CHAIN = [*FLOW, "direction"]
-SLICE = "slice"
 CUT = [*CHAIN, SLICE]
 #: Events in order; what is equal in all of it is interchangeable.
 ORDER = ["ts_ns", "tcp_seq", "payload_len", "payload"]
 RESPONSE = "from_server"
-#: Nodes that one node of the tree joins.
-FANOUT = 256
 #: A head that the chain's end leaves open is never followed by a message.
 NEVER = 1 << 62
 _KEY = "flow_low bigint, flow_high bigint, direction string"
@@ -44,7 +41,7 @@ MESSAGES = (
     f"{_KEY}, body_len bigint, status int, first_ts bigint, done_ts bigint, done_seq bigint, "
     "rpc_parsed boolean, rpc_error_code int"
 )
-_STEPS = f"{_KEY}, {SLICE} bigint, total bigint, sampled bigint, upto array<bigint>, skips array<bigint>"
+_STEPS = table_of(_KEY)
 _OPEN = "starts array<int>, offsets array<int>, before array<bigint>, tail binary"
 _HEADS = "starts array<int>, at array<bigint>, sizes array<int>, bodies array<string>, codes array<int>, rests array<binary>"
 #: What a slice says: its messages, and its share of those that cross its ends.
@@ -134,35 +131,6 @@ def envelope(parts: Sequence[bytes]) -> tuple[bool, int | None]:
     return (False, None) if not size or size > BODY_KEEP_BYTES or full_early else parse_envelope(b"".join(parts))
 
 
-# --- step functions ---
-
-
-class Steps(NamedTuple):
-    """Bytes to skip behind a stretch of ``total`` bytes, by the bytes to skip before it: ``skips[i]`` up to ``upto[i]``."""
-
-    total: int
-    upto: list[int]
-    skips: list[int]
-
-    def __call__(self, skip: int) -> int:
-        return skip - self.total if skip > self.total else self.skips[bisect_left(self.upto, skip)]
-
-
-def merged(total: int, upto: list[int], skips: list[int]) -> Steps:
-    keep = [i for i in range(len(upto)) if i + 1 == len(upto) or skips[i] != skips[i + 1]]
-    return Steps(total, [upto[i] for i in keep], [skips[i] for i in keep])
-
-
-def compose(parts: Sequence[Steps]) -> Steps:
-    """The step function of stretches that follow one another."""
-    after = parts[-1]
-    for part in reversed(parts[:-1]):
-        beyond = [(u, s) for u, s in zip(after.upto, after.skips, strict=True) if u > 0]
-        upto = part.upto + [part.total + u for u, _ in beyond]
-        after = merged(part.total + after.total, upto, [after(s) for s in part.skips] + [s for _, s in beyond])
-    return after
-
-
 def tabulate(ends: np.ndarray, samples: Sequence[bytes], response: bool) -> tuple[list[int], list[int]]:
     """Bytes to skip behind the slice if a message begins with event m, for m = 0 ... n; and the events whose head stays open (-m - 1 there)."""
     n = len(ends)
@@ -191,10 +159,6 @@ def _tabulated(key: tuple, events: dict[str, list]) -> Iterator[tuple]:
     yield (*key, steps.total, int(sizes[-1]), steps.upto, steps.skips, unfinished, offsets, before, tail)
 
 
-def _names(schema: str) -> list[str]:
-    return [f.split()[0] for f in schema.split(", ")]
-
-
 # --- heads behind the end of their slice ---
 
 
@@ -259,47 +223,7 @@ def _finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             skips = [swap.get(s, s) for s in row.skips]
             key = tuple(getattr(row, k) for k in CUT)
             out.append((*key, row.total, row.sampled, list(row.upto), skips, list(row.starts), *map(list, zip(*heads, strict=True)), row.more is True))
-        yield pd.DataFrame(out, columns=_names(f"{_STEPS}, {_HEADS}, more boolean"))
-
-
-# --- the tree ---
-
-
-def _joined(key: tuple, nodes: dict[str, list]) -> Iterator[tuple]:
-    steps = compose([Steps(t, list(u), list(s)) for t, u, s in zip(nodes["total"], nodes["upto"], nodes["skips"], strict=True)])
-    yield (*key, steps.total, sum(nodes["sampled"]), steps.upto, steps.skips)
-
-
-_ENTRY = f"{_KEY}, {SLICE} bigint, skip bigint, seen bigint"
-
-
-def _handed_down(key: tuple, nodes: dict[str, list]) -> Iterator[tuple]:
-    """Each node's bytes to skip, and how many sampled bytes of what is skipped lie before it at least."""
-    skip, seen = nodes["skip"][0], nodes["seen"][0]
-    for name, total, sampled, upto, skips in zip(*[nodes[n] for n in (SLICE, "total", "sampled", "upto", "skips")], strict=True):
-        yield (*key[:3], name, skip, seen)
-        seen = seen + sampled if skip > total else 0
-        skip = int(Steps(total, list(upto), list(skips))(skip))
-
-
-def _parent(nodes: DataFrame) -> DataFrame:
-    at, wide = F.col(SLICE), F.lit(FANOUT).cast("bigint")
-    return nodes.withColumn("node", F.call_function("div", at - F.pmod(at, wide), wide))
-
-
-def entries(steps: DataFrame) -> DataFrame:
-    """The bytes to skip at every slice of ``steps``, by composing up and handing down."""
-    levels = [_parent(steps)]
-    several = lambda nodes: nodes.groupBy(*CHAIN).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    while not several(levels[-1]).isEmpty():
-        up = in_runs(levels[-1], [*CHAIN, "node"], [SLICE], _joined, _STEPS)
-        levels.append(_parent(settle(up)))
-    zero = F.lit(0).cast("bigint")
-    known = levels[-1].select(*CUT, zero.alias("skip"), zero.alias("seen"))
-    for nodes in reversed(levels[:-1]):
-        given = nodes.join(known.withColumnRenamed(SLICE, "node"), [*CHAIN, "node"])
-        known = settle(in_runs(given, [*CHAIN, "node"], [SLICE], _handed_down, _ENTRY))
-    return known
+        yield pd.DataFrame(out, columns=names_of(f"{_STEPS}, {_HEADS}, more boolean"))
 
 
 # --- messages ---
@@ -379,22 +303,22 @@ def frame_messages(events: DataFrame, slice_ns: int = 60_000_000_000) -> DataFra
 
     tables = settle(in_runs(sliced.join(after.select(*CUT), CUT, "left_semi"), CUT, ORDER, _tabulated, f"{_STEPS}, {_OPEN}"))
     opened = tables.where(F.size("starts") > 0)
-    steps_columns = _names(_STEPS)
+    steps_columns = names_of(_STEPS)
     closed = tables.where(F.size("starts") == 0).select(*steps_columns)
     nothing = [F.lit(None).cast(f.split(" ", 1)[1]).alias(f.split()[0]) for f in _HEADS.split(", ")]
     heads = None
     if not opened.isEmpty():
         heads = _finish(sliced, opened, after)
     steps = closed if heads is None else closed.unionByName(heads.select(*steps_columns))
-    given = entries(steps)
+    given = entries(steps, _KEY)
     given = given.select("*", *nothing) if heads is None else given.join(heads.drop("total", "sampled", "upto", "skips"), CUT, "left")
 
     zero = F.lit(0).cast("bigint")
     rows = sliced.select(*CUT, F.lit(1).alias("event"), *ORDER, zero.alias("skip"), zero.alias("seen"), *nothing)
     no_event = [F.lit(None).cast(sliced.schema[n].dataType).alias(n) for n in ORDER]
-    ahead = given.select(*CUT, F.lit(0).alias("event"), *no_event, "skip", "seen", *_names(_HEADS))
+    ahead = given.select(*CUT, F.lit(0).alias("event"), *no_event, "skip", "seen", *names_of(_HEADS))
     said = settle(in_runs(rows.unionByName(ahead), CUT, ["event", *ORDER], _said, _SAID))
-    names = _names(MESSAGES)
+    names = names_of(MESSAGES)
     crossing = said.where("kind > 0").withColumn("opened", F.when(c("kind") == 2, c(SLICE)))
     hour, wide = with_slice(crossing, SLICE, 1024)
     placed = running_in_slices(hour, CHAIN, [SLICE, "kind"], wide, {"message": ("max", c("opened"))}).drop(wide, "opened")

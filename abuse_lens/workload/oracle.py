@@ -565,6 +565,19 @@ WHERE rn - lft - 1 >= 0 AND (rn - lft - 1) % act.rate = 0""",
         PK, f"""SELECT 'cpu-' || cpu AS incident_tag, ts_ns // {DAY_NS} * {D} AS trigger_ts, count(*) AS packets, count(*) * 38 AS captured,
         true AS within FROM pk WHERE wire_len > 0 GROUP BY 1, 2"""
     ),
+    "q_incident_segments": "WITH RECURSIVE " + PK.strip() + f"""
+rec AS (SELECT 'cpu-' || cpu AS incident_tag, ts_ns // (30 * {DAY_NS}) * 30 * {D} AS trigger_ts, event_id, ts_ns,
+  54 + (event_id * 7919 + wire_len) % 900 AS size FROM pk WHERE wire_len > 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY incident_tag, trigger_ts ORDER BY ts_ns, event_id) AS i FROM rec),
+cuts AS (
+  SELECT incident_tag, trigger_ts, i, size AS held, CAST(0 AS BIGINT) AS segment FROM num WHERE i = 1
+  UNION ALL
+  SELECT n.incident_tag, n.trigger_ts, n.i, CASE WHEN c.held >= 3000 THEN n.size ELSE c.held + n.size END,
+    CASE WHEN c.held >= 3000 THEN c.segment + 1 ELSE c.segment END
+  FROM cuts c JOIN num n ON n.incident_tag = c.incident_tag AND n.trigger_ts = c.trigger_ts AND n.i = c.i + 1)
+SELECT incident_tag, trigger_ts, segment, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes,
+  min(event_id) AS least_id, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns
+FROM cuts JOIN num USING (incident_tag, trigger_ts, i) GROUP BY 1, 2, 3""",
     "q_archive": q(
         PK, f"""SELECT 'cpu-' || cpu AS incident_tag, ts_ns // {DAY_NS} * {D} AS trigger_ts, count(*) AS packets, count(*) * 38 AS captured
         FROM pk WHERE wire_len > 0 GROUP BY 1, 2"""

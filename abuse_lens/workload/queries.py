@@ -790,6 +790,28 @@ def q_incident_files(spark, sf):
     )
 
 
+@query
+def q_incident_segments(spark, sf):
+    """Packets of many sizes, cut into segments by their bytes, written and read back."""
+    import uuid
+
+    from abuse_lens.plans.settle import shared_folder
+    from abuse_lens.sinks import incidents
+
+    more = F.pmod(F.col("event_id") * 7919 + F.col("wire_len"), F.lit(900)).cast("int")
+    recorded = packets.snapped(t.frame_table(spark, sf)).select(
+        "event_id", "ts_ns", F.concat("pkt", F.unhex(F.repeat(F.lit("00"), more))).alias("pkt"),
+        F.concat(F.lit("cpu-"), F.col("cpu")).alias("incident_tag"), (div(F.col("ts_ns"), 30 * DAY_NS) * 30 * t.DAY).alias("trigger_ts"),
+    )
+    folder = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
+    incidents.write_segments(recorded, folder, ["ts_ns", "event_id"], "ts_ns", HOUR_NS, max_bytes=3000)
+    back = spark.read.schema(f"ts_ns bigint, {RECORDED}, segment bigint").parquet(folder)
+    return back.groupBy("incident_tag", "trigger_ts", "segment").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum(F.length("pkt") + incidents.RECORD_HEADER).alias("bytes"),
+        F.min("event_id").alias("least_id"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"),
+    )
+
+
 @query
 def q_archive(spark, sf):
     """All triggers archived; what the copies hold."""

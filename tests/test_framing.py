@@ -2,7 +2,7 @@ import random
 
 import pytest
 from abuse_lens.functions.http import parse_envelope, parse_head
-from abuse_lens.operators import framing, rpc
+from abuse_lens.operators import framing, rpc, steps
 from pyspark.sql import functions as F
 
 EVENTS = (
@@ -162,7 +162,8 @@ def test_short_samples_count_true_lengths(spark):
 def rounds_of(monkeypatch):
     """Counts the settled tables of the tree and of heads that go on."""
     rounds, plain = [], framing.settle
-    monkeypatch.setattr(framing, "settle", lambda df: rounds.append(df.columns) or plain(df))
+    for module in (framing, steps):
+        monkeypatch.setattr(module, "settle", lambda df: rounds.append(df.columns) or plain(df))
     return rounds
 
 

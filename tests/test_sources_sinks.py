@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from abuse_lens.operators import packets, quality
@@ -172,6 +173,55 @@ def test_incident_segments_and_archive(spark, tmp_path):
     assert incidents.archive(spark, str(tmp_path / "none"), gone, now, 1) == incidents.ArchiveResult(0, 0)
 
 
+def greedy(sizes, max_bytes):
+    """Brute force: one record after the other, the segment is over once it holds ``max_bytes``."""
+    out, held, segment = [], 0, 0
+    for size in sizes:
+        out.append(segment)
+        held += size
+        if held >= max_bytes:
+            held, segment = 0, segment + 1
+    return out
+
+
+@pytest.mark.parametrize("width, max_bytes", [(1, 300), (7, 300), (7, 1), (40, 5000), (10**6, 300), (3, 10**9)])
+def test_segments_by_bytes(spark, width, max_bytes):
+    rng = random.Random(width * max_bytes)
+    rows, expected = [], {}
+    for tag, ts, n in [("a", 1, 150), ("a", 2, 1), ("b", 1, 40), (None, 1, 30), ("b", None, 25)]:
+        times = sorted(rng.choice([-400, -3, 0, 5, 900, rng.randrange(-60, 700)]) for _ in range(n))
+        pkts = [rng.choice([None, b"", b"x" * rng.randrange(1, 200), b"y" * rng.choice([1, 2000])]) for _ in range(n)]
+        numbers = greedy([16 + len(p or b"") for p in pkts], max_bytes)
+        for i, (at, pkt, number) in enumerate(zip(times, pkts, numbers)):
+            rows.append((tag, ts, at, i, pkt))
+            expected[(tag, ts, i)] = number
+    rng.shuffle(rows)
+    packets = spark.createDataFrame(rows, "incident_tag string, trigger_ts bigint, at bigint, i int, pkt binary")
+    got = incidents.segments(packets, ["at", "i"], "at", width, max_bytes)
+    assert got.columns == [*packets.columns, "segment"]
+    found = [((r.incident_tag, r.trigger_ts, r.i), r.segment) for r in got.collect()]
+    assert len(found) == len(rows) and dict(found) == expected
+
+
+def test_segments_of_nothing_and_written_ones(spark, tmp_path):
+    schema = "incident_tag string, trigger_ts bigint, at bigint, i int, pkt binary"
+    assert incidents.segments(spark.createDataFrame([], schema), ["at", "i"], "at", 10, 100).collect() == []
+    with pytest.raises(ValueError):
+        incidents.segments(spark.createDataFrame([], schema), ["at", "i"], "at", 10, 0)
+    rows = [(tag, 5, i, i, b"x" * (i % 90)) for tag in "ab" for i in range(80)]
+    root, gone = str(tmp_path / "seg"), str(tmp_path / "arc")
+    incidents.write_segments(spark.createDataFrame(rows, schema), root, ["at", "i"], "at", 10, 500)
+    back = spark.read.parquet(root).select("incident_tag", "i", "segment").collect()
+    numbers = greedy([16 + i % 90 for i in range(80)], 500)
+    assert sorted((r.incident_tag, r.i, r.segment) for r in back) == [(tag, i, numbers[i]) for tag in "ab" for i in range(80)]
+    assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / "seg").rglob("segment=*"))
+    import time
+
+    assert incidents.archive(spark, root, gone, int(time.time()) + 7200, 3600) == incidents.ArchiveResult(2, 0)
+    assert not list((tmp_path / "seg").rglob("*.parquet")) and not list((tmp_path / "seg").rglob("segment=*"))
+    assert spark.read.parquet(gone).count() == 160
+
+
 def test_allowlist_file(spark, tmp_path):
     (tmp_path / "allow.txt").write_text("# c\n10.0.0.1\n\n10.1.0.0/16\n")
     listed = allowlist.load(spark, str(tmp_path / "allow.txt"))
