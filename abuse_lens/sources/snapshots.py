@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from abuse_lens.config import DEFAULT_INTERVAL_SEC
@@ -24,26 +24,44 @@ _U64 = {"ts_unix_sec", "run_id", "base_ts_unix_sec"}
 _U32_COUNTERS = tuple(c for c in COUNTERS if c != "bytes")
 
 
-def read_lines(spark: SparkSession, directory: str) -> DataFrame:
-    """Lines of a directory's snapshot files.
+def read_lines(spark: SparkSession, directory: str, places: bool = False) -> DataFrame:
+    """Lines of a directory's snapshot files; with ``places``, what :func:`located` needs to number them.
 
     These are the ``*.jsonl`` files directly in it, and the hourly folders that the
     snapshot sink writes there; files in other folders are not read.  The parts of
     an hourly folder are named as one file of that hour.
     """
+    place = [F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("row")] if places else []
     flat = spark.read.schema("value string").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "false")
     found = [
-        flat.text(directory).select(
-            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name")
+        # named one by one: Spark leaves out files beside partition folders
+        flat.text(files.directly_in(spark, directory, ".jsonl") or directory).select(
+            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"), *place
         )
     ]
     if files.partition_values(spark, directory, "hour"):
         hourly = spark.read.schema("value string, hour string").option("basePath", directory).text(f"{directory}/hour=*")
         name = F.concat(F.lit("snapshot_"), F.col("hour"), F.lit(".jsonl"))
-        found.append(hourly.select("value", F.col("_metadata.file_path").alias("file"), name.alias("file_name")))
+        found.append(hourly.select("value", F.col("_metadata.file_path").alias("file"), name.alias("file_name"), *place))
     return found[0] if len(found) == 1 else found[0].union(found[1])
 
 
+def located(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add ``line`` (from 1, blank ones counted) and ``location`` (``file:line``) to judged ``rows`` of ``lines``.
+
+    ``lines`` are read with ``places``.  Rows of a block have consecutive numbers, whatever task reads it, so a row's place in
+    its block is a difference; the lines of the blocks before it are summed over one row per block.  A file split
+    over many tasks is never gathered.  The lines are scanned once more to be counted, but parsed only once.
+    """
+    block = ["file", "block_start"]
+    before = Window.partitionBy("file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy(*block).agg(F.min("row").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    blocks = blocks.select(*block, "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
+    placed = rows.join(blocks, block).withColumn("line", F.col("_before") + F.col("row") - F.col("_first") + 1)
+    name = F.substring_index("file", "/", -1)
+    return placed.withColumn("location", F.concat_ws(":", name, "line")).drop("_before", "_first", "block_start", "row")
+
+
 def snapshot_files(lines: DataFrame) -> DataFrame:
     """Hourly snapshot files among the scanned ones, oldest first."""
     hour = F.regexp_extract("file_name", r"^snapshot_(\d{10})\.jsonl$", 1)
@@ -92,7 +110,7 @@ def parse(lines: DataFrame) -> Parsed:
 
     schema = T.StructType([*SNAPSHOT.fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    origin = [c for c in lines.columns if c in ("file", "file_name")]
+    origin = [c for c in lines.columns if c in ("file", "file_name", "block_start", "row")]
     text = lines.select(F.btrim("value", F.lit(" \t\r\n\f\v")).alias("value"), *origin).where(F.col("value") != "")
     s = F.col("s")
     names = F.transform(F.from_json("value", "buckets array<string>")["buckets"], F.json_object_keys)

@@ -412,6 +412,11 @@ r AS (SELECT offender_count, concat_ws('|',
         "e AS (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)",
         f"SELECT {FAULT} AS reason, count(*) AS lines FROM e WHERE k <> 18 GROUP BY 1",
     ),
+    "q_bad_lines_located": q(
+        """e AS (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, strftime(ts, '%Y%m%d%H') AS hour,
+        row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d%H') ORDER BY event_id) AS line FROM events)""",
+        f"""SELECT 'snapshot_' || hour || '.jsonl' AS file_name, line, {FAULT} AS reason FROM e WHERE k <> 18 AND {FAULT} <> 'ok'"""
+    ),
     "q_time_slice": q(
         CUM, f"SELECT ts, count(*) AS keys, CAST(sum(packets) AS BIGINT) AS packets FROM cum"
         f" WHERE ts BETWEEN {1704067200 + 3 * D} AND {1704067200 + 9 * D} GROUP BY ts"

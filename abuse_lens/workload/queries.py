@@ -364,6 +364,22 @@ def q_bad_lines(spark, sf):
     return judged.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query
+def q_bad_lines_located(spark, sf):
+    """File and line of every unusable snapshot line, out of one file an hour."""
+    import uuid
+
+    from abuse_lens.plans.settle import shared_folder
+    from abuse_lens.sources import snapshots
+
+    hour = timetext.hour_name(div(t.micros_from_ntz(F.col("ts")), 1_000_000)).alias("hour")
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    written = t.snapshot_lines_with_faults(spark, sf, hour, F.col("event_id"))
+    written.repartition("hour").sortWithinPartitions("hour", "event_id").drop("event_id").write.partitionBy("hour").text(folder)
+    lines = snapshots.read_lines(spark, folder, places=True)
+    return snapshots.located(snapshots.parse(lines).bad, lines).select("file_name", "line", "reason")
+
+
 @query
 def q_time_slice(spark, sf):
     from abuse_lens.sources import snapshots

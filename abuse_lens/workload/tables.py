@@ -7,7 +7,7 @@ work grows with the inputs.  The SQL twins of these derivations are in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abuse_lens.config import ReportConfig
@@ -262,8 +262,8 @@ def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packet_table(spark, sf_dir).withColumn("pkt", F.unhex(frame))
 
 
-def snapshot_lines_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as one snapshot line; ``k`` decides which fault it carries."""
+def snapshot_lines_with_faults(spark: SparkSession, sf_dir: str, *keep: Column) -> DataFrame:
+    """Every event as one snapshot line; ``k`` decides which fault it carries.  ``keep`` are more columns of the events."""
     c = F.col
     e = read_events(spark, sf_dir)
     bucket = F.concat(
@@ -286,7 +286,7 @@ def snapshot_lines_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
         bucket, F.when(c("k") == 17, "").otherwise("]}"),
     )
     return e.select(
-        F.when(c("k") == 18, "   ").when(c("k") == 19, F.concat(F.lit(" \t"), line, F.lit("  "))).otherwise(line).alias("value")
+        F.when(c("k") == 18, "   ").when(c("k") == 19, F.concat(F.lit(" \t"), line, F.lit("  "))).otherwise(line).alias("value"), *keep
     )
 
 

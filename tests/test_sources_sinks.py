@@ -222,6 +222,29 @@ def test_segments_of_nothing_and_written_ones(spark, tmp_path):
     assert spark.read.parquet(gone).count() == 160
 
 
+@pytest.mark.parametrize("block", [None, 200, 64])
+def test_bad_lines_have_a_place_in_their_file(spark, tmp_path, block):
+    """Files that are split into blocks, blank lines, files without a bad line and empty files."""
+    rng, expected = random.Random(7), []
+    for name, n in [("a.jsonl", 60), ("b.jsonl", 1), ("c.jsonl", 25), ("d.jsonl", 0)]:
+        kinds = [rng.choice(["", "   ", "oops", "{}", '{"version": 5']) for _ in range(n)]
+        expected += [(f"{name}:{i + 1}", kind) for i, kind in enumerate(kinds) if kind.strip()]
+        (tmp_path / name).write_text("".join(k + "\n" for k in kinds))
+    (tmp_path / "hour=2024010100").mkdir()
+    (tmp_path / "hour=2024010100" / "part-0.txt").write_text("\n\nbad")
+    expected.append(("part-0.txt:3", "bad"))
+    setting = "spark.sql.files.maxPartitionBytes"
+    if block:
+        spark.conf.set(setting, str(block))
+    try:
+        read = snapshots.read_lines(spark, str(tmp_path), places=True)
+        found = snapshots.located(snapshots.parse(read).bad, read)
+        assert sorted((r.location, r.value) for r in found.collect()) == sorted(expected)
+        assert set(found.columns) == {"file", "file_name", "value", "reason", "line", "location"}
+    finally:
+        spark.conf.unset(setting)
+
+
 def test_allowlist_file(spark, tmp_path):
     (tmp_path / "allow.txt").write_text("# c\n10.0.0.1\n\n10.1.0.0/16\n")
     listed = allowlist.load(spark, str(tmp_path / "allow.txt"))
