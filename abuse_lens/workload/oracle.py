@@ -413,8 +413,8 @@ r AS (SELECT offender_count, concat_ws('|',
         f"SELECT {FAULT} AS reason, count(*) AS lines FROM e WHERE k <> 18 GROUP BY 1",
     ),
     "q_bad_lines_located": q(
-        """e AS (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, strftime(ts, '%Y%m%d%H') AS hour,
-        row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d%H') ORDER BY event_id) AS line FROM events)""",
+        """e AS (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, strftime(ts, '%Y%m%d00') AS hour,
+        row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d00') ORDER BY event_id) AS line FROM events)""",
         f"""SELECT 'snapshot_' || hour || '.jsonl' AS file_name, line, {FAULT} AS reason FROM e WHERE k <> 18 AND {FAULT} <> 'ok'"""
     ),
     "q_time_slice": q(
@@ -577,8 +577,8 @@ num AS (SELECT *, row_number() OVER (PARTITION BY incident_tag, trigger_ts ORDER
 cuts AS (
   SELECT incident_tag, trigger_ts, i, size AS held, CAST(0 AS BIGINT) AS segment FROM num WHERE i = 1
   UNION ALL
-  SELECT n.incident_tag, n.trigger_ts, n.i, CASE WHEN c.held >= 3000 THEN n.size ELSE c.held + n.size END,
-    CASE WHEN c.held >= 3000 THEN c.segment + 1 ELSE c.segment END
+  SELECT n.incident_tag, n.trigger_ts, n.i, CASE WHEN c.held >= 20000 THEN n.size ELSE c.held + n.size END,
+    CASE WHEN c.held >= 20000 THEN c.segment + 1 ELSE c.segment END
   FROM cuts c JOIN num n ON n.incident_tag = c.incident_tag AND n.trigger_ts = c.trigger_ts AND n.i = c.i + 1)
 SELECT incident_tag, trigger_ts, segment, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes,
   min(event_id) AS least_id, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns

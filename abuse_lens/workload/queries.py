@@ -366,13 +366,13 @@ def q_bad_lines(spark, sf):
 
 @query
 def q_bad_lines_located(spark, sf):
-    """File and line of every unusable snapshot line, out of one file an hour."""
+    """File and line of every unusable snapshot line, out of one file a day."""
     import uuid
 
     from abuse_lens.plans.settle import shared_folder
     from abuse_lens.sources import snapshots
 
-    hour = timetext.hour_name(div(t.micros_from_ntz(F.col("ts")), 1_000_000)).alias("hour")
+    hour = timetext.hour_name(div(t.micros_from_ntz(F.col("ts")), t.DAY * 1_000_000) * t.DAY).alias("hour")
     folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
     written = t.snapshot_lines_with_faults(spark, sf, hour, F.col("event_id"))
     written.repartition("hour").sortWithinPartitions("hour", "event_id").drop("event_id").write.partitionBy("hour").text(folder)
@@ -820,7 +820,7 @@ def q_incident_segments(spark, sf):
         F.concat(F.lit("cpu-"), F.col("cpu")).alias("incident_tag"), (div(F.col("ts_ns"), 30 * DAY_NS) * 30 * t.DAY).alias("trigger_ts"),
     )
     folder = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
-    incidents.write_segments(recorded, folder, ["ts_ns", "event_id"], "ts_ns", HOUR_NS, max_bytes=3000)
+    incidents.write_segments(recorded, folder, ["ts_ns", "event_id"], "ts_ns", HOUR_NS, max_bytes=20_000)
     back = spark.read.schema(f"ts_ns bigint, {RECORDED}, segment bigint").parquet(folder)
     return back.groupBy("incident_tag", "trigger_ts", "segment").agg(
         F.count(F.lit(1)).alias("packets"), F.sum(F.length("pkt") + incidents.RECORD_HEADER).alias("bytes"),
