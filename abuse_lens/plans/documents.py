@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -20,6 +20,7 @@ from abuse_lens.config import FP_LIMIT_PCT, REPORT_VERSION, RULES_VERSION
 from abuse_lens.operators import decisions as dec
 from abuse_lens.operators.episodes import trigger_reason
 from abuse_lens.plans.report import Report
+from abuse_lens.plans.settle import settle
 from abuse_lens.sources.allowlist import exceptions
 
 # The wording, indentation and number formats below are fixed values of the
@@ -159,9 +160,14 @@ def rules_lines(r: Report, part: int = 0) -> DataFrame:
 
 
 def evidence_lines(r: Report) -> DataFrame:
-    spark = r.decisions.sparkSession
+    return evidence_of(r.decisions)
+
+
+def evidence_of(decisions: DataFrame) -> DataFrame:
+    """The evidence document of a table of decisions."""
+    spark = decisions.sparkSession
     columns = ["source", "abuse_class", "syn_rate", "success_ratio", "decision", "packets", "bytes", "syn"]
-    rows = dec.evidence(r.decisions)
+    rows = dec.evidence(decisions)
     line = F.concat_ws(",", *[F.col(c).cast("string") for c in columns])
     body = _ordered(rows, line, 1, n1=F.col("key_ord"), n2=F.col("ip_u32"), n3=_port())
     return _lines(spark, 0, [",".join(columns)]).union(body)
@@ -348,6 +354,25 @@ def summary_lines(r: Report) -> DataFrame:
     )
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """A document line by line, with ``line_no`` from 1.
+
+    Spark range-sorts the lines; each partition numbers its own, and what the partitions
+    before it hold is summed over one row a partition.  So no task sees the whole document.
+    The sorted lines are written first: a second sort could draw other borders.
+    """
+    c = F.col
+    place = F.monotonically_increasing_id()  # partition, then row within it in the low 33 bits
+    elements = lines.orderBy(*ORDER, "value")  # cut into lines when they are in order, so equal ones keep together
+    cut = elements.select(F.explode(F.split("value", "\n")).alias("value"))
+    placed = settle(cut.select(place.alias("_place"), "value")).withColumn("_partition", F.shiftright("_place", 33))
+    counts = placed.groupBy("_partition").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_partition", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    row = c("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(offsets, "_partition").select((c("_before") + row + 1).alias("line_no"), "value")
+
+
 def write(lines: DataFrame, path: str) -> None:
     """Write a document as ordered text parts under ``path``."""
     lines.orderBy(*ORDER).select("value").write.mode("overwrite").text(path)

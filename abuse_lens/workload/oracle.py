@@ -119,9 +119,9 @@ EPISODE = """src_ip, dst_port, start_ts, end_ts, duration_sec, interval_count, i
 LISTED = "(ip_u32 IN (167772165, 167772169) OR (ip_u32 & 4294967280) = 167772224)"
 
 
-def decided() -> str:
+def decided(raw: bool = False) -> str:
     c = t.CFG
-    return totals(False) + f"""
+    return totals(raw) + f"""
 judged AS (SELECT *, {hits(c)} AS volumetric_hits, {LISTED} AS allowlisted,
   CASE WHEN {flood(c)} AND total_syn >= 10 THEN 'SYN_FLOOD_LIKE' WHEN {hits(c)} >= 2 THEN 'VOLUMETRIC_TCP_ABUSE'
        WHEN {flood(c)} THEN 'SYN_FLOOD_LIKE' END AS detected_class,
@@ -646,3 +646,216 @@ ORACLE["q_stream_quality"] = q(
     MARKED, """SELECT count(*) AS total_events, count(*) FILTER (defect IS NOT NULL) AS total_decode_errors,
     count(*) FILTER (defect IS NULL AND way IS NULL) AS total_events_filtered FROM defects"""
 )
+
+
+# -- documents, as one text that is cut into lines ------------------------------
+
+
+def num(x: str) -> str:
+    """A double of the documents: plain digits down to 1e-5."""
+    text = f"CAST({x} AS VARCHAR)"
+    return f"CASE WHEN {text} LIKE '%e-05' THEN '0.0000' || replace(replace({text}, 'e-05', ''), '.', '') ELSE {text} END"
+
+
+def listed(name: str, value: str, source: str, order: str) -> str:
+    """A JSON list of the objects ``value`` as an SQL expression."""
+    return f"""(SELECT CASE WHEN count(*) = 0 THEN '  "{name}": []' ELSE '  "{name}": [\n' || string_agg({value}, ',\n' ORDER BY {order}) || '\n  ]' END FROM {source})"""
+
+
+def cut(ctes: str, text: str) -> str:
+    return q(ctes + f"doc AS (SELECT string_split({text}, chr(10)) AS l)", "SELECT unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS value FROM doc")
+
+
+REPORTED = impact(t.CFG.min_samples_for_fp) + TOP + episodes(t.CFG).replace(DELTA, "") + FIRST_EP + f"""
+span AS (SELECT min(ts) AS t0, max(ts) AS t1 FROM cum),
+whys AS (SELECT list_filter([
+  CASE WHEN NOT fp_computed THEN 'False positive bound unknown: ' || fp_reason
+       WHEN fp_value_pct > 5.0 THEN 'False positive bound too high: ' || {digits('fp_value_pct', 1)} || '%' END,
+  CASE WHEN blocked_keys = 0 THEN 'No abuse pattern detected' END,
+  CASE WHEN percent_syn_blocked < 1.0 AND blocked_keys > 0 THEN 'Minimal impact (<1% SYN blocked)' END,
+  CASE WHEN total_packets = 0 THEN 'No traffic observed' END], lambda x: x IS NOT NULL) AS why FROM cf),
+shown AS (SELECT {ip_text('top.ip_u32')} || ':' || top.dst_port AS source, top.*, coalesce(max_syn_rate, syn_rate) AS s, coalesce(min_success_ratio, success_ratio) AS r
+  FROM top LEFT JOIN first_ep ON top.ip_u32 = first_ep.ip_u32 AND top.dst_port = first_ep.dst_port),
+"""
+RULES_TEXT = f"""'{{
+  "version": 3,
+  "generated_at": {NOW},
+  "match_criteria": {{
+    "proto": "tcp",
+    "dst_ports": [
+      8000,
+      8001
+    ]
+  }},
+' || """ + listed("triggers", f"""'    {{
+      "key_type": "src_ip",
+      "key_value": "' || src_ip || '",
+      "dst_port": ' || dst_port || ',
+      "abuse_class": "' || coalesce(abuse_class, 'UNKNOWN') || '",
+      "window_sec": {t.CFG.window_sec},
+      "syn_rate_threshold": ' || {num(f(t.CFG.syn_rate_threshold))} || ',
+      "success_ratio_threshold": ' || {num(f(t.CFG.success_ratio_threshold))} || ',
+      "action": {{
+        "action_type": "drop",
+        "duration_sec": {t.CFG.block_duration_sec}
+      }}
+    }}'""", f"first_ep WHERE NOT {LISTED}", "src_ip, dst_port") + """ || ',
+  "exceptions": [
+    {
+      "key_type": "src_ip",
+      "key_value": "10.0.0.5"
+    },
+    {
+      "key_type": "src_ip",
+      "key_value": "10.0.0.9"
+    },
+    {
+      "key_type": "src_cidr",
+      "key_value": "10.0.0.64/28"
+    }
+  ]
+}'"""
+ORACLE["q_rules_document"] = cut(REPORTED, RULES_TEXT)
+ORACLE["q_report_document"] = cut(REPORTED, f"""'# Abuse Report
+
+## 1. Scope & Configuration
+
+- **Time window start**: ' || (SELECT t0 FROM span) || '
+- **Time window end**: ' || (SELECT t1 FROM span) || '
+- **Duration**: ' || (SELECT t1 - t0 FROM span) || ' seconds
+- **Destination ports**: 8000, 8001
+- **Window size**: {t.CFG.window_sec} seconds
+- **SYN rate threshold**: ' || {digits(f(t.CFG.syn_rate_threshold), 1)} || ' SYN/sec
+- **Success ratio threshold**: ' || {digits(f(t.CFG.success_ratio_threshold), 2)} || '
+- **Block duration**: {t.CFG.block_duration_sec} seconds
+- **Allowlist**: 2 IPs, 1 CIDRs
+
+## 2. Abuse Pattern Observed
+
+' || (SELECT CASE WHEN count(*) = 0 THEN 'No abuse pattern detected matching the trigger conditions.' ELSE
+'Detected ' || count(*) || ' source(s) matching abuse pattern (TCP SYN churn).
+
+### Top Offenders
+
+| Source | SYN Rate | Success Ratio | Would Block Packets | Would Block SYN |
+|--------|----------|---------------|---------------------|------------------|
+' || string_agg('| ' || source || ' | ' || {digits('s', 1)} || '/sec | ' || {digits('r', 2)} || ' | ' || total_packets || ' | ' || total_syn || ' |', chr(10)
+  ORDER BY total_syn DESC, ip_u32, dst_port) END FROM shown) || '
+
+## 3. Counterfactual Enforcement Impact
+
+### Blocked Traffic (if rules were enforced)
+
+' || (SELECT '- **Packets blocked**: ' || {digits('percent_packets_blocked', 1)} || '%
+- **Bytes blocked**: ' || {digits('percent_bytes_blocked', 1)} || '%
+- **SYN blocked**: ' || {digits('percent_syn_blocked', 1)} || '%
+
+### False Positive Bound
+
+' || CASE WHEN NOT fp_computed THEN '- **FP bound**: UNKNOWN
+- **Reason**: ' || fp_reason || '
+- Enforcement decision should be made with caution.' ELSE '- **FP bound**: ' || {digits('fp_value_pct', 1)} || '%
+' || CASE WHEN fp_value_pct = 0 THEN '- No likely legitimate traffic would be blocked.'
+  WHEN fp_value_pct <= 5 THEN '- FP bound is within acceptable range (<= 5%).'
+  ELSE '- **WARNING**: FP bound exceeds acceptable threshold (> 5%).' END END || '
+
+### Uncertainty
+
+' || CASE WHEN total_packets > 0 THEN '- Analysis based on ' || total_packets || ' total packets, ' || total_syn || ' total SYN.'
+  ELSE '- No traffic was observed during the analysis window.' END FROM cf) || '
+
+## 4. Candidate Enforcement Rules
+
+```json
+' || {RULES_TEXT} || '
+```
+
+## 5. Readiness Judgment
+
+' || (SELECT CASE WHEN len(why) = 0 THEN '**This abuse class IS safe for autonomous enforcement.**
+
+All safety criteria have been met:
+- Abuse pattern clearly detected
+- False positive bound within acceptable limits
+- Meaningful impact on malicious traffic' ELSE '**This abuse class IS NOT safe for autonomous enforcement.**
+
+Gating reasons:
+
+' || array_to_string(list_transform(why, lambda x: '- ' || x), chr(10)) END FROM whys) || chr(10)""")
+EPISODE_FIELDS = ",\n".join(f"""      "{n}": ' || {n} || '""" for n in ("start_ts", "end_ts", "duration_sec", "interval_count", "interval_sec"))
+MAXIMA = ",\n".join(f"""      "{n}": ' || {num(n)} || '""" for n in ("max_syn_rate", "max_pkt_rate", "max_byte_rate"))
+ORACLE["q_summary_document"] = cut(REPORTED + """
+gate AS (SELECT CASE WHEN (SELECT bool_or(episode_type = 'single_window') FROM ep) THEN list_append(why, 'Single-window episode requires manual review') ELSE why END AS why FROM whys),
+""", f"""'{{
+  "report_version": 5,
+  "run_id": 7,
+  "input_schema_version_min": 7,
+  "input_schema_version_max": 7,
+  "time_range": {{
+    "start_ts": ' || (SELECT t0 FROM span) || ',
+    "end_ts": ' || (SELECT t1 FROM span) || ',
+    "duration_sec": ' || (SELECT t1 - t0 FROM span) || '
+  }},
+  "ports_analyzed": [
+    8000,
+    8001
+  ],
+  "config": {{
+    "window_sec": {t.CFG.window_sec},
+    "syn_rate_threshold": ' || {num(f(t.CFG.syn_rate_threshold))} || ',
+    "success_ratio_threshold": ' || {num(f(t.CFG.success_ratio_threshold))} || ',
+    "block_duration_sec": {t.CFG.block_duration_sec},
+    "vol_syn_rate": ' || {num(f(t.CFG.vol_syn_rate))} || ',
+    "vol_pkt_rate": ' || {num(f(t.CFG.vol_pkt_rate))} || ',
+    "vol_byte_rate": ' || {num(f(t.CFG.vol_byte_rate))} || '
+  }},
+' || """ + listed("triggers", f"""'    {{
+      "abuse_class": "' || abuse_class || '",
+      "src": "' || src_ip || '",
+      "dst_port": ' || dst_port || ',
+      "rates": {{
+        "syn_rate": ' || {num('max_syn_rate')} || ',
+        "pkt_rate": ' || {num('max_pkt_rate')} || ',
+        "byte_rate": ' || {num('max_byte_rate')} || ',
+        "success_ratio": ' || {num('min_success_ratio')} || '
+      }},
+      "confidence": "high"
+    }}'""", "ep WHERE abuse_class IS NOT NULL", "abuse_class, src_ip, dst_port, start_ts") + " || ',\n' || " + listed("episodes", f"""'    {{
+      "src_ip": "' || src_ip || '",
+      "dst_port": ' || dst_port || ',
+{EPISODE_FIELDS},
+      "episode_type": "' || episode_type || '",
+{MAXIMA},
+      "abuse_class": "' || coalesce(abuse_class, '') || '",
+      "trigger_reason": "' || {reason_sql(t.CFG)} || '"
+    }}'""", "ep", "start_ts, src_ip, dst_port") + f""" || ',
+' || (SELECT '  "blocked_traffic": {{
+    "packets_blocked_pct": ' || {num('percent_packets_blocked')} || ',
+    "bytes_blocked_pct": ' || {num('percent_bytes_blocked')} || ',
+    "syn_blocked_pct": ' || {num('percent_syn_blocked')} || ',
+    "packets_blocked_count": ' || blocked_packets || ',
+    "bytes_blocked_count": ' || blocked_bytes || ',
+    "syn_blocked_count": ' || blocked_syn || '
+  }},
+  "fp_bound": {{
+    "computed": ' || fp_computed || ',
+    "value_pct": ' || coalesce({num('fp_value_pct')}, 'null') || ',
+    "reason": ' || coalesce('"' || fp_reason || '"', 'null') || '
+  }},
+' FROM cf) || (SELECT '  "enforcement_safe": ' || (len(why) = 0) || ',
+  "enforcement_reasons": [' || CASE WHEN len(why) = 0 THEN '' ELSE chr(10) || array_to_string(list_transform(why, lambda x: '    "' || x || '"'), ',' || chr(10)) || chr(10) || '  ' END || ']
+}}' FROM gate)""")
+
+
+def evidence_lines_of(raw: bool) -> str:
+    """The evidence document of one run, numbered."""
+    return q(
+        decided(raw) + f"""ev AS (SELECT 1 + row_number() OVER (ORDER BY ip_u32, dst_port) AS line_no, {ip_text('ip_u32')} || ':' || dst_port || ',' || coalesce(abuse_class, '')
+        || ',' || {digits('syn_rate', 2)} || ',' || {digits('success_ratio', 4)} || ',' || decision || ',' || total_packets || ',' || total_bytes || ',' || total_syn AS value FROM dec)""",
+        "SELECT line_no, value FROM ev UNION ALL SELECT 1, 'source,abuse_class,syn_rate,success_ratio,decision,packets,bytes,syn'",
+    )
+
+
+ORACLE["q_first_difference"] = f"""SELECT line_no, e.value AS expected, a.value AS actual
+FROM ({evidence_lines_of(False)}) e FULL JOIN ({evidence_lines_of(True)}) a USING (line_no)
+WHERE e.value IS DISTINCT FROM a.value ORDER BY line_no LIMIT 1"""

@@ -723,6 +723,50 @@ def q_report_evidence(spark, sf):
     return documents.evidence_lines(run).select("value")
 
 
+def report_of(spark, sf):
+    """The whole report over JSON lines."""
+    from abuse_lens.plans import report
+    from abuse_lens.sources import snapshots
+
+    lines = packets.snapshot_json(snapshot_rows_of(spark, sf)).select("value")
+    return report.build(snapshots.parse(lines).good, t.CFG, allow(spark), NOW)
+
+
+@query
+def q_rules_document(spark, sf):
+    """rules.json, line by line."""
+    from abuse_lens.plans import documents
+
+    return documents.numbered(documents.rules_lines(report_of(spark, sf)))
+
+
+@query
+def q_report_document(spark, sf):
+    """report.md, line by line."""
+    from abuse_lens.plans import documents
+
+    return documents.numbered(documents.report_lines(report_of(spark, sf)))
+
+
+@query
+def q_summary_document(spark, sf):
+    """summary.json, line by line."""
+    from abuse_lens.plans import documents
+
+    return documents.numbered(documents.summary_lines(report_of(spark, sf)))
+
+
+@query
+def q_first_difference(spark, sf):
+    """The first line on which the evidence changes when a key's first row counts in full."""
+    from abuse_lens.plans import documents
+
+    def evidence(cfg):
+        return documents.numbered(documents.evidence_of(decisions_of(spark, sf, cfg)))
+
+    return compare.first_difference(evidence(t.CFG), evidence(t.CFG.with_(first_appearance="raw")))
+
+
 @query
 def q_hourly_files(spark, sf):
     """Snapshots appended to hourly folders and read back."""

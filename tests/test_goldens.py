@@ -173,3 +173,23 @@ def test_same_documents_for_any_partitioning(spark, tmp_path):
 )
 def test_json_float(value, text):
     assert documents.json_float(value) == text
+
+
+def test_numbered_lines_over_many_partitions(spark):
+    """Elements of several lines keep together, equal elements are all kept, an empty document has no lines."""
+    from pyspark.sql import functions as F
+
+    from abuse_lens.operators.compare import first_difference
+
+    rows = spark.range(0, 3000, 1, 16).select(F.pmod(F.col("id") * 7919, F.lit(1000)).alias("n"))
+    text = F.concat(F.lit("{\n  "), F.col("n").cast("string"), F.lit("\n}"))
+    document = documents._ordered(rows, text, 1, n1=F.col("n"))
+    got = {r.line_no: r.value for r in documents.numbered(document).collect()}
+    want = [line for n in sorted(r.n for r in rows.collect()) for line in ("{", f"  {n}", "}")]
+    assert [got[i + 1] for i in range(len(got))] == want
+    assert documents.numbered(document.limit(0)).isEmpty()
+
+    longer = documents.numbered(document.union(documents._ordered(spark.range(1), F.lit("end"), 2)))
+    assert [tuple(r) for r in first_difference(documents.numbered(document), longer).collect()] == [(9001, None, "end")]
+    other = documents.numbered(document.withColumn("value", F.regexp_replace("value", "^\\{\n  500\n", "{\n  501\n")))
+    assert [tuple(r) for r in first_difference(documents.numbered(document), other).collect()] == [(4502, "  500", "  501")]
