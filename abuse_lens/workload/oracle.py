@@ -642,6 +642,7 @@ ORACLE["q_stream_window_features"] = q(
     CASE WHEN bool_or(rpc_envelope_parsed) THEN count(rpc_error_code) FILTER (rpc_envelope_parsed) / CAST(count(*) AS DOUBLE) END AS rpc_error_frac,
     1 AS unique_dst_ports, least(count(DISTINCT flow % 1000), 5) AS unique_src_ports FROM win GROUP BY 1"""
 )
+ORACLE["q_stream_incident_files"] = ORACLE["q_archive"]
 ORACLE["q_stream_quality"] = q(
     MARKED, """SELECT count(*) AS total_events, count(*) FILTER (defect IS NOT NULL) AS total_decode_errors,
     count(*) FILTER (defect IS NULL AND way IS NULL) AS total_events_filtered FROM defects"""

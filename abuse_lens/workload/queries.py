@@ -964,6 +964,42 @@ def q_stream_counter_windows(spark, sf):
     return rows.where(F.col("ts") <= last // 1_000_000_000)
 
 
+@query
+def q_stream_incident_files(spark, sf):
+    """Recorded packets by trigger out of a stream whose first batch is written twice; each packet counts once."""
+    import uuid
+
+    from pyspark.errors import StreamingQueryException
+
+    from abuse_lens.plans.settle import shared_folder
+    from abuse_lens.sinks import batches, incidents
+
+    day = div(F.col("ts_ns"), DAY_NS) * t.DAY
+    recorded = packets.snapped(t.frame_table(spark, sf)).select(
+        "event_id", "pkt", F.concat(F.lit("cpu-"), F.col("cpu")).alias("incident_tag"), day.alias("trigger_ts")
+    )
+    base = f"{shared_folder(spark)}/incident-stream-{uuid.uuid4().hex}"
+    recorded.repartition(8, "event_id").write.parquet(f"{base}/in")
+    source = spark.readStream.schema(RECORDED).option("maxFilesPerTrigger", 3).parquet(f"{base}/in")
+
+    class Lost(batches.BatchTable):
+        """Its driver is lost when rows of a batch are written and not yet committed."""
+
+        def commit(self, spark, batch, attempt):
+            raise RuntimeError("driver lost")
+
+    table = batches.BatchTable(f"{base}/out", incidents.KEYS)
+    try:
+        Lost(table.root, table.keys).start(source, f"{base}/progress", availableNow=True).awaitTermination()
+    except StreamingQueryException:
+        pass
+    table.start(source, f"{base}/progress", availableNow=True).awaitTermination()
+    table.write(recorded, 0)  # a batch that comes again after its manifest
+    return table.read(spark, RECORDED).groupBy("incident_tag", "trigger_ts").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum(F.length("pkt")).alias("captured")
+    )
+
+
 @query
 def q_stream_idle_windows(spark, sf):
     """Packet windows of a minute, with a row for empty minutes, out of the stream."""

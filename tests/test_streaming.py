@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from abuse_lens.config import ReportConfig
 from abuse_lens.operators import deltas, episodes, packets, rpc
 from abuse_lens.operators import framing
@@ -209,3 +211,57 @@ def test_batch_counters_are_summed_from_their_table(spark, tmp_path):
     rows = counters.read().collect()
     assert len(rows) == 2 and sum(r.events for r in rows) == 10 and sum(r.decode_errors for r in rows) == 2
     assert sum(r.events_filtered for r in rows) == 1 and spark.read.parquet(str(tmp_path / "good")).count() == 7
+
+
+def test_batch_table_holds_each_batch_once(spark, tmp_path):
+    """A batch without its manifest is not read and is written anew; one with its manifest is left alone."""
+    from abuse_lens.sinks.batches import BatchTable
+
+    table, schema = BatchTable(str(tmp_path / "out"), ["tag"]), "x bigint, tag string"
+    rows = lambda *xs: spark.createDataFrame([(x, tag) for x in xs for tag in ("a", None)], schema)
+    read = lambda: sorted((r.batch, r.x, r.tag or "") for r in table.read(spark, schema).collect())
+    assert read() == [] and table.manifest(spark).isEmpty()
+    table.put(rows(1), 0, "abandoned")
+    assert read() == [] and not table.committed(spark, 0)
+    table.write(rows(1, 2), 0)
+    want = [(0, 1, ""), (0, 1, "a"), (0, 2, ""), (0, 2, "a")]
+    assert read() == want
+    table.write(rows(1, 2, 3), 0)
+    table.write(rows().limit(0), 1)
+    assert read() == want and table.committed(spark, 1)
+    table.put(rows(9), 2, "abandoned")
+    assert table.remove_abandoned(spark) == 1 and read() == want
+    table.write(rows(4), 2)
+    assert read() == [*want, (2, 4, ""), (2, 4, "a")]
+    with pytest.raises(ValueError):
+        table.write(rows(5).withColumnRenamed("x", "Batch"), 3)
+
+
+def test_stream_restarts_after_a_lost_commit(spark, tmp_path):
+    """Stopped between rows and manifest, in every batch once: all rows count exactly once."""
+    from abuse_lens.sinks.batches import BatchTable
+
+    lost = set()
+
+    class Flaky(BatchTable):
+        def commit(self, spark, batch, attempt):
+            if batch not in lost:
+                lost.add(batch)
+                raise RuntimeError("driver lost")
+            super().commit(spark, batch, attempt)
+
+    for n in range(3):
+        spark.range(n * 10, n * 10 + 10, 1, 1).selectExpr("id AS x", "CAST(id % 2 AS STRING) AS tag").write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("x bigint, tag string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    table, failures = Flaky(str(tmp_path / "out"), ["tag"]), 0
+    while True:
+        try:
+            table.start(source, str(tmp_path / "progress"), availableNow=True).awaitTermination()
+            break
+        except Exception:  # noqa: BLE001
+            failures += 1
+            assert failures <= 3
+    assert failures == 3 and lost == {0, 1, 2}
+    assert sorted(r.x for r in table.read(spark, "x bigint, tag string").collect()) == list(range(30))
+    assert table.remove_abandoned(spark) == 3
+    assert table.read(spark, "x bigint, tag string").count() == 30
