@@ -15,15 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from abuse_lens.llm.common import let
-from abuse_lens.operators.slices import with_slice
 
 GRAM, WINDOW = 5, 16
 #: A run of letters and digits; a longer run, as in scripts without blanks, is cut into such pieces.
 WORD = r"[\p{L}\p{N}]{1,16}"
 PRIME, BASE = (1 << 31) - 1, 1_000_003
 LOW = 1 << 32
-#: Documents, by the range of doc_id, that are ordered together.
+#: Rows that are ordered together, about.
 SLICE_ROWS = 1024
+#: Ranges of doc_id with about as many rows each, which are cut into slices on their own.
+RANGES = 512
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def _grams(words: Column) -> Column:
@@ -99,16 +101,50 @@ def likeness(left: Column, right: Column) -> Column:
     )
 
 
+def _edges(docs: DataFrame) -> list[int]:
+    """Least doc_ids of the ranges, but the first; an id that fills a range has one of its own."""
+    shares = [k / RANGES for k in range(1, RANGES)]
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("bigint"), shares, 20 * RANGES).alias("at")).first()["at"] or []
+    repeated = {a for a, b in zip(found, found[1:]) if a == b}
+    return sorted(set(found) | {a + 1 for a in repeated if a < MOST})
+
+
+def _sliced(docs: DataFrame) -> DataFrame:
+    """Add ``_slice``, which never falls when doc_id, then text rise; rows without doc_id are below all others.
+
+    A range is cut by equal widths of doc_id, one of a single doc_id by the first bytes of the texts.  Widths
+    follow from counts, so a far doc_id widens the slices of its own range alone.
+    """
+    c = F.col
+    edges = _edges(docs)
+    number = F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<bigint>"), lambda e: e <= c("doc_id")))
+    head = F.rpad(F.hex(F.substring(F.encode("text", "utf-8"), 1, 7)), 14, "0")
+    begin = F.conv(head, 16, 10).cast("bigint")
+    ranged = docs.withColumns({"_range": F.when(c("doc_id").isNull(), -1).otherwise(number), "_begin": begin})
+    counted = ranged.groupBy("_range").agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("_begin").alias("low_text"),
+        F.max("_begin").alias("high_text"), F.count(F.lit(1)).alias("n"),
+    )
+    cuts = {}  # by range, of which there are at most 2 * RANGES
+    for r in counted.collect():
+        low, high = (r.low_text, r.high_text) if r.low == r.high else (r.low, r.high)
+        cuts[r["_range"]] = (low, min(MOST, -(-(high - low + 1) // max(1, r.n // SLICE_ROWS))), r.low == r.high)
+    listed = [cuts.get(k, (0, 1, False)) for k in range(-1, len(edges) + 1)]
+    of_range = lambda i, kind: F.element_at(F.array(*[F.lit(x[i]).cast(kind) for x in listed]), c("_range") + 2)
+    position = F.when(of_range(2, "boolean"), c("_begin")).otherwise(c("doc_id"))
+    wide = lambda x: x.cast("decimal(20,0)")  # noqa: E731 -- differences of two ids may pass 64 bits
+    inner = F.call_function("div", wide(position) - wide(of_range(0, "bigint")), wide(of_range(1, "bigint")))
+    return ranged.withColumn("_slice", F.shiftleft(c("_range").cast("bigint"), 40) + inner).drop("_range", "_begin")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, chosen, next_text and next_chosen: of the next row, descending doc_id, after the last the first.
 
-    Rows are ordered in slices of the range of doc_id, about ``SLICE_ROWS`` rows
-    each; only the number of each slice is ordered in one place.
+    Rows are ordered in slices of about ``SLICE_ROWS`` rows each; only the number of each slice is ordered in one
+    place.  Any ids of 64 bits will do.  Rows of one doc_id whose texts begin with the same seven bytes share a slice.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    span = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    width = 1 if span.low is None else -(-(span.high - span.low + 1) // max(1, span.n // SLICE_ROWS))
-    cut, name = with_slice(docs, "doc_id", width)
+    cut, name = _sliced(docs), "_slice"
     order = [F.desc_nulls_last("doc_id"), F.desc("text")]
     after = F.lead(F.struct("text", "chosen")).over(Window.partitionBy(name).orderBy(*order))
     rows = cut.withColumn("chosen", fingerprint(F.col("text"))).withColumn("after", after)

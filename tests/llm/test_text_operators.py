@@ -358,6 +358,24 @@ def test_winnowing_over_many_slices(spark, monkeypatch):
     assert found == {row: order[(i + 1) % len(order)][1] for i, row in enumerate(order)}
 
 
+def test_winnowing_of_extreme_and_repeated_ids(spark, monkeypatch):
+    """Ids over all 64 bits, one id with most rows, no ids: ordered as ever, and no slice holds much of the table."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(winnowing, "SLICE_ROWS", 16)
+    monkeypatch.setattr(winnowing, "RANGES", 8)
+    far = [(winnowing.LEAST, "least"), (winnowing.MOST, "most"), (winnowing.MOST, "more"), (10**17, "far")]
+    rows = far + [(i, f"{i % 97:02d} text {i}") for i in range(600)] + [(77, f"{chr(65 + i % 50)}{i} repeated") for i in range(400)]
+    rows += [(None, f"{chr(65 + i % 40)}{i} without id") for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()), reverse=True)
+    found = {(r.doc_id, r.text): r.next_text for r in winnowing.with_next(table).collect()}
+    assert found == {row: order[(i + 1) % len(order)][1] for i, row in enumerate(order)}
+    largest = winnowing._sliced(table).groupBy("_slice").count().agg(F.max("count")).first()[0]
+    assert largest <= 160, largest
+    assert winnowing.with_next(table.where("false")).collect() == []
+
+
 def test_shared_passages_share_a_chosen_gram(spark):
     rng = np.random.default_rng(2)
     made = lambda n: " ".join("w%d" % x for x in rng.integers(0, 10**6, n))
