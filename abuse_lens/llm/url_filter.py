@@ -7,8 +7,8 @@ the decision of its component: allow if any member is allowed by a rule, else
 block if any member is blocked, else allow.
 
 Only DataFrame functions are used.  A rule table of any size is met by equality:
-an address is looked up under every suffix of its host and under its path's
-prefixes of the lengths that rules have, never by comparing all rules.
+an address is looked up under the suffixes of its host and the prefixes of its path
+of the lengths that rules have, never by comparing all rules.
 """
 
 from __future__ import annotations
@@ -79,17 +79,24 @@ def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFra
     return edges.where("u is not null and v is not null and u <> v")
 
 
+def _labels(name: Column) -> Column:
+    return F.length(name) - F.length(F.translate(name, ".", "")) + 1
+
+
 def match_rules(addresses: DataFrame, rules: DataFrame, keep: list[str]) -> DataFrame:
     """Each row's longest fitting rule: columns ``keep`` (a key), ``rule`` and ``action``.
 
     Rows that no rule fits are left out.  Of rules equally long, the longer host
     wins, then allow.
     """
-    lengths = rules.agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths")).first().lengths
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+    sizes = rules.agg(
+        F.sort_array(F.collect_set(F.length("path"))).alias("lengths"),
+        F.sort_array(F.collect_set(_labels(F.col("host")))).alias("labels"),
+    ).first()
+    lengths = sizes.lengths
+    # only the suffixes of as many labels as rules have: a host of many labels has long suffixes
+    ends = F.array(*[F.when(_labels(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in sizes.labels])
+    suffixes = F.array_compact(ends.cast("array<string>"))
     prefixes = F.transform(
         F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path")),
         lambda n: F.substring(F.col("path"), F.lit(1), n),

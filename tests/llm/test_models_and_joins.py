@@ -87,6 +87,21 @@ def test_alias_tags_in_any_case(spark):
     assert found == dict.fromkeys((1, 2, 3), ("block", "alias"))
 
 
+def test_hosts_of_many_labels(spark):
+    """A host is tried by as many labels as rules have, so its suffixes do not grow with the square of its length."""
+    long = "a." * 100_000
+    hosts = ["example.org", "org", "x.example.org", f"{long}example.org", f"{long}net", "..org", "org.", "", ".", "b.example.com"]
+    table = spark.createDataFrame([(i, f"http://{h}/es/1") for i, h in enumerate(hosts)], "page_id long, url string").selectExpr("*", "'' AS html")
+    rules = spark.createDataFrame([*RULES, ("b.example.com", "/", "allow")], "host string, path string, action string")
+    found = {r.page_id: r.rule for r in url_filter.judge(table, rules).collect()}
+    fits = lambda host, rule: host == rule or host.endswith("." + rule)
+    plain = {}
+    for i, host in enumerate(hosts):
+        hits = [(len(h + p), h + p) for h, p, _ in [*RULES, ("b.example.com", "/", "")] if fits(host, h) and "/es/1".startswith(p)]
+        plain[i] = max(hits)[1] if hits else None
+    assert found == plain
+
+
 # --- toxicity ---
 
 
