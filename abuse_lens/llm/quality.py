@@ -4,68 +4,50 @@ Counts of n-grams over all trusted text give an interpolated modified
 Kneser-Ney model; every document's perplexity under it is compared with
 quantiles of the trusted documents of its language.
 
-The symbols are classes of bytes, ``SYMBOLS`` of them, so there are at most
-``SYMBOLS ** ORDER`` n-grams whatever the corpus.  Counts, continuation counts
-and contexts are grouped and joined on Spark, dealt by context; what is left of
-them is of bounded size and goes to every task.  Documents are read once more
-and are not shuffled.
+The symbols are the bytes themselves, so the model grows with the text.  Counts,
+continuation counts, shares and spares are Spark tables dealt by context; no task and no
+driver holds the model.  Documents are dealt to chunks once, as a bucketed table.  A chunk
+asks for its different n-grams only; these are joined with the model by context, order by
+order, and go back to the chunk, which sums them up per document.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abuse_lens.llm.shingles import slices
-from abuse_lens.plans.settle import settle
+from abuse_lens.plans.settle import settle, shared_folder
 
-ORDER, BITS = 4, 6
+#: A symbol takes nine bits: the 256 bytes and what stands before a document's first one.
+ORDER, BITS = 4, 9
 SYMBOLS = 1 << BITS
-#: Text that a task turns into codes at once; each byte takes some thirty more there.
+#: Text that a task turns into codes at once; each byte takes some fifty more there.
 SLICE_BYTES = 1_000_000
-#: Marks that have a symbol of their own, besides letters, digits and blanks.
-MARKS = ".,!?'\"-(:|*#%$&/@<={"
+#: Text of a chunk, on average, and the most buckets that chunks are dealt to.
+CHUNK_BYTES, BUCKETS = 40_000_000, 512
 
 
 @lru_cache(maxsize=1)
 def symbols() -> np.ndarray:
-    """The symbol of every byte; 0 stands before a document's first byte."""
-    table = np.zeros(256, np.int32)
-    for b in range(256):
-        c = chr(b)
-        if "a" <= c <= "z":
-            table[b] = 1 + b - ord("a")
-        elif "A" <= c <= "Z":
-            table[b] = 27
-        elif "0" <= c <= "9":
-            table[b] = 28
-        elif c == " ":
-            table[b] = 29
-        elif b < 32:
-            table[b] = 30
-        elif c in MARKS:
-            table[b] = 31 + MARKS.index(c)
-        elif b < 128:
-            table[b] = 51
-        elif b < 192:  # the second byte and those behind it: accents differ here
-            table[b] = 52 + b % 8
-        else:
-            table[b] = 60 + (b == 0xC3) + 2 * (b >= 0xE0)
-    return table
+    """The symbol of every byte, one for each; 0 stands before a document's first byte."""
+    return np.arange(1, 257, dtype=np.int64)
 
 
 def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram code that ends at every byte of all texts in a row, and where each text's begin."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     if not len(texts):
-        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     begins = offsets - offsets[0]
@@ -80,23 +62,37 @@ def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code, begins
 
 
+def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes of all texts, in order, and how often each occurs."""
+    found, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in slices(texts, SLICE_BYTES):
+        places, names = pd.factorize(codes(texts.slice(a, b - a))[0])
+        found.append(names)
+        times.append(np.bincount(places, minlength=len(names)))
+    code, place = np.unique(np.concatenate(found), return_inverse=True)
+    return code, np.bincount(place, np.concatenate(times), len(code)).astype(np.int64)
+
+
+def _texts(rows: pa.Table | pa.RecordBatch) -> pa.Array:
+    texts = rows.column("text").cast(pa.large_string())
+    if isinstance(texts, pa.ChunkedArray):
+        texts = pa.concat_arrays(texts.chunks or [pa.array([], pa.large_string())])
+    return pc.fill_null(texts, "")
+
+
 def count(trusted: DataFrame) -> DataFrame:
     """code and n over the whole texts of all rows."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
-            for a, b in slices(texts, SLICE_BYTES):
-                found, times = np.unique(codes(texts.slice(a, b - a))[0], return_counts=True)
-                arrays = [pa.array(found, pa.int64()), pa.array(times, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, ["code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _counted(_texts(batch))], ["code", "n"])
 
     grams = trusted.select("text").mapInArrow(counted, "code long, n long")
     return grams.groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def _level(grams: DataFrame, order: int) -> DataFrame:
-    """Share (of a gram in its context, discounted) and spare (of the context) of every gram."""
+def _level(grams: DataFrame) -> DataFrame:
+    """Of every context: spare, and the shares of the symbols seen after it, discounted."""
     spread = {
         r.n: r.c for r in grams.where("n <= 4").groupBy("n").agg(F.count("*").alias("c")).collect()
     }
@@ -104,72 +100,134 @@ def _level(grams: DataFrame, order: int) -> DataFrame:
     y = n1 / (n1 + 2 * n2)
     discounts = [min(max(d, 0.05), i) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
     off = F.when(F.col("n") == 1, discounts[0]).when(F.col("n") == 2, discounts[1]).otherwise(discounts[2])
-    cut = grams.withColumn("off", off).withColumn("context", F.shiftright("code", BITS))
-    contexts = cut.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("spare"))
-    return cut.join(contexts, "context").select(
-        F.lit(order).alias("order"), "code", "context", ((F.col("n") - F.col("off")) / F.col("total")).alias("share"), "spare"
+    left = F.struct(F.col("code").bitwiseAND(F.lit(SYMBOLS - 1)).cast("int"), F.col("n") - F.col("off"))
+    contexts = (
+        grams.withColumn("off", off)
+        .groupBy(F.shiftright("code", BITS).alias("context"))
+        .agg(F.sum("n").alias("total"), F.sum("off").alias("off"), F.map_from_entries(F.collect_list(left)).alias("left"))
     )
+    shares = F.transform_values("left", lambda _, n: n / F.col("total"))
+    return contexts.select("context", (F.col("off") / F.col("total")).alias("spare"), shares.alias("shares"))
 
 
-def train(trusted: DataFrame) -> dict[int, tuple[np.ndarray, ...]]:
-    """Per order: codes, shares, contexts and spares; at most ``SYMBOLS ** order`` of them."""
-    grams = settle(count(trusted))
-    levels = []
+def fit(grams: DataFrame) -> dict[int, DataFrame]:
+    """The model of counted n-grams ``(code, n)``: per order context, spare and shares by symbol."""
+    grams, model = settle(grams), {}
     for order in range(ORDER, 0, -1):
-        levels.append(_level(grams, order))
+        model[order] = settle(_level(grams))
         if order > 1:  # below the highest order a gram counts once for each symbol seen before it
             shorter = F.col("code").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
             grams = settle(grams.groupBy(shorter.alias("code")).agg(F.count("*").alias("n")))
-    model = {}
-    for order, level in zip(range(ORDER, 0, -1), levels, strict=True):
-        rows = level.toPandas()
-        contexts = rows.drop_duplicates("context")
-        model[order] = (
-            rows["code"].to_numpy(np.int32), rows["share"].to_numpy(np.float32),
-            contexts["context"].to_numpy(np.int32), contexts["spare"].to_numpy(np.float32),
-        )
     return model
 
 
-def surprise(model: dict[int, tuple[np.ndarray, ...]]) -> np.ndarray:
-    """Minus the natural logarithm of the probability of every n-gram code."""
-    lower = np.full(SYMBOLS, 1 / SYMBOLS, np.float32)
+def train(trusted: DataFrame) -> dict[int, DataFrame]:
+    """The model of the texts of all rows."""
+    return fit(count(trusted))
+
+
+def surprises(grams: DataFrame, model: dict[int, DataFrame]) -> DataFrame:
+    """code and bits, minus the natural logarithm of its probability, of the different ``code`` of all rows."""
+    grams, lower = settle(grams.select("code").distinct()), None
     for order in range(1, ORDER + 1):
-        code, share, context, spare = model[order]
-        left = np.ones(SYMBOLS ** (order - 1), np.float32)  # a context never seen leaves all to the lower order
-        left[context] = spare
-        if order > 1:
-            lower = np.tile(lower, SYMBOLS)
-        lower.reshape(len(left), SYMBOLS)[:] *= left[:, None]  # in place: the table is large
-        lower[code] += share
-    np.maximum(lower, 1e-12, out=lower)
-    np.log(lower, out=lower)
-    return np.negative(lower, out=lower)
-
-
-def perplexities(docs: DataFrame, model: dict[int, tuple[np.ndarray, ...]], keep_text: bool = False) -> DataFrame:
+        last = F.col("code").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
+        shorter = F.col("code").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
+        some = grams.select(last.alias("code")).distinct() if order < ORDER else grams
+        some = some.select("code", F.shiftright("code", BITS).alias("context"), shorter.alias("_shorter"))
+        some = some.withColumn("_lower", F.lit(1 / SYMBOLS)) if lower is None else some.join(lower, "_shorter")
+        symbol = F.col("code").bitwiseAND(F.lit(SYMBOLS - 1)).cast("int")
+        share = F.coalesce(F.element_at("shares", symbol), F.lit(0.0))
+        # a context never seen leaves all to the lower order
+        p = share + F.coalesce("spare", F.lit(1.0)) * F.col("_lower")
+        found = some.join(model[order], "context", "left").select("code", p.alias("_lower"))
+        lower = found.withColumnRenamed("code", "_shorter")
+    return found.select("code", (-F.log(F.greatest("_lower", F.lit(1e-12)))).cast("float").alias("bits"))
+
+
+class Surprise:
+    """A small model's values by n-gram code, fetched to be looked at; scoring joins instead."""
+
+    def __init__(self, model: dict[int, DataFrame]) -> None:
+        self.levels = {o: {r.context: (r.spare, r.shares) for r in m.collect()} for o, m in model.items()}
+
+    def __len__(self) -> int:
+        return 1 << (BITS * ORDER)
+
+    def __getitem__(self, code: int | slice):
+        if isinstance(code, slice):
+            return np.array([self[c] for c in range(*code.indices(len(self)))])
+        p = 1 / SYMBOLS
+        for order in range(1, ORDER + 1):
+            part = int(code) & ((1 << (BITS * order)) - 1)
+            spare, shares = self.levels[order].get(part >> BITS, (1.0, {}))
+            p = shares.get(part & (SYMBOLS - 1), 0.0) + spare * p
+        return -np.log(max(p, 1e-12))
+
+
+def surprise(model: dict[int, DataFrame]) -> Surprise:
+    """Minus the natural logarithm of the probability of any n-gram code under a small model."""
+    return Surprise(model)
+
+
+def _chunk(chunks: int) -> Column:
+    place = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    return F.pmod(place, F.lit(chunks)).cast("int")
+
+
+def deal(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` with _chunk, written once as a table bucketed by it, and the number of chunks.
+
+    Rows of one doc_id share a chunk; rows without one, which are never trusted, are dealt by their text.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = -(-size // CHUNK_BYTES) or 1
+    dealt = docs.withColumn("_chunk", F.coalesce(_chunk(chunks), F.pmod(F.xxhash64("text"), F.lit(chunks)).cast("int")))
+    name = f"dealt_{uuid.uuid4().hex}"
+    writer = dealt.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
+    writer.bucketBy(min(chunks, BUCKETS), "_chunk").saveAsTable(name)
+    return spark.table(name), chunks
+
+
+def occurrences(dealt: DataFrame, ids: DataFrame, chunks: int) -> DataFrame:
+    """The different codes of every chunk, and n, how often each occurs in texts whose doc_id is in ``ids``."""
+
+    def found(rows: pa.Table, trusted: pa.Table) -> pa.Table:
+        known = pc.is_in(rows.column("doc_id"), value_set=trusted.column("doc_id").combine_chunks())
+        code, n = _counted(_texts(rows.filter(known)))
+        other = _counted(_texts(rows.filter(pc.invert(known))))[0]
+        other = other[~np.isin(other, code)]
+        code, n = np.append(code, other), np.append(n, np.zeros(len(other), np.int64))
+        chunk = (rows if len(rows) else trusted).column("_chunk")[0].as_py()
+        return pa.table({"_chunk": pa.array(np.full(len(code), chunk, np.int32)), "code": code, "n": n})
+
+    texts = dealt.select("_chunk", "doc_id", "text").groupBy("_chunk")
+    ids = ids.select(F.col("doc_id").cast(dealt.schema["doc_id"].dataType)).withColumn("_chunk", _chunk(chunks))
+    return texts.cogroup(ids.groupBy("_chunk")).applyInArrow(found, "_chunk int, code long, n long")
+
+
+def perplexities(dealt: DataFrame, found: DataFrame, bits: DataFrame, keep_text: bool = False) -> DataFrame:
     """All columns (but text, unless kept) of every row, with _symbols and _perplexity (1 for a text without symbols)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    others = [f for f in dealt.schema.fields if f.name != "_chunk" and (keep_text or f.name != "text")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = surprise(shared.value)
-        for batch in batches:
-            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
-            parts = [(np.zeros(0), np.zeros(0, np.int64))]
-            for a, b in slices(texts, SLICE_BYTES):
-                code, begins = codes(texts.slice(a, b - a))
-                ends = np.concatenate([[0], np.cumsum(bits[code], dtype=np.float64)])[begins]
-                parts.append((np.diff(ends), np.diff(begins)))
-            total, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-            arrays = [batch.column(f.name) for f in others]
-            arrays += [pa.array(n, pa.int64()), pa.array(np.exp(total / np.maximum(n, 1)), pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*[f.name for f in others], "_symbols", "_perplexity"])
-        del bits
-        pa.default_memory_pool().release_unused()
-
-    return docs.mapInArrow(scored, f"{schema}, _symbols long, _perplexity double")
+    def scored(rows: pa.Table, grams: pa.Table) -> pa.Table:
+        known, bits = (grams.column(c).to_numpy() for c in ("code", "bits"))
+        order = np.argsort(known)
+        known, bits = known[order], bits[order].astype(np.float64)
+        texts = _texts(rows)
+        parts = [(np.zeros(0), np.zeros(0, np.int64))]
+        for a, b in slices(texts, SLICE_BYTES):
+            code, begins = codes(texts.slice(a, b - a))
+            places, names = pd.factorize(code)
+            ends = np.concatenate([[0], np.cumsum(bits[np.searchsorted(known, names)][places])])[begins]
+            parts.append((np.diff(ends), np.diff(begins)))
+        total, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        columns = [*(rows.column(f.name) for f in others), pa.array(n), pa.array(np.exp(total / np.maximum(n, 1)))]
+        return pa.table(columns, [*(f.name for f in others), "_symbols", "_perplexity"])
+
+    asked = found.select("_chunk", "code").join(bits, "code").groupBy("_chunk")
+    return dealt.groupBy("_chunk").cogroup(asked).applyInArrow(scored, f"{schema}, _symbols long, _perplexity double")
 
 
 def band() -> Column:
@@ -189,7 +247,7 @@ class Limits:
 def limits(scored: DataFrame, ids: DataFrame, quantile: float, margin: float, least: int) -> Limits:
     """Quantiles of the trusted among ``scored(doc_id, lang, _symbols, _perplexity)``."""
     cut = (F.percentile_approx("_perplexity", quantile, 10000) * margin).alias("limit")
-    trusted = scored.join(ids, "doc_id", "left_semi").where("_symbols > 0").withColumn("_band", band())
+    trusted = scored.select("doc_id", "lang", "_symbols", "_perplexity").join(ids, "doc_id", "left_semi").where("_symbols > 0").withColumn("_band", band())
     enough = F.count("*") >= least
     near = trusted.groupBy("lang", "_band").agg(cut, enough.alias("enough")).where("enough").drop("enough")
     wide = trusted.groupBy("lang").agg(cut, enough.alias("enough")).where("enough").drop("enough")
@@ -197,15 +255,15 @@ def limits(scored: DataFrame, ids: DataFrame, quantile: float, margin: float, le
 
 
 def learn(
-    docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, margin: float = 1.1, least: int = 30
-) -> tuple[dict[int, tuple[np.ndarray, ...]], Limits, DataFrame]:
-    """The model of the trusted texts, the limits that follow from it, and every row's doc_id, lang and perplexity."""
-    plain = docs.select("doc_id", "text", "lang")
+    docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, margin: float = 1.1, least: int = 30, keep_text: bool = False
+) -> tuple[Limits, DataFrame]:
+    """The limits that follow from the trusted texts, and every row with its perplexity under their model."""
     ids = trusted_ids.select("doc_id").where("doc_id is not null").distinct()
-    # one plan at every size: the ids of each part are a hash table, the texts stream past it
-    model = train(plain.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"))
-    scored = settle(perplexities(plain, model))
-    return model, limits(scored, ids, quantile, margin, least), scored
+    dealt, chunks = deal(docs)
+    found = settle(occurrences(dealt, ids, chunks))
+    model = fit(found.where("n > 0").groupBy("code").agg(F.sum("n").alias("n")))
+    scored = settle(perplexities(dealt, found, surprises(found, model), keep_text))
+    return limits(scored, ids, quantile, margin, least), scored
 
 
 def judge(scored: DataFrame, limits: Limits) -> DataFrame:
@@ -233,6 +291,6 @@ def classify(
     without symbols are kept: they are as any trusted one.  Without trusted text all
     are kept, with a null ceiling.
     """
-    _, found, scored = learn(docs, trusted_ids, quantile, margin, least)
+    found, scored = learn(docs.select("doc_id", "text", "lang"), trusted_ids, quantile, margin, least)
     columns = ["doc_id", "lang", F.col("_symbols").alias("n_symbols"), F.col("_perplexity").alias("perplexity"), "ceiling", "keep"]
     return judge(scored, found).select(*columns)

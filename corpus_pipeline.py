@@ -29,9 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity operator 2 finds usual for trusted text of their language."""
     trusted = read(spark, sf_dir, "labels").where("quality = 1")
-    model, limits, _ = quality.learn(docs, trusted)
-    scored = quality.judge(quality.perplexities(docs, model, keep_text=True), limits)
-    return scored.where("keep").select(*docs.columns)
+    limits, scored = quality.learn(docs, trusted, keep_text=True)
+    return quality.judge(scored, limits).where("keep").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

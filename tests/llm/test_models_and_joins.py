@@ -1,6 +1,7 @@
 """Classifiers, url rules, components, the similarity join, the vector index and the pipeline."""
 
 import itertools
+import random
 import re
 import sys
 from collections import Counter
@@ -193,6 +194,33 @@ def test_kneser_ney_is_the_textbooks(spark, docs):
     assert np.exp(-bits[context : context + quality.SYMBOLS]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_symbols_are_the_bytes():
+    """Capitals, digits and accents are told apart: no two bytes share a symbol, and none is the start's."""
+    assert sorted(quality.symbols().tolist()) == list(range(1, 257))
+    assert len(set(quality.codes(pa.array(["AB12"]))[0] & (quality.SYMBOLS - 1))) == 4
+
+
+def test_perplexity_is_the_textbooks(spark, monkeypatch):
+    """Documents are scored by joins over several chunks, rows without doc_id and repeated ones included."""
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 300)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["Alpha", "be", "12", "dé", "zz."]) for _ in range(rng.randint(1, 30))) for _ in range(30)]
+    rows = [*enumerate(texts), (3, "another text 99"), (3, texts[3]), (None, "no id"), (None, texts[0]), (90, ""), (91, None), (92, "\0\1")]
+    table = spark.createDataFrame([(*r, "en", n) for n, r in enumerate(rows)], "doc_id int, text string, lang string, at int")
+    ids = [*range(12), 500]
+    trusted = spark.createDataFrame([(i,) for i in [*ids, 3, None]], "doc_id long")
+    dealt = quality.deal(table)[0]
+    assert dealt.select("_chunk").distinct().count() > 3
+    found = {r["at"]: r for r in quality.learn(table, trusted, keep_text=True)[1].collect()}
+    assert len(found) == len(rows)
+    probability = plain_model([t for i, t in rows if i in ids])
+    for at, (i, text) in enumerate(rows):
+        s = [0] * (quality.ORDER - 1) + [b + 1 for b in (text or "").encode()]
+        bits = [-np.log(probability(tuple(s[k : k + quality.ORDER]))) for k in range(len(s) - quality.ORDER + 1)]
+        assert (found[at].doc_id, found[at].text, found[at]._symbols) == (i, text, len(bits))
+        assert found[at]._perplexity == pytest.approx(np.exp(np.mean(bits)) if bits else 1, rel=1e-4)
+
+
 def test_quality_on_held_out_labels(spark, docs, labels):
     """Trusted is what the labels of four fifths say; the rest is judged."""
     learn, held = labels.where(~toxicity.held_out()), labels.where(toxicity.held_out())
