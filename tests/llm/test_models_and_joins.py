@@ -391,6 +391,17 @@ def test_pipeline_stages_keep_clean_documents(spark, docs, labels, pipeline, tmp
     assert {r.doc_id for r in kept.select("doc_id").collect()} == left["near_copies"]
 
 
+def test_pipeline_fetches_no_model(spark, pipeline, docs, monkeypatch):
+    """The quality stage leaves counts, shares and spares in Spark tables: nothing is fetched whole or sent to every task."""
+
+    def refuse(*_):
+        raise AssertionError("fetched or sent whole")
+
+    monkeypatch.setattr(type(docs), "toPandas", refuse)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    assert 0 < pipeline.drop_poor(spark, docs, SF).count() < docs.count()
+
+
 def test_pipeline_of_odd_rows(spark, pipeline, docs):
     odd = [(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 1, "", "en", "s", 0), (None, "text", "en", "s", 4), (10**6 + 2, "x" * 200_000, "en", "s", 1)]
     rows = docs.limit(50).union(spark.createDataFrame(odd, docs.schema))
