@@ -27,13 +27,16 @@ from abuse_lens.llm.shingles import mix
 from abuse_lens.plans.settle import settle
 
 #: Windows that a task hashes at once; longer texts are read in overlapping parts.  Positions there take 20 bits of a number.
-SLICE_WINDOWS = 700_000
+SLICE_WINDOWS = 200_000
 #: Pieces in a bucket, on average, and the most that may share an anchor there; more are split into single windows.
 BUCKET_PIECES, GROUP_PIECES = 4096, 8192
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _LOW = np.uint64((1 << 20) - 1)
 WHERE = ["_id", "_row"]
+_LETTERS = np.isin(np.arange(256), [*b"0123456789", *range(65, 91), *range(97, 123), *range(128, 256)])
+#: Words of the suffix array begin with one letter in four, so they are mostly several of the text's.
+_BEGINS = _LETTERS & (np.arange(256) % 4 == 0)
 
 
 # --- suffix arrays ---
@@ -136,9 +139,8 @@ def repeated_windows(pieces: pa.Array, at: np.ndarray, spans: np.ndarray, size:
     begins = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
     flat = np.frombuffer(pieces.buffers()[2], np.uint8)[begins[0] : begins[-1]]
     begins = begins - begins[0]
-    letter = np.isin(np.arange(256), [*b"0123456789", *range(65, 91), *range(97, 123), *range(128, 256)])[flat]
     cut = np.zeros(len(flat) + 1, bool)
-    cut[1:-1] = letter[1:] & ~letter[:-1]
+    cut[1:-1] = _BEGINS[flat[1:]] & ~_LETTERS[flat[:-1]]
     forced = begins[:-1] + at + 1  # inside every window, also in texts without blanks
     cut[forced] = True
     cut[begins] = True

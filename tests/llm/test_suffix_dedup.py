@@ -105,3 +105,18 @@ def test_long_texts_are_read_in_parts(spark, monkeypatch):
         text, begin, count, *_ = suffix_dedup.pieces_of(flat, begins, 50)
         windows += [(first + t, shift + x) for t, b, n in zip(text, begin, count, strict=True) for x in range(b, b + n)]
     assert sorted(windows) == [(i, x) for i, t in enumerate(texts) for x in range(len(t) - 49)]
+
+
+def test_suffix_array_is_over_several_words_at_once(monkeypatch):
+    """Few begins of words are cuts, so the array that Python loops over is much shorter than the row of words."""
+    draw, sizes, plain = random.Random(8), [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda symbols: sizes.append(len(symbols)) or plain(symbols))
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(900)]
+    text = " ".join(words)
+    texts = [text[:3000].encode(), b"?" + text[1000:4000].encode()]
+    flat, begins = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    owner, begin, windows, at, _, _ = suffix_dedup.pieces_of(flat, begins, 200)
+    pieces = [texts[t][b : b + n + 199] for t, b, n in zip(owner, begin, windows, strict=True)]
+    p, w = suffix_dedup.repeated_windows(pa.array(pieces, pa.binary()), at, windows - 1, 200)
+    assert sorted((owner[i], begin[i] + x) for i, x in zip(p, w, strict=True)) == repeated(texts, 200)
+    assert sizes[0] < 0.5 * sum(len(x.split()) for x in pieces)
