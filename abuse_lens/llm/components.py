@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abuse_lens.plans.settle import settle
+from abuse_lens.plans.settle import files_for, settle
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -29,9 +29,9 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     # every edge already points from the larger to the smaller node
-    found = _star(edges)
-    hooked = found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hooked.union(found.select("u", F.col("m").alias("v")))
+    # both are hooked to the smallest, in one pass; where v is the smallest itself, its edge is a loop
+    ends = F.explode(F.array("u", "v")).alias("u")
+    return _star(edges).select(ends, F.col("m").alias("v"))
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -50,7 +50,7 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
     state = _state(edges)
     while state[0]:
         starred = _large_star(edges).where("u <> v").distinct()
-        edges = settle(_small_star(starred).where("u <> v").distinct())
+        edges = settle(_small_star(starred).where("u <> v").distinct(), files_for(state[0]))
         before, state = state, _state(edges)
         if state == before:
             break

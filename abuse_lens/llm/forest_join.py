@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from abuse_lens.llm import shingles
 from abuse_lens.llm.components import connected_components
-from abuse_lens.plans.settle import settle
+from abuse_lens.plans.settle import files_for, settle
 
 #: Texts of a component that are compared at once, and their characters.
 BLOCK_TEXTS, BLOCK_CHARS = 512, 4_000_000
@@ -209,17 +209,19 @@ def join(
     """
     length = prefix_length(threshold, trees, deepest, recall)
     signed = settle(_signed(docs, width, trees, length))
+    files = files_for(signed.count())  # no table of texts has more rows
     texts = settle(
         signed.groupBy("text_key").agg(
             F.min("doc_id").alias("text_id"),
             F.count("*").alias("copies"),
             F.any_value("n_chars").alias("n_chars"),
             F.any_value("prefixes").alias("prefixes"),
-        )
+        ),
+        files,
     )
     found = _candidates(texts)
     members = settle(
-        found.withColumnRenamed("node", "text_key").join(texts.select("text_key", "text_id", "n_chars"), "text_key")
+        found.withColumnRenamed("node", "text_key").join(texts.select("text_key", "text_id", "n_chars"), "text_key"), files
     )
     # the text of each member, read from the row that stands for it
     keyed = docs.select(
@@ -242,7 +244,7 @@ def join(
         .join(groups, "text_key", "left")
         .withColumn("component", F.coalesce("component", "text_key"))
     )
-    grouped = settle(grouped)
+    grouped = settle(grouped, files)
     named = grouped.groupBy("component").agg(F.min("text_id").alias("class_id"))
     per_text = grouped.join(named, "component").select(
         "text_key", "text_id", "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")

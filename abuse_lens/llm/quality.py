@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abuse_lens.llm.shingles import slices
-from abuse_lens.plans.settle import settle, shared_folder
+from abuse_lens.plans.settle import files_for, settle, shared_folder
 
 #: A symbol takes nine bits: the 256 bytes and what stands before a document's first one.
 ORDER, BITS = 4, 9
@@ -91,33 +91,37 @@ def count(trusted: DataFrame) -> DataFrame:
     return grams.groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def _level(grams: DataFrame) -> DataFrame:
+def _followed(grams: DataFrame) -> DataFrame:
+    """Of every context of ``grams(context, symbol, n)``: how often each symbol follows it, their sum, and how many do so 1, 2, 3 and 4 times."""
+    summed = grams.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    times = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    after = F.map_from_entries(F.collect_list(F.struct("symbol", "n")))
+    return summed.groupBy("context").agg(after.alias("after"), F.sum("n").alias("total"), *times)
+
+
+def _level(followed: DataFrame) -> DataFrame:
     """Of every context: spare, and the shares of the symbols seen after it, discounted."""
-    spread = {
-        r.n: r.c for r in grams.where("n <= 4").groupBy("n").agg(F.count("*").alias("c")).collect()
-    }
-    n1, n2, n3, n4 = (spread.get(i, 0) or 0.5 for i in (1, 2, 3, 4))
+    n1, n2, n3, n4 = (n or 0.5 for n in followed.agg(*(F.sum(f"n{i}") for i in (1, 2, 3, 4))).first())
     y = n1 / (n1 + 2 * n2)
     discounts = [min(max(d, 0.05), i) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
-    off = F.when(F.col("n") == 1, discounts[0]).when(F.col("n") == 2, discounts[1]).otherwise(discounts[2])
-    left = F.struct(F.col("code").bitwiseAND(F.lit(SYMBOLS - 1)).cast("int"), F.col("n") - F.col("off"))
-    contexts = (
-        grams.withColumn("off", off)
-        .groupBy(F.shiftright("code", BITS).alias("context"))
-        .agg(F.sum("n").alias("total"), F.sum("off").alias("off"), F.map_from_entries(F.collect_list(left)).alias("left"))
+    once, twice, more = map(F.lit, discounts)
+    off = once * F.col("n1") + twice * F.col("n2") + more * (F.size("after") - F.col("n1") - F.col("n2"))
+    shares = F.transform_values(
+        "after", lambda _, n: (n - F.when(n == 1, once).when(n == 2, twice).otherwise(more)) / F.col("total")
     )
-    shares = F.transform_values("left", lambda _, n: n / F.col("total"))
-    return contexts.select("context", (F.col("off") / F.col("total")).alias("spare"), shares.alias("shares"))
+    return followed.select("context", (off / F.col("total")).alias("spare"), shares.alias("shares"))
 
 
 def fit(grams: DataFrame) -> dict[int, DataFrame]:
-    """The model of counted n-grams ``(code, n)``: per order context, spare and shares by symbol."""
-    grams, model = settle(grams), {}
+    """The model of n-grams ``(code, n)``, counts of one code add up: per order context, spare and shares by symbol."""
+    symbol = F.col("code").bitwiseAND(F.lit(SYMBOLS - 1)).cast("int").alias("symbol")
+    grams, model = grams.select(F.shiftright("code", BITS).alias("context"), symbol, "n"), {}
     for order in range(ORDER, 0, -1):
-        model[order] = settle(_level(grams))
+        followed = settle(_followed(grams), files_for(SYMBOLS ** (order - 1)))
+        model[order] = _level(followed)
         if order > 1:  # below the highest order a gram counts once for each symbol seen before it
-            shorter = F.col("code").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
-            grams = settle(grams.groupBy(shorter.alias("code")).agg(F.count("*").alias("n")))
+            shorter = F.col("context").bitwiseAND(F.lit((1 << (BITS * (order - 2))) - 1)).alias("context")
+            grams = followed.select(shorter, F.explode(F.map_keys("after")).alias("symbol"), F.lit(1).alias("n"))
     return model
 
 
@@ -128,7 +132,7 @@ def train(trusted: DataFrame) -> dict[int, DataFrame]:
 
 def surprises(grams: DataFrame, model: dict[int, DataFrame]) -> DataFrame:
     """code and bits, minus the natural logarithm of its probability, of the different ``code`` of all rows."""
-    grams, lower = settle(grams.select("code").distinct()), None
+    grams, lower = settle(grams.select("code").distinct(), files_for(grams.count())), None
     for order in range(1, ORDER + 1):
         last = F.col("code").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
         shorter = F.col("code").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
@@ -248,10 +252,13 @@ def limits(scored: DataFrame, ids: DataFrame, quantile: float, margin: float, le
     """Quantiles of the trusted among ``scored(doc_id, lang, _symbols, _perplexity)``."""
     cut = (F.percentile_approx("_perplexity", quantile, 10000) * margin).alias("limit")
     trusted = scored.select("doc_id", "lang", "_symbols", "_perplexity").join(ids, "doc_id", "left_semi").where("_symbols > 0").withColumn("_band", band())
-    enough = F.count("*") >= least
-    near = trusted.groupBy("lang", "_band").agg(cut, enough.alias("enough")).where("enough").drop("enough")
-    wide = trusted.groupBy("lang").agg(cut, enough.alias("enough")).where("enough").drop("enough")
-    return Limits(settle(near), settle(wide), trusted.agg(cut).first().limit)
+    # one pass for all three: by language and length band, by language, of all
+    found = trusted.rollup("lang", "_band").agg(F.grouping_id().alias("_of"), cut, (F.count("*") >= least).alias("enough"))
+    found = settle(found, files=1)  # a row for each language and band
+    near = found.where("_of = 0 and enough").select("lang", "_band", "limit")
+    wide = found.where("_of = 1 and enough").select("lang", "limit")
+    every = found.where("_of = 3").first()
+    return Limits(near, wide, every and every.limit)
 
 
 def learn(
@@ -261,7 +268,7 @@ def learn(
     ids = trusted_ids.select("doc_id").where("doc_id is not null").distinct()
     dealt, chunks = deal(docs)
     found = settle(occurrences(dealt, ids, chunks))
-    model = fit(found.where("n > 0").groupBy("code").agg(F.sum("n").alias("n")))
+    model = fit(found.where("n > 0"))
     scored = settle(perplexities(dealt, found, surprises(found, model), keep_text))
     return limits(scored, ids, quantile, margin, least), scored
 

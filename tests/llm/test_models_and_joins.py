@@ -144,6 +144,51 @@ def test_toxicity_of_odd_rows(spark):
 # --- quality ---
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles of many more partitions than rows need, which adaptive execution leaves alone."""
+    wanted = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _written(monkeypatch, *modules):
+    """Every table that these modules settle from now on, in order."""
+    found = []
+    for module in modules:
+        real = module.settle
+        monkeypatch.setattr(module, "settle", lambda *a, _real=real, **b: found.append(_real(*a, **b)) or found[-1])
+    return found
+
+
+def test_components_write_few_files(spark, many_partitions, monkeypatch):
+    """A round's file count follows the edges, not the partitions of a shuffle; the result stays whole."""
+    tables = _written(monkeypatch, components)
+    edges = [(k, k + 1) for k in range(300) if k % 50] + [(9, 9), (7, None), (8, 7), (7, 8)]
+    found = components.connected_components(spark.createDataFrame(edges, "u long, v long"))
+    assert {(r.node, r.component) for r in found.collect()} == {(k, max(1, (k - 1) // 50 * 50 + 1)) for k in range(1, 301)}
+    assert len(tables) > 2 and all(len(t.inputFiles()) <= 4 for t in tables[1:])
+
+
+def test_model_is_settled_once_an_order(spark, many_partitions, monkeypatch):
+    """One table an order, of few files for the lower ones; the discounts and quantiles come from it."""
+    tables = _written(monkeypatch, quality)
+    model = quality.train(spark.createDataFrame([("a quiet day by the sea",), ("boats and nets",), (None,)], "text string"))
+    assert len(tables) == quality.ORDER and all(len(t.inputFiles()) <= 4 for t in tables[2:])
+    assert model[1].count() == 1 and 0 < model[1].first().spare < 1
+    rows = [(k, "en" if k < 40 else None, k % 3 * 100 + 1, float(k)) for k in range(50)] + [(None, "en", 5, 1.0)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, _symbols long, _perplexity double")
+    ids = spark.createDataFrame([(k,) for k in range(48)], "doc_id long")
+    found = quality.limits(scored, ids, 1.0, 2.0, 8)
+    assert {(r.lang, r["limit"]) for r in found.wide.collect()} == {("en", 78.0), (None, 94.0)}
+    assert {r.lang for r in found.near.collect()} == {"en"} and found.every == 94.0
+    assert quality.limits(scored, ids.where("false"), 1.0, 2.0, 8).every is None
+
+
 def plain_model(texts):
     """Interpolated modified Kneser-Ney by the textbook, from dictionaries."""
     table, n = quality.symbols(), quality.ORDER
