@@ -32,9 +32,13 @@ from abuse_lens.plans.settle import files_for, settle, shared_folder
 ORDER, BITS = 4, 9
 SYMBOLS = 1 << BITS
 #: Text that a task turns into codes at once; each byte takes some fifty more there.
-SLICE_BYTES = 1_000_000
-#: Text of a chunk, on average, and the most buckets that chunks are dealt to.
-CHUNK_BYTES, BUCKETS = 40_000_000, 512
+SLICE_BYTES = 250_000
+#: Text of a chunk, on average: a task holds it a few times over, on either side of the pipe to Python.
+CHUNK_BYTES = 8_000_000
+#: Chunks of a bucket, on average, and the most buckets that chunks are dealt to; a bucket is sorted by chunk and may spill.
+BUCKET_CHUNKS, BUCKETS = 5, 512
+#: Scored rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 @lru_cache(maxsize=1)
@@ -189,7 +193,7 @@ def deal(docs: DataFrame) -> tuple[DataFrame, int]:
     dealt = docs.withColumn("_chunk", F.coalesce(_chunk(chunks), F.pmod(F.xxhash64("text"), F.lit(chunks)).cast("int")))
     name = f"dealt_{uuid.uuid4().hex}"
     writer = dealt.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
-    writer.bucketBy(min(chunks, BUCKETS), "_chunk").saveAsTable(name)
+    writer.bucketBy(min(-(-chunks // BUCKET_CHUNKS), BUCKETS), "_chunk").saveAsTable(name)
     return spark.table(name), chunks
 
 
@@ -228,7 +232,8 @@ def perplexities(dealt: DataFrame, found: DataFrame, bits: DataFrame, keep_text:
             parts.append((np.diff(ends), np.diff(begins)))
         total, n = (np.concatenate(c) for c in zip(*parts, strict=True))
         columns = [*(rows.column(f.name) for f in others), pa.array(n), pa.array(np.exp(total / np.maximum(n, 1)))]
-        return pa.table(columns, [*(f.name for f in others), "_symbols", "_perplexity"])
+        found = pa.table(columns, [*(f.name for f in others), "_symbols", "_perplexity"])
+        return pa.Table.from_batches(found.to_batches(BATCH_ROWS), found.schema)
 
     asked = found.select("_chunk", "code").join(bits, "code").groupBy("_chunk")
     return dealt.groupBy("_chunk").cogroup(asked).applyInArrow(scored, f"{schema}, _symbols long, _perplexity double")

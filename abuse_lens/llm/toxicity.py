@@ -35,6 +35,8 @@ IDENTITY = [
 ]
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
+#: Texts that a task turns into Python strings at once.
+BATCH_TEXTS = 500
 
 
 @dataclass(frozen=True)
@@ -194,14 +196,13 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by Settings.vocabulary
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [shared.value.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            arrays = [*batch.columns[:-1], pa.array(values, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "_score"])
+    # other columns don't pass through Python; a filter on the result must not score texts again
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(a, BATCH_TEXTS).to_pylist() for a in range(0, len(texts), BATCH_TEXTS))
+        return pa.array([shared.value.score(t) for part in parts for t in part], pa.float64())
 
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    found = docs.select(*keep, F.col("text").alias("_text")).mapInArrow(scored, ", ".join([*kinds, "_score double"]))
+    found = docs.select(*keep, scored.asNondeterministic()("text").alias("_score"))
     return found.select(
         *keep, F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted")
     )

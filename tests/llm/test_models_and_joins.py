@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from abuse_lens.llm import components, forest_join, permutation_index, quality, shingles, toxicity, url_filter
 
@@ -266,6 +267,15 @@ def test_perplexity_is_the_textbooks(spark, monkeypatch):
         assert found[at]._perplexity == pytest.approx(np.exp(np.mean(bits)) if bits else 1, rel=1e-4)
 
 
+def test_chunks_are_small_however_few_buckets(spark):
+    """A task holds one chunk at a time, so its text is bounded well below an executor's memory."""
+    table = spark.range(24).selectExpr("id doc_id", "repeat('word ', 200000) text", "'en' lang")
+    dealt, chunks = quality.deal(table)
+    assert chunks == 3 and dealt.inputFiles()
+    found = {r["_chunk"]: r["n"] for r in dealt.groupBy("_chunk").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    assert len(found) == 3 and max(found.values()) <= 16_000_000
+
+
 def test_quality_on_held_out_labels(spark, docs, labels):
     """Trusted is what the labels of four fifths say; the rest is judged."""
     learn, held = labels.where(~toxicity.held_out()), labels.where(toxicity.held_out())
@@ -504,3 +514,17 @@ def test_slices_of_very_few_words_or_bytes():
         text = " ".join("abc"[:n])
         assert [len(x) for x in shingles.of_texts(pa.array([text]), 5)] == [int(n > 0), 2]
         assert len(quality.codes(pa.array([text[:n]]))[0]) == len(text[:n])
+
+
+def test_toxicity_sends_each_text_once_and_nothing_back_but_scores(spark):
+    rows = [(1, "vile words", "en"), (2, None, None), (None, "good words", "en"), (2, "vile", "de"), (2, "vile", "de")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = toxicity.Model({"vile": 3.0, "good": -1.0}, -2.0)
+    scored = toxicity.score(table, model, keep=table.columns)
+    expected = [(*r, model.score(r[1]), int(model.score(r[1]) >= 0.5)) for r in rows]
+    assert sorted(map(str, map(tuple, scored.collect()))) == sorted(map(str, expected))
+    clean = scored.where("predicted = 0").select(*table.columns)
+    assert sorted(map(str, map(tuple, clean.collect()))) == sorted(str(r) for r in rows if model.score(r[1]) < 0.5)
+    for df in (scored, clean):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "MapIn" not in plan
