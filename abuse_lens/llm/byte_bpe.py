@@ -21,13 +21,15 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abuse_lens.llm.common import let
-from abuse_lens.plans.settle import settle
+from abuse_lens.plans.settle import files_for, settle
 
 #: The rank map is a literal array of small maps, found by a hash of the bytes.
 SHARDS = 1 << 17
@@ -155,21 +157,28 @@ def _compiled(pattern: str):
 
 
 class _Table:
-    """Known words and their ids, as a task holds them."""
+    """Known words and their ids, as a task holds them: arrays in the order of the words' hashes."""
 
     def __init__(self, words: pa.Array, ids: pa.Array) -> None:
-        self.words, self.flat = words, ids.values.to_numpy().astype(np.int32)
+        hashes = _hashes(words.to_numpy(zero_copy_only=False))
+        order = np.argsort(hashes, kind="stable")
+        ids = ids.take(pa.array(order))
+        self.words, self.hashes = words.take(pa.array(order)), hashes[order]
+        self.flat = ids.values.to_numpy().astype(np.int32)
         self.begins = ids.offsets.to_numpy().astype(np.int64)
-        self.place: dict[str, int] | None = None
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"place": None}
+    def places(self, names: pa.Array) -> np.ndarray:
+        """Where each name is, or -1; of words with one hash only the first is found."""
+        found = np.searchsorted(self.hashes, _hashes(names.to_numpy(zero_copy_only=False)))
+        found[found == len(self.hashes)] = 0
+        if not len(self.hashes) or not len(names):
+            return np.full(len(names), -1)
+        same = pc.equal(self.words.take(pa.array(found)), names.cast(self.words.type))
+        return np.where(same.to_numpy(zero_copy_only=False), found, -1)
 
-    def index(self) -> dict[str, int]:
-        if self.place is None:
-            self.place = {w: i for i, w in enumerate(self.words.to_pylist())}
-            self.words = None
-        return self.place
+
+def _hashes(words: np.ndarray) -> np.ndarray:
+    return pd.util.hash_array(words.astype(object), categorize=False)
 
 
 def _segments(words: pa.Array, table: _Table, ranks: dict[bytes, int]) -> tuple[pa.Array, pa.Array]:
@@ -177,16 +186,15 @@ def _segments(words: pa.Array, table: _Table, ranks: dict[bytes, int]) -> tuple[
     offsets = words.offsets.to_numpy().astype(np.int64)
     coded = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets -= offsets[0]
-    names = coded.dictionary.to_pylist()
-    place = table.index()
-    known = np.fromiter((place.get(w, -1) for w in names), np.int64, len(names))
+    names = coded.dictionary
+    known = table.places(names)
     begins, flat = table.begins, table.flat
     # very long words are merged here
-    for i in np.flatnonzero(known < 0):
-        if len(names[i]) * 4 > FOLD_BYTES and len(raw := names[i].encode()) > FOLD_BYTES:
-            flat = np.concatenate([flat, np.array(merge_with_heap(raw, ranks), np.int32)])
-            known[i] = len(begins) - 1
-            begins = np.append(begins, len(flat))
+    long = pc.greater(pc.binary_length(names), FOLD_BYTES).to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero((known < 0) & long):
+        flat = np.concatenate([flat, np.array(merge_with_heap(names[i].as_py().encode(), ranks), np.int32)])
+        known[i] = len(begins) - 1
+        begins = np.append(begins, len(flat))
     codes = coded.indices.to_numpy()
     places = known[codes]
     gap = places < 0
@@ -214,7 +222,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, table_words: int = TABLE_WOR
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = settle(frequent_words(plain, vocabulary.pattern, table_words))
     dealt = words.repartition(64, "word")  # few words, but each takes a while
-    known = settle(dealt.select("word", fold(F.col("word"), ranks).alias("ids"))).toArrow().combine_chunks()
+    folded = dealt.select("word", fold(F.col("word"), ranks).alias("ids"))
+    known = settle(folded.repartition(files_for(table_words))).toArrow().combine_chunks()
 
     def one(name: str, kind: pa.DataType) -> pa.Array:
         return pa.concat_arrays([c.cast(kind) for c in known[name].chunks] or [pa.array([], kind)])

@@ -1,6 +1,7 @@
 """Encoding, packing, counts, licences and fingerprints against plain versions, with odd rows."""
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -63,6 +64,25 @@ def test_bpe_round_trip_and_digests(spark, docs, odd, vocabulary, library):
     assert {tuple(r) for r in byte_bpe.round_trip(table, vocabulary).collect()} == expected
 
 
+def test_table_of_words_makes_no_object_a_word(monkeypatch):
+    """A task that has looked words up keeps arrays alone; words with equal hashes are not taken for each other."""
+    words = pa.array([f"w{i}é" for i in range(50_000)], pa.large_string())
+    table = byte_bpe._Table(words, pa.array([[i] * (i % 3) for i in range(50_000)], pa.large_list(pa.int32())))
+    names = pa.array(["w7é", "no", "", "w49999é", "w8é"])
+    tracemalloc.start()
+    places = table.places(names)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 100_000
+    assert [table.words[p].as_py() if p >= 0 else None for p in places.tolist()] == ["w7é", None, None, "w49999é", "w8é"]
+    assert [table.flat[table.begins[p] : table.begins[p + 1]].tolist() for p in places[[0, 4]]] == [[7], [8, 8]]
+    monkeypatch.setattr(byte_bpe, "_hashes", lambda words: np.zeros(len(words), np.uint64))
+    same = byte_bpe._Table(pa.array(["a", "b"], pa.large_string()), pa.array([[1], [2]], pa.large_list(pa.int32())))
+    assert same.places(pa.array(["b", "a", "c"])).tolist() == [-1, 0, -1]
+    none = byte_bpe._Table(pa.array([], pa.large_string()), pa.array([], pa.large_list(pa.int32())))
+    assert none.places(names).tolist() == [-1] * 5
+
+
 def test_heap_merges_as_the_library(vocabulary, library):
     rng = np.random.default_rng(3)
     for raw in (b"", b"a", b"a" * 999, b"the theme of them" * 40, rng.bytes(600)):
