@@ -2,21 +2,24 @@
 
 Merging is a fold of Spark's higher-order functions: a word's bytes are an array,
 and every step joins the neighbours whose joined bytes have the lowest rank in a
-literal rank map, until no neighbours have one.
+literal rank map, until no neighbours have one.  A piece is a number that holds its
+id and the rank it would make with the next piece, so a step looks up only the
+two ranks that its merge changes.  The map is one literal row, a scalar subquery:
+tasks get it as bytes, and no plan's text spells it out.
 
 Words repeat, so the most frequent different words of all texts are folded once
 and their ids go to every task as a table of bounded size.  A text then is a row
 of known ids with few gaps; the words in the gaps are folded where they stand.
 Texts are never shuffled, and a word's frequency decides only where it is folded.
-Decoding looks the ids' bytes up in a literal array and concatenates them.
+Decoding looks the ids' bytes up in an array and concatenates them, many texts at a time.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,16 +27,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abuse_lens.llm.common import let
 from abuse_lens.plans.settle import files_for, settle
 
-#: The rank map is a literal array of small maps, found by a hash of the bytes.
-SHARDS = 1 << 17
-NO_RANK = (1 << 31) - 1
+#: An id takes so many bits of a piece's number, and its place in the word so many above them; its rank is on top.
+ID_BITS, PLACE_BITS = 18, 26
+#: No id: what stands before the first piece and behind the last.
+NO_ID = (1 << ID_BITS) - 1
+RANK_AT = ID_BITS + PLACE_BITS
+NO_RANK = 1 << (ID_BITS + RANK_AT)
+#: The rank map has a shard for every id, and a pair's shard is a sum of its ids; there its left id alone tells it.
+SHARDS, SPREAD = 1 << ID_BITS, 4099
 #: Words folded once for all texts, and their longest size: together the bound of the table that every task holds.
 TABLE_WORDS, TABLE_BYTES = 500_000, 64
 #: The fold's cost grows with the square of a word's size; beyond this many bytes a heap does the merging.
@@ -52,66 +59,92 @@ class Vocabulary:
         with open(path, "rb") as file:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}, pattern)
 
-    def rank_map(self) -> Column:
-        """array<map<string, int>>: ranks by the bytes in hexadecimal, in shards."""
-        shards: list[dict[str, int] | None] = [None] * SHARDS
+    def rank_map(self, spark: SparkSession) -> DataFrame:
+        """One row: the ids of the 256 bytes, and a map in shards from the left id of two pieces to their joint rank."""
+        if max(self.ranks.values(), default=0) >= NO_ID:
+            raise ValueError(f"ranks must be below {NO_ID}")
+        shards: list[list[tuple[int, int]]] = [[] for _ in range(SHARDS)]
         for raw, rank in self.ranks.items():
-            text = raw.hex()
-            at = xxhash.xxh64_intdigest(text.encode(), 42) % SHARDS
-            shards[at] = (shards[at] or {}) | {text: rank}
-        return _literal(shards, "array<map<string,int>>")
-
-    def pieces(self) -> Column:
-        """array<string>: each id's bytes in hexadecimal."""
-        table = [""] * (max(self.ranks.values()) + 1)
+            for i in range(1, len(raw)):
+                left, right = self.ranks.get(raw[:i]), self.ranks.get(raw[i:])
+                if left is not None and right is not None:
+                    shards[(left * SPREAD + right) % SHARDS].append((left, rank << RANK_AT))
+        octets = [self.ranks[bytes([i])] for i in range(256)]
+        return _one_row(spark, octets=(octets, pa.int64()), ranks=(shards, pa.map_(pa.int64(), pa.int64())))
+
+    def pieces(self) -> list[bytes | None]:
+        """Each id's bytes."""
+        table: list[bytes | None] = [None] * (max(self.ranks.values(), default=-1) + 1)
         for raw, rank in self.ranks.items():
-            table[rank] = raw.hex()
-        return _literal(table, "array<string>")
+            table[rank] = raw
+        return table
 
 
-def _literal(value: list, kind: str) -> Column:
-    """A large constant; the optimizer folds it into one literal of the plan."""
-    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
+def _one_row(spark: SparkSession, **arrays: tuple[list, pa.DataType]) -> DataFrame:
+    return spark.createDataFrame(pa.table({name: pa.array([v], pa.list_(kind)) for name, (v, kind) in arrays.items()}))
 
 
-def fold(word: Column, ranks: Column) -> Column:
-    """array<int>: the ids of a word, by ranked merges over its bytes."""
+def beside(df: DataFrame, row: DataFrame, name: str, body: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with a column made of its own columns and of the fields of ``row``, which is one literal row."""
+    # used once, so that it becomes a part of the expression and no column of every row
+    kept = df.select("*", row.select(F.struct("*").alias("row")).scalar().alias("_row"))
+    return kept.select(*df.columns, let(F.col("_row"), body).alias(name))
 
-    def rank(piece: Column) -> Column:
-        shard = F.get(ranks, F.pmod(F.xxhash64(piece), F.lit(SHARDS)).cast("int"))
-        return F.coalesce(F.element_at(shard, piece), F.lit(NO_RANK))
 
-    def merged(pieces: Column, at: Column) -> Column:
-        joined = F.concat(F.element_at(pieces, at), F.element_at(pieces, at + 1))
-        return F.concat(
-            F.slice(pieces, F.lit(1), at - 1), F.array(joined), F.slice(pieces, at + 2, F.size(pieces))
-        )
+def fold(word: Column, table: Column) -> Column:
+    """array<int>: the ids of a word, by ranked merges over its bytes; ``table`` is the row of ``rank_map``."""
 
-    def state(pieces: Column, more: Column) -> Column:
-        return F.struct(pieces.alias("pieces"), more.alias("more"))
+    def number(value: int) -> Column:
+        return F.lit(value).cast("bigint")
 
-    def step(now: Column, _: Column) -> Column:
-        pieces = now["pieces"]
-        ranked = F.transform(
-            F.slice(pieces, 2, F.size(pieces)), lambda right, i: rank(F.concat(F.element_at(pieces, i + 1), right))
-        )
-        first = F.transform(
-            F.array(ranked),
-            lambda r: F.when(F.array_min(r) < NO_RANK, F.array_position(r, F.array_min(r))).otherwise(0).cast("int"),
+    def rank(left: Column, right: Column) -> Column:
+        shard = table["ranks"][(left * number(SPREAD) + right).bitwiseAND(number(SHARDS - 1))]
+        return F.coalesce(F.element_at(shard, left), number(NO_RANK))
+
+    def id_of(piece: Column) -> Column:
+        return piece.bitwiseAND(number(NO_ID))
+
+    def below_rank(piece: Column) -> Column:
+        return piece.bitwiseAND(number((1 << RANK_AT) - 1))
+
+    def merged(pieces: Column, least: Column, left: Column, at: Column) -> Column:
+        joined = F.shiftright(least, RANK_AT)  # bytes are joined to the piece that has their rank
+        place = least.bitwiseAND(number((1 << RANK_AT) - 1 - NO_ID))
+        return F.transform(
+            F.array_remove(pieces, pieces[at + 1]),
+            lambda p: F.when(p == least, rank(joined, id_of(pieces[at + 2])) + place + joined)
+            .when(p == left, rank(id_of(left), joined) + below_rank(left))
+            .otherwise(p),
         )
-        next_one = F.aggregate(
-            first, now,
-            lambda s, at: F.when(at > 0, state(merged(s["pieces"], at), F.lit(True))).otherwise(state(s["pieces"], F.lit(False))),
-        )
-        return F.when(now["more"], next_one).otherwise(now)
-
-    octets = F.regexp_extract_all(F.lower(F.hex(F.encode(word, "UTF-8"))), F.lit(".."), F.lit(0))
-    return let(
-        octets,
-        lambda b: F.aggregate(
-            F.slice(b, 2, F.size(b)), state(b, F.lit(True)), step, lambda s: F.transform(s["pieces"], rank)
+
+    def step(pieces: Column, _: Column) -> Column:
+        # places differ and grow, so the least number is the leftmost of the lowest rank
+        def join(least: Column) -> Column:
+            at = F.array_position(pieces, least).cast("int") - 1
+            found = let(at, lambda at: let(pieces[at - 1], lambda left: merged(pieces, least, left, at)))
+            return F.when(least < number(NO_RANK), found).otherwise(pieces)
+
+        return let(F.array_min(pieces), join)
+
+    # one character a byte
+    octets = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+    ids = F.transform(octets, lambda c: table["octets"][F.ascii(c)])
+    none = F.array(number(NO_ID))
+    start = let(
+        F.concat(none, ids, none),
+        lambda ids: F.transform(
+            ids,
+            lambda x, i: rank(x, F.coalesce(F.get(ids, i + 1), number(NO_ID))) + F.shiftleft(i.cast("bigint"), ID_BITS) + x,
         ),
     )
+    found = let(
+        start,
+        lambda pieces: F.aggregate(
+            F.slice(pieces, 4, F.size(pieces)), pieces, step,
+            lambda last: F.transform(F.slice(last, F.lit(2), F.size(last) - 2), lambda p: id_of(p).cast("int")),
+        ),
+    )
+    return F.when(word == "", F.array().cast("array<int>")).otherwise(found)
 
 
 def merge_with_heap(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -218,11 +251,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, table_words: int = TABLE_WOR
     Without special tokens; null and empty texts have no ids; repeated rows are encoded
     each on their own; further columns are ignored.
     """
-    spark, ranks = docs.sparkSession, vocabulary.rank_map()
+    spark = docs.sparkSession
+    ranks = vocabulary.rank_map(spark)
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = settle(frequent_words(plain, vocabulary.pattern, table_words))
     dealt = words.repartition(64, "word")  # few words, but each takes a while
-    folded = dealt.select("word", fold(F.col("word"), ranks).alias("ids"))
+    folded = beside(dealt, ranks, "ids", lambda table: fold(F.col("word"), table))
     known = settle(folded.repartition(files_for(table_words))).toArrow().combine_chunks()
 
     def one(name: str, kind: pa.DataType) -> pa.Array:
@@ -248,34 +282,53 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, table_words: int = TABLE_WOR
     odd = F.when(F.col("text").rlike(r"\p{Cn}"), F.col("text"))
     cut = plain.select("doc_id", words_of(F.col("text"), vocabulary.pattern).alias("words"), odd.alias("odd"))
     parts = cut.mapInArrow(segment, f"doc_id {kind}, rows array<array<int>>, missing array<string>")
-    folded = F.transform("missing", lambda w: fold(w, ranks))
     none = F.array(F.array().cast("array<int>"))
-    return parts.select(
-        "doc_id",
-        F.flatten(F.zip_with("rows", F.concat(folded, none), lambda known, gap: F.concat(known, gap))).alias("ids"),
-    )
 
+    def strung(table: Column) -> Column:
+        folded = F.transform("missing", lambda w: fold(w, table))
+        return F.flatten(F.zip_with("rows", F.concat(folded, none), lambda known, gap: F.concat(known, gap)))
+
+    return beside(parts, ranks, "ids", strung).select("doc_id", "ids")
 
-def decode(ids: Column, vocabulary: Vocabulary) -> Column:
-    """The bytes of ``ids``, piece by piece; an id that the vocabulary lacks makes the result null."""
-    pieces = vocabulary.pieces()
-    hexes = F.transform(ids, lambda i: F.get(pieces, i))
-    text = F.when(F.forall(hexes, lambda h: F.coalesce(h, F.lit("")) != ""), F.array_join(hexes, ""))
-    return F.unhex(text)
+
+def decode(ids: pa.ListArray, pieces: pa.LargeBinaryArray) -> list[bytes | None]:
+    """The bytes of each list of ids, piece by piece; an id that ``pieces`` lacks makes the result null."""
+    offsets = ids.offsets.to_numpy().astype(np.int64)
+    flat = ids.values.slice(offsets[0], offsets[-1] - offsets[0])
+    offsets -= offsets[0]
+    inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces)))
+    found = pieces.take(pc.if_else(inside, flat, None))
+    lacking = np.concatenate([[0], np.cumsum(found.is_null().to_numpy(zero_copy_only=False))])[offsets]
+    joined = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pc.fill_null(found, b""))
+    texts = pc.binary_join(joined, pa.scalar(b"", pa.large_binary())).to_pylist()
+    return [t if a == b else None for t, a, b in zip(texts, lacking[:-1], lacking[1:], strict=True)]
 
 
-def little_endian(ids: Column, vocabulary: Vocabulary) -> Column:
-    """The ids as unsigned 32-bit integers, lowest byte first."""
-    numbers = _literal([i.to_bytes(4, "little").hex() for i in range(max(vocabulary.ranks.values()) + 1)], "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(numbers, i)), ""))
+def little_endian(ids: pa.ListArray) -> list[bytes]:
+    """Each list of ids as unsigned 32-bit integers, lowest byte first."""
+    offsets = ids.offsets.to_numpy()
+    flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
+    return [flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the bytes they decode to."""
     found = encode(docs, vocabulary)
-    return found.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(little_endian(F.col("ids"), vocabulary), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
-    )
+    table = docs.sparkSession.sparkContext.broadcast(vocabulary.pieces())
+
+    def digest(raw: bytes | None) -> str | None:
+        return None if raw is None else hashlib.sha256(raw).hexdigest()
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.array(table.value, pa.large_binary())
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                doc_id, ids = (batch.column(c).slice(a, 1000) for c in ("doc_id", "ids"))
+                of_ids = pa.array(map(digest, little_endian(ids)), pa.string())
+                of_bytes = pa.array(map(digest, decode(ids, pieces)), pa.string())
+                sizes = pc.list_value_length(ids).cast(pa.int64())
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                yield pa.RecordBatch.from_arrays([doc_id, sizes, of_ids, of_bytes], names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return found.mapInArrow(digests, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -89,6 +89,29 @@ def test_heap_merges_as_the_library(vocabulary, library):
         assert byte_bpe.merge_with_heap(raw, vocabulary.ranks) == (library._encode_single_piece(raw) if raw else [])
 
 
+def test_bpe_plan_does_not_spell_the_vocabulary_out(odd, vocabulary):
+    """The driver makes and keeps texts of plans; a literal of all ranks would be megabytes in each."""
+    table = byte_bpe.round_trip(odd, vocabulary)
+    execution = table._jdf.queryExecution()
+    assert all(len(plan.toString()) < 100_000 for plan in (execution.logical(), execution.optimizedPlan(), execution.executedPlan()))
+
+
+def test_fold_takes_the_leftmost_lowest_pair(spark, vocabulary, library):
+    """Ties of rank, words of one byte, bytes beyond ASCII, many merges of one pair."""
+    words = ["a", "", "\0", "aaa", "aaaaaaa", " the", "ananananas", "ñjaciónñññ", "日本", "🙂🙂🙂", "xX" * 60, " " * 90, "0" * 77]
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    found = byte_bpe.beside(table, vocabulary.rank_map(spark), "ids", lambda row: byte_bpe.fold(table.word, row)).collect()
+    assert {r.word: r.ids for r in found} == {w: library._encode_single_piece(w.encode()) if w else [] for w in words}
+
+
+def test_decoding_knows_gaps_in_the_vocabulary():
+    pieces = pa.array([b"a", None, b"\xc3", b"\xa9"], pa.large_binary())
+    ids = pa.array([[9], [0, 2, 3], [], [0, 1], [4], [-1], [3]], pa.list_(pa.int32())).slice(1)
+    assert byte_bpe.decode(ids, pieces) == [b"a\xc3\xa9", b"", None, None, None, b"\xa9"]
+    assert byte_bpe.little_endian(ids)[:2] == [np.array([0, 2, 3], "<u4").tobytes(), b""]
+    assert byte_bpe.decode(ids.slice(0, 0), pieces) == []
+
+
 def test_bpe_of_no_rows(odd, vocabulary):
     assert byte_bpe.round_trip(odd.where("false"), vocabulary).collect() == []
 
