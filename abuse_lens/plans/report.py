@@ -51,10 +51,11 @@ def build(snapshot_rows: DataFrame, cfg: ReportConfig, allow: Allowlist, now: in
 
     Ports are taken from the configuration, else from the data; they label the
     documents and filter nothing.  The parsed lines, the decisions and the
-    episodes have several readers each, so they are written once.
+    episodes have several readers each, so they are written once; the lines
+    as a row per bucket, so that no reader holds the buckets of a line.
     """
-    snapshot_rows = settle(snapshot_rows)  # JSON is parsed once
-    header = snapshots.run_header(snapshot_rows).first()
+    flat = settle(snapshots.flattened(snapshot_rows))  # JSON is parsed once
+    header = snapshots.header_of(flat).first()
     if header["start_ts"] is None:
         raise NoSnapshots("no usable snapshots")
     if not cfg.dst_ports:
@@ -63,7 +64,7 @@ def build(snapshot_rows: DataFrame, cfg: ReportConfig, allow: Allowlist, now: in
         cfg = cfg.with_(dst_ports=tuple(header["ports"]))
     interval = header["interval_sec"]
     slice_sec = cfg.slice_intervals * max(interval, 1)
-    counters = snapshots.counter_rows(snapshot_rows)
+    counters = snapshots.counters_of(flat)
     totals = deltas.totals_of_counters(counters, cfg, slice_sec, by_run)
     decided = settle(dec.decide(totals, cfg, allow, now))
     intervals = deltas.interval_stats(deltas.with_deltas(counters, slice_sec, by_run), cfg, interval)

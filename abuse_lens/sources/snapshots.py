@@ -69,9 +69,18 @@ def snapshot_files(lines: DataFrame) -> DataFrame:
     return named.where(F.col("hour_ts").isNotNull()).orderBy("hour_ts", "file")
 
 
-def _bucket_defect(b: Column, names: Column) -> Column:
-    """Why a bucket with these field names rejects its whole line; null when it is fine."""
+def _name_defect(names: Column) -> Column:
+    """Why the field names of a bucket reject its whole line; null when they are fine."""
     known = F.array(*[F.lit(f) for f in _BUCKET_FIELDS])
+    return (
+        F.when(names.isNull(), "bucket is not an object")
+        .when(F.size(F.array_distinct(names)) != F.size(names), "duplicate bucket field")
+        .when(F.size(F.array_except(names, known)) > 0, "unknown bucket field")
+    )
+
+
+def _bucket_defect(b: Column, named: Column) -> Column:
+    """Why a bucket rejects its whole line, what is wrong with its field names first; null when it is fine."""
     missing = F.lit(False)
     for f in _REQUIRED:
         missing = missing | b[f].isNull()
@@ -80,9 +89,7 @@ def _bucket_defect(b: Column, names: Column) -> Column:
         in_range = in_range & b[c].between(0, U32_MAX)
     in_range = in_range & (b["bytes"] >= 0) & (b["dst_port"].isNull() | b["dst_port"].between(0, U16_MAX))
     return (
-        F.when(names.isNull(), "bucket is not an object")
-        .when(F.size(F.array_distinct(names)) != F.size(names), "duplicate bucket field")
-        .when(F.size(F.array_except(names, known)) > 0, "unknown bucket field")
+        F.when(named.isNotNull(), named)
         .when(missing, "missing bucket field")
         .when(~b["key_type"].isin(*KEY_TYPES), "unknown key type")
         .when(~b["src_ip"].rlike(net.DOTTED_QUAD), "invalid IP address")
@@ -113,7 +120,9 @@ def parse(lines: DataFrame) -> Parsed:
     origin = [c for c in lines.columns if c in ("file", "file_name", "block_start", "row")]
     text = lines.select(F.btrim("value", F.lit(" \t\r\n\f\v")).alias("value"), *origin).where(F.col("value") != "")
     s = F.col("s")
-    names = F.transform(F.from_json("value", "buckets array<string>")["buckets"], F.json_object_keys)
+    # A bucket's names are judged where they are read: those of a whole line take several times its text.
+    judge = lambda text: F.transform(F.array(F.json_object_keys(text)), _name_defect)[0]
+    names = F.transform(F.from_json("value", "buckets array<string>")["buckets"], judge)
     # As a generator the two readings happen once per line; as expressions they
     # would be repeated for every field that is looked at below.
     once = F.array(F.struct(F.from_json("value", schema, options).alias("s"), names.alias("names"), F.json_object_keys("value").alias("top")))
@@ -156,33 +165,53 @@ def parse_strict(lines: DataFrame) -> DataFrame:
     return parsed.good.unionByName(empty.select(*columns))
 
 
+def flattened(snapshots: DataFrame) -> DataFrame:
+    """A row per bucket, and before them one per line, without ``pos``, that holds what may be long: text and header ports.
+
+    What stands beside the exploded array is copied for every bucket, and a task holds the copies of a whole line.  So
+    only short columns do: ``line`` names the line by its file and a digest of its text, made once per line.
+    """
+    text = F.col("value") if "value" in snapshots.columns else F.lit("")
+    digest = F.md5(F.col("value").cast("binary")) if "value" in snapshots.columns else F.lit("")
+    file = F.col("file") if "file" in snapshots.columns else F.lit("")
+    head = ["version", "ts_unix_sec", "interval_sec", "run_id", "base_ts_unix_sec"]
+    kinds = {f.name: f.dataType for f in snapshots.schema.fields}
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    whole = F.struct(none("pos", "int"), text.alias("text"), F.col("dst_ports"), none("b", kinds["buckets"].elementType))
+    one = lambda b, i: F.struct(i.alias("pos"), none("text", "string"), none("dst_ports", kinds["dst_ports"]), b.alias("b"))
+    lines = snapshots.select(
+        *head, file.alias("file"), F.concat(file, F.lit("#"), digest).alias("line"),
+        F.concat(F.array(whole), F.transform("buckets", one)).alias("rows"),
+    )
+    rows, b = lines.select(*head, "file", "line", F.explode("rows").alias("r")), F.col("r.b")
+    return rows.select(
+        *head, "file", "line", "r.pos", "r.text", "r.dst_ports", b["key_type"].alias("key_type"),
+        net.ipv4_to_long(b["src_ip"]).alias("ip_u32"), b["dst_port"].alias("dst_port"), *[b[c].alias(c) for c in COUNTERS],
+    )
+
+
 def counter_rows(snapshots: DataFrame) -> DataFrame:
     """One row per bucket; ``seq`` orders rows of one key at one ``ts``.
 
     That is by file, then by the line's text, then by position in the line: the same
     order in every run.  Spark does not number the lines of a file.
     """
-    line = F.md5(F.col("value").cast("binary")) if "value" in snapshots.columns else F.lit("")
-    file = F.col("file") if "file" in snapshots.columns else F.lit("")
-    rows = snapshots.select(
+    return counters_of(flattened(snapshots))
+
+
+def counters_of(flat: DataFrame) -> DataFrame:
+    """:func:`counter_rows` of :func:`flattened` lines."""
+    ordinal = F.array_position(F.array(*[F.lit(k) for k in KEY_TYPES]), F.col("key_type")).cast("int") - 1
+    return flat.where(F.col("pos").isNotNull()).select(
         F.col("ts_unix_sec").alias("ts"),
         F.col("base_ts_unix_sec").alias("base_ts"),
         "run_id",
-        F.concat(file, F.lit("#"), line).alias("file"),
-        F.posexplode("buckets").alias("pos", "b"),
-    )
-    b = F.col("b")
-    ordinal = F.array_position(F.array(*[F.lit(k) for k in KEY_TYPES]), b["key_type"]).cast("int") - 1
-    return rows.select(
-        "ts",
-        "base_ts",
-        "run_id",
-        F.concat(F.col("file"), F.lit("#"), F.lpad(F.col("pos").cast("string"), 10, "0")).alias("seq"),
-        b["key_type"].alias("key_type"),
+        F.concat("line", F.lit("#"), F.lpad(F.col("pos").cast("string"), 10, "0")).alias("seq"),
+        "key_type",
         ordinal.alias("key_ord"),
-        net.ipv4_to_long(b["src_ip"]).alias("ip_u32"),
-        b["dst_port"].cast("int").alias("dst_port"),
-        *[b[c].alias(c) for c in COUNTERS],
+        "ip_u32",
+        F.col("dst_port").cast("int").alias("dst_port"),
+        *COUNTERS,
     )
 
 
@@ -193,19 +222,23 @@ def between(snapshots: DataFrame, start: int, end: int, ts: str = "ts_unix_sec")
 
 def run_header(snapshots: DataFrame) -> DataFrame:
     """One row: time bounds, version range, ports, run and interval of the earliest snapshot."""
-    file = F.col("file") if "file" in snapshots.columns else F.lit("")
-    text = F.col("value") if "value" in snapshots.columns else F.lit("")
-    earliest = F.min_by(F.struct("run_id", "interval_sec"), F.struct(F.col("ts_unix_sec"), file, text))
-    ports = F.array_union("dst_ports", F.filter(F.transform("buckets", lambda b: b["dst_port"]), lambda p: p.isNotNull()))
-    # Ports are 16-bit, so the set below has at most 65,536 members.
-    grouped = snapshots.select("*", ports.alias("_ports")).agg(
+    return header_of(flattened(snapshots))
+
+
+def header_of(flat: DataFrame) -> DataFrame:
+    """:func:`run_header` of :func:`flattened` lines."""
+    lines = flat.where(F.col("pos").isNull())
+    earliest = F.min_by(F.struct("run_id", "interval_sec"), F.struct("ts_unix_sec", "file", "text"))
+    grouped = lines.agg(
         F.min("ts_unix_sec").alias("start_ts"),
         F.max("ts_unix_sec").alias("end_ts"),
         F.min("version").alias("version_min"),
         F.max("version").alias("version_max"),
         earliest.alias("e"),
     )
-    present = snapshots.select(F.explode(ports).alias("p")).distinct().agg(F.array_sort(F.collect_list("p")).alias("ports"))
+    ports = lines.select(F.explode("dst_ports").alias("p")).union(flat.select("dst_port"))
+    # Ports are 16-bit, so the set below has at most 65,536 members.
+    present = ports.distinct().agg(F.array_sort(F.collect_list("p")).alias("ports"))
     return grouped.select(
         "start_ts",
         "end_ts",

@@ -87,6 +87,23 @@ def test_counter_rows(spark):
     assert [(r.key_type, r.key_ord, r.ip_u32, r.dst_port) for r in rows] == [("src_cidr24", 1, 167772160, 8080), ("src_ip", 0, 167772161, None)]
 
 
+def test_what_a_line_holds_is_not_copied_for_its_buckets(spark):
+    """One row a line has its text and header ports; the explode passes on neither, and the digest is made below it."""
+    items = [snapshot(7, [{**GOOD, "syn": i} for i in range(40)], ports=[22, 443]), snapshot(9, [], ports=[5])]
+    good = snapshots.parse(lines(spark, items)).good
+    flat = snapshots.flattened(good)
+    got = flat.collect()
+    assert sorted((r.ts_unix_sec, r.text is None, list(r.dst_ports or [])) for r in got if r.pos is None) == [(7, False, [22, 443]), (9, False, [5])]
+    assert [r.syn for r in sorted((r for r in got if r.pos is not None), key=lambda r: r.pos)] == list(range(40))
+    assert all(r.text is None and r.dst_ports is None for r in got if r.pos is not None)
+    assert [r.seq[-11:] for r in snapshots.counter_rows(good).orderBy("seq").collect()] == [f"#{i:010d}" for i in range(40)]
+    plan = snapshots.counter_rows(good)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    explodes = next(i for i, line in enumerate(plan) if "Generate" in line and "explode" in line)
+    assert not any("md5(" in line for line in plan[:explodes]) and any("md5(" in line for line in plan[explodes:])
+    columns = plan[explodes + 1]  # what stands below it, and so beside the array
+    assert "rows#" in columns and "value#" not in columns.split("md5")[0]
+
+
 def test_assembled_snapshots_sort_buckets_and_split_when_large(spark):
     data = [counter(60, i, ip=ip, port=p, ord_=o) for i, (o, ip, p) in enumerate([(1, 5, 80), (0, 9, 80), (0, 9, None), (0, 2**32 - 1, 1), (0, 3, 443)])]
     whole = packets.assemble_snapshots(counters(spark, data), (443, 80), 60, 1, 0)
