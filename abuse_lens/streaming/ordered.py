@@ -1,10 +1,11 @@
 """State per key over rows in event-time order, whatever order they arrive in.
 
-Rows wait in slots of time.  What a micro-batch brings for a slot is one entry of a map state,
-written once and never rewritten; a timer at the slot's end fires when the watermark has passed it, and
-only then are the slot's entries read, put in order, handed over and removed.  So the state a batch writes
-grows with the batch, not with what waits.  A row that is late, but within the allowed lateness, changes
-nothing, and what is later still is dropped by Spark and counted in the query's progress
+Rows wait in entries of a map state.  What a micro-batch brings for a key is cut in order of time into entries of at most
+``ENTRY_ROWS`` rows, written once and never rewritten; one timer a key, at the end of the first slot of time that waits, fires
+when the watermark has passed it.  Then all slots that it has passed are read, put in order, handed over and, entry by entry,
+removed; what of an entry has been given out is told by the last slot's end.  So the state a batch writes grows with the batch,
+not with what waits, and calls of the state store with keys and entries, not with rows or slots.  A row that is late, but within
+the allowed lateness, changes nothing, and what is later still is dropped by Spark and counted in the query's progress
 (``numRowsDroppedByWatermark``).  What a key carries from row to row is a typed value state, given up by a timer
 when the key has been idle.
 """
@@ -12,6 +13,7 @@ when the key has been idle.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -20,6 +22,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Width of a slot: rows are given out at most so long after the watermark has passed them.
 SLOT_MS = 60_000
+#: Rows of an entry at most, and rows that a key takes in or hands over at a time.
+ENTRY_ROWS = 256
+HELD_ROWS = 16 * ENTRY_ROWS
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -35,57 +40,88 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parts = handle.getMapState("parts", "slot bigint, part bigint", f"rows array<struct<{self.kinds}>>")
-        self.slots = handle.getMapState("slots", "slot bigint", "parts bigint")
+        self.parts = handle.getMapState("parts", "low bigint, high bigint, part bigint", f"rows array<struct<{self.kinds}>>")
+        # entries so far, the slot up to which all is given out, the next timers of slots and of idleness
+        self.head = handle.getValueState("head", "parts bigint, given bigint, due bigint, idle bigint")
         self.own = handle.getValueState("own", f"last bigint, {self.state}")
 
     def close(self) -> None:
         pass
 
+    def slot(self, row: tuple) -> int:
+        return self.time_ms(row) // self.slot_ms
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        arrived: dict[int, list[tuple]] = {}
-        for row in rows:
-            values = tuple(row[f] for f in self.fields)
-            arrived.setdefault(self.time_ms(values) // self.slot_ms, []).append(values)
-        for slot, values in arrived.items():
-            found = self.slots.getValue((slot,))
-            part = found[0] if found else 0
-            if not part:
-                self.handle.registerTimer((slot + 1) * self.slot_ms)
-            self.parts.updateValue((slot, part), (values,))
-            self.slots.updateValue((slot,), (part + 1,))
+        part, given, due, idle = self.head.get() or (0, None, None, None)
+        first = None
+        arrived = (tuple(row[f] for f in self.fields) for row in rows)
+        while held := sorted(islice(arrived, HELD_ROWS), key=self.time_ms):
+            first = self.slot(held[0]) if first is None else min(first, self.slot(held[0]))
+            for at in range(0, len(held), ENTRY_ROWS):
+                entry = held[at : at + ENTRY_ROWS]
+                self.parts.updateValue((self.slot(entry[0]), self.slot(entry[-1]), part), (entry,))
+                part += 1
+        if first is not None:
+            end = (first + 1) * self.slot_ms
+            if due is None or end < due:
+                due = end
+                self.handle.registerTimer(due)
+            self.head.update((part, given, due, idle))
         return iter(())
 
+    def _passed(self, given: int | None, border: int, left: list[int]) -> Iterator[list[tuple]]:
+        """Waiting rows of the slots before ``border`` in order, many at a time; ``left`` gets the first slots of what still waits."""
+        rows: list[tuple] = []
+        for low, high, part in sorted(tuple(k) for k in self.parts.keys()):
+            if low >= border:
+                left.append(low)
+                break
+            if len(rows) >= HELD_ROWS:  # no entry from here on has rows before its first slot
+                ready = [r for r in rows if self.slot(r) < low]
+                if ready:
+                    yield sorted(ready, key=lambda r: r[: self.order])
+                rows = [r for r in rows if self.slot(r) >= low]
+            entry = [tuple(r) for r in self.parts.getValue((low, high, part))[0]]
+            if high < border:
+                self.parts.removeKey((low, high, part))
+            else:
+                left.append(next(s for s in map(self.slot, entry) if s >= border))
+            rows += [r for r in entry if (given is None or self.slot(r) >= given) and self.slot(r) < border]
+        if rows:
+            yield sorted(rows, key=lambda r: r[: self.order])
+
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        key, fired = tuple(key), expiredTimerInfo.getExpiryTimeInMs()
-        slot, rest = divmod(fired, self.slot_ms)
-        due = None if rest else self.slots.getValue((slot - 1,))
+        head = self.head.get()
+        if head is None:
+            return
+        key, passed = tuple(key), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        part, given, due, idle = head
         saved = self.own.get()
         last, own = (saved[0], tuple(saved[1:])) if saved else (None, None)
-        out: list[tuple] = []
-        if due:
-            rows = []
-            for part in range(due[0]):
-                rows += [tuple(r) for r in self.parts.getValue((slot - 1, part))[0]]
-                self.parts.removeKey((slot - 1, part))
-            self.slots.removeKey((slot - 1,))
-            rows.sort(key=lambda r: r[: self.order])
-            own, out = self.take(key, own, rows)
-            last = self.time_ms(rows[-1])
-        if last is not None:
-            passed = timerValues.getCurrentWatermarkInMs()
-            if last + self.idle_ms > passed:
-                if due:
-                    self.own.update((last, *own))
-                    # never at a slot's end, where rows are due
-                    idle = last + self.idle_ms
-                    self.handle.registerTimer(idle + (idle % self.slot_ms == 0))
-            elif next(iter(self.slots.keys()), None) is None:
-                out = out + self.close_key(key, own)
-                self.own.clear()
-            elif due:
-                self.own.update((last, *own))
-        return iter([Row(**dict(zip(self.names, values, strict=True))) for values in out])
+        row = lambda values: Row(**dict(zip(self.names, values, strict=True)))
+        taken = False
+        if due is not None and due <= passed:
+            left: list[int] = []
+            border = passed // self.slot_ms
+            for rows in self._passed(given, border, left):
+                own, out = self.take(key, own, rows)
+                last, taken = self.time_ms(rows[-1]), True
+                yield from map(row, out)
+            given, due = border, (min(left) + 1) * self.slot_ms if left else None
+            if due is not None:
+                self.handle.registerTimer(due)
+        if last is not None and due is None and last + self.idle_ms <= passed:
+            yield from map(row, self.close_key(key, own))
+            self.own.clear()
+            self.head.clear()
+            return
+        if taken:
+            self.own.update((last, *own))
+        if last is not None and last + self.idle_ms > passed and (idle is None or idle <= passed):
+            idle = last + self.idle_ms
+            self.handle.registerTimer(idle)
+        if (part, given, due, idle) != tuple(head):
+            self.head.update((part, given, due, idle))
 
 
 def in_order(
@@ -101,7 +137,7 @@ def in_order(
     state: str,
     slot_ms: int = SLOT_MS,
 ) -> DataFrame:
-    """Run ``take(key, own, rows) -> (own, output rows)`` over each key's rows, a slot at a time, in order.
+    """Run ``take(key, own, rows) -> (own, output rows)`` over each key's rows, one or more whole slots at a time, in order.
 
     ``fields`` are the columns a row has; the first ``order`` of them are its place
     in the order, ``time_ms`` its event time, rounded down.  ``own`` is what the key keeps, with the columns of

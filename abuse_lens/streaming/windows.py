@@ -103,7 +103,7 @@ def replay(
 ) -> DataFrame:
     """Run a stream over files that arrive in the order of ``turn``, and read what it has written.
 
-    ``turn`` has few values; each one's rows are written as files of their own.
+    ``turn`` has few values; each one's rows are written as files of their own, no more than a batch takes.
     ``closing`` rows come last and move the watermark behind all others, so that
     what waits in a state is given out; they should have a key of their own.
     ``ended`` is called with the run id of each run that has ended.
@@ -115,7 +115,7 @@ def replay(
     source = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
 
     def go_on(rows: DataFrame) -> None:
-        rows.select(*table.columns).write.mode("append").parquet(f"{base}/in")
+        rows.select(*table.columns).coalesce(files_per_trigger).write.mode("append").parquet(f"{base}/in")
 
     def take_all() -> DataFrame:
         stream = build(source.parquet(f"{base}/in"))

@@ -265,3 +265,101 @@ def test_stream_restarts_after_a_lost_commit(spark, tmp_path):
     assert sorted(r.x for r in table.read(spark, "x bigint, tag string").collect()) == list(range(30))
     assert table.remove_abandoned(spark) == 3
     assert table.read(spark, "x bigint, tag string").count() == 30
+
+
+class FakeStore:
+    """State and timers of one key as a batch sees them; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.states, self.timers = 0, {}, set()
+
+    def getMapState(self, name, *schemas):
+        return FakeState(self, self.states.setdefault(name, {}))
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class FakeState:
+    def __init__(self, store, held):
+        self.store, self.held = store, held
+
+    def __getattribute__(self, name):
+        if name in ("getValue", "updateValue", "removeKey", "keys", "get", "update", "clear", "iterator", "containsKey"):
+            object.__getattribute__(self, "store").calls += 1
+        return object.__getattribute__(self, name)
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def getValue(self, key):
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def get(self):
+        return self.held.get("")
+
+    def update(self, value):
+        self.held[""] = value
+
+    def clear(self):
+        self.held.clear()
+
+
+def played(batches, idle_ms=10**9, slot_ms=100):
+    """Rows (time, n) of one key through the processor, batch by batch with the watermark behind it: what it gives out, and the store."""
+    from types import SimpleNamespace
+
+    from abuse_lens.streaming.ordered import _InOrder
+
+    take = lambda key, own, rows: ((len(rows) + (own[0] if own else 0),), [(*key, *r) for r in rows])
+    close = lambda key, own: [(*key, -1, own[0])]
+    store, out = FakeStore(), []
+    steps = _InOrder(["k"], ["ts", "n"], "ts:bigint, n:bigint", 2, lambda r: r[0], take, close, idle_ms, slot_ms, ["k", "ts", "n"], "seen bigint")
+    steps.init(store)
+    for rows, watermark in batches:
+        if rows:
+            list(steps.handleInputRows((1,), iter([{"ts": t, "n": n} for t, n in rows]), None))
+        for at in sorted(t for t in store.timers if t <= watermark):
+            info = SimpleNamespace(getExpiryTimeInMs=lambda at=at: at)
+            given = steps.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), info)
+            out.append([tuple(r)[1:] for r in given])
+            store.timers.discard(at)
+    return out, store
+
+
+def test_calls_of_the_state_store_do_not_grow_with_rows():
+    rows = [(100 * i + 5, i) for i in range(1000)]  # each in a slot of its own
+    out, store = played([(rows[::-1], 0), ([], 10**6)])
+    assert sum(out, []) == rows and store.calls < 60
+    assert store.states["parts"] == {} and store.timers == {rows[-1][0] + 10**9}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rows_are_given_out_in_order_as_the_watermark_passes(seed):
+    rng = random.Random(seed)
+    batches, watermark, every = [], 0, []
+    for i in range(30):
+        rows = [(watermark + 1 + rng.randrange(3000), 100_000 * i + j) for j in range(rng.choice([0, 1, 40, 700]))]
+        every += rows
+        watermark += rng.choice([0, 10, 450, 2000])
+        batches.append((rows, watermark))
+    out, store = played(batches)
+    whole = watermark // 100 * 100  # slots that the watermark has passed
+    assert sum(out, []) == sorted(r for r in every if r[0] < whole)
+    out, store = played([*batches, ([], 10**8)])
+    assert sum(out, []) == sorted(every) and store.states["parts"] == {}
+
+
+def test_an_idle_key_is_closed_once_and_forgotten():
+    out, store = played([([(1000, 1)], 1200), ([(1900, 2)], 2050), ([], 2899), ([], 2950), ([(5000, 3)], 5100), ([], 9000)], idle_ms=1000)
+    assert sum(out, []) == [(1000, 1), (1900, 2), (-1, 2), (5000, 3), (-1, 1)]
+    assert not any(store.states.values()) and not store.timers
