@@ -239,6 +239,26 @@ def test_segments_of_nothing_and_written_ones(spark, tmp_path):
     assert spark.read.parquet(gone).count() == 160
 
 
+def test_written_segments_are_read_trigger_by_trigger(spark, tmp_path):
+    """No reader is given the files of two triggers, and all of them are read: odd tags and null keys too."""
+    schema = "incident_tag string, trigger_ts bigint, at bigint, i int, pkt binary"
+    triggers = [("a", 5), ("a", 6), ("b{1}*", 5), (None, 5), ("a", None)]
+    rows = [(*k, i, i, b"x" * (i % 90)) for k in triggers for i in range(40)]
+    root, asked = str(tmp_path / "seg"), []
+    incidents.write_segments(spark.createDataFrame(rows, schema), root, ["at", "i"], "at", 10, 500)
+
+    def work(back):
+        asked.append(sorted(back.select("incident_tag", "trigger_ts").distinct().collect(), key=repr))
+        return back.groupBy("incident_tag", "trigger_ts", "segment").agg(F.count(F.lit(1)).alias("n"))
+
+    got = incidents.per_trigger(spark, root, f"{schema}, segment bigint", work).collect()
+    numbers = greedy([16 + i % 90 for i in range(40)], 500)
+    want = [(*k, s, numbers.count(s)) for k in triggers for s in set(numbers)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert max(map(len, asked)) == 1 and sum(map(len, asked)) == len(triggers)
+    assert incidents.per_trigger(spark, str(tmp_path / "none"), f"{schema}, segment bigint", work).collect() == []
+
+
 @pytest.mark.parametrize("block", [None, 200, 64])
 def test_bad_lines_have_a_place_in_their_file(spark, tmp_path, block):
     """Files that are split into blocks, blank lines, files without a bad line and empty files."""
